@@ -1,0 +1,7 @@
+"""Streaming.
+
+The reports are batch reads of snapshot and fact tables; none keeps state
+between runs, uses event time or handles late data, so no streaming operator
+is provided. A report can still be refreshed per micro-batch by calling it
+inside ``foreachBatch`` of a caller's own stream.
+"""

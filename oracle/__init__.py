@@ -1,0 +1,6 @@
+"""Independent SQL statements (DuckDB dialect) for every registered query.
+
+They keep the original relational form of the reports (lateral top-1 price
+pick, CASE pivots, scalar subqueries, cross joins with one-row relations), so
+the comparison checks the DataFrame rewrites rather than copying them.
+"""

@@ -1,0 +1,77 @@
+"""DuckDB SQL of the operator-level queries."""
+
+from __future__ import annotations
+
+from oracle.reports import BL, NORMALIZED, RESOLVED, SUBINV, _lateral_price, common, d, month_start, opt, with_tables
+
+
+def operator_sql(s, e, ds, de, filters) -> dict[str, str]:
+    c, b = filters["classification"], filters["branch"]
+    lo = f"DATE_TRUNC('month', {d(e)}) - INTERVAL 2 MONTH"
+    snapshot = f"""dsmh.stock_closing_date = (
+        SELECT MAX(stock_closing_date) FROM stock d
+        WHERE d.stock_closing_date BETWEEN {d(s)} AND {d(e)} AND d.busline_code IN {BL})"""
+    own = "DATE_TRUNC('month', efp.first_date)"
+    return {
+        "filter_optional_in": with_tables(["sales"], f"""
+SELECT classification, branch_id, COUNT(*) AS n, CAST(SUM(amount) AS DOUBLE) AS amount
+FROM sales a WHERE 1 = 1 {opt('a.classification', c)} {opt('a.branch_id', b)}
+GROUP BY classification, branch_id"""),
+        "filter_lookback": with_tables(["sales"], f"""
+SELECT CAST(DATE_TRUNC('month', billing_date) AS DATE) AS month, COUNT(*) AS n,
+       CAST(SUM(amount) AS DOUBLE) AS amount
+FROM sales WHERE billing_date >= {lo} AND billing_date < {d(e)} + INTERVAL 1 DAY
+GROUP BY DATE_TRUNC('month', billing_date)"""),
+        "latest_snapshot": with_tables(["stock"], f"""
+SELECT item_code, subinventory_code, busline_code, CAST(qty AS DOUBLE) AS qty,
+       CAST(trade_price AS DOUBLE) AS trade_price, CAST(item_cost AS DOUBLE) AS item_cost,
+       stock_opening_date, stock_closing_date
+FROM stock dsmh WHERE {snapshot}"""),
+        "item_code_normalized": with_tables(["stock"], f"""
+SELECT DISTINCT item_code, {NORMALIZED} AS normalized_code FROM stock dsmh"""),
+        "mapping_code_resolved": with_tables(["items"], f"""
+SELECT matnr, {RESOLVED} AS mapping_code FROM items sid"""),
+        "classified": with_tables(["stock", "items_class"], f"""
+SELECT dmpm.classification, COUNT(*) AS n, CAST(SUM(qty) AS DOUBLE) AS qty
+FROM stock dsmh LEFT JOIN items_class dmpm ON dmpm.mapping_code = {NORMALIZED}
+GROUP BY dmpm.classification"""),
+        "stock_value_by_class": with_tables(["stock", "items_class", "locations"], f"""
+SELECT dmpm.classification,
+       CAST(SUM(dsmh.qty * dsmh.trade_price) AS DOUBLE) AS inv_val,
+       CAST(SUM(dsmh.qty * dsmh.item_cost) AS DOUBLE) AS inv_val_efp,
+       CAST(SUM(dsmh.qty) AS DOUBLE) AS quantity
+FROM stock dsmh
+LEFT JOIN items_class dmpm ON dmpm.mapping_code = {NORMALIZED}
+LEFT JOIN locations sil ON CAST(sil.inv_sloc AS VARCHAR) = dsmh.subinventory_code
+WHERE {snapshot} AND dsmh.busline_code IN {BL} AND {SUBINV} AND qty <> 0
+GROUP BY dmpm.classification"""),
+        "target_value_by_class": with_tables(["targets", "items_class"], f"""
+SELECT COALESCE(t03.classification, 'Others') AS classification,
+       CAST(SUM(t01.target_value) AS DOUBLE) AS trg_value
+FROM targets t01 LEFT JOIN items_class t03 ON t03.mapping_code = t01.item_code
+WHERE t01.target_date >= {month_start(e)} AND t01.target_date < {month_start(e)} + INTERVAL 1 MONTH
+GROUP BY COALESCE(t03.classification, 'Others')"""),
+        "price_fixed_month": with_tables(["price_list"], f"""
+SELECT a.item_code, CAST(b.price AS DOUBLE) AS price
+FROM (SELECT DISTINCT item_code FROM price_list) a
+JOIN LATERAL (
+  SELECT efp.price FROM price_list efp
+  WHERE efp.item_code = a.item_code
+    AND {own} IN (DATE_TRUNC('month', {d(e)}), DATE_TRUNC('month', {d(e)} - INTERVAL 1 MONTH))
+  ORDER BY CASE WHEN {own} = DATE_TRUNC('month', {d(e)}) AND COALESCE(efp.price, 0) <> 0 THEN 0
+                WHEN {own} = DATE_TRUNC('month', {d(e)} - INTERVAL 1 MONTH) THEN 1
+                WHEN {own} = DATE_TRUNC('month', {d(e)}) THEN 2 ELSE 3 END,
+           efp.first_date DESC
+  LIMIT 1) b ON TRUE"""),
+        "price_asof_month": with_tables(["price_list"], f"""
+WITH pairs AS (
+  SELECT DISTINCT item_code, CAST(DATE_TRUNC('month', first_date) AS DATE) AS month FROM price_list
+  UNION
+  SELECT DISTINCT item_code, CAST(DATE_TRUNC('month', first_date) + INTERVAL 1 MONTH AS DATE) FROM price_list)
+SELECT a.item_code, a.month, CAST(b.price AS DOUBLE) AS price
+FROM pairs a
+{_lateral_price('a.month')}"""),
+        "common_filter": with_tables(["sales_header"], f"""
+SELECT data_flag, channel, COUNT(*) AS n, CAST(SUM(gross_amount) AS DOUBLE) AS gross_amount
+FROM sales_header WHERE {common(ds, de)} GROUP BY data_flag, channel"""),
+    }

@@ -1,0 +1,615 @@
+"""DuckDB SQL of the reports; each function mirrors the plan of the same name."""
+
+from __future__ import annotations
+
+import datetime as dt
+
+from distkpi.sources.testdata import derivation_sql
+
+BL = "('P07', 'P08', 'P12')"
+SUBINV = ("(dsmh.subinventory_code LIKE '80%' OR dsmh.subinventory_code = '8206' "
+          "OR dsmh.subinventory_code = '8210')")
+RESOLVED = "(CASE WHEN sid.mapping_code = '' OR sid.mapping_code IS NULL THEN sid.matnr ELSE sid.mapping_code END)"
+NORMALIZED = ("CASE WHEN dsmh.item_code NOT LIKE 'F%' THEN CAST(CAST(dsmh.item_code AS INT) AS VARCHAR) "
+              "ELSE dsmh.item_code END")
+PADDED = "CASE WHEN t01.item_code LIKE 'F%' THEN t01.item_code ELSE lpad(t01.item_code, 10, '0') END"
+BRANCHES = [("8006", "bahawalpur"), ("8018", "dss_korangi"), ("8019", "faisalabad"),
+            ("8023", "gujranwala"), ("8028", "hyderabad"), ("8029", "islamabad"),
+            ("8035", "karachi"), ("8044", "korangi"), ("8046", "lahore"), ("8056", "mingora"),
+            ("8059", "multan"), ("8070", "peshawar"), ("8072", "quetta"), ("8085", "sukkur")]
+
+
+def with_tables(names: list[str], body: str) -> str:
+    """Prefix ``body`` with the derivations of the logical tables it reads."""
+    ctes = ",\n".join(f"{n} AS ({derivation_sql(n)})" for n in names)
+    body = body.strip()
+    if body[:5].upper() == "WITH ":
+        return f"WITH {ctes},\n{body[5:]}"
+    return f"WITH {ctes}\n{body}"
+
+
+def d(value) -> str:
+    return f"DATE '{value}'"
+
+
+def opt(expr: str, values) -> str:
+    """Optional text IN filter, emitted only when values are given."""
+    if values is None or values == "" or (not isinstance(values, str) and len(values) == 0):
+        return ""
+    if isinstance(values, (str, int)):
+        values = [values]
+    vals = ", ".join("'" + str(v).replace("'", "''") + "'" for v in values)
+    return f"AND CAST({expr} AS VARCHAR) IN ({vals})"
+
+
+def month_start(e) -> str:
+    return f"DATE_TRUNC('month', {d(e)})"
+
+
+def days_cte(e) -> str:
+    return (f"dc AS (SELECT CAST(EXTRACT(DAY FROM (DATE_TRUNC('month', {d(e)}) + INTERVAL 1 MONTH "
+            f"- INTERVAL 1 DAY)) AS INT) AS total_days)")
+
+
+def cover(inv: str, trg: str, snap: bool = True) -> str:
+    v = f"COALESCE({inv}, 0)"
+    if snap:
+        v = f"CASE WHEN ABS({v}) < 0.001 THEN 0 ELSE {v} END"
+    return f"ROUND(CAST({v} AS DOUBLE) * dc.total_days / NULLIF(CAST({trg} AS DOUBLE), 0), 1)"
+
+
+def _stock_closing(s, e, c, k, b, group: str, select: str) -> str:
+    return f"""
+SELECT {select},
+       SUM(dsmh.qty * dsmh.trade_price) AS inv_val,
+       SUM(dsmh.qty * dsmh.item_cost) AS inv_val_efp,
+       SUM(dsmh.qty) AS quantity
+FROM stock dsmh
+LEFT JOIN items_class dmpm ON dmpm.mapping_code = {NORMALIZED}
+LEFT JOIN locations sil ON CAST(sil.inv_sloc AS VARCHAR) = dsmh.subinventory_code
+WHERE dsmh.stock_closing_date = (
+        SELECT MAX(stock_closing_date) FROM stock d
+        WHERE d.stock_closing_date BETWEEN {d(s)} AND {d(e)} AND d.busline_code IN {BL})
+  AND dsmh.busline_code IN {BL} AND {SUBINV}
+  {opt('dmpm.classification', c)} {opt('dmpm.mapping_code', k)} {opt('sil.inv_sloc', b)}
+  AND qty <> 0
+{group}"""
+
+
+def _targets_month(e, c, k, b, group: str, select: str) -> str:
+    return f"""
+SELECT {select}, SUM(t01.target_value) AS trg_value
+FROM targets t01
+LEFT JOIN items_class t03 ON t03.mapping_code = t01.item_code
+WHERE t01.target_date >= {month_start(e)} AND t01.target_date < {month_start(e)} + INTERVAL 1 MONTH
+  {opt('t03.classification', c)} {opt('t03.mapping_code', k)} {opt('t01.loc_code', b)}
+{group}"""
+
+
+def sales_summary(s, e, classification=None, sku=None, branch=None) -> str:
+    return with_tables(["sales"], f"""
+WITH sale AS (
+  SELECT a.item_code, a.classification, SUM(amount) AS amount
+  FROM sales a
+  WHERE a.billing_date BETWEEN {d(s)} AND {d(e)}
+    {opt('a.classification', classification)} {opt('a.item_code', sku)} {opt('a.branch_id', branch)}
+    AND a.classification = a.classification AND a.branch_id = a.branch_id AND item_code = item_code
+  GROUP BY a.classification, a.item_code
+  HAVING SUM(amount) != 0)
+SELECT a.classification, COUNT(DISTINCT a.item_code) AS sku, CAST(SUM(amount) AS DOUBLE) AS amount
+FROM sale a GROUP BY a.classification""")
+
+
+def cover_days(s, e, classification=None, sku=None, branch=None) -> str:
+    stk = _stock_closing(s, e, classification, sku, branch, "GROUP BY dmpm.classification",
+                         "COALESCE(dmpm.classification, 'Others') AS classification")
+    ft = _targets_month(e, classification, sku, branch,
+                        "GROUP BY COALESCE(t03.classification, 'Others')",
+                        "COALESCE(t03.classification, 'Others') AS classification")
+    return with_tables(["stock", "items_class", "locations", "targets"], f"""
+WITH stk AS ({stk}), ft AS ({ft}), {days_cte(e)}
+SELECT ft.classification,
+       CAST(s.inv_val AS DOUBLE) AS inv_val, CAST(s.inv_val_efp AS DOUBLE) AS inv_val_efp,
+       CAST(ft.trg_value AS DOUBLE) AS trg_value, CAST(s.quantity AS DOUBLE) AS quantity,
+       ROUND(CAST(ft.trg_value AS DOUBLE) / dc.total_days, 1) AS daily_target,
+       {cover('s.inv_val', 'ft.trg_value')} AS cover_days,
+       {cover('s.inv_val_efp', 'ft.trg_value')} AS cover_days_efp
+FROM ft LEFT JOIN stk s ON s.classification = ft.classification CROSS JOIN dc
+ORDER BY ft.classification""")
+
+
+def closing_inventory_date() -> str:
+    return with_tables(["stock"], "SELECT MAX(stock_closing_date) AS closing_date FROM stock")
+
+
+def cover_days_total(s, e, classification=None, sku=None, branch=None) -> str:
+    stk = _stock_closing(s, e, classification, sku, branch, "", "1 AS one")
+    ft = _targets_month(e, classification, sku, branch, "", "1 AS one")
+    return with_tables(["stock", "items_class", "locations", "targets"], f"""
+WITH stk AS ({stk}), ft AS ({ft}), {days_cte(e)}
+SELECT CAST(s.inv_val AS DOUBLE) AS inv_val, CAST(ft.trg_value AS DOUBLE) AS trg_value,
+       CAST(s.quantity AS DOUBLE) AS quantity, CAST(s.inv_val_efp AS DOUBLE) AS inv_val_efp,
+       ROUND(CAST(ft.trg_value AS DOUBLE) / dc.total_days, 1) AS daily_target,
+       {cover('s.inv_val', 'ft.trg_value')} AS cover_days,
+       {cover('s.inv_val_efp', 'ft.trg_value')} AS cover_days_efp
+FROM stk s CROSS JOIN ft CROSS JOIN dc""")
+
+
+def target_vs_actual_cover(s, e, classification=None, sku=None, branch=None) -> str:
+    stk = _stock_closing(s, e, classification, sku, branch, "GROUP BY dmpm.classification",
+                         "dmpm.classification")
+    ft = _targets_month(e, classification, sku, branch, "GROUP BY t03.classification",
+                        "t03.classification")
+    return with_tables(["stock", "items_class", "locations", "targets"], f"""
+WITH stk AS ({stk}), ft AS ({ft}), {days_cte(e)}
+SELECT ft.classification,
+       CASE WHEN ft.classification = 'A' THEN 30 WHEN ft.classification = 'B' THEN 20
+            WHEN ft.classification = 'C' THEN 15 END AS cover_days_tgt,
+       {cover('s.inv_val', 'ft.trg_value')} AS cover_days
+FROM ft LEFT JOIN stk s ON ft.classification = s.classification CROSS JOIN dc
+WHERE ft.classification IN ('A', 'B', 'C')
+ORDER BY ft.classification""")
+
+
+def _opening_stock(s, e) -> str:
+    return f"""
+FROM stock dsmh
+LEFT JOIN items sid ON sid.matnr = dsmh.item_code
+LEFT JOIN items_class dmpm ON dmpm.mapping_code = {RESOLVED}
+LEFT JOIN locations sil ON CAST(sil.inv_sloc AS VARCHAR) = dsmh.subinventory_code
+WHERE dsmh.stock_opening_date = (
+        SELECT MAX(stock_opening_date) FROM stock d
+        WHERE d.stock_opening_date BETWEEN {d(s)} AND {d(e)} AND d.busline_code IN {BL})
+  AND dsmh.busline_code IN {BL} AND {SUBINV}"""
+
+
+def _item_branch_targets(e, c, k, b) -> str:
+    return f"""
+SELECT t01.loc_code AS branch_code, COALESCE(t03.classification, 'Others') AS classification,
+       {RESOLVED} AS mapping_code, MAX(sid.matnr_desc) AS prd, SUM(t01.target_value) AS trg_value
+FROM targets t01
+LEFT JOIN items_class t03 ON t03.mapping_code = t01.item_code
+LEFT JOIN items sid ON sid.matnr = {PADDED}
+WHERE DATE_TRUNC('month', t01.target_date) = {month_start(e)}
+  {opt('t03.classification', c)} {opt('t03.mapping_code', k)} {opt('t01.loc_code', b)}
+GROUP BY t01.loc_code, t03.classification, {RESOLVED}"""
+
+
+def inventory_days(s, e, classification=None, sku=None, branch=None) -> str:
+    pivots = ",\n       ".join(
+        f"MAX(CASE WHEN CAST(branch_code AS VARCHAR) = '{code}' THEN cover_days END) AS {name}"
+        for code, name in BRANCHES)
+    return with_tables(["stock", "items", "items_class", "locations", "targets"], f"""
+WITH inv_value AS (
+  SELECT COALESCE(dmpm.classification, 'Others') AS classification, MAX(sid.matnr_desc) AS prd,
+         sil.inv_sloc AS branch_code, SUM(dsmh.qty * dsmh.trade_price) AS inv_val,
+         {RESOLVED} AS mapping_code
+  {_opening_stock(s, e)}
+    {opt('dmpm.classification', classification)} {opt('dmpm.mapping_code', sku)}
+    {opt('sil.inv_sloc', branch)}
+  GROUP BY sil.inv_sloc, dmpm.classification, {RESOLVED}),
+filtered_targets AS ({_item_branch_targets(e, classification, sku, branch)}),
+{days_cte(e)},
+aggregated AS (
+  SELECT iv.classification, iv.prd, iv.branch_code, iv.inv_val, ft.trg_value
+  FROM inv_value iv
+  LEFT JOIN filtered_targets ft
+    ON CAST(iv.branch_code AS VARCHAR) = CAST(ft.branch_code AS VARCHAR)
+   AND iv.classification = ft.classification
+   AND CAST(iv.mapping_code AS VARCHAR) = CAST(ft.mapping_code AS VARCHAR)),
+cover_days_detail AS (
+  SELECT a.classification, a.prd, a.branch_code, {cover('a.inv_val', 'a.trg_value')} AS cover_days
+  FROM aggregated a CROSS JOIN dc)
+SELECT COALESCE(classification, 'Others') AS classification,
+       COALESCE(prd, 'Unknown') AS item_desc,
+       {pivots},
+       ROUND(AVG(cover_days), 1) AS total
+FROM cover_days_detail
+GROUP BY classification, prd
+ORDER BY classification, prd""")
+
+
+def above_below_threshold(s, e, sku=None, branch=None) -> str:
+    return with_tables(["stock", "items", "items_class", "locations", "targets"], f"""
+WITH sku_base AS (
+  SELECT DISTINCT mapping_code, COALESCE(classification, 'Others') AS classification
+  FROM items_class WHERE classification IN ('A', 'B', 'C')),
+inv_value AS (
+  SELECT {RESOLVED} AS mapping_code, SUM(dsmh.qty * dsmh.trade_price) AS inv_val
+  {_opening_stock(s, e)}
+    {opt('dmpm.mapping_code', sku)} {opt('dsmh.subinventory_code', branch)}
+  GROUP BY {RESOLVED}),
+filtered_targets AS (
+  SELECT {RESOLVED} AS mapping_code, SUM(t01.target_value) AS trg_value
+  FROM targets t01
+  LEFT JOIN items sid ON sid.matnr = {PADDED}
+  LEFT JOIN items_class t03 ON t03.mapping_code = {RESOLVED}
+  WHERE DATE_TRUNC('month', t01.target_date) = {month_start(e)}
+    {opt('t03.mapping_code', sku)} {opt('t01.loc_code', branch)}
+  GROUP BY {RESOLVED}),
+{days_cte(e)},
+sku_summary AS (
+  SELECT sb.mapping_code, sb.classification,
+         {cover('iv.inv_val', 'COALESCE(ft.trg_value, 0)', snap=False)} AS cover_days
+  FROM sku_base sb
+  LEFT JOIN inv_value iv ON sb.mapping_code = iv.mapping_code
+  LEFT JOIN filtered_targets ft ON sb.mapping_code = ft.mapping_code
+  CROSS JOIN dc)
+SELECT classification,
+       COUNT(CASE WHEN classification = 'A' AND cover_days > 30 THEN 1
+                  WHEN classification = 'B' AND cover_days > 20 THEN 1
+                  WHEN classification = 'C' AND cover_days > 15 THEN 1 END) AS skus_above,
+       COUNT(CASE WHEN classification = 'A' AND cover_days <= 30 THEN 1
+                  WHEN classification = 'B' AND cover_days <= 20 THEN 1
+                  WHEN classification = 'C' AND cover_days <= 15 THEN 1 END) AS skus_below
+FROM sku_summary GROUP BY classification ORDER BY classification""")
+
+
+def service_measure(s, e, classification=None, sku=None, branch=None) -> str:
+    codes = ", ".join(f"'{c}'" for c, _ in BRANCHES)
+    pct = ("ROUND(CAST(sku_above_threshold AS DOUBLE) / NULLIF(CAST(total_sku AS DOUBLE), 0) "
+           "* 100, 2)")
+    return with_tables(["stock", "items", "items_class", "locations", "targets"], f"""
+WITH inv_value AS (
+  SELECT COALESCE(dmpm.classification, 'Others') AS classification, MAX(sid.matnr_desc) AS prd,
+         {RESOLVED} AS mapping_code, sil.inv_sloc AS branch_code,
+         REPLACE(sil.inv_sloc_desc, ' SELL', '') AS branch_desc,
+         SUM(dsmh.qty * dsmh.trade_price) AS inv_val
+  {_opening_stock(s, e)}
+    {opt('dmpm.classification', classification)} {opt('dmpm.mapping_code', sku)}
+    {opt('sil.inv_sloc', branch)}
+  GROUP BY sil.inv_sloc, dmpm.classification, sil.inv_sloc_desc, {RESOLVED}),
+filtered_targets AS ({_item_branch_targets(e, classification, sku, branch)}),
+{days_cte(e)},
+aggregated AS (
+  SELECT ft.mapping_code, ft.classification, ft.branch_code,
+         REPLACE(sil.inv_sloc_desc, ' SELL', '') AS branch_desc, iv.inv_val, ft.trg_value
+  FROM filtered_targets ft
+  LEFT JOIN inv_value iv
+    ON CAST(iv.branch_code AS VARCHAR) = CAST(ft.branch_code AS VARCHAR)
+   AND iv.classification = ft.classification
+   AND CAST(iv.mapping_code AS VARCHAR) = CAST(ft.mapping_code AS VARCHAR)
+  LEFT JOIN locations sil ON CAST(sil.inv_sloc AS VARCHAR) = CAST(ft.branch_code AS VARCHAR)),
+cover_days_detail AS (
+  SELECT a.mapping_code, a.classification, a.branch_code, a.branch_desc,
+         {cover('a.inv_val', 'a.trg_value')} AS cover_days
+  FROM aggregated a CROSS JOIN dc),
+totals AS (
+  SELECT branch_code, branch_desc, classification,
+         COUNT(DISTINCT mapping_code) AS total_sku,
+         COUNT(DISTINCT CASE
+            WHEN classification = 'A' AND COALESCE(cover_days, 0) > 30 AND COALESCE(cover_days, 0) < 9999 THEN mapping_code
+            WHEN classification = 'B' AND COALESCE(cover_days, 0) > 20 AND COALESCE(cover_days, 0) < 9999 THEN mapping_code
+            WHEN classification = 'C' AND COALESCE(cover_days, 0) > 15 AND COALESCE(cover_days, 0) < 9999 THEN mapping_code
+         END) AS sku_above_threshold
+  FROM cover_days_detail GROUP BY branch_code, branch_desc, classification)
+SELECT t.branch_desc AS branch,
+       MAX(CASE WHEN classification = 'A' THEN {pct} END) AS sku_a_pct,
+       MAX(CASE WHEN classification = 'B' THEN {pct} END) AS sku_b_pct,
+       MAX(CASE WHEN classification = 'C' THEN {pct} END) AS sku_c_pct
+FROM totals t
+WHERE CAST(t.branch_code AS VARCHAR) IN ({codes})
+GROUP BY t.branch_code, t.branch_desc
+ORDER BY t.branch_desc""")
+
+
+def forecast_accuracy_monthly(s, e, classification=None, sku=None, branch=None) -> str:
+    return with_tables(["sales", "targets"], f"""
+WITH sale AS (
+  SELECT SUM(amount) AS amount, 0 AS target_value
+  FROM sales a
+  WHERE a.billing_date BETWEEN {d(s)} AND {d(e)}
+    {opt('a.classification', classification)} {opt('a.item_code', sku)} {opt('a.branch_id', branch)}
+    AND a.classification = a.classification AND a.branch_id = a.branch_id AND item_code = item_code
+  UNION ALL
+  SELECT 0 AS amount, SUM(target_value) AS target_value
+  FROM targets b
+  WHERE b.target_date >= {month_start(e)} AND b.target_date < {month_start(e)} + INTERVAL 1 MONTH
+    {opt('b.classification', classification)} {opt('b.item_code', sku)} {opt('b.loc_code', branch)}
+    AND COALESCE(b.classification, 'Others') = COALESCE(b.classification, 'Others')
+    AND b.loc_code = b.loc_code AND b.item_code = b.item_code)
+SELECT CAST(SUM(amount) AS DOUBLE) AS amount, CAST(SUM(target_value) AS DOUBLE) AS target_value,
+       CAST(SUM(amount) AS DOUBLE) / NULLIF(CAST(SUM(target_value) AS DOUBLE), 0) AS pct
+FROM sale a""")
+
+
+def target_to_date(s, e, classification=None, sku=None, branch=None) -> str:
+    return with_tables(["targets"], f"""
+SELECT CAST(0 AS DOUBLE) AS amount, CAST(SUM(target_value) AS DOUBLE) AS target_value
+FROM targets b
+WHERE b.target_date BETWEEN {d(s)} AND {d(e)}
+  {opt('b.classification', classification)} {opt('b.item_code', sku)} {opt('b.loc_code', branch)}
+  AND b.loc_code = b.loc_code AND b.item_code = b.item_code""")
+
+
+def _lateral_price(anchor: str) -> str:
+    own = f"DATE_TRUNC('month', {anchor})"
+    prev = f"DATE_TRUNC('month', {anchor} - INTERVAL 1 MONTH)"
+    month = "DATE_TRUNC('month', efp.first_date)"
+    return f"""
+LEFT JOIN LATERAL (
+  SELECT efp.price FROM price_list efp
+  WHERE efp.item_code = a.item_code AND {month} IN ({own}, {prev})
+  ORDER BY CASE WHEN {month} = {own} AND COALESCE(efp.price, 0) <> 0 THEN 0
+                WHEN {month} = {prev} THEN 1
+                WHEN {month} = {own} THEN 2 ELSE 3 END,
+           efp.first_date DESC
+  LIMIT 1) b ON TRUE"""
+
+
+def pct_zero(a: str, t: str, scale: str = " * 100") -> str:
+    return (f"CASE WHEN {a} <> 0 AND {t} <> 0 THEN ROUND(CAST({a} AS DOUBLE) / "
+            f"CAST({t} AS DOUBLE){scale}, 2) ELSE 0 END")
+
+
+def forecast_accuracy_yearly(s, e, classification=None, sku=None, branch=None) -> str:
+    return with_tables(["sales", "price_list", "budget"], f"""
+WITH sale AS (
+  SELECT SUM(a.sold_qty * COALESCE(b.price, 0)) AS amount, 0 AS target_value
+  FROM sales a
+  {_lateral_price(d(e))}
+  WHERE a.billing_date BETWEEN {d(s)} AND {d(e)}
+    {opt('a.classification', classification)} {opt('a.item_code', sku)} {opt('a.branch_id', branch)}
+  GROUP BY a.classification
+  UNION ALL
+  SELECT 0 AS amount, SUM(value) AS target_value
+  FROM budget b
+  WHERE b.target_date BETWEEN {d(s)} AND {d(e)}
+    {opt('b.classification', classification)} {opt('b.item_code', sku)})
+SELECT CAST(SUM(amount) AS DOUBLE) AS amount, CAST(SUM(target_value) AS DOUBLE) AS target_value,
+       {pct_zero('SUM(amount)', 'SUM(target_value)', '')} AS pct
+FROM sale a""")
+
+
+def forecast_accuracy_category_monthly(e, classification=None, sku=None, branch=None) -> str:
+    lo = f"DATE_TRUNC('month', {d(e)}) - INTERVAL 2 MONTH"
+    hi = f"{d(e)} + INTERVAL 1 DAY"
+    label = "rpad(monthname(a.month_date), 9, ' ') || ' ' || CAST(year(a.month_date) AS VARCHAR)"
+    return with_tables(["sales", "targets"], f"""
+WITH sale AS (
+  SELECT a.classification, DATE_TRUNC('month', a.billing_date) AS month_date,
+         SUM(amount) AS amount, 0 AS target_value
+  FROM sales a
+  WHERE a.billing_date >= {lo} AND a.billing_date < {hi}
+    {opt('a.classification', classification)} {opt('a.item_code', sku)} {opt('a.branch_id', branch)}
+  GROUP BY a.classification, DATE_TRUNC('month', a.billing_date)
+  UNION ALL
+  SELECT b.classification, DATE_TRUNC('month', b.target_date) AS month_date,
+         0 AS amount, SUM(target_value) AS target_value
+  FROM targets b
+  WHERE b.target_date >= {lo} AND b.target_date < {hi}
+    {opt('b.classification', classification)} {opt('b.item_code', sku)} {opt('b.loc_code', branch)}
+    AND COALESCE(b.classification, 'Others') = COALESCE(b.classification, 'Others')
+    AND b.loc_code = b.loc_code AND b.item_code = b.item_code
+  GROUP BY b.classification, DATE_TRUNC('month', b.target_date))
+SELECT COALESCE(a.classification, 'Others') AS classification, {label} AS month,
+       CAST(SUM(amount) AS DOUBLE) AS amount, CAST(SUM(target_value) AS DOUBLE) AS target_value,
+       {pct_zero('SUM(amount)', 'SUM(target_value)')} AS pct
+FROM sale a
+GROUP BY COALESCE(a.classification, 'Others'), a.month_date
+ORDER BY a.month_date DESC, COALESCE(a.classification, 'Others')""")
+
+
+def forecast_accuracy_category_yearly(e, classification=None, sku=None, branch=None) -> str:
+    lo = f"DATE_TRUNC('month', {d(e)}) - INTERVAL 2 MONTH"
+    hi = f"DATE_TRUNC('month', {d(e)}) + INTERVAL 1 MONTH"
+    return with_tables(["sales", "price_list", "budget"], f"""
+WITH sale AS (
+  SELECT a.classification, DATE_TRUNC('month', a.billing_date) AS month_date,
+         SUM(a.sold_qty * COALESCE(b.price, 0)) AS amount, 0 AS target_value
+  FROM sales a
+  {_lateral_price('a.billing_date')}
+  WHERE a.billing_date >= {lo} AND a.billing_date < {hi}
+    {opt('a.classification', classification)} {opt('a.item_code', sku)} {opt('a.branch_id', branch)}
+  GROUP BY a.classification, DATE_TRUNC('month', a.billing_date)
+  UNION ALL
+  SELECT COALESCE(b.classification, 'Others') AS classification,
+         DATE_TRUNC('month', b.target_date) AS month_date, 0 AS amount, SUM(value) AS target_value
+  FROM budget b
+  WHERE b.target_date >= {lo} AND b.target_date < {hi}
+    {opt('b.classification', classification)} {opt('b.item_code', sku)}
+  GROUP BY COALESCE(b.classification, 'Others'), DATE_TRUNC('month', b.target_date))
+SELECT COALESCE(a.classification, 'Others') AS classification,
+       strftime(a.month_date, '%B %Y') AS month,
+       CAST(SUM(amount) AS DOUBLE) AS amount, CAST(SUM(target_value) AS DOUBLE) AS target_value,
+       {pct_zero('SUM(amount)', 'SUM(target_value)')} AS pct
+FROM sale a
+GROUP BY COALESCE(a.classification, 'Others'), a.month_date
+ORDER BY a.month_date DESC, COALESCE(a.classification, 'Others')""")
+
+
+def distributor_vs_company_target(e, classification=None, sku=None, branch=None) -> str:
+    pct = ("CASE WHEN {t} <> 0 THEN ROUND(CAST({a} AS DOUBLE) / CAST({t} AS DOUBLE) * 100, 2) "
+           "ELSE 0 END")
+    return with_tables(["targets", "budget"], f"""
+WITH d_target AS (
+  SELECT COALESCE(b.classification, 'Others') AS classification, SUM(target_value) AS target_value
+  FROM targets b
+  WHERE DATE_TRUNC('month', b.target_date) = {month_start(e)}
+    {opt('b.classification', classification)} {opt('b.item_code', sku)} {opt('b.loc_code', branch)}
+    AND COALESCE(b.classification, 'Others') = COALESCE(b.classification, 'Others')
+    AND b.loc_code = b.loc_code AND b.item_code = b.item_code
+  GROUP BY COALESCE(b.classification, 'Others')),
+c_target AS (
+  SELECT COALESCE(b.classification, 'Others') AS classification, SUM(value) AS target_value
+  FROM budget b
+  WHERE DATE_TRUNC('month', b.target_date) = {month_start(e)}
+    {opt('b.classification', classification)} {opt('b.item_code', sku)}
+    AND COALESCE(b.classification, 'Others') = COALESCE(b.classification, 'Others')
+    AND b.item_code = b.item_code
+  GROUP BY COALESCE(b.classification, 'Others')),
+combined AS (
+  SELECT COALESCE(i.classification, t.classification, 'Others') AS classification,
+         COALESCE(i.target_value, 0) AS dt, COALESCE(t.target_value, 0) AS ct
+  FROM d_target i FULL OUTER JOIN c_target t ON i.classification = t.classification)
+SELECT classification, CAST(dt AS DOUBLE) AS distributor_target, CAST(ct AS DOUBLE) AS company_target,
+       {pct.format(a='dt', t='ct')} AS distributor_vs_company_pct
+FROM combined
+UNION ALL
+SELECT 'Total', CAST(SUM(dt) AS DOUBLE), CAST(SUM(ct) AS DOUBLE),
+       {pct.format(a='SUM(dt)', t='SUM(ct)')}
+FROM combined""")
+
+
+def dispatch_vs_order(s, e, classification=None, sku=None) -> str:
+    return with_tables(["dispatch", "items_class"], f"""
+SELECT t01.material_name, channel_type,
+       CAST(SUM(t01.so_quantity) AS DOUBLE) AS total_order_qty,
+       CAST(SUM(t01.deliverd_qty) AS DOUBLE) AS total_delivery_qty,
+       ROUND(CAST(SUM(t01.deliverd_qty) AS DOUBLE) / NULLIF(CAST(SUM(t01.so_quantity) AS DOUBLE), 0)
+             * 100, 2) AS delivery_pct
+FROM dispatch t01
+LEFT JOIN items_class t02 ON t02.mapping_code = t01.material_no
+WHERE COALESCE(t02.classification, 'Others') IS NOT NULL
+  AND t01.actual_gm_date BETWEEN {d(s)} AND {d(e)}
+  {opt('t02.classification', classification)} {opt('t02.mapping_code', sku)}
+GROUP BY t01.material_name, channel_type""")
+
+
+def wip(s, e) -> str:
+    return with_tables(["wip", "items_class"], f"""
+SELECT t01.storage_loc, t01.storage_loc_desc, t01.plant, t01.plnt_desc,
+       t01.material_type_description, t01.type_description AS material_name, t01.order_number,
+       CAST(t01.item_qty AS DOUBLE) AS item_qty,
+       CAST(t01.good_received_qty AS DOUBLE) AS good_received_qty,
+       CAST(SUM(wip_value) AS DOUBLE) AS wip_value, CAST(SUM(t01.wip) AS DOUBLE) AS quantity
+FROM wip t01
+LEFT JOIN items_class t02 ON t01.item_code = t02.mapping_code
+WHERE t01.record_created_date = (
+        SELECT MAX(t01.record_created_date) FROM wip t01
+        WHERE CAST(t01.record_created_date AS DATE) BETWEEN {d(s)} AND {d(e)})
+GROUP BY t01.type_description, t01.material_type_description, t01.storage_loc_desc,
+         t01.plnt_desc, t01.item_qty, t01.good_received_qty, t01.storage_loc, t01.plant,
+         t01.order_number""")
+
+
+def stock_valuation(s, e) -> str:
+    from distkpi.sources.schemas import QTY_BUCKETS, VALUE_BUCKETS
+    vals = ",\n       ".join(f"CAST(SUM(sttd.{c}) AS DOUBLE) AS {o}" for c, o in VALUE_BUCKETS)
+    vtot = " + ".join(f"sttd.{c}" for c, _ in VALUE_BUCKETS)
+    qtys = ",\n       ".join(f"CAST(SUM(sttd.{c}) AS DOUBLE) AS {o}" for c, o, _ in QTY_BUCKETS)
+    qtot = " + ".join(f"sttd.{c}" for c, _, counted in QTY_BUCKETS if counted)
+    return with_tables(["valuation"], f"""
+SELECT sttd.materialname, sttd.producttype, sttd.plant, sttd.storagelocation,
+       COALESCE(sttd.storagelocationname, 'NA') AS storagelocationname, sttd.plantname,
+       {vals},
+       CAST(SUM({vtot}) AS DOUBLE) AS total_val,
+       {qtys},
+       CAST(SUM({qtot}) AS DOUBLE) AS total_qty
+FROM valuation sttd
+WHERE sttd.executiondate = (
+        SELECT MAX(sttd.executiondate) FROM valuation sttd
+        WHERE sttd.executiondate BETWEEN {d(s)} AND {d(e)})
+GROUP BY sttd.materialname, sttd.producttype, sttd.plant, sttd.storagelocation,
+         COALESCE(sttd.storagelocationname, 'NA'), sttd.plantname""")
+
+
+def item_filter_list() -> str:
+    return with_tables(["target_items", "items"], """
+SELECT DISTINCT material_code AS item_code, sid.matnr_desc AS item_description,
+       COALESCE(classif, 'Others') AS classification
+FROM target_items tst LEFT JOIN items sid ON sid.matnr = tst.material_code""")
+
+
+def branch_list() -> str:
+    return with_tables(["branches"], "SELECT * FROM branches")
+
+
+def sku_count_by_class() -> str:
+    return with_tables(["product_map"], """
+SELECT t01.classification, COUNT(*) AS "count" FROM product_map t01 GROUP BY t01.classification""")
+
+
+def table_page(table: str, order_by: list[str], limit: int, offset: int) -> str:
+    keys = ", ".join(f"{k} ASC NULLS LAST" for k in order_by)
+    return with_tables([table], f"SELECT * FROM {table} ORDER BY {keys} LIMIT {limit} OFFSET {offset}")
+
+
+# Documented sales metrics ---------------------------------------------------
+
+def common(s, e) -> str:
+    return (f"billing_date BETWEEN {d(s)} AND {d(e)} AND business_line_id IN {BL} "
+            f"AND reason_code = 'Sales' "
+            f"AND NOT (data_flag = 'Primary Sales' AND channel = 'Distributor - A')")
+
+
+def gross_summary(s, e) -> str:
+    return with_tables(["sales_header"], f"""
+SELECT data_flag, CAST(SUM(gross_amount) AS DOUBLE) AS gross_amount,
+       COUNT(DISTINCT customer_code) AS customer_count
+FROM sales_header WHERE {common(s, e)} GROUP BY data_flag""")
+
+
+def revenue_total(s, e) -> str:
+    return with_tables(["sales_header"], f"""
+SELECT data_flag, CAST(SUM(gross_amount) AS DOUBLE) AS gross_amount
+FROM sales_header WHERE {common(s, e)} GROUP BY data_flag""")
+
+
+def customer_universe(s, e) -> str:
+    return with_tables(["sales_header"], f"""
+SELECT data_flag, COUNT(DISTINCT customer_code) AS customer_count
+FROM sales_header WHERE {common(s, e)} GROUP BY data_flag""")
+
+
+def _per_outlet(s, e) -> str:
+    return f"""per AS (
+  SELECT data_flag, customer_code, DATE_TRUNC('month', billing_date) AS month,
+         COUNT(DISTINCT document_no) AS purchases
+  FROM sales_header WHERE {common(s, e)}
+  GROUP BY data_flag, customer_code, DATE_TRUNC('month', billing_date))"""
+
+
+def purchase_frequency(s, e) -> str:
+    return with_tables(["sales_header"], f"""
+WITH {_per_outlet(s, e)}
+SELECT data_flag,
+       COUNT(CASE WHEN purchases >= 4 THEN 1 END) AS outlets_4_plus,
+       COUNT(CASE WHEN purchases = 3 THEN 1 END) AS outlets_3,
+       COUNT(CASE WHEN purchases = 2 THEN 1 END) AS outlets_2,
+       COUNT(CASE WHEN purchases = 1 THEN 1 END) AS outlets_1
+FROM per GROUP BY data_flag""")
+
+
+def outlets_with_n_purchases(s, e, n: int) -> str:
+    cond = "purchases >= 4" if n >= 4 else f"purchases = {n}"
+    return with_tables(["sales_header"], f"""
+WITH {_per_outlet(s, e)}
+SELECT data_flag, COUNT(*) AS outlet_count FROM per WHERE {cond} GROUP BY data_flag""")
+
+
+def productive_outlets(s, e) -> str:
+    return with_tables(["sales_header"], f"""
+SELECT data_flag, COUNT(DISTINCT customer_code) AS outlet_count
+FROM sales_header WHERE {common(s, e)} GROUP BY data_flag""")
+
+
+def top_sku_class_a(s, e) -> str:
+    return with_tables(["sales_header"], f"""
+SELECT CAST(DATE_TRUNC('month', billing_date) AS DATE) AS month_, item_description, grp_brand,
+       catg_theraptic, COUNT(DISTINCT document_no) AS doc_cnt
+FROM sales_header WHERE {common(s, e)} AND classification = 'A'
+GROUP BY DATE_TRUNC('month', billing_date), item_description, grp_brand, catg_theraptic
+ORDER BY month_ DESC, doc_cnt DESC""")
+
+
+def business_lines() -> str:
+    return with_tables(["sales_header"],
+                       "SELECT DISTINCT business_line_id, business_line_desc FROM sales_header")
+
+
+def _for_line(bl: str, cols: str) -> str:
+    return with_tables(["sales_header"],
+                       f"SELECT DISTINCT {cols} FROM sales_header WHERE business_line_id = '{bl}'")
+
+
+def products(bl: str) -> str:
+    return _for_line(bl, "item_code, item_description")
+
+
+def locations(bl: str) -> str:
+    return _for_line(bl, "branch_id, branch_desc")
+
+
+def regional_distributors(bl: str) -> str:
+    return _for_line(bl, "distributor_code, distributor_desc")
