@@ -4,8 +4,12 @@ Layout, chosen for the reports' access paths:
 
 * snapshot tables (stock, valuation) are partitioned by their snapshot date,
   so the latest-snapshot scalar subquery prunes to one partition at run time;
+  the write uses the ``rebalance`` hint, so AQE splits a date that holds a
+  large share of the rows over several tasks and files instead of one;
 * fact tables are range-clustered and sorted by their report date, so the
   date filters skip whole files and row groups through Parquet statistics;
+  the range key carries a row hash after the date, so one hot date is split
+  across range partitions as well;
 * dimensions are written as they are.
 
 Writes go through Spark's output committer (task retries are safe) into a
@@ -28,21 +32,30 @@ CLUSTERED = {"sales": "billing_date", "targets": "target_date", "budget": "targe
              "wip": "record_created_date", "price_list": "first_date"}
 
 
-def write_marts(tables: Tables, path: str, files_per_fact: int = 8) -> None:
-    """Write every logical table under ``path/<name>``."""
+def write_marts(tables: Tables, path: str, files_per_fact: int | None = None) -> None:
+    """Write every logical table under ``path/<name>``.
+
+    ``files_per_fact`` fixes the number of range partitions of a fact table;
+    by default it follows ``spark.sql.shuffle.partitions`` and AQE coalesces
+    small partitions to the advisory size.
+    """
     for name, df in tables.as_dict().items():
         out = os.path.join(path, name)
-        writer: DataFrame
         if name in PARTITIONED:
             col = PARTITIONED[name]
-            (df.repartition(col).sortWithinPartitions(col)
+            (df.hint("rebalance", col).sortWithinPartitions(col)
              .write.mode("overwrite").partitionBy(col).parquet(out))
         elif name in CLUSTERED:
             col = CLUSTERED[name]
-            (df.repartitionByRange(files_per_fact, F.col(col)).sortWithinPartitions(col)
+            spread = F.xxhash64(*[F.col(c) for c in df.columns if c != col])
+            keys = [F.col(col), spread]
+            ranged = (df.repartitionByRange(files_per_fact, *keys) if files_per_fact
+                      else df.repartitionByRange(*keys))
+            (ranged
+             .sortWithinPartitions(col)
              .write.mode("overwrite").parquet(out))
         else:
-            df.coalesce(1).write.mode("overwrite").parquet(out)
+            df.hint("rebalance").write.mode("overwrite").parquet(out)
 
 
 def read_marts(spark: SparkSession, path: str) -> Tables:
