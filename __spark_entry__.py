@@ -34,8 +34,13 @@ SMOKE_DIR = "/root/testdata/sf0.001"
 S, E = "2000-03-01", "2000-03-31"            # one month window
 DS, DE = "2000-01-01", "2000-03-31"          # documented metrics: one quarter
 BL = "P07"
+# Report parameters under test in the *_filtered variants (a user's selection
+# of classes, branches and SKUs; the unfiltered variants read everything).
 FILTERS = {"classification": ["A", "C"],
            "branch": ["8003", "8010", "8021", "8042", "8057", "8066", "8078", "8090"]}
+SKUS = {"sku": ["1", "5", "14", "F17", "F34", "101", "250", "402", "777", "999", "1203", "1508"]}
+ALL = {**FILTERS, **SKUS}
+SERVICE = {"classification": ["A", "B"], "branch": ["8006", "8018", "8035", "8046", "8072"]}
 
 _cache: dict = {}
 
@@ -119,23 +124,42 @@ CASES: dict[str, Callable] = {
     # Mounted reports.
     "sales_summary": lambda t: sales.sales_summary(t, S, E),
     "sales_summary_filtered": lambda t: sales.sales_summary(t, S, E, **FILTERS),
+    "sales_summary_sku": lambda t: sales.sales_summary(t, S, E, **SKUS),
     "cover_days": lambda t: stock.cover_days(t, S, E),
     "cover_days_filtered": lambda t: stock.cover_days(t, S, E, **FILTERS),
+    "cover_days_sku": lambda t: stock.cover_days(t, S, E, **SKUS),
     "closing_inventory_date": lambda t: stock.closing_inventory_date(t),
     "cover_days_total": lambda t: stock.cover_days_total(t, S, E),
     "cover_days_total_filtered": lambda t: stock.cover_days_total(t, S, E, **FILTERS),
     "forecast_accuracy_monthly": lambda t: sales.forecast_accuracy_monthly(t, S, E),
+    "forecast_accuracy_monthly_filtered": lambda t: sales.forecast_accuracy_monthly(t, S, E, **FILTERS),
     "target_to_date": lambda t: sales.target_to_date(t, S, E),
+    "target_to_date_filtered": lambda t: sales.target_to_date(t, S, E, **ALL),
     "forecast_accuracy_yearly": lambda t: sales.forecast_accuracy_yearly(t, DS, DE),
+    "forecast_accuracy_yearly_filtered": lambda t: sales.forecast_accuracy_yearly(t, DS, DE, **ALL),
     "inventory_days": lambda t: stock.inventory_days(t, S, E),
     "inventory_days_filtered": lambda t: stock.inventory_days(t, S, E, **FILTERS),
+    "inventory_days_sku": lambda t: stock.inventory_days(t, S, E, **SKUS),
     "above_below_threshold": lambda t: stock.above_below_threshold(t, S, E),
+    "above_below_threshold_filtered": lambda t: stock.above_below_threshold(
+        t, S, E, sku=ALL["sku"], branch=ALL["branch"]),
     "forecast_accuracy_category_monthly": lambda t: sales.forecast_accuracy_category_monthly(t, E),
+    "forecast_accuracy_category_monthly_filtered":
+        lambda t: sales.forecast_accuracy_category_monthly(t, E, **FILTERS),
     "forecast_accuracy_category_yearly": lambda t: sales.forecast_accuracy_category_yearly(t, E),
+    "forecast_accuracy_category_yearly_filtered":
+        lambda t: sales.forecast_accuracy_category_yearly(t, E, **ALL),
     "distributor_vs_company_target": lambda t: sales.distributor_vs_company_target(t, E),
+    "distributor_vs_company_target_filtered":
+        lambda t: sales.distributor_vs_company_target(t, E, **FILTERS),
     "service_measure": lambda t: stock.service_measure(t, S, E),
+    "service_measure_filtered": lambda t: stock.service_measure(t, S, E, **SERVICE),
     "target_vs_actual_cover": lambda t: stock.target_vs_actual_cover(t, S, E),
+    "target_vs_actual_cover_filtered": lambda t: stock.target_vs_actual_cover(t, S, E, **FILTERS),
     "dispatch_vs_order": lambda t: supply.dispatch_vs_order(t, S, E),
+    "dispatch_vs_order_filtered": lambda t: supply.dispatch_vs_order(
+        t, S, E, classification=FILTERS["classification"]),
+    "dispatch_vs_order_sku": lambda t: supply.dispatch_vs_order(t, S, E, **SKUS),
     "wip": lambda t: supply.wip(t, S, E),
     "stock_valuation": lambda t: supply.stock_valuation(t, S, E),
     "item_filter_list": lambda t: lists.item_filter_list(t),
@@ -188,23 +212,40 @@ def oracle_sql() -> dict[str, str]:
     out = {
         "sales_summary": o.sales_summary(S, E),
         "sales_summary_filtered": o.sales_summary(S, E, **FILTERS),
+        "sales_summary_sku": o.sales_summary(S, E, **SKUS),
         "cover_days": o.cover_days(S, E),
         "cover_days_filtered": o.cover_days(S, E, **FILTERS),
+        "cover_days_sku": o.cover_days(S, E, **SKUS),
         "closing_inventory_date": o.closing_inventory_date(),
         "cover_days_total": o.cover_days_total(S, E),
         "cover_days_total_filtered": o.cover_days_total(S, E, **FILTERS),
         "forecast_accuracy_monthly": o.forecast_accuracy_monthly(S, E),
+        "forecast_accuracy_monthly_filtered": o.forecast_accuracy_monthly(S, E, **FILTERS),
         "target_to_date": o.target_to_date(S, E),
+        "target_to_date_filtered": o.target_to_date(S, E, **ALL),
         "forecast_accuracy_yearly": o.forecast_accuracy_yearly(DS, DE),
+        "forecast_accuracy_yearly_filtered": o.forecast_accuracy_yearly(DS, DE, **ALL),
         "inventory_days": o.inventory_days(S, E),
         "inventory_days_filtered": o.inventory_days(S, E, **FILTERS),
+        "inventory_days_sku": o.inventory_days(S, E, **SKUS),
         "above_below_threshold": o.above_below_threshold(S, E),
+        "above_below_threshold_filtered": o.above_below_threshold(S, E, sku=ALL["sku"],
+                                                                  branch=ALL["branch"]),
         "forecast_accuracy_category_monthly": o.forecast_accuracy_category_monthly(E),
+        "forecast_accuracy_category_monthly_filtered":
+            o.forecast_accuracy_category_monthly(E, **FILTERS),
         "forecast_accuracy_category_yearly": o.forecast_accuracy_category_yearly(E),
+        "forecast_accuracy_category_yearly_filtered": o.forecast_accuracy_category_yearly(E, **ALL),
         "distributor_vs_company_target": o.distributor_vs_company_target(E),
+        "distributor_vs_company_target_filtered": o.distributor_vs_company_target(E, **FILTERS),
         "service_measure": o.service_measure(S, E),
+        "service_measure_filtered": o.service_measure(S, E, **SERVICE),
         "target_vs_actual_cover": o.target_vs_actual_cover(S, E),
+        "target_vs_actual_cover_filtered": o.target_vs_actual_cover(S, E, **FILTERS),
         "dispatch_vs_order": o.dispatch_vs_order(S, E),
+        "dispatch_vs_order_filtered": o.dispatch_vs_order(S, E,
+                                                          classification=FILTERS["classification"]),
+        "dispatch_vs_order_sku": o.dispatch_vs_order(S, E, **SKUS),
         "wip": o.wip(S, E),
         "stock_valuation": o.stock_valuation(S, E),
         "item_filter_list": o.item_filter_list(),
