@@ -67,6 +67,22 @@ def test_summary_independent_of_partitioning(spark, t):
     assert a == b
 
 
+def test_day_partitioned_marts_give_the_same_results(spark, t):
+    path = scratch_path(spark, f"marts-day-{uuid.uuid4().hex[:8]}")
+    # Layout test on one year of the daily facts (keeps the number of folders small).
+    from distkpi.sources.marts import CLUSTERED
+    small = t.__class__(**{**t.as_dict(), **{
+        n: getattr(t, n).where(F.col(c) >= F.lit("2000-01-01").cast(getattr(t, n).schema[c].dataType))
+        for n, c in CLUSTERED.items()}})
+    write_marts(small, path, fact_layout="day")
+    day = read_marts(spark, path)
+    a = sorted(map(repr, sales.sales_summary(t, S, E).collect()))
+    b = sorted(map(repr, sales.sales_summary(day, S, E).collect()))
+    assert a == b
+    text = _formatted(sales.sales_summary(day, S, E))
+    assert "PartitionFilters: [isnotnull(billing_date" in text
+
+
 def test_marts_give_the_same_results(spark, t, marts):
     for name in ["cover_days", "inventory_days", "service_measure", "forecast_accuracy_category_yearly",
                  "stock_valuation", "wip"]:
