@@ -334,3 +334,22 @@ def test_month_bounds_and_lookback(spark):
                                                    "2000-03-20", "2000-03-31"]], "d date")
     assert flt.lookback(df, "d", "2000-03-15", 3).count() == 2
     assert flt.lookback(df, "d", "2000-03-15", 3, through="month").count() == 4
+
+
+# S1 binding external relations ---------------------------------------------------------
+
+def test_conform_casts_renames_and_prunes(spark):
+    from distkpi.sources.external import conform, read_catalog
+    from distkpi.sources.schemas import SCHEMAS
+    src = spark.createDataFrame(
+        [(1013, "A", "8001", "2000-03-05", 2.0, 10.5, "extra")],
+        "material bigint, classification string, branch_id string, billing_date string, "
+        "sold_qty double, amount double, note string")
+    df = conform("sales", src, {"material": "item_code"})
+    assert df.schema == SCHEMAS["sales"]
+    assert tuple(df.collect()[0]) == ("1013", "A", 8001, day("2000-03-05"), D("2.00"), D("10.5000"))
+    with pytest.raises(ValueError):
+        conform("sales", src)
+    make_tables(spark).register(prefix="cat_")
+    t = read_catalog(spark, {n: f"cat_{n}" for n in SCHEMAS})
+    assert t.sales.schema == SCHEMAS["sales"]
