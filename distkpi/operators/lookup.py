@@ -59,6 +59,22 @@ def assert_unique(df: DataFrame, *keys: str) -> DataFrame:
     return df.groupBy(*keys).count().where(F.col("count") > 1)
 
 
+def check_dimensions(t) -> DataFrame:
+    """Duplicated join keys of the dimension tables, as ``(table, key, count)``.
+
+    Empty when every dimension is unique on the key the reports join on.
+    """
+    checks = [("items", t.items, "matnr"), ("items_class", t.items_class, "mapping_code"),
+              ("locations", t.locations, "inv_sloc")]
+    parts = [assert_unique(df, key).select(F.lit(name).alias("table"),
+                                           F.col(key).cast("string").alias("key"), "count")
+             for name, df, key in checks]
+    out = parts[0]
+    for p in parts[1:]:
+        out = out.unionByName(p)
+    return out
+
+
 def _pick_key(rank: Column, first_date: Column) -> Column:
     # Ascending rank, then the newest date first, as one orderable long:
     # a plain min over it keeps the aggregate hash-based with partial merge.

@@ -353,3 +353,40 @@ def test_conform_casts_renames_and_prunes(spark):
     make_tables(spark).register(prefix="cat_")
     t = read_catalog(spark, {n: f"cat_{n}" for n in SCHEMAS})
     assert t.sales.schema == SCHEMAS["sales"]
+
+
+def test_check_dimensions_reports_duplicates(spark):
+    from distkpi.operators.lookup import check_dimensions
+    t = make_tables(spark, items_class=[("1", "A"), ("1", "B"), ("2", "A")],
+                    locations=[(8001, "x"), (8001, "y")])
+    assert rows(check_dimensions(t)) == [("items_class", "1", 2), ("locations", "8001", 2)]
+
+
+def test_service_measure_threshold_edges(spark):
+    # Branch 8006, class A (threshold 30): cover exactly 30 -> not above; NULL cover
+    # (no stock and zero target) -> not above; cover >= 9999 -> not above; 31 -> above.
+    op, cl = day("2000-03-01"), day("2000-03-31")
+    items = [(f"000000000{i}", f"d{i}", str(i), "A") for i in range(1, 5)]
+    t = make_tables(
+        spark,
+        items=items, items_class=[(str(i), "A") for i in range(1, 5)],
+        locations=[(8006, "North SELL")],
+        stock=[("0000000001", "8006", "P07", D(30), D(1), D(1), op, cl),
+               ("0000000003", "8006", "P07", D(310000), D(1), D(1), op, cl),
+               ("0000000004", "8006", "P07", D(31), D(1), D(1), op, cl)],
+        targets=[("1", 8006, "A", op, D(31)), ("2", 8006, "A", op, D(0)),
+                 ("3", 8006, "A", op, D(31)), ("4", 8006, "A", op, D(31))],
+    )
+    got = [tuple(r) for r in stock.service_measure(t, "2000-03-01", "2000-03-31").collect()]
+    assert got == [("North", 25.0, None, None)]
+
+
+def test_registry_runs_reports_with_their_parameters(spark):
+    from distkpi.plans.registry import REPORTS, parameters, run
+    t = make_tables(spark)
+    assert "start" not in parameters("forecast_accuracy_category_monthly")
+    df = run("forecast_accuracy_category_monthly", t, start="2000-01-01", end="2000-03-31")
+    assert df.count() == 0
+    with pytest.raises(TypeError):
+        run("branch_list", t, strict=True, start="2000-01-01")
+    assert len(REPORTS) == 31
