@@ -42,15 +42,13 @@ SKUS = {"sku": ["1", "5", "14", "F17", "F34", "101", "250", "402", "777", "999",
 ALL = {**FILTERS, **SKUS}
 SERVICE = {"classification": ["A", "B"], "branch": ["8006", "8018", "8035", "8046", "8072"]}
 
-_cache: dict = {}
+_cache: list = []   # [(session, sf_dir, tables)]: the lazy tables of the last call
 
 
 def _tables(spark: SparkSession, sf_dir: str):
-    key = (id(spark), sf_dir)
-    if key not in _cache:
-        _cache.clear()
-        _cache[key] = load_tables(spark, sf_dir)
-    return _cache[key]
+    if not (_cache and _cache[0][0] is spark and _cache[0][1] == sf_dir):
+        _cache[:] = [(spark, sf_dir, load_tables(spark, sf_dir))]
+    return _cache[0][2]
 
 
 def _dbl(df: DataFrame, *cols: str) -> DataFrame:
@@ -207,8 +205,8 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    from oracle.operators import operator_sql
-    from oracle import reports as o
+    from kpi_oracle.operators import operator_sql
+    from kpi_oracle import reports as o
     out = {
         "sales_summary": o.sales_summary(S, E),
         "sales_summary_filtered": o.sales_summary(S, E, **FILTERS),

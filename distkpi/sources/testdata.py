@@ -3,7 +3,7 @@
 The reports run on a distribution star schema (sales, targets, budget, stock,
 item master, ...). The test data ships TPC-H tables instead, so each logical
 table is derived from them by one SQL statement. The very same statement text
-is used by Spark (here) and by the DuckDB oracle (``oracle/``), so both engines
+is used by Spark (here) and by the DuckDB oracle (``kpi_oracle/``), so both engines
 see identical inputs and a mismatch can only come from the report logic.
 
 Placeholders ``{lineitem}``, ``{part}`` ... name the raw tables; Spark binds

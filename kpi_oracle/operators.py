@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from oracle.reports import BL, NORMALIZED, RESOLVED, SUBINV, _lateral_price, common, d, month_start, opt, with_tables
+from kpi_oracle.reports import BL, NORMALIZED, RESOLVED, SUBINV, _lateral_price, common, d, month_start, opt, with_tables
 
 
 def operator_sql(s, e, ds, de, filters) -> dict[str, str]:
