@@ -8,13 +8,12 @@ from pyspark.sql import functions as F
 
 from distkpi.functions.columns import (cover_days as cover_expr, daily_target, days_in_month,
                                        threshold_for, THRESHOLD_DAYS)
-from distkpi.operators.filters import in_values
+from distkpi.operators.filters import in_filter, in_values
 from distkpi.operators.lookup import (CLS_CLASS, CLS_CODE, ITM_DESC, ITM_MAPPING, LOC_CODE,
                                       LOC_DESC)
 from distkpi.operators.measures import (classified_stock, classified_targets, opening_stock_by_mapping,
                                         optional_in, pivot_max, stock_value, target_value,
                                         targets_by_mapping, threshold_counts)
-from distkpi.operators.filters import in_filter
 
 # Fixed values of the reports: the branch columns of the item x branch cover
 # report, in output order (code -> column), and the branch whitelist of the

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import datetime as dt
 
 from distkpi.sources.testdata import derivation_sql
 
