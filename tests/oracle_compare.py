@@ -37,14 +37,22 @@ def norm(v):
     return str(v)
 
 
+SPARK_TO_DUCK = {"string": "VARCHAR", "int": "INTEGER", "bigint": "BIGINT", "double": "DOUBLE",
+                 "date": "DATE", "boolean": "BOOLEAN", "timestamp_ntz": "TIMESTAMP"}
+
+
 def compare(spark_df, con, sql: str) -> dict:
+    s_types = {f.name: SPARK_TO_DUCK.get(f.dataType.simpleString(), f.dataType.simpleString())
+               for f in spark_df.schema.fields}
     s_cols = spark_df.columns
     s_rows = [tuple(r) for r in spark_df.collect()]
     rel = con.sql(sql)
     d_cols = rel.columns
+    d_types = dict(zip(d_cols, [str(t) for t in rel.types]))
     d_rows = rel.fetchall()
     out = {"spark_rows": len(s_rows), "oracle_rows": len(d_rows),
-           "columns_match": sorted(s_cols) == sorted(d_cols)}
+           "columns_match": sorted(s_cols) == sorted(d_cols),
+           "types_match": s_types == d_types}
     if not out["columns_match"]:
         out["spark_cols"], out["oracle_cols"] = s_cols, d_cols
         out["values_match"] = False

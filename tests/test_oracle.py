@@ -23,5 +23,6 @@ def test_every_query_has_an_oracle():
 def test_query_matches_oracle(spark, con, name):
     res = compare(QUERIES[name](spark, SF), con, ORACLE[name])
     assert res["columns_match"], res
+    assert res["types_match"], res
     assert res["spark_rows"] == res["oracle_rows"], res
     assert res["values_match"], res
