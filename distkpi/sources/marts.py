@@ -2,8 +2,10 @@
 
 Layout, chosen for the reports' access paths:
 
-* snapshot tables (stock, valuation) are partitioned by their snapshot date,
-  so the latest-snapshot scalar subquery prunes to one partition at run time;
+* snapshot tables (stock, valuation, WIP) are partitioned by their snapshot
+  date or load time, so the latest-snapshot scalar subquery prunes to one
+  partition at run time (directory pruning also works for the WIP load
+  timestamp, whose type Parquet row-group statistics cannot filter);
   the write uses the ``rebalance`` hint, so AQE splits a date that holds a
   large share of the rows over several tasks and files instead of one;
 * fact tables are range-clustered and sorted by their report date, so the
@@ -31,10 +33,11 @@ from pyspark.sql import functions as F
 from distkpi.sources.schemas import SCHEMAS, check_schema
 from distkpi.sources.tables import Tables
 
-PARTITIONED = {"stock": "stock_closing_date", "valuation": "executiondate"}
+PARTITIONED = {"stock": "stock_closing_date", "valuation": "executiondate",
+               "wip": "record_created_date"}
 CLUSTERED = {"sales": "billing_date", "targets": "target_date", "budget": "target_date",
              "dispatch": "actual_gm_date", "sales_header": "billing_date",
-             "wip": "record_created_date", "price_list": "first_date"}
+             "price_list": "first_date"}
 
 
 def write_marts(tables: Tables, path: str, files_per_fact: int | None = None,
