@@ -205,8 +205,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    from kpi_oracle.operators import operator_sql
-    from kpi_oracle import reports as o
+    from kpi_oracle import sql as o
     out = {
         "sales_summary": o.sales_summary(S, E),
         "sales_summary_filtered": o.sales_summary(S, E, **FILTERS),
@@ -265,5 +264,5 @@ def oracle_sql() -> dict[str, str]:
         "locations": o.locations(BL),
         "regional_distributors": o.regional_distributors(BL),
     }
-    out.update(operator_sql(S, E, DS, DE, FILTERS))
+    out.update(o.operator_sql(S, E, DS, DE, FILTERS))
     return out

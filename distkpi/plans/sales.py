@@ -80,13 +80,14 @@ def forecast_accuracy_yearly(t, start, end, classification=None, sku=None,
     percent), 0 when either side is 0.
     """
     s = _sales(t, start, end, classification, sku, branch)
-    qty = s.groupBy("item_code").agg(F.sum("sold_qty").alias("qty"))
+    qty = s.groupBy("classification", "item_code").agg(F.sum("sold_qty").alias("qty"))
     price = price_fixed(t.price_list, end)
-    amount = (qty.join(price, "item_code", "left")
+    # Valued per class (no sales: no row, so an empty budget stays NULL).
+    amount = (qty.join(price, "item_code", "left").groupBy("classification")
               .agg(F.sum(F.col("qty") * F.coalesce(F.col("price"), F.lit(0))).alias("amount")))
     bud = _targets(date_range(t.budget, "target_date", start, end), classification, sku)
     target = bud.agg(F.sum("value").alias("target_value"))
-    r = actual_vs_target(amount, target, [])
+    r = actual_vs_target(amount.select("amount"), target, [])
     return r.select(F.col("amount").cast("double").alias("amount"),
                     F.col("target_value").cast("double").alias("target_value"),
                     attainment(F.col("amount"), F.col("target_value"), zero="zero", scale=1,

@@ -1,6 +1,5 @@
-"""Independent SQL statements (DuckDB dialect) for every registered query.
+"""DuckDB statements of every registered query (the correctness oracle).
 
-They keep the original relational form of the reports (lateral top-1 price
-pick, CASE pivots, scalar subqueries, cross joins with one-row relations), so
-the comparison checks the DataFrame rewrites rather than copying them.
+Written from the report semantics, independently of the DataFrame plans; see
+``kpi_oracle.sql``.
 """
