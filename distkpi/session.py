@@ -19,6 +19,27 @@ DEFAULT_CONF = {
 }
 
 
+# Suggested settings for large clusters (100 TB class). Not applied by default:
+# the cluster's own configuration wins; pass ``extra=SCALE_CONF`` to use them.
+SCALE_CONF = {
+    # Enough shuffle partitions for the widest stage; AQE coalesces the rest
+    # to the advisory size, so small reports do not pay for them.
+    "spark.sql.shuffle.partitions": "4000",
+    "spark.sql.adaptive.advisoryPartitionSizeInBytes": "256m",
+    "spark.sql.adaptive.coalescePartitions.parallelismFirst": "false",
+    # Split a partition that holds a hot key (a third of the rows) at run time.
+    "spark.sql.adaptive.skewJoin.skewedPartitionFactor": "4",
+    "spark.sql.adaptive.skewJoin.skewedPartitionThresholdInBytes": "512m",
+    # Dimensions up to this size are broadcast; larger ones are shuffled.
+    "spark.sql.autoBroadcastJoinThreshold": "64m",
+    "spark.sql.adaptive.autoBroadcastJoinThreshold": "64m",
+    # Scan splits sized for executor memory.
+    "spark.sql.files.maxPartitionBytes": "256m",
+    # Runtime filters from the dimension side into fact scans.
+    "spark.sql.optimizer.runtime.bloomFilter.enabled": "true",
+}
+
+
 def get_session(master: str | None = None, shuffle_partitions: int | None = None,
                 app_name: str = "distkpi", extra: dict | None = None) -> SparkSession:
     """Build (or reuse) a session with the defaults above."""

@@ -26,3 +26,22 @@ def test_query_matches_oracle(spark, con, name):
     assert res["types_match"], res
     assert res["spark_rows"] == res["oracle_rows"], res
     assert res["values_match"], res
+
+
+SMALL = "/root/testdata/sf0.001"
+
+
+@pytest.fixture(scope="module")
+def small_con():
+    return duck(SMALL)
+
+
+@pytest.mark.parametrize("name", ["cover_days", "inventory_days", "service_measure",
+                                  "above_below_threshold", "forecast_accuracy_category_yearly",
+                                  "distributor_vs_company_target", "purchase_frequency"])
+def test_query_matches_oracle_on_sparse_data(spark, small_con, name):
+    # sf0.001: 10 suppliers, one of the 14 whitelisted branches, sparse classes.
+    res = compare(QUERIES[name](spark, SMALL), small_con, ORACLE[name])
+    assert res["columns_match"] and res["types_match"], res
+    assert res["spark_rows"] == res["oracle_rows"] and res["values_match"], res
+
