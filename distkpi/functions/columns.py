@@ -10,8 +10,7 @@ from operator import add
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-# Fixed values of the reports: cover-day thresholds per item class.
-THRESHOLD_DAYS = {"A": 30, "B": 20, "C": 15}
+from distkpi.constants import SNAP_EPSILON, THRESHOLD_DAYS
 
 
 def as_date(value) -> dt.date:
@@ -60,7 +59,7 @@ def month_label(d: Column) -> Column:
     return F.date_format(d, "MMMM yyyy")
 
 
-def snap_small(value: Column, eps: float = 0.001) -> Column:
+def snap_small(value: Column, eps: float = SNAP_EPSILON) -> Column:
     """NULL to 0, and any value with magnitude under ``eps`` to 0."""
     v = F.coalesce(value, F.lit(0))
     return F.when(F.abs(v) < eps, F.lit(0)).otherwise(v).cast("double")

@@ -11,13 +11,8 @@ from pyspark.sql import types as T
 
 from distkpi.functions.columns import as_date
 
-# Fixed values of the reports: sellable business lines and sub-inventories,
-# and the rows the documented sales metrics exclude.
-BUSINESS_LINES = ("P07", "P08", "P12")
-SUBINVENTORY_PREFIX = "80"
-SUBINVENTORY_EXTRA = ("8206", "8210")
-EXCLUDED_FLAG_CHANNEL = ("Primary Sales", "Distributor - A")
-SALES_REASON = "Sales"
+from distkpi.constants import (BUSINESS_LINES, EXCLUDED_FLAG_CHANNEL, SALES_REASON,
+                               SUBINVENTORY_EXTRA, SUBINVENTORY_PREFIX)
 
 
 def as_values(values) -> list[str] | None:

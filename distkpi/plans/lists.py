@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from distkpi.constants import OTHERS
+
 DEFAULT_PAGE_SIZE = 1000
 
 
@@ -15,7 +17,7 @@ def item_filter_list(t) -> DataFrame:
     j = t.target_items.join(items, F.col("matnr") == F.col("material_code"), "left")
     return j.select(F.col("material_code").alias("item_code"),
                     F.col("matnr_desc").alias("item_description"),
-                    F.coalesce("classif", F.lit("Others")).alias("classification")).distinct()
+                    F.coalesce("classif", F.lit(OTHERS)).alias("classification")).distinct()
 
 
 def branch_list(t) -> DataFrame:

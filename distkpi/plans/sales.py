@@ -12,7 +12,7 @@ from distkpi.operators.filters import (date_range, in_filter, in_month, lookback
 from distkpi.operators.lookup import price_asof, price_fixed
 from distkpi.operators.measures import actual_vs_target, with_total_row
 
-OTHERS = "Others"
+from distkpi.constants import OTHERS, TOTAL
 
 
 def _sales(t, start, end, classification, sku, branch) -> DataFrame:
@@ -169,7 +169,7 @@ def distributor_vs_company_target(t, end, classification=None, sku=None,
 
     comb = comb.withColumn("distributor_vs_company_pct",
                            pct(F.col("distributor_target"), F.col("company_target")))
-    full = with_total_row(comb, "classification", "Total", ["distributor_target", "company_target"],
+    full = with_total_row(comb, "classification", TOTAL, ["distributor_target", "company_target"],
                           {"distributor_vs_company_pct": pct})
     return full.select("classification",
                        F.col("distributor_target").cast("double").alias("distributor_target"),

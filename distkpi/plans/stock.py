@@ -15,20 +15,10 @@ from distkpi.operators.measures import (classified_stock, classified_targets, op
                                         optional_in, pivot_max, stock_value, target_value,
                                         targets_by_mapping, threshold_counts)
 
-# Fixed values of the reports: the branch columns of the item x branch cover
-# report, in output order (code -> column), and the branch whitelist of the
-# service measure (the same 14 codes).
-BRANCH_COLUMNS = {
-    "8006": "bahawalpur", "8018": "dss_korangi", "8019": "faisalabad", "8023": "gujranwala",
-    "8028": "hyderabad", "8029": "islamabad", "8035": "karachi", "8044": "korangi",
-    "8046": "lahore", "8056": "mingora", "8059": "multan", "8070": "peshawar",
-    "8072": "quetta", "8085": "sukkur",
-}
-SERVICE_BRANCHES = list(BRANCH_COLUMNS)
-THRESHOLD_CLASSES = ("A", "B", "C")
-COVER_CEILING = 9999
+from distkpi.constants import BRANCH_COLUMNS, COVER_CEILING, OTHERS, SELL_SUFFIX, UNKNOWN
 
-OTHERS = "Others"
+SERVICE_BRANCHES = list(BRANCH_COLUMNS)
+THRESHOLD_CLASSES = tuple(THRESHOLD_DAYS)
 
 
 def cover_days(t, start, end, classification=None, sku=None, branch=None) -> DataFrame:
@@ -158,7 +148,7 @@ def inventory_days(t, start, end, classification=None, sku=None, branch=None,
                      F.round(F.avg("cover_days"), 1).alias("total"))
     return (wide.orderBy(F.asc_nulls_last("classification"), F.asc_nulls_last("prd"))
             .select(F.coalesce("classification", F.lit(OTHERS)).alias("classification"),
-                    F.coalesce("prd", F.lit("Unknown")).alias("item_desc"),
+                    F.coalesce("prd", F.lit(UNKNOWN)).alias("item_desc"),
                     *branch_columns.values(), "total"))
 
 
@@ -212,7 +202,7 @@ def service_measure(t, start, end, classification=None, sku=None, branch=None,
         F.col("mapping_code").alias("s_mapping"), "inv_val")
     ft = _item_branch_targets(t, end, classification, sku, branch, branches)
     loc = t.locations.select(F.col("inv_sloc").alias("l_sloc"),
-                             F.replace(F.col("inv_sloc_desc"), F.lit(" SELL"), F.lit("")).alias("branch_desc"))
+                             F.replace(F.col("inv_sloc_desc"), F.lit(SELL_SUFFIX), F.lit("")).alias("branch_desc"))
     j = (ft.join(iv, (ft["branch_code"] == iv["s_branch"]) & (ft["classification"] == iv["s_class"])
                  & (ft["mapping_code"] == iv["s_mapping"]), "left")
          .join(loc, F.col("l_sloc") == ft["branch_code"], "left"))

@@ -10,10 +10,7 @@ from distkpi.operators.filters import date_range
 from distkpi.operators.lookup import CLS_CLASS, CLS_CODE, with_class
 from distkpi.operators.measures import optional_in
 from distkpi.operators.snapshot import latest_snapshot
-from distkpi.sources.schemas import QTY_BUCKETS, VALUATION_KEYS, VALUE_BUCKETS
-
-WIP_KEYS = ["storage_loc", "storage_loc_desc", "plant", "plnt_desc", "material_type_description",
-            "type_description", "order_number", "item_qty", "good_received_qty"]
+from distkpi.constants import NOT_AVAILABLE, QTY_BUCKETS, VALUATION_KEYS, VALUE_BUCKETS, WIP_KEYS
 
 
 def dispatch_vs_order(t, start, end, classification=None, sku=None) -> DataFrame:
@@ -57,7 +54,7 @@ def stock_valuation(t, start, end) -> DataFrame:
     material / plant / storage location, with row-wise totals (a NULL bucket
     drops its row from the total; in-transit quantity is not in total_qty)."""
     v = latest_snapshot(t.valuation, "executiondate", start, end)
-    v = v.withColumn("storagelocationname", F.coalesce("storagelocationname", F.lit("NA")))
+    v = v.withColumn("storagelocationname", F.coalesce("storagelocationname", F.lit(NOT_AVAILABLE)))
     value_cols = [c for c, _ in VALUE_BUCKETS]
     qty_total_cols = [c for c, _, counted in QTY_BUCKETS if counted]
     aggs = [F.sum(c).alias(out) for c, out in VALUE_BUCKETS]

@@ -9,6 +9,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
+from distkpi.constants import QTY_BUCKETS, VALUATION_KEYS, VALUE_BUCKETS  # noqa: F401
+
 S, I, L = T.StringType(), T.IntegerType(), T.LongType()
 D, TS = T.DateType(), T.TimestampNTZType()
 Q = T.DecimalType(12, 2)      # quantities and unit prices
@@ -19,34 +21,6 @@ def _schema(*fields) -> T.StructType:
     return T.StructType([T.StructField(n, t, True) for n, t in fields])
 
 
-# Value buckets of the valuation snapshot, in output order: (input, output).
-VALUE_BUCKETS = [
-    ("valuatedgrblocked", "gr_blocked_val"),
-    ("valueunrestricted", "unrestricted_val"),
-    ("valuequalityinspection", "quality_inspection_val"),
-    ("valuereturns", "returns_val"),
-    ("valuestktransferstloc", "storage_location_val"),
-    ("valuestocktransferplant", "stock_transfer_plant_val"),
-    ("valuestockintransit", "stock_in_transit_val"),
-    ("valueblocked", "blocked_val"),
-    ("valuerestricted", "restricted_val"),
-    ("valuetiedempties", "tied_empties_val"),
-]
-# Quantity buckets; the third element says whether it counts in total_qty.
-QTY_BUCKETS = [
-    ("unrestricted", "unrestricted_qty", True),
-    ("qualityinspection", "qualityinspection_qty", True),
-    ("returns", "return_qty", True),
-    ("stocktransferstoragelocation", "stocktransferstoragelocation_qty", True),
-    ("stocktransferplant", "stocktransferplant_qty", True),
-    ("stockintransit", "stockintransit_qty", False),
-    ("blocked", "blocked_qty", True),
-    ("restricted", "restricted_qty", True),
-    ("tiedempties", "tiedempties_qty", True),
-]
-VALUATION_KEYS = ["materialname", "producttype", "plant", "storagelocation",
-                  "storagelocationname", "plantname"]
-
 SCHEMAS: dict[str, T.StructType] = {
     "sales": _schema(("item_code", S), ("classification", S), ("branch_id", I),
                      ("billing_date", D), ("sold_qty", Q), ("amount", V)),

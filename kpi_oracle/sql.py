@@ -10,16 +10,20 @@ scalar subqueries, pivots and conditional counts use ``FILTER`` clauses.
 
 from __future__ import annotations
 
-from distkpi.sources.schemas import QTY_BUCKETS, VALUE_BUCKETS
+from distkpi.constants import BRANCH_COLUMNS as BRANCHES
+from distkpi.constants import (BUSINESS_LINES, COVER_CEILING, EXCLUDED_FLAG_CHANNEL,
+                               NOT_AVAILABLE, OTHERS, QTY_BUCKETS, SALES_REASON, SELL_SUFFIX,
+                               SNAP_EPSILON, SUBINVENTORY_EXTRA, SUBINVENTORY_PREFIX,
+                               THRESHOLD_DAYS, TOTAL, UNKNOWN, VALUE_BUCKETS)
 from distkpi.sources.testdata import derivation_sql
 
-# Fixed values of the reports (same as the plans' defaults).
-LINES = "('P07', 'P08', 'P12')"
-LIMIT_DAYS = "CASE {c} WHEN 'A' THEN 30 WHEN 'B' THEN 20 WHEN 'C' THEN 15 END"
-BRANCH_COLUMNS = [(8006, "bahawalpur"), (8018, "dss_korangi"), (8019, "faisalabad"),
-                  (8023, "gujranwala"), (8028, "hyderabad"), (8029, "islamabad"),
-                  (8035, "karachi"), (8044, "korangi"), (8046, "lahore"), (8056, "mingora"),
-                  (8059, "multan"), (8070, "peshawar"), (8072, "quetta"), (8085, "sukkur")]
+# The fixed values (distkpi.constants) rendered as SQL.
+LINES = "(" + ", ".join(f"'{b}'" for b in BUSINESS_LINES) + ")"
+LIMIT_DAYS = ("CASE {c} " + " ".join(f"WHEN '{k}' THEN {v}" for k, v in THRESHOLD_DAYS.items())
+              + " END")
+BRANCH_COLUMNS = [(int(code), name) for code, name in BRANCHES.items()]
+OTH = f"'{OTHERS}'"
+EXTRA = ", ".join(f"'{c}'" for c in SUBINVENTORY_EXTRA)
 
 
 # Building blocks ----------------------------------------------------------------
@@ -68,13 +72,13 @@ def long_code(col: str) -> str:
 
 
 def sellable(sub: str) -> str:
-    return f"({sub} LIKE '80%' OR {sub} IN ('8206', '8210'))"
+    return f"({sub} LIKE '{SUBINVENTORY_PREFIX}%' OR {sub} IN ({EXTRA}))"
 
 
 def cover_expr(inv: str, trg: str, days: str, snap: bool = True) -> str:
     v = f"coalesce({inv}, 0)"
     if snap:
-        v = f"(CASE WHEN abs({v}) < 0.001 THEN 0 ELSE {v} END)"
+        v = f"(CASE WHEN abs({v}) < {SNAP_EPSILON} THEN 0 ELSE {v} END)"
     return f"round(CAST({v} AS DOUBLE) * {days} / nullif(CAST({trg} AS DOUBLE), 0), 1)"
 
 
@@ -142,7 +146,7 @@ def branch_targets_cte(e, classification, sku, branch) -> str:
     """Month target per (branch, class of the item code, master code)."""
     code = master_code("it.mapping_code", "it.matnr")
     return f"""branch_targets AS (
-  SELECT tg.loc_code AS branch, coalesce(cv.classification, 'Others') AS cls, {code} AS code,
+  SELECT tg.loc_code AS branch, coalesce(cv.classification, {OTH}) AS cls, {code} AS code,
          sum(tg.target_value) AS trg
   FROM targets tg
   LEFT JOIN items_class cv ON cv.mapping_code = tg.item_code
@@ -161,12 +165,12 @@ def cover_days(s, e, classification=None, sku=None, branch=None) -> str:
 WITH {closing_stock_cte(s, e, classification, sku, branch)},
 {month_targets_cte(e, classification, sku, branch)},
 stock_side AS (
-  SELECT coalesce(cls, 'Others') AS label, sum(at_price) AS inv, sum(at_cost) AS inv_cost,
+  SELECT coalesce(cls, {OTH}) AS label, sum(at_price) AS inv, sum(at_cost) AS inv_cost,
          sum(qty) AS units
   FROM on_hand GROUP BY cls),
 target_side AS (
-  SELECT coalesce(cls, 'Others') AS label, sum(target_value) AS trg
-  FROM month_targets GROUP BY coalesce(cls, 'Others'))
+  SELECT coalesce(cls, {OTH}) AS label, sum(target_value) AS trg
+  FROM month_targets GROUP BY coalesce(cls, {OTH}))
 SELECT tg.label AS classification,
        CAST(st.inv AS DOUBLE) AS inv_val, CAST(st.inv_cost AS DOUBLE) AS inv_val_efp,
        CAST(tg.trg AS DOUBLE) AS trg_value, CAST(st.units AS DOUBLE) AS quantity,
@@ -217,7 +221,7 @@ def inventory_days(s, e, classification=None, sku=None, branch=None) -> str:
                               for b, name in BRANCH_COLUMNS)
     return derive(["stock", "items", "items_class", "locations", "targets"], f"""
 WITH stock_side AS (
-  SELECT lc.inv_sloc AS branch, coalesce(cv.classification, 'Others') AS cls, {code} AS code,
+  SELECT lc.inv_sloc AS branch, coalesce(cv.classification, {OTH}) AS cls, {code} AS code,
          max(it.matnr_desc) AS label, sum(st.qty * st.trade_price) AS inv
   {opening_stock_from(s, e)}
     {text_in('cv.classification', classification)} {text_in('cv.mapping_code', sku)}
@@ -228,7 +232,7 @@ item_branch AS (
   SELECT sd.cls, sd.label, sd.branch, {cover_expr('sd.inv', 'bt.trg', n)} AS cover
   FROM stock_side sd
   LEFT JOIN branch_targets bt ON bt.branch = sd.branch AND bt.cls = sd.cls AND bt.code = sd.code)
-SELECT coalesce(cls, 'Others') AS classification, coalesce(label, 'Unknown') AS item_desc,
+SELECT coalesce(cls, {OTH}) AS classification, coalesce(label, '{UNKNOWN}') AS item_desc,
        {pivot},
        round(avg(cover), 1) AS total
 FROM item_branch
@@ -275,7 +279,7 @@ def service_measure(s, e, classification=None, sku=None, branch=None) -> str:
     share = ("round(CAST(n_above AS DOUBLE) / nullif(CAST(n_all AS DOUBLE), 0) * 100, 2)")
     return derive(["stock", "items", "items_class", "locations", "targets"], f"""
 WITH stock_side AS (
-  SELECT lc.inv_sloc AS branch, coalesce(cv.classification, 'Others') AS cls, {code} AS code,
+  SELECT lc.inv_sloc AS branch, coalesce(cv.classification, {OTH}) AS cls, {code} AS code,
          sum(st.qty * st.trade_price) AS inv
   {opening_stock_from(s, e)}
     {text_in('cv.classification', classification)} {text_in('cv.mapping_code', sku)}
@@ -283,7 +287,7 @@ WITH stock_side AS (
   GROUP BY lc.inv_sloc, cv.classification, lc.inv_sloc_desc, {code}),
 {branch_targets_cte(e, classification, sku, branch)},
 per_sku AS (
-  SELECT bt.branch, replace(lc.inv_sloc_desc, ' SELL', '') AS branch_name, bt.cls, bt.code,
+  SELECT bt.branch, replace(lc.inv_sloc_desc, '{SELL_SUFFIX}', '') AS branch_name, bt.cls, bt.code,
          coalesce({cover_expr('sd.inv', 'bt.trg', n)}, 0) AS cover
   FROM branch_targets bt
   LEFT JOIN stock_side sd ON sd.branch = bt.branch AND sd.cls = bt.cls AND sd.code = bt.code
@@ -291,7 +295,7 @@ per_sku AS (
 shares AS (
   SELECT branch, branch_name, cls, count(DISTINCT code) AS n_all,
          count(DISTINCT code) FILTER (
-           WHERE cover > {LIMIT_DAYS.format(c='cls')} AND cover < 9999) AS n_above
+           WHERE cover > {LIMIT_DAYS.format(c='cls')} AND cover < {COVER_CEILING}) AS n_above
   FROM per_sku GROUP BY branch, branch_name, cls)
 SELECT branch_name AS branch,
        max({share}) FILTER (WHERE cls = 'A') AS sku_a_pct,
@@ -379,7 +383,7 @@ def forecast_accuracy_category_monthly(e, classification=None, sku=None, branch=
     lo, hi = f"{month_of(e)} - INTERVAL 2 MONTH", f"{day(e)} + INTERVAL 1 DAY"
     return derive(["sales", "targets"], f"""
 WITH sold AS (
-  SELECT coalesce(classification, 'Others') AS cls, date_trunc('month', billing_date) AS m,
+  SELECT coalesce(classification, {OTH}) AS cls, date_trunc('month', billing_date) AS m,
          sum(amount) AS amount
   FROM sales
   WHERE billing_date >= {lo} AND billing_date < {hi}
@@ -387,7 +391,7 @@ WITH sold AS (
     {text_in('branch_id', branch)}
   GROUP BY 1, 2),
 planned AS (
-  SELECT coalesce(classification, 'Others') AS cls, date_trunc('month', target_date) AS m,
+  SELECT coalesce(classification, {OTH}) AS cls, date_trunc('month', target_date) AS m,
          sum(target_value) AS target_value
   FROM targets
   WHERE target_date >= {lo} AND target_date < {hi}
@@ -412,7 +416,7 @@ def forecast_accuracy_category_yearly(e, classification=None, sku=None, branch=N
     lo, hi = f"{month_of(e)} - INTERVAL 2 MONTH", f"{month_of(e)} + INTERVAL 1 MONTH"
     return derive(["sales", "price_list", "budget"], f"""
 WITH valued AS (
-  SELECT coalesce(a.classification, 'Others') AS cls, date_trunc('month', a.billing_date) AS m,
+  SELECT coalesce(a.classification, {OTH}) AS cls, date_trunc('month', a.billing_date) AS m,
          sum(a.sold_qty * coalesce(pick.price, 0)) AS amount
   FROM sales a
   {price_pick('a.item_code', 'a.billing_date')}
@@ -421,7 +425,7 @@ WITH valued AS (
     {text_in('a.branch_id', branch)}
   GROUP BY 1, 2),
 budgeted AS (
-  SELECT coalesce(classification, 'Others') AS cls, date_trunc('month', target_date) AS m,
+  SELECT coalesce(classification, {OTH}) AS cls, date_trunc('month', target_date) AS m,
          sum(value) AS target_value
   FROM budget
   WHERE target_date >= {lo} AND target_date < {hi}
@@ -442,7 +446,7 @@ ORDER BY m DESC, cls""")
 def distributor_vs_company_target(e, classification=None, sku=None, branch=None) -> str:
     return derive(["targets", "budget"], f"""
 WITH dist AS (
-  SELECT coalesce(classification, 'Others') AS cls, sum(target_value) AS v
+  SELECT coalesce(classification, {OTH}) AS cls, sum(target_value) AS v
   FROM targets
   WHERE date_trunc('month', target_date) = {month_of(e)}
     AND loc_code IS NOT NULL AND item_code IS NOT NULL
@@ -450,7 +454,7 @@ WITH dist AS (
     {text_in('loc_code', branch)}
   GROUP BY 1),
 comp AS (
-  SELECT coalesce(classification, 'Others') AS cls, sum(value) AS v
+  SELECT coalesce(classification, {OTH}) AS cls, sum(value) AS v
   FROM budget
   WHERE date_trunc('month', target_date) = {month_of(e)} AND item_code IS NOT NULL
     {text_in('classification', classification)} {text_in('item_code', sku)}
@@ -461,7 +465,7 @@ lined AS (
 with_total AS (
   SELECT cls, dv, cv FROM lined
   UNION ALL
-  SELECT 'Total', sum(dv), sum(cv) FROM lined)
+  SELECT '{TOTAL}', sum(dv), sum(cv) FROM lined)
 SELECT cls AS classification, CAST(dv AS DOUBLE) AS distributor_target,
        CAST(cv AS DOUBLE) AS company_target,
        CASE WHEN cv <> 0 THEN round(CAST(dv AS DOUBLE) / CAST(cv AS DOUBLE) * 100, 2) ELSE 0 END
@@ -510,21 +514,21 @@ def stock_valuation(s, e) -> str:
     body = ",\n       ".join(sums)
     return derive(["valuation"], f"""
 SELECT v.materialname, v.producttype, v.plant, v.storagelocation,
-       coalesce(v.storagelocationname, 'NA') AS storagelocationname, v.plantname,
+       coalesce(v.storagelocationname, '{NOT_AVAILABLE}') AS storagelocationname, v.plantname,
        {body}
 FROM valuation v
 WHERE v.executiondate = (SELECT max(executiondate) FROM valuation
                          WHERE executiondate BETWEEN {day(s)} AND {day(e)})
 GROUP BY v.materialname, v.producttype, v.plant, v.storagelocation,
-         coalesce(v.storagelocationname, 'NA'), v.plantname""")
+         coalesce(v.storagelocationname, '{NOT_AVAILABLE}'), v.plantname""")
 
 
 # Lists ------------------------------------------------------------------------------
 
 def item_filter_list() -> str:
-    return derive(["target_items", "items"], """
+    return derive(["target_items", "items"], f"""
 SELECT DISTINCT ti.material_code AS item_code, it.matnr_desc AS item_description,
-       coalesce(it.classif, 'Others') AS classification
+       coalesce(it.classif, {OTH}) AS classification
 FROM target_items ti LEFT JOIN items it ON it.matnr = ti.material_code""")
 
 
@@ -546,8 +550,8 @@ def table_page(table: str, order_by: list[str], limit: int, offset: int) -> str:
 
 def metric_rows(s, e) -> str:
     return (f"billing_date BETWEEN {day(s)} AND {day(e)} AND business_line_id IN {LINES} "
-            f"AND reason_code = 'Sales' "
-            f"AND NOT (data_flag = 'Primary Sales' AND channel = 'Distributor - A')")
+            f"AND reason_code = '{SALES_REASON}' "
+            f"AND NOT (data_flag = '{EXCLUDED_FLAG_CHANNEL[0]}' AND channel = '{EXCLUDED_FLAG_CHANNEL[1]}')")
 
 
 def gross_summary(s, e) -> str:
@@ -669,7 +673,7 @@ SELECT cls AS classification, CAST(sum(at_price) AS DOUBLE) AS inv_val,
 FROM on_hand GROUP BY cls"""),
         "target_value_by_class": derive(["targets", "items_class"], f"""
 WITH {month_targets_cte(e, None, None, None)}
-SELECT coalesce(cls, 'Others') AS classification, CAST(sum(target_value) AS DOUBLE) AS trg_value
+SELECT coalesce(cls, {OTH}) AS classification, CAST(sum(target_value) AS DOUBLE) AS trg_value
 FROM month_targets GROUP BY 1"""),
         "price_fixed_month": derive(["price_list"], f"""
 SELECT a.item_code, CAST(pick.price AS DOUBLE) AS price
