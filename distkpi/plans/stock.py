@@ -104,6 +104,9 @@ def _item_branch_inventory(t, start, end, classification, sku, branch,
             F.col(ITM_MAPPING).alias("mapping_code")]
     if with_desc:
         keys.append(F.col(LOC_DESC).alias("branch_sloc_desc"))
+    # max() over a text label runs as a sort-based aggregate (O(1) state per
+    # group, spills); collecting the labels instead would be hash-based but its
+    # state grows with the number of distinct labels of a hot group.
     iv = rows.groupBy(*keys).agg(F.max(ITM_DESC).alias("prd"),
                                  F.sum(F.col("qty") * F.col("trade_price")).alias("inv_val"))
     return iv.select(F.coalesce("raw_class", F.lit(OTHERS)).alias("classification"), "prd",
@@ -121,8 +124,8 @@ def _item_branch_targets(t, end, classification, sku, branch,
         rows = in_filter(rows, "loc_code", branches)
     ft = rows.groupBy(F.col("loc_code").alias("branch_code"), F.col(CLS_CLASS).alias("raw_class"),
                       F.col(ITM_MAPPING).alias("mapping_code")).agg(
-        F.max(ITM_DESC).alias("prd"), F.sum("target_value").alias("trg_value"))
-    return ft.select(F.coalesce("raw_class", F.lit(OTHERS)).alias("classification"), "prd",
+        F.sum("target_value").alias("trg_value"))
+    return ft.select(F.coalesce("raw_class", F.lit(OTHERS)).alias("classification"),
                      "branch_code", "trg_value", "mapping_code")
 
 
