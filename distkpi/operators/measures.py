@@ -9,7 +9,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from distkpi.functions.columns import normalize_item_code, pad_item_code
-from distkpi.operators.filters import (BUSINESS_LINES, in_month, in_values, as_values,
+from distkpi.constants import BUSINESS_LINES
+from distkpi.operators.filters import (in_month, in_values, as_values,
                                        sellable_stock)
 from distkpi.operators.lookup import (CLS_CLASS, CLS_CODE, ITM_MAPPING, LOC_CODE,
                                       with_class, with_item, with_location)
