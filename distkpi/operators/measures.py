@@ -75,7 +75,7 @@ def target_value(rows: DataFrame, *by: Column | str) -> DataFrame:
     return rows.groupBy(*by).agg(F.sum("target_value").alias("trg_value"))
 
 
-def opening_stock_by_mapping(t, start, end, branch_col: str = "subinventory_code") -> DataFrame:
+def opening_stock_by_mapping(t, start, end) -> DataFrame:
     """Opening-date sellable stock resolved to the item master's mapping code.
 
     Rows carry ``itm_mapping_code`` (resolved), ``itm_desc``, the class of the
