@@ -163,9 +163,11 @@ def above_below_threshold(t, start, end, sku=None, branch=None,
     without target has NULL cover and is in neither count."""
     thresholds = thresholds or THRESHOLD_DAYS
     days = days_in_month(end)
+    # Partitioned by the join key first: the distinct and both joins on
+    # mapping_code then reuse one partitioning (one shuffle of the class view).
     base = (t.items_class.where(F.col("classification").isin(list(thresholds)))
             .select("mapping_code", F.coalesce("classification", F.lit(OTHERS)).alias("classification"))
-            .distinct())
+            .repartition("mapping_code").distinct())
     srows = opening_stock_by_mapping(t, start, end)
     srows = optional_in(srows, CLS_CODE, sku)
     srows = in_filter(srows, "subinventory_code", branch)
