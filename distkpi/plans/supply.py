@@ -17,6 +17,11 @@ def dispatch_vs_order(t, start, end, classification=None, sku=None) -> DataFrame
     """Ordered vs delivered quantity per (material, channel) with the fill
     percent (NULL when nothing was ordered; above 100 on over-delivery)."""
     d = date_range(t.dispatch, "actual_gm_date", start, end)
+    # Summed per material code before the class lookup: the join input is one
+    # row per (code, material, channel), however many lines a hot item has.
+    # A duplicated code in the class view multiplies the sums as it would the rows.
+    d = d.groupBy("material_no", "material_name", "channel_type").agg(
+        F.sum("so_quantity").alias("so_quantity"), F.sum("deliverd_qty").alias("deliverd_qty"))
     d = with_class(d, t.items_class, F.col("material_no"))
     d = optional_in(d, CLS_CLASS, classification)
     d = optional_in(d, CLS_CODE, sku)
@@ -38,6 +43,9 @@ def wip(t, start, end) -> DataFrame:
     it multiplies the sums, as in SQL.
     """
     w = latest_snapshot(t.wip, "record_created_date", start, end, by_day=True)
+    # Summed per item before the class lookup (bounded join input, as above).
+    w = w.groupBy("item_code", *WIP_KEYS).agg(F.sum("wip_value").alias("wip_value"),
+                                              F.sum("wip").alias("wip"))
     w = with_class(w, t.items_class, F.col("item_code"))
     r = w.groupBy(*WIP_KEYS).agg(F.sum("wip_value").alias("wip_value"),
                                  F.sum("wip").alias("quantity"))
