@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from distkpi.functions.columns import resolve_mapping_code
 from distkpi.operators.filters import month_bounds
+from distkpi.sources.tables import Tables
 
 # Column names the lookups add (prefixed so they never clash with fact columns).
 CLS_CODE, CLS_CLASS = "cls_mapping_code", "cls_classification"
@@ -59,7 +60,7 @@ def assert_unique(df: DataFrame, *keys: str) -> DataFrame:
     return df.groupBy(*keys).count().where(F.col("count") > 1)
 
 
-def check_dimensions(t) -> DataFrame:
+def check_dimensions(t: Tables) -> DataFrame:
     """Duplicated join keys of the dimension tables, as ``(table, key, count)``.
 
     Empty when every dimension is unique on the key the reports join on.

@@ -15,6 +15,7 @@ from distkpi.operators.filters import (in_month, in_values, as_values,
 from distkpi.operators.lookup import (CLS_CLASS, CLS_CODE, ITM_MAPPING, LOC_CODE,
                                       with_class, with_item, with_location)
 from distkpi.operators.snapshot import latest_snapshot
+from distkpi.sources.tables import Tables
 
 
 def optional_in(df: DataFrame, column: str, values) -> DataFrame:
@@ -34,7 +35,7 @@ def sellable_snapshot(stock: DataFrame, snapshot_col: str, start, end,
     return sellable_stock(snap, buslines)
 
 
-def classified_stock(t, start, end, classification=None, sku=None, branch=None,
+def classified_stock(t: Tables, start, end, classification=None, sku=None, branch=None,
                      nonzero: bool = True) -> DataFrame:
     """Closing-date stock classified through the normalised item code.
 
@@ -61,7 +62,7 @@ def stock_value(rows: DataFrame, *by: Column | str) -> DataFrame:
         F.sum("qty").alias("quantity"))
 
 
-def classified_targets(t, end, classification=None, sku=None, branch=None) -> DataFrame:
+def classified_targets(t: Tables, end, classification=None, sku=None, branch=None) -> DataFrame:
     """Target rows of the month of ``end`` joined to the class view on item code."""
     tg = in_month(t.targets, "target_date", end)
     tg = with_class(tg, t.items_class, F.col("item_code"))
@@ -75,7 +76,7 @@ def target_value(rows: DataFrame, *by: Column | str) -> DataFrame:
     return rows.groupBy(*by).agg(F.sum("target_value").alias("trg_value"))
 
 
-def opening_stock_by_mapping(t, start, end) -> DataFrame:
+def opening_stock_by_mapping(t: Tables, start, end) -> DataFrame:
     """Opening-date sellable stock resolved to the item master's mapping code.
 
     Rows carry ``itm_mapping_code`` (resolved), ``itm_desc``, the class of the
@@ -87,7 +88,7 @@ def opening_stock_by_mapping(t, start, end) -> DataFrame:
     return with_location(s, t.locations, F.col("subinventory_code"))
 
 
-def targets_by_mapping(t, end, class_on: str = "item") -> DataFrame:
+def targets_by_mapping(t: Tables, end, class_on: str = "item") -> DataFrame:
     """Month-of-``end`` targets resolved to the item master's mapping code.
 
     The targets carry the short item code; the master is keyed by the padded

@@ -16,6 +16,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from distkpi.operators.filters import common_sales_filter
+from distkpi.sources.tables import Tables
 
 PURCHASE_BUCKETS = {4: "outlets_4_plus", 3: "outlets_3", 2: "outlets_2", 1: "outlets_1"}
 
@@ -24,24 +25,24 @@ def _distinct_count(c: str, approx: bool) -> Column:
     return F.approx_count_distinct(c) if approx else F.count_distinct(F.col(c))
 
 
-def gross_summary(t, start, end, approx: bool = False) -> DataFrame:
+def gross_summary(t: Tables, start, end, approx: bool = False) -> DataFrame:
     h = common_sales_filter(t.sales_header, start, end)
     return h.groupBy("data_flag").agg(
         F.sum("gross_amount").cast("double").alias("gross_amount"),
         _distinct_count("customer_code", approx).alias("customer_count"))
 
 
-def revenue_total(t, start, end) -> DataFrame:
+def revenue_total(t: Tables, start, end) -> DataFrame:
     h = common_sales_filter(t.sales_header, start, end)
     return h.groupBy("data_flag").agg(F.sum("gross_amount").cast("double").alias("gross_amount"))
 
 
-def customer_universe(t, start, end, approx: bool = False) -> DataFrame:
+def customer_universe(t: Tables, start, end, approx: bool = False) -> DataFrame:
     h = common_sales_filter(t.sales_header, start, end)
     return h.groupBy("data_flag").agg(_distinct_count("customer_code", approx).alias("customer_count"))
 
 
-def purchases_per_outlet_month(t, start, end) -> DataFrame:
+def purchases_per_outlet_month(t: Tables, start, end) -> DataFrame:
     """Distinct documents per (flag, outlet, month)."""
     h = common_sales_filter(t.sales_header, start, end)
     return h.groupBy("data_flag", "customer_code",
@@ -54,25 +55,25 @@ def _bucket_cond(n: int) -> Column:
     return p >= 4 if n >= 4 else p == n
 
 
-def purchase_frequency(t, start, end) -> DataFrame:
+def purchase_frequency(t: Tables, start, end) -> DataFrame:
     """Per flag, (outlet, month) pairs with 4+, 3, 2 and 1 purchases."""
     per = purchases_per_outlet_month(t, start, end)
     return per.groupBy("data_flag").agg(
         *[F.count(F.when(_bucket_cond(n), 1)).alias(name) for n, name in PURCHASE_BUCKETS.items()])
 
 
-def outlets_with_n_purchases(t, start, end, n: int) -> DataFrame:
+def outlets_with_n_purchases(t: Tables, start, end, n: int) -> DataFrame:
     """Per flag, (outlet, month) pairs with exactly ``n`` purchases (``n >= 4``: at least 4)."""
     per = purchases_per_outlet_month(t, start, end).where(_bucket_cond(n))
     return per.groupBy("data_flag").agg(F.count(F.lit(1)).alias("outlet_count"))
 
 
-def productive_outlets(t, start, end, approx: bool = False) -> DataFrame:
+def productive_outlets(t: Tables, start, end, approx: bool = False) -> DataFrame:
     h = common_sales_filter(t.sales_header, start, end)
     return h.groupBy("data_flag").agg(_distinct_count("customer_code", approx).alias("outlet_count"))
 
 
-def top_sku_class_a(t, start, end, classification: str = "A") -> DataFrame:
+def top_sku_class_a(t: Tables, start, end, classification: str = "A") -> DataFrame:
     """Documents per (month, item, brand, category) for class-A items,
     busiest first within a month."""
     h = common_sales_filter(t.sales_header, start, end).where(F.col("classification") == classification)
@@ -81,24 +82,24 @@ def top_sku_class_a(t, start, end, classification: str = "A") -> DataFrame:
     return r.orderBy(F.desc("month_"), F.desc("doc_cnt"), F.asc_nulls_last("item_description"))
 
 
-def business_lines(t) -> DataFrame:
+def business_lines(t: Tables) -> DataFrame:
     return t.sales_header.select("business_line_id", "business_line_desc").distinct()
 
 
-def _for_line(t, business_line: str, *cols: str) -> DataFrame:
+def _for_line(t: Tables, business_line: str, *cols: str) -> DataFrame:
     if not business_line:
         raise ValueError("a business line is required")
     return (t.sales_header.where(F.col("business_line_id") == business_line)
             .select(*cols).distinct())
 
 
-def products(t, business_line: str) -> DataFrame:
+def products(t: Tables, business_line: str) -> DataFrame:
     return _for_line(t, business_line, "item_code", "item_description")
 
 
-def locations(t, business_line: str) -> DataFrame:
+def locations(t: Tables, business_line: str) -> DataFrame:
     return _for_line(t, business_line, "branch_id", "branch_desc")
 
 
-def regional_distributors(t, business_line: str) -> DataFrame:
+def regional_distributors(t: Tables, business_line: str) -> DataFrame:
     return _for_line(t, business_line, "distributor_code", "distributor_desc")

@@ -6,11 +6,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from distkpi.constants import OTHERS
+from distkpi.sources.tables import Tables
 
 DEFAULT_PAGE_SIZE = 1000
 
 
-def item_filter_list(t) -> DataFrame:
+def item_filter_list(t: Tables) -> DataFrame:
     """Distinct target items with their description and class (``Others`` when
     the item master has none)."""
     items = t.items.select("matnr", "matnr_desc", "classif")
@@ -20,12 +21,12 @@ def item_filter_list(t) -> DataFrame:
                     F.coalesce("classif", F.lit(OTHERS)).alias("classification")).distinct()
 
 
-def branch_list(t) -> DataFrame:
+def branch_list(t: Tables) -> DataFrame:
     """All branches."""
     return t.branches
 
 
-def sku_count_by_class(t) -> DataFrame:
+def sku_count_by_class(t: Tables) -> DataFrame:
     """Number of product rows per class, the NULL class included."""
     return t.product_map.groupBy("classification").agg(F.count(F.lit(1)).alias("count"))
 

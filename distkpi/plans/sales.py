@@ -13,9 +13,10 @@ from distkpi.operators.lookup import price_asof, price_fixed
 from distkpi.operators.measures import actual_vs_target, with_total_row
 
 from distkpi.constants import OTHERS, TOTAL
+from distkpi.sources.tables import Tables
 
 
-def _sales(t, start, end, classification, sku, branch) -> DataFrame:
+def _sales(t: Tables, start, end, classification, sku, branch) -> DataFrame:
     s = date_range(t.sales, "billing_date", start, end)
     s = in_filter(s, "classification", classification)
     s = in_filter(s, "item_code", sku)
@@ -28,7 +29,7 @@ def _targets(df: DataFrame, classification, sku, branch=None) -> DataFrame:
     return in_filter(df, "loc_code", branch) if branch is not None else df
 
 
-def sales_summary(t, start, end, classification=None, sku=None, branch=None) -> DataFrame:
+def sales_summary(t: Tables, start, end, classification=None, sku=None, branch=None) -> DataFrame:
     """Per class: number of items with a non-zero net amount, and the amount.
 
     Rows with a NULL class, branch or item are left out. Items whose amounts
@@ -43,7 +44,7 @@ def sales_summary(t, start, end, classification=None, sku=None, branch=None) ->
         F.count("item_code").alias("sku"), F.sum("amount").cast("double").alias("amount"))
 
 
-def forecast_accuracy_monthly(t, start, end, classification=None, sku=None,
+def forecast_accuracy_monthly(t: Tables, start, end, classification=None, sku=None,
                               branch=None) -> DataFrame:
     """Sales in ``[start, end]`` against the targets of the month of ``end``.
 
@@ -62,7 +63,7 @@ def forecast_accuracy_monthly(t, start, end, classification=None, sku=None,
                     attainment(F.col("amount"), F.col("target_value"), zero="raw").alias("pct"))
 
 
-def target_to_date(t, start, end, classification=None, sku=None, branch=None) -> DataFrame:
+def target_to_date(t: Tables, start, end, classification=None, sku=None, branch=None) -> DataFrame:
     """Targets dated in ``[start, end]`` (one row; amount is a constant 0)."""
     tg = not_null(_targets(date_range(t.targets, "target_date", start, end), classification,
                            sku, branch), "loc_code", "item_code")
@@ -70,7 +71,7 @@ def target_to_date(t, start, end, classification=None, sku=None, branch=None) ->
         F.lit(0.0).alias("amount"), "target_value")
 
 
-def forecast_accuracy_yearly(t, start, end, classification=None, sku=None,
+def forecast_accuracy_yearly(t: Tables, start, end, classification=None, sku=None,
                              branch=None) -> DataFrame:
     """Sold quantity valued at the month-of-``end`` price against the budget.
 
@@ -105,7 +106,7 @@ def _by_class_month(actual: DataFrame, target: DataFrame, label) -> DataFrame:
                     attainment(F.col("amount"), F.col("target_value"), zero="zero").alias("pct")))
 
 
-def forecast_accuracy_category_monthly(t, end, classification=None, sku=None,
+def forecast_accuracy_category_monthly(t: Tables, end, classification=None, sku=None,
                                        branch=None) -> DataFrame:
     """Per (class, month) over the three months up to ``end``: sales against
     targets, the month labelled ``'Month YYYY'`` with the name padded to 9."""
@@ -123,7 +124,7 @@ def forecast_accuracy_category_monthly(t, end, classification=None, sku=None,
     return _by_class_month(sa, ta, month_label_padded)
 
 
-def forecast_accuracy_category_yearly(t, end, classification=None, sku=None,
+def forecast_accuracy_category_yearly(t: Tables, end, classification=None, sku=None,
                                       branch=None) -> DataFrame:
     """Per (class, month) over the three calendar months ending with the month
     of ``end``: sold quantity valued at the as-of price of its own month
@@ -147,7 +148,7 @@ def forecast_accuracy_category_yearly(t, end, classification=None, sku=None,
     return _by_class_month(sa, ta, month_label)
 
 
-def distributor_vs_company_target(t, end, classification=None, sku=None,
+def distributor_vs_company_target(t: Tables, end, classification=None, sku=None,
                                   branch=None) -> DataFrame:
     """Month-of-``end`` distributor targets against the company budget per
     class (full outer, missing side 0), plus a ``Total`` row whose percent

@@ -16,12 +16,13 @@ from distkpi.operators.measures import (classified_stock, classified_targets, op
                                         targets_by_mapping, threshold_counts)
 
 from distkpi.constants import BRANCH_COLUMNS, COVER_CEILING, OTHERS, SELL_SUFFIX, UNKNOWN
+from distkpi.sources.tables import Tables
 
 SERVICE_BRANCHES = list(BRANCH_COLUMNS)
 THRESHOLD_CLASSES = tuple(THRESHOLD_DAYS)
 
 
-def cover_days(t, start, end, classification=None, sku=None, branch=None) -> DataFrame:
+def cover_days(t: Tables, start, end, classification=None, sku=None, branch=None) -> DataFrame:
     """Cover days per item class: closing stock value against the month's target.
 
     The target side drives: a class with stock but no target is not listed.
@@ -47,12 +48,12 @@ def cover_days(t, start, end, classification=None, sku=None, branch=None) -> Dat
         .orderBy(F.asc_nulls_last("classification")))
 
 
-def closing_inventory_date(t) -> DataFrame:
+def closing_inventory_date(t: Tables) -> DataFrame:
     """Newest stock closing date in the whole history (one row)."""
     return t.stock.agg(F.max("stock_closing_date").alias("closing_date"))
 
 
-def cover_days_total(t, start, end, classification=None, sku=None, branch=None) -> DataFrame:
+def cover_days_total(t: Tables, start, end, classification=None, sku=None, branch=None) -> DataFrame:
     """:func:`cover_days` over all classes: exactly one row."""
     days = days_in_month(end)
     stk = stock_value(classified_stock(t, start, end, classification, sku, branch))
@@ -69,7 +70,7 @@ def cover_days_total(t, start, end, classification=None, sku=None, branch=None)
         cover_expr(F.col("inv_val_efp"), F.col("trg_value"), days).alias("cover_days_efp"))
 
 
-def target_vs_actual_cover(t, start, end, classification=None, sku=None, branch=None,
+def target_vs_actual_cover(t: Tables, start, end, classification=None, sku=None, branch=None,
                            thresholds: dict[str, int] | None = None) -> DataFrame:
     """Target cover days of each class next to the actual cover days.
 
@@ -91,7 +92,7 @@ def target_vs_actual_cover(t, start, end, classification=None, sku=None, branch=
         .orderBy(F.asc_nulls_last("classification")))
 
 
-def _item_branch_inventory(t, start, end, classification, sku, branch,
+def _item_branch_inventory(t: Tables, start, end, classification, sku, branch,
                            branches: list[str] | None = None, with_desc: bool = False) -> DataFrame:
     """Opening stock value per (branch, class, resolved mapping code)."""
     rows = opening_stock_by_mapping(t, start, end)
@@ -113,7 +114,7 @@ def _item_branch_inventory(t, start, end, classification, sku, branch,
                      "branch_code", "inv_val", "mapping_code")
 
 
-def _item_branch_targets(t, end, classification, sku, branch,
+def _item_branch_targets(t: Tables, end, classification, sku, branch,
                          branches: list[str] | None = None) -> DataFrame:
     """Month target per (branch, class of the item code, resolved mapping code)."""
     rows = targets_by_mapping(t, end, class_on="item")
@@ -129,7 +130,7 @@ def _item_branch_targets(t, end, classification, sku, branch,
                      "branch_code", "trg_value", "mapping_code")
 
 
-def inventory_days(t, start, end, classification=None, sku=None, branch=None,
+def inventory_days(t: Tables, start, end, classification=None, sku=None, branch=None,
                    branch_columns: dict[str, str] | None = None) -> DataFrame:
     """Cover days per (class, item) with one column per branch and their average.
 
@@ -155,7 +156,7 @@ def inventory_days(t, start, end, classification=None, sku=None, branch=None,
                     *branch_columns.values(), "total"))
 
 
-def above_below_threshold(t, start, end, sku=None, branch=None,
+def above_below_threshold(t: Tables, start, end, sku=None, branch=None,
                           thresholds: dict[str, int] | None = None) -> DataFrame:
     """Per class, the number of SKUs whose cover is above / at-or-below the
     class threshold. SKUs come from the class view (threshold classes only);
@@ -189,7 +190,7 @@ def above_below_threshold(t, start, end, sku=None, branch=None,
             .orderBy(F.asc_nulls_last("classification")))
 
 
-def service_measure(t, start, end, classification=None, sku=None, branch=None,
+def service_measure(t: Tables, start, end, classification=None, sku=None, branch=None,
                     branches: list[str] | None = None,
                     thresholds: dict[str, int] | None = None) -> DataFrame:
     """Per branch, the share of target SKUs of each class whose cover lies

@@ -11,9 +11,10 @@ from distkpi.operators.lookup import CLS_CLASS, CLS_CODE, with_class
 from distkpi.operators.measures import optional_in
 from distkpi.operators.snapshot import latest_snapshot
 from distkpi.constants import NOT_AVAILABLE, QTY_BUCKETS, VALUATION_KEYS, VALUE_BUCKETS, WIP_KEYS
+from distkpi.sources.tables import Tables
 
 
-def dispatch_vs_order(t, start, end, classification=None, sku=None) -> DataFrame:
+def dispatch_vs_order(t: Tables, start, end, classification=None, sku=None) -> DataFrame:
     """Ordered vs delivered quantity per (material, channel) with the fill
     percent (NULL when nothing was ordered; above 100 on over-delivery)."""
     d = date_range(t.dispatch, "actual_gm_date", start, end)
@@ -35,7 +36,7 @@ def dispatch_vs_order(t, start, end, classification=None, sku=None) -> DataFrame
                                zero="null").alias("delivery_pct"))
 
 
-def wip(t, start, end) -> DataFrame:
+def wip(t: Tables, start, end) -> DataFrame:
     """Work in progress of the newest load whose day lies in ``[start, end]``.
 
     The load is the exact newest timestamp (two loads on one day: only the
@@ -57,7 +58,7 @@ def wip(t, start, end) -> DataFrame:
                     F.col("quantity").cast("double").alias("quantity"))
 
 
-def stock_valuation(t, start, end) -> DataFrame:
+def stock_valuation(t: Tables, start, end) -> DataFrame:
     """Valuation buckets of the newest execution date in ``[start, end]`` per
     material / plant / storage location, with row-wise totals (a NULL bucket
     drops its row from the total; in-transit quantity is not in total_qty)."""
