@@ -40,6 +40,17 @@ def table_page(df: DataFrame, order_by: list[str], limit: int = DEFAULT_PAGE_SIZ
     return df.orderBy(*[F.asc_nulls_last(c) for c in order_by]).offset(offset).limit(limit)
 
 
+def page(t: Tables, name: str, limit: int = DEFAULT_PAGE_SIZE, offset: int = 0,
+         order_by: list[str] | None = None) -> DataFrame:
+    """One page of a logical table chosen by name. Without ``order_by`` the
+    page is ordered by all columns, a total order, so pages do not overlap."""
+    tables = t.as_dict()
+    if name not in tables:
+        raise KeyError(f"unknown table {name!r}; tables: {sorted(tables)}")
+    df = tables[name]
+    return table_page(df, order_by or df.columns, limit=limit, offset=offset)
+
+
 def list_tables(spark: SparkSession) -> DataFrame:
     """Tables and views visible in the current catalog and database."""
     return spark.sql("SHOW TABLES")

@@ -390,3 +390,15 @@ def test_registry_runs_reports_with_their_parameters(spark):
     with pytest.raises(TypeError):
         run("branch_list", t, strict=True, start="2000-01-01")
     assert len(REPORTS) == 31
+
+
+def test_page_by_table_name(spark):
+    from distkpi.plans.lists import page
+    t = make_tables(spark, branches=[(8000 + i, f"b{i % 3}") for i in range(7)])
+    first = page(t, "branches", limit=4).collect()
+    rest = page(t, "branches", limit=4, offset=4).collect()
+    assert len(first) == 4 and len(rest) == 3
+    assert {r[0] for r in first} | {r[0] for r in rest} == set(range(8000, 8007))
+    with pytest.raises(KeyError):
+        page(t, "nope")
+
