@@ -29,6 +29,7 @@ REPORTS: dict[str, Callable] = {
     "item_filter_list": lists.item_filter_list,
     "branch_list": lists.branch_list,
     "sku_count_by_class": lists.sku_count_by_class,
+    "table_page": lists.page,
     # documented sales metrics and lists
     "gross_summary": documented.gross_summary,
     "revenue_total": documented.revenue_total,

@@ -35,6 +35,9 @@ def main(argv: list[str] | None = None) -> None:
     ap.add_argument("--branch")
     ap.add_argument("--business-line")
     ap.add_argument("--n", type=int)
+    ap.add_argument("--table", dest="name")
+    ap.add_argument("--limit", type=int, default=1000)
+    ap.add_argument("--offset", type=int, default=0)
     ap.add_argument("--out")
     ap.add_argument("--format", default="parquet", choices=["parquet", "json", "csv", "orc"])
     ap.add_argument("--master")
@@ -43,7 +46,8 @@ def main(argv: list[str] | None = None) -> None:
     spark = get_session(a.master)
     tables = read_marts(spark, a.marts) if a.marts else load_tables(spark, a.testdata)
     df = run(a.report, tables, start=a.start, end=a.end, classification=_list(a.classification),
-             sku=_list(a.sku), branch=_list(a.branch), business_line=a.business_line, n=a.n)
+             sku=_list(a.sku), branch=_list(a.branch), business_line=a.business_line, n=a.n,
+             name=a.name, limit=a.limit, offset=a.offset)
     if a.out:
         writer = df.write.mode("overwrite")
         if a.format == "csv":

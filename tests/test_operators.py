@@ -389,7 +389,7 @@ def test_registry_runs_reports_with_their_parameters(spark):
     assert df.count() == 0
     with pytest.raises(TypeError):
         run("branch_list", t, strict=True, start="2000-01-01")
-    assert len(REPORTS) == 31
+    assert len(REPORTS) == 32
 
 
 def test_page_by_table_name(spark):
