@@ -50,14 +50,14 @@ def parameters(name: str) -> list[str]:
     return list(inspect.signature(REPORTS[name]).parameters)[1:]
 
 
-def run(name: str, tables, strict: bool = False, **params):
+def run(report: str, tables, strict: bool = False, **params):
     """Call a report with the parameters it accepts.
 
     Like the report endpoints, parameters a report does not use are ignored;
     ``strict=True`` rejects them instead.
     """
-    accepted = set(parameters(name))
+    accepted = set(parameters(report))
     extra = {k for k, v in params.items() if v not in (None, "", []) and k not in accepted}
     if extra and strict:
-        raise TypeError(f"report {name!r} does not take {sorted(extra)}")
-    return REPORTS[name](tables, **{k: v for k, v in params.items() if k in accepted})
+        raise TypeError(f"report {report!r} does not take {sorted(extra)}")
+    return REPORTS[report](tables, **{k: v for k, v in params.items() if k in accepted})
