@@ -109,6 +109,20 @@ def attainment(actual: Column, target: Column, zero: str = "zero",
     return F.when(ok, value).otherwise(F.lit(0.0))
 
 
+def count_share_pct(part: Column, whole: Column, digits: int = 2) -> Column:
+    """``round(part / whole * 100, digits)`` for non-negative counts, exactly.
+
+    Computed in integers (half-up, as decimal rounding does) and divided once
+    at the end, so a tie such as 1/160 = 0.625 % cannot round differently
+    through binary floating point. NULL when ``whole`` is 0.
+    """
+    scale = 10 ** digits
+    num = part.cast("long") * F.lit(2 * 100 * scale) + whole.cast("long")
+    den = F.nullif(whole.cast("long"), F.lit(0)) * F.lit(2)
+    units = (num - num % den) / den          # exact: num - num % den is a multiple of den
+    return units / F.lit(float(scale))
+
+
 def threshold_for(cls: Column, thresholds: dict[str, int] | None = None) -> Column:
     """Target cover days of an item class (NULL for other classes)."""
     thresholds = thresholds or THRESHOLD_DAYS

@@ -6,8 +6,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from distkpi.functions.columns import (cover_days as cover_expr, daily_target, days_in_month,
-                                       threshold_for, THRESHOLD_DAYS)
+from distkpi.functions.columns import (cover_days as cover_expr, count_share_pct, daily_target,
+                                       days_in_month, threshold_for, THRESHOLD_DAYS)
 from distkpi.operators.filters import in_filter, in_values
 from distkpi.operators.lookup import (CLS_CLASS, CLS_CODE, ITM_DESC, ITM_MAPPING, LOC_CODE,
                                       LOC_DESC)
@@ -223,8 +223,7 @@ def service_measure(t: Tables, start, end, classification=None, sku=None, branch
     totals = per_sku.groupBy("branch_code", "branch_desc", "classification").agg(
         F.count("mapping_code").alias("total_sku"),
         F.count(F.when(F.col("above") & F.col("mapping_code").isNotNull(), 1)).alias("sku_above"))
-    pct = F.round(F.col("sku_above").cast("double") / F.nullif(F.col("total_sku").cast("double"),
-                                                                 F.lit(0.0)) * F.lit(100.0), 2)
+    pct = count_share_pct(F.col("sku_above"), F.col("total_sku"))
     wide = totals.groupBy("branch_code", "branch_desc").agg(
         *[F.max(F.when(F.col("classification") == c, pct)).alias(f"sku_{c.lower()}_pct")
           for c in THRESHOLD_CLASSES])

@@ -276,7 +276,8 @@ def service_measure(s, e, classification=None, sku=None, branch=None) -> str:
     n = days_in(e)
     code = master_code("it.mapping_code", "it.matnr")
     whitelist = ", ".join(str(b) for b, _ in BRANCH_COLUMNS)
-    share = ("round(CAST(n_above AS DOUBLE) / nullif(CAST(n_all AS DOUBLE), 0) * 100, 2)")
+    # Half-up rounding of n_above / n_all * 100 to 2 decimals in integers.
+    share = "CAST((n_above * 20000 + n_all) // nullif(2 * n_all, 0) AS DOUBLE) / 100"
     return derive(["stock", "items", "items_class", "locations", "targets"], f"""
 WITH stock_side AS (
   SELECT lc.inv_sloc AS branch, coalesce(cv.classification, {OTH}) AS cls, {code} AS code,

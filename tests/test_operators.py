@@ -402,3 +402,10 @@ def test_page_by_table_name(spark):
     with pytest.raises(KeyError):
         page(t, "nope")
 
+
+def test_count_share_pct_is_exact_half_up(spark):
+    df = spark.createDataFrame([(1, 160), (1, 3), (2, 3), (1, 8), (0, 5), (3, 0), (5, 5)],
+                               "a long, b long")
+    got = [r[0] for r in df.select(C.count_share_pct(F.col("a"), F.col("b"))).collect()]
+    assert got == [0.63, 33.33, 66.67, 12.5, 0.0, None, 100.0]
+
