@@ -122,3 +122,30 @@ def test_scan_reads_only_needed_columns(marts):
     text = _formatted(sales.sales_summary(marts, S, E))
     assert "ReadSchema: struct<item_code:string,classification:string,branch_id:int," \
            "billing_date:date,amount:decimal(18,4)>" in text
+
+
+def test_figures_of_the_survey_probe(t):
+    """Numbers recorded by an earlier, independent probe at sf0.01 (FIXTURES.md section 3)."""
+    from distkpi.operators.lookup import price_asof
+    from distkpi.plans import supply
+    cd = {r["classification"]: r["cover_days"] for r in stock.cover_days(t, S, E).collect()}
+    assert (cd["A"], cd["B"], cd["C"]) == (5.7, 10.3, 7.8) and len(cd) == 4
+    r1 = {r["classification"]: r for r in sales.sales_summary(t, S, E).collect()}
+    assert r1["A"]["sku"] == 202 and r1["A"]["amount"] == pytest.approx(12211936.5579)
+    r12 = {r["classification"]: r for r in sales.distributor_vs_company_target(t, E).collect()}
+    assert r12["A"]["distributor_vs_company_pct"] == 46.56 and len(r12) == 5
+    assert stock.service_measure(t, S, E).count() == 14
+    r9 = {r["classification"]: r for r in stock.above_below_threshold(t, S, E).collect()}
+    assert r9["A"]["skus_above"] == 82
+    assert supply.dispatch_vs_order(t, S, E).count() == 287
+    assert documented.top_sku_class_a(t, entry.DS, entry.DE).count() == 241
+    assert stock.inventory_days(t, S, E).count() == 202
+    assert supply.stock_valuation(t, S, E).count() == 747
+    jan = [r for r in sales.forecast_accuracy_category_yearly(t, "2000-01-31").collect()
+           if r["classification"] == "A" and r["month"] == "January 2000"][0]
+    assert (jan["amount"], jan["target_value"], jan["pct"]) == (3197303.3, 11887236.11, 26.9)
+    pairs = (t.sales.where(F.year("billing_date").isin(1999, 2000))
+             .select("item_code", F.trunc("billing_date", "MM").alias("month")).distinct())
+    j = pairs.join(price_asof(t.price_list), ["item_code", "month"], "left")
+    assert (j.count(), j.where(F.col("price").isNotNull()).count(),
+            j.where(F.col("price") == 0).count()) == (14526, 11148, 1374)
