@@ -19,7 +19,6 @@ from distkpi.constants import BRANCH_COLUMNS, COVER_CEILING, OTHERS, SELL_SUFFIX
 from distkpi.sources.tables import Tables
 
 SERVICE_BRANCHES = list(BRANCH_COLUMNS)
-THRESHOLD_CLASSES = tuple(THRESHOLD_DAYS)
 
 
 def cover_days(t: Tables, start, end, classification=None, sku=None, branch=None) -> DataFrame:
@@ -207,8 +206,9 @@ def service_measure(t: Tables, start, end, classification=None, sku=None, branch
         F.col("branch_code").alias("s_branch"), F.col("classification").alias("s_class"),
         F.col("mapping_code").alias("s_mapping"), "inv_val")
     ft = _item_branch_targets(t, end, classification, sku, branch, branches)
-    loc = t.locations.select(F.col("inv_sloc").alias("l_sloc"),
-                             F.replace(F.col("inv_sloc_desc"), F.lit(SELL_SUFFIX), F.lit("")).alias("branch_desc"))
+    loc = t.locations.select(
+        F.col("inv_sloc").alias("l_sloc"),
+        F.replace(F.col("inv_sloc_desc"), F.lit(SELL_SUFFIX), F.lit("")).alias("branch_desc"))
     j = (ft.join(iv, (ft["branch_code"] == iv["s_branch"]) & (ft["classification"] == iv["s_class"])
                  & (ft["mapping_code"] == iv["s_mapping"]), "left")
          .join(loc, F.col("l_sloc") == ft["branch_code"], "left"))
@@ -224,9 +224,9 @@ def service_measure(t: Tables, start, end, classification=None, sku=None, branch
         F.count("mapping_code").alias("total_sku"),
         F.count(F.when(F.col("above") & F.col("mapping_code").isNotNull(), 1)).alias("sku_above"))
     pct = count_share_pct(F.col("sku_above"), F.col("total_sku"))
+    pct_cols = {c: f"sku_{c.lower()}_pct" for c in thresholds}
     wide = totals.groupBy("branch_code", "branch_desc").agg(
-        *[F.max(F.when(F.col("classification") == c, pct)).alias(f"sku_{c.lower()}_pct")
-          for c in THRESHOLD_CLASSES])
+        *[F.max(F.when(F.col("classification") == c, pct)).alias(name)
+          for c, name in pct_cols.items()])
     return (wide.orderBy(F.asc_nulls_last("branch_desc"))
-            .select(F.col("branch_desc").alias("branch"),
-                    *[f"sku_{c.lower()}_pct" for c in THRESHOLD_CLASSES]))
+            .select(F.col("branch_desc").alias("branch"), *pct_cols.values()))
