@@ -45,7 +45,8 @@ SERVICE = {"classification": ["A", "B"], "branch": ["8006", "8018", "8035", "804
 _cache: list = []   # [(session, sf_dir, tables)]: the lazy tables of the last call
 
 
-def _tables(spark: SparkSession, sf_dir: str):
+def _tables(spark: SparkSession, sf_dir):
+    sf_dir = str(sf_dir)
     if not (_cache and _cache[0][0] is spark and _cache[0][1] == sf_dir):
         _cache[:] = [(spark, sf_dir, load_tables(spark, sf_dir))]
     return _cache[0][2]

@@ -162,8 +162,9 @@ def derivation_sql(name: str, table_ref=lambda t: t) -> str:
     return DERIVATIONS[name].format(**{t: table_ref(t) for t in RAW_TABLES})
 
 
-def read_raw(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
-    return {t: spark.read.parquet(f"{sf_dir.rstrip('/')}/{t}.parquet") for t in RAW_TABLES}
+def read_raw(spark: SparkSession, sf_dir) -> dict[str, DataFrame]:
+    base = str(sf_dir).rstrip("/")
+    return {t: spark.read.parquet(f"{base}/{t}.parquet") for t in RAW_TABLES}
 
 
 def derive(spark: SparkSession, name: str, raw: dict[str, DataFrame]) -> DataFrame:
@@ -172,7 +173,7 @@ def derive(spark: SparkSession, name: str, raw: dict[str, DataFrame]) -> DataFra
     return check_schema(name, spark.sql(DERIVATIONS[name], **used))
 
 
-def load_tables(spark: SparkSession, sf_dir: str) -> Tables:
+def load_tables(spark: SparkSession, sf_dir) -> Tables:
     """All logical tables, lazily derived from ``sf_dir`` (nothing is computed here)."""
     raw = read_raw(spark, sf_dir)
     return Tables(**{name: derive(spark, name, raw) for name in DERIVATIONS})
