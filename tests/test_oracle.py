@@ -45,3 +45,30 @@ def test_query_matches_oracle_on_sparse_data(spark, small_con, name):
     assert res["columns_match"] and res["types_match"], res
     assert res["spark_rows"] == res["oracle_rows"] and res["values_match"], res
 
+
+
+@pytest.fixture
+def no_broadcast(spark):
+    """Every join as a shuffle join: the path large dimensions take on a cluster."""
+    keys = ["spark.sql.autoBroadcastJoinThreshold", "spark.sql.adaptive.autoBroadcastJoinThreshold"]
+    old = {k: spark.conf.get(k, None) for k in keys}
+    for k in keys:
+        spark.conf.set(k, "-1")
+    yield spark
+    for k, v in old.items():
+        if v is None:
+            spark.conf.unset(k)
+        else:
+            spark.conf.set(k, v)
+
+
+@pytest.mark.parametrize("name", ["cover_days", "inventory_days", "service_measure",
+                                  "above_below_threshold", "forecast_accuracy_yearly",
+                                  "forecast_accuracy_category_yearly", "dispatch_vs_order", "wip",
+                                  "item_filter_list"])
+def test_query_matches_oracle_without_broadcast(no_broadcast, con, name):
+    df = QUERIES[name](no_broadcast, SF)
+    assert "BroadcastHashJoin" not in df._jdf.queryExecution().executedPlan().toString()
+    res = compare(df, con, ORACLE[name])
+    assert res["columns_match"] and res["types_match"], res
+    assert res["spark_rows"] == res["oracle_rows"] and res["values_match"], res
