@@ -409,3 +409,13 @@ def test_count_share_pct_is_exact_half_up(spark):
     got = [r[0] for r in df.select(C.count_share_pct(F.col("a"), F.col("b"))).collect()]
     assert got == [0.63, 33.33, 66.67, 12.5, 0.0, None, 100.0]
 
+
+
+def test_distinct_counts_exact_and_approximate(spark):
+    data = [_header("Secondary Sales", "X", c % 7, c) for c in range(40)]
+    t = make_tables(spark, sales_header=data)
+    exact = rows(documented.customer_universe(t, "2000-03-01", "2000-03-31"))
+    approx = rows(documented.customer_universe(t, "2000-03-01", "2000-03-31", approx=True))
+    assert exact == [("Secondary Sales", 7)] and approx == exact
+    assert rows(documented.gross_summary(t, "2000-03-01", "2000-03-31", approx=True)) == \
+        [("Secondary Sales", 400.0, 7)]
