@@ -156,11 +156,13 @@ def inventory_days(t: Tables, start, end, classification=None, sku=None, branch=
 
 
 def above_below_threshold(t: Tables, start, end, sku=None, branch=None,
-                          thresholds: dict[str, int] | None = None) -> DataFrame:
+                          thresholds: dict[str, int] | None = None,
+                          classification=None) -> DataFrame:
     """Per class, the number of SKUs whose cover is above / at-or-below the
     class threshold. SKUs come from the class view (threshold classes only);
     stock and targets are summed over all branches per mapping code. A SKU
-    without target has NULL cover and is in neither count."""
+    without target has NULL cover and is in neither count. ``classification``
+    is accepted and not applied, as in the source report."""
     thresholds = thresholds or THRESHOLD_DAYS
     days = days_in_month(end)
     # Partitioned by the join key first: the distinct and both joins on

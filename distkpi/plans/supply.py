@@ -14,9 +14,11 @@ from distkpi.constants import NOT_AVAILABLE, QTY_BUCKETS, VALUATION_KEYS, VALUE_
 from distkpi.sources.tables import Tables
 
 
-def dispatch_vs_order(t: Tables, start, end, classification=None, sku=None) -> DataFrame:
+def dispatch_vs_order(t: Tables, start, end, classification=None, sku=None,
+                      branch=None) -> DataFrame:
     """Ordered vs delivered quantity per (material, channel) with the fill
-    percent (NULL when nothing was ordered; above 100 on over-delivery)."""
+    percent (NULL when nothing was ordered; above 100 on over-delivery).
+    ``branch`` is accepted and not applied, as in the source report."""
     d = date_range(t.dispatch, "actual_gm_date", start, end)
     # Summed per material code before the class lookup: the join input is one
     # row per (code, material, channel), however many lines a hot item has.
@@ -36,8 +38,9 @@ def dispatch_vs_order(t: Tables, start, end, classification=None, sku=None) -> D
                                zero="null").alias("delivery_pct"))
 
 
-def wip(t: Tables, start, end) -> DataFrame:
+def wip(t: Tables, start, end, classification=None, sku=None, branch=None) -> DataFrame:
     """Work in progress of the newest load whose day lies in ``[start, end]``.
+    Class, SKU and branch are accepted and not applied, as in the source report.
 
     The load is the exact newest timestamp (two loads on one day: only the
     later). The class view join adds no column; a duplicated mapping code in
@@ -58,10 +61,12 @@ def wip(t: Tables, start, end) -> DataFrame:
                     F.col("quantity").cast("double").alias("quantity"))
 
 
-def stock_valuation(t: Tables, start, end) -> DataFrame:
+def stock_valuation(t: Tables, start, end, classification=None, sku=None,
+                    branch=None) -> DataFrame:
     """Valuation buckets of the newest execution date in ``[start, end]`` per
     material / plant / storage location, with row-wise totals (a NULL bucket
-    drops its row from the total; in-transit quantity is not in total_qty)."""
+    drops its row from the total; in-transit quantity is not in total_qty).
+    Class, SKU and branch are accepted and not applied, as in the source report."""
     v = latest_snapshot(t.valuation, "executiondate", start, end)
     v = v.withColumn("storagelocationname", F.coalesce("storagelocationname", F.lit(NOT_AVAILABLE)))
     value_cols = [c for c, _ in VALUE_BUCKETS]
