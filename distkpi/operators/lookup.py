@@ -46,25 +46,6 @@ def with_item(df: DataFrame, items: DataFrame, key: Column) -> DataFrame:
     return df.join(dim, key == F.col(ITM_MATNR), "left")
 
 
-def item_master_with_class(items: DataFrame, items_class: DataFrame) -> DataFrame:
-    """The item master with the class of its resolved mapping code (both are
-    dimensions: this join is dimension-sized, not fact-sized)."""
-    dim = items.select(F.col("matnr").alias(ITM_MATNR), F.col("matnr_desc").alias(ITM_DESC),
-                       F.col("classif").alias(ITM_CLASSIF),
-                       resolve_mapping_code(F.col("mapping_code"), F.col("matnr")).alias(ITM_MAPPING))
-    cls = items_class.select(F.col("mapping_code").alias(CLS_CODE),
-                             F.col("classification").alias(CLS_CLASS))
-    return dim.join(cls, F.col(ITM_MAPPING) == F.col(CLS_CODE), "left")
-
-
-def with_item_class(df: DataFrame, items: DataFrame, items_class: DataFrame, key: Column) -> DataFrame:
-    """:func:`with_item` followed by :func:`with_class` on the resolved code, as
-    one fact-side join. The left joins associate (the class lookup only reads
-    item-master columns), so the result, duplicates included, is the same;
-    the fact is probed once instead of twice."""
-    return df.join(item_master_with_class(items, items_class), key == F.col(ITM_MATNR), "left")
-
-
 def with_location(df: DataFrame, locations: DataFrame, key: Column) -> DataFrame:
     """Left join to the locations on the location code compared as text."""
     dim = locations.select(F.col("inv_sloc").alias(LOC_CODE), F.col("inv_sloc_desc").alias(LOC_DESC))

@@ -12,8 +12,8 @@ from distkpi.functions.columns import normalize_item_code, pad_item_code
 from distkpi.constants import BUSINESS_LINES
 from distkpi.operators.filters import (in_month, in_values, as_values,
                                        sellable_stock)
-from distkpi.operators.lookup import (CLS_CLASS, CLS_CODE, LOC_CODE, with_class, with_item,
-                                      with_item_class, with_location)
+from distkpi.operators.lookup import (CLS_CLASS, CLS_CODE, ITM_MAPPING, LOC_CODE, with_class,
+                                      with_item, with_location)
 from distkpi.operators.snapshot import latest_snapshot
 from distkpi.sources.tables import Tables
 
@@ -83,7 +83,12 @@ def opening_stock_by_mapping(t: Tables, start, end) -> DataFrame:
     resolved code (``cls_*``) and the location (``loc_*``).
     """
     s = sellable_snapshot(t.stock, "stock_opening_date", start, end)
-    s = with_item_class(s, t.items, t.items_class, F.col("item_code"))
+    # Two joins, each with its own size check. Joining the two dimensions first
+    # would probe the fact once, but Spark (without CBO) estimates a join as
+    # the product of its inputs, so the joined dimension would lose its static
+    # broadcast and the fact would be shuffled instead.
+    s = with_item(s, t.items, F.col("item_code"))
+    s = with_class(s, t.items_class, F.col(ITM_MAPPING))
     return with_location(s, t.locations, F.col("subinventory_code"))
 
 
@@ -95,10 +100,9 @@ def targets_by_mapping(t: Tables, end, class_on: str = "item") -> DataFrame:
     ``'mapping'`` by the resolved mapping code.
     """
     tg = in_month(t.targets, "target_date", end)
-    if class_on == "mapping":
-        return with_item_class(tg, t.items, t.items_class, pad_item_code(F.col("item_code")))
     tg = with_item(tg, t.items, pad_item_code(F.col("item_code")))
-    return with_class(tg, t.items_class, F.col("item_code"))
+    key = F.col("item_code") if class_on == "item" else F.col(ITM_MAPPING)
+    return with_class(tg, t.items_class, key)
 
 
 def actual_vs_target(actual: DataFrame, target: DataFrame, keys: list[str],
