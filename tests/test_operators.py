@@ -419,3 +419,20 @@ def test_distinct_counts_exact_and_approximate(spark):
     assert exact == [("Secondary Sales", 7)] and approx == exact
     assert rows(documented.gross_summary(t, "2000-03-01", "2000-03-31", approx=True)) == \
         [("Secondary Sales", 400.0, 7)]
+
+
+def test_read_files_and_catalog_binding(spark, tmp_path):
+    from distkpi.sources.external import read_files
+    from distkpi.sources.schemas import SCHEMAS
+    from distkpi.sources.tables import Tables
+    t = make_tables(spark, branches=[(8001, "one"), (8002, "two")])
+    paths = {}
+    for name, df in t.as_dict().items():
+        paths[name] = str(tmp_path / name)
+        df.write.parquet(paths[name])
+    back = read_files(spark, paths)
+    assert rows(back.branches) == [(8001, "one"), (8002, "two")]
+    assert all(getattr(back, n).schema == SCHEMAS[n] for n in SCHEMAS)
+    back.register(prefix="files_")
+    cat = Tables.from_catalog(spark, prefix="files_")
+    assert rows(lists.branch_list(cat)) == [(8001, "one"), (8002, "two")]
