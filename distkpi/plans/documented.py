@@ -15,7 +15,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from distkpi.operators.filters import common_sales_filter
+from distkpi.operators.filters import common_sales_filter, in_filter
 from distkpi.sources.tables import Tables
 
 PURCHASE_BUCKETS = {4: "outlets_4_plus", 3: "outlets_3", 2: "outlets_2", 1: "outlets_1"}
@@ -73,10 +73,11 @@ def productive_outlets(t: Tables, start, end, approx: bool = False) -> DataFrame
     return h.groupBy("data_flag").agg(_distinct_count("customer_code", approx).alias("outlet_count"))
 
 
-def top_sku_class_a(t: Tables, start, end, classification: str = "A") -> DataFrame:
-    """Documents per (month, item, brand, category) for class-A items,
-    busiest first within a month."""
-    h = common_sales_filter(t.sales_header, start, end).where(F.col("classification") == classification)
+def top_sku_class_a(t: Tables, start, end, classification="A") -> DataFrame:
+    """Documents per (month, item, brand, category) for class-A items (or the
+    classes given), busiest first within a month."""
+    h = in_filter(common_sales_filter(t.sales_header, start, end), "classification",
+                  classification or "A")
     r = h.groupBy(F.trunc("billing_date", "MM").alias("month_"), "item_description", "grp_brand",
                   "catg_theraptic").agg(F.count_distinct(F.col("document_no")).alias("doc_cnt"))
     return r.orderBy(F.desc("month_"), F.desc("doc_cnt"), F.asc_nulls_last("item_description"))
