@@ -149,3 +149,19 @@ def test_figures_of_the_survey_probe(t):
     j = pairs.join(price_asof(t.price_list), ["item_code", "month"], "left")
     assert (j.count(), j.where(F.col("price").isNotNull()).count(),
             j.where(F.col("price") == 0).count()) == (14526, 11148, 1374)
+
+
+def test_every_report_runs_on_an_empty_window(spark):
+    """No data in the window and every filter set: no errors, and the
+    one-row reports keep their single row."""
+    from distkpi.plans.registry import REPORTS, run
+    small = load_tables(spark, "/root/testdata/sf0.001")
+    counts = {}
+    for name in REPORTS:
+        counts[name] = run(name, small, start="2030-01-01", end="2030-01-31", business_line="P07",
+                           n=2, name="branches", classification=["A"], sku=["1"],
+                           branch=["8001"]).count()
+    for one_row in ["cover_days_total", "forecast_accuracy_monthly", "target_to_date",
+                    "forecast_accuracy_yearly", "distributor_vs_company_target"]:
+        assert counts[one_row] == 1, one_row
+    assert counts["cover_days"] == 0 and counts["sales_summary"] == 0
