@@ -33,6 +33,8 @@ SMOKE_DIR = "/root/testdata/sf0.001"
 # Report parameters of the registered queries (the test data spans 1995-2001).
 S, E = "2000-03-01", "2000-03-31"            # one month window
 DS, DE = "2000-01-01", "2000-03-31"          # documented metrics: one quarter
+LS, LE = "2000-02-01", "2000-02-29"          # a leap February (29-day month arithmetic)
+Q3 = "2000-09-30"                            # a quarter labelled July / August / September
 BL = "P07"
 # Report parameters under test in the *_filtered variants (a user's selection
 # of classes, branches and SKUs; the unfiltered variants read everything).
@@ -127,6 +129,7 @@ CASES: dict[str, Callable] = {
     "cover_days": lambda t: stock.cover_days(t, S, E),
     "cover_days_filtered": lambda t: stock.cover_days(t, S, E, **FILTERS),
     "cover_days_sku": lambda t: stock.cover_days(t, S, E, **SKUS),
+    "cover_days_leap_february": lambda t: stock.cover_days(t, LS, LE),
     "closing_inventory_date": lambda t: stock.closing_inventory_date(t),
     "cover_days_total": lambda t: stock.cover_days_total(t, S, E),
     "cover_days_total_filtered": lambda t: stock.cover_days_total(t, S, E, **FILTERS),
@@ -139,13 +142,17 @@ CASES: dict[str, Callable] = {
     "inventory_days": lambda t: stock.inventory_days(t, S, E),
     "inventory_days_filtered": lambda t: stock.inventory_days(t, S, E, **FILTERS),
     "inventory_days_sku": lambda t: stock.inventory_days(t, S, E, **SKUS),
+    "inventory_days_leap_february": lambda t: stock.inventory_days(t, LS, LE),
     "above_below_threshold": lambda t: stock.above_below_threshold(t, S, E),
     "above_below_threshold_filtered": lambda t: stock.above_below_threshold(
         t, S, E, sku=ALL["sku"], branch=ALL["branch"]),
     "forecast_accuracy_category_monthly": lambda t: sales.forecast_accuracy_category_monthly(t, E),
     "forecast_accuracy_category_monthly_filtered":
         lambda t: sales.forecast_accuracy_category_monthly(t, E, **FILTERS),
+    "forecast_accuracy_category_monthly_q3":
+        lambda t: sales.forecast_accuracy_category_monthly(t, Q3),
     "forecast_accuracy_category_yearly": lambda t: sales.forecast_accuracy_category_yearly(t, E),
+    "forecast_accuracy_category_yearly_q3": lambda t: sales.forecast_accuracy_category_yearly(t, Q3),
     "forecast_accuracy_category_yearly_filtered":
         lambda t: sales.forecast_accuracy_category_yearly(t, E, **ALL),
     "distributor_vs_company_target": lambda t: sales.distributor_vs_company_target(t, E),
@@ -214,6 +221,7 @@ def oracle_sql() -> dict[str, str]:
         "cover_days": o.cover_days(S, E),
         "cover_days_filtered": o.cover_days(S, E, **FILTERS),
         "cover_days_sku": o.cover_days(S, E, **SKUS),
+        "cover_days_leap_february": o.cover_days(LS, LE),
         "closing_inventory_date": o.closing_inventory_date(),
         "cover_days_total": o.cover_days_total(S, E),
         "cover_days_total_filtered": o.cover_days_total(S, E, **FILTERS),
@@ -226,13 +234,16 @@ def oracle_sql() -> dict[str, str]:
         "inventory_days": o.inventory_days(S, E),
         "inventory_days_filtered": o.inventory_days(S, E, **FILTERS),
         "inventory_days_sku": o.inventory_days(S, E, **SKUS),
+        "inventory_days_leap_february": o.inventory_days(LS, LE),
         "above_below_threshold": o.above_below_threshold(S, E),
         "above_below_threshold_filtered": o.above_below_threshold(S, E, sku=ALL["sku"],
                                                                   branch=ALL["branch"]),
         "forecast_accuracy_category_monthly": o.forecast_accuracy_category_monthly(E),
         "forecast_accuracy_category_monthly_filtered":
             o.forecast_accuracy_category_monthly(E, **FILTERS),
+        "forecast_accuracy_category_monthly_q3": o.forecast_accuracy_category_monthly(Q3),
         "forecast_accuracy_category_yearly": o.forecast_accuracy_category_yearly(E),
+        "forecast_accuracy_category_yearly_q3": o.forecast_accuracy_category_yearly(Q3),
         "forecast_accuracy_category_yearly_filtered": o.forecast_accuracy_category_yearly(E, **ALL),
         "distributor_vs_company_target": o.distributor_vs_company_target(E),
         "distributor_vs_company_target_filtered": o.distributor_vs_company_target(E, **FILTERS),
