@@ -436,3 +436,16 @@ def test_read_files_and_catalog_binding(spark, tmp_path):
     back.register(prefix="files_")
     cat = Tables.from_catalog(spark, prefix="files_")
     assert rows(lists.branch_list(cat)) == [(8001, "one"), (8002, "two")]
+
+
+def test_snapshot_day_range_on_timestamps(spark):
+    def w(ts):
+        return (8001, "SL", 1, "P", "T", "N", 1, D(1), D(0), D(1), D(1), "1", ts)
+    df = frame(spark, "wip", [w(dt.datetime(2000, 2, 29, 23, 0)), w(dt.datetime(2000, 3, 31, 23, 59, 59)),
+                              w(dt.datetime(2000, 4, 1, 0, 0, 0))])
+    snap = latest_snapshot(df, "record_created_date", "2000-03-01", "2000-03-31", by_day=True)
+    assert [r[0] for r in snap.select("record_created_date").collect()] == \
+        [dt.datetime(2000, 3, 31, 23, 59, 59)]
+    early = latest_snapshot(df, "record_created_date", "2000-02-01", "2000-02-29", by_day=True)
+    assert [r[0] for r in early.select("record_created_date").collect()] == \
+        [dt.datetime(2000, 2, 29, 23, 0)]
