@@ -165,3 +165,27 @@ def test_every_report_runs_on_an_empty_window(spark):
                     "forecast_accuracy_yearly", "distributor_vs_company_target"]:
         assert counts[one_row] == 1, one_row
     assert counts["cover_days"] == 0 and counts["sales_summary"] == 0
+
+
+def test_no_window_operator_in_any_plan(marts):
+    # The ordered picks are aggregates (min_by), so no plan sorts a whole item or month.
+    for name, fn in entry.CASES.items():
+        assert "Window" not in _plan(fn(marts)), name
+
+
+def test_stock_scan_reads_only_its_columns(marts):
+    text = _formatted(stock.cover_days(marts, S, E))
+    assert ("ReadSchema: struct<item_code:string,subinventory_code:string,busline_code:string,"
+            "qty:decimal(18,2),trade_price:decimal(12,2),item_cost:decimal(12,2)>") in text
+
+
+def test_scale_profile_keys_are_valid_settings(spark):
+    from distkpi.session import SCALE_CONF
+    for key, value in SCALE_CONF.items():
+        old = spark.conf.get(key, None)
+        spark.conf.set(key, value)
+        assert spark.conf.get(key) == value
+        if old is None:
+            spark.conf.unset(key)
+        else:
+            spark.conf.set(key, old)
