@@ -72,3 +72,14 @@ def test_query_matches_oracle_without_broadcast(no_broadcast, con, name):
     res = compare(df, con, ORACLE[name])
     assert res["columns_match"] and res["types_match"], res
     assert res["spark_rows"] == res["oracle_rows"] and res["values_match"], res
+
+
+@pytest.mark.parametrize("table", ["sales", "targets", "budget", "stock", "items", "items_class",
+                                   "locations", "price_list", "wip", "valuation", "dispatch",
+                                   "target_items", "product_map", "branches", "sales_header"])
+def test_derivations_equal_in_both_engines(spark, small_con, table):
+    from distkpi.sources.testdata import derivation_sql, load_tables
+    df = getattr(load_tables(spark, SMALL), table)
+    res = compare(df.select(*[c for c in df.columns]), small_con, derivation_sql(table))
+    assert res["columns_match"] and res["spark_rows"] == res["oracle_rows"], res
+    assert res["values_match"], res
