@@ -30,10 +30,6 @@ def norm(v):
         return repr(float(v))
     if isinstance(v, (dt.datetime, dt.date)):
         return v.isoformat()
-    if isinstance(v, bool):
-        return str(v)
-    if isinstance(v, int):
-        return repr(float(v)) if False else str(v)
     return str(v)
 
 
