@@ -79,7 +79,8 @@ def cover_expr(inv: str, trg: str, days: str, snap: bool = True) -> str:
     v = f"coalesce({inv}, 0)"
     if snap:
         v = f"(CASE WHEN abs({v}) < {SNAP_EPSILON} THEN 0 ELSE {v} END)"
-    return f"round(CAST({v} AS DOUBLE) * {days} / nullif(CAST({trg} AS DOUBLE), 0), 1)"
+    # "+ 0.0" turns a negative zero from round() into 0.0, as decimal rounding does.
+    return f"(round(CAST({v} AS DOUBLE) * {days} / nullif(CAST({trg} AS DOUBLE), 0), 1) + 0.0)"
 
 
 def pct_both_nonzero(a: str, t: str, scale: str = " * 100") -> str:

@@ -449,3 +449,10 @@ def test_snapshot_day_range_on_timestamps(spark):
     early = latest_snapshot(df, "record_created_date", "2000-02-01", "2000-02-29", by_day=True)
     assert [r[0] for r in early.select("record_created_date").collect()] == \
         [dt.datetime(2000, 2, 29, 23, 0)]
+
+
+def test_cover_days_has_no_negative_zero(spark):
+    import math
+    df = spark.createDataFrame([(D("-1"), D("1000"))], "inv decimal(18,4), trg decimal(18,4)")
+    v = df.select(C.cover_days(F.col("inv"), F.col("trg"), 31)).collect()[0][0]
+    assert v == 0.0 and math.copysign(1.0, v) == 1.0
