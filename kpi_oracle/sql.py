@@ -85,7 +85,7 @@ def cover_expr(inv: str, trg: str, days: str, snap: bool = True) -> str:
 
 def pct_both_nonzero(a: str, t: str, scale: str = " * 100") -> str:
     return (f"CASE WHEN {a} <> 0 AND {t} <> 0 "
-            f"THEN round(CAST({a} AS DOUBLE) / CAST({t} AS DOUBLE){scale}, 2) ELSE 0 END")
+            f"THEN round(CAST({a} AS DOUBLE) / CAST({t} AS DOUBLE){scale}, 2) + 0.0 ELSE 0 END")
 
 
 def price_pick(item: str, anchor: str) -> str:
@@ -175,7 +175,7 @@ target_side AS (
 SELECT tg.label AS classification,
        CAST(st.inv AS DOUBLE) AS inv_val, CAST(st.inv_cost AS DOUBLE) AS inv_val_efp,
        CAST(tg.trg AS DOUBLE) AS trg_value, CAST(st.units AS DOUBLE) AS quantity,
-       round(CAST(tg.trg AS DOUBLE) / {n}, 1) AS daily_target,
+       (round(CAST(tg.trg AS DOUBLE) / {n}, 1) + 0.0) AS daily_target,
        {cover_expr('st.inv', 'tg.trg', n)} AS cover_days,
        {cover_expr('st.inv_cost', 'tg.trg', n)} AS cover_days_efp
 FROM target_side tg LEFT JOIN stock_side st ON st.label = tg.label
@@ -195,7 +195,7 @@ stock_total AS (SELECT sum(at_price) AS inv, sum(at_cost) AS inv_cost, sum(qty)
 target_total AS (SELECT sum(target_value) AS trg FROM month_targets)
 SELECT CAST(st.inv AS DOUBLE) AS inv_val, CAST(tg.trg AS DOUBLE) AS trg_value,
        CAST(st.units AS DOUBLE) AS quantity, CAST(st.inv_cost AS DOUBLE) AS inv_val_efp,
-       round(CAST(tg.trg AS DOUBLE) / {n}, 1) AS daily_target,
+       (round(CAST(tg.trg AS DOUBLE) / {n}, 1) + 0.0) AS daily_target,
        {cover_expr('st.inv', 'tg.trg', n)} AS cover_days,
        {cover_expr('st.inv_cost', 'tg.trg', n)} AS cover_days_efp
 FROM stock_total st CROSS JOIN target_total tg""")
@@ -470,7 +470,7 @@ with_total AS (
   SELECT '{TOTAL}', sum(dv), sum(cv) FROM lined)
 SELECT cls AS classification, CAST(dv AS DOUBLE) AS distributor_target,
        CAST(cv AS DOUBLE) AS company_target,
-       CASE WHEN cv <> 0 THEN round(CAST(dv AS DOUBLE) / CAST(cv AS DOUBLE) * 100, 2) ELSE 0 END
+       CASE WHEN cv <> 0 THEN round(CAST(dv AS DOUBLE) / CAST(cv AS DOUBLE) * 100, 2) + 0.0 ELSE 0 END
          AS distributor_vs_company_pct
 FROM with_total""")
 
@@ -483,7 +483,7 @@ SELECT d.material_name, d.channel_type,
        CAST(sum(d.so_quantity) AS DOUBLE) AS total_order_qty,
        CAST(sum(d.deliverd_qty) AS DOUBLE) AS total_delivery_qty,
        round(CAST(sum(d.deliverd_qty) AS DOUBLE) / nullif(CAST(sum(d.so_quantity) AS DOUBLE), 0)
-             * 100, 2) AS delivery_pct
+             * 100, 2) + 0.0 AS delivery_pct
 FROM dispatch d
 LEFT JOIN items_class cv ON cv.mapping_code = d.material_no
 WHERE d.actual_gm_date BETWEEN {day(s)} AND {day(e)}
