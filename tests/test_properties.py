@@ -69,11 +69,11 @@ def test_summary_independent_of_partitioning(spark, t):
 
 def test_day_partitioned_marts_give_the_same_results(spark, t):
     path = scratch_path(spark, f"marts-day-{uuid.uuid4().hex[:8]}")
-    # Layout test on one year of the daily facts (keeps the number of folders small).
-    from distkpi.sources.marts import CLUSTERED
+    # Layout test on one year of every date-keyed table (keeps the number of folders small).
+    from distkpi.sources.marts import CLUSTERED, PARTITIONED
     small = t.__class__(**{**t.as_dict(), **{
         n: getattr(t, n).where(F.col(c) >= F.lit("2000-01-01").cast(getattr(t, n).schema[c].dataType))
-        for n, c in CLUSTERED.items()}})
+        for n, c in {**CLUSTERED, **PARTITIONED}.items()}})
     write_marts(small, path, fact_layout="day")
     day = read_marts(spark, path)
     a = sorted(map(repr, sales.sales_summary(t, S, E).collect()))
