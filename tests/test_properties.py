@@ -69,11 +69,16 @@ def test_summary_independent_of_partitioning(spark, t):
 
 def test_day_partitioned_marts_give_the_same_results(spark, t):
     path = scratch_path(spark, f"marts-day-{uuid.uuid4().hex[:8]}")
-    # Layout test on one year of every date-keyed table (keeps the number of folders small).
+    # Layout test on the quarter around the report month for every date-keyed
+    # table (keeps the number of folders small; the March report is unchanged).
     from distkpi.sources.marts import CLUSTERED, PARTITIONED
+
+    def quarter(df, c):
+        typ = df.schema[c].dataType
+        return df.where((F.col(c) >= F.lit("2000-01-01").cast(typ))
+                        & (F.col(c) < F.lit("2000-04-01").cast(typ)))
     small = t.__class__(**{**t.as_dict(), **{
-        n: getattr(t, n).where(F.col(c) >= F.lit("2000-01-01").cast(getattr(t, n).schema[c].dataType))
-        for n, c in {**CLUSTERED, **PARTITIONED}.items()}})
+        n: quarter(getattr(t, n), c) for n, c in {**CLUSTERED, **PARTITIONED}.items()}})
     write_marts(small, path, fact_layout="day")
     day = read_marts(spark, path)
     a = sorted(map(repr, sales.sales_summary(t, S, E).collect()))
