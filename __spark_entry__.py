@@ -28,6 +28,15 @@ from distkpi.plans import documented as doc  # noqa: E402
 from distkpi.plans import lists, sales, stock, supply  # noqa: E402
 from distkpi.sources.testdata import load_tables  # noqa: E402
 
+try:
+    from distkpi.llm.queries import ORACLE_SQL as LLM_ORACLE_SQL, QUERIES as LLM_QUERIES
+except ImportError:          # the subpackage is optional
+    LLM_QUERIES, LLM_ORACLE_SQL = {}, {}
+try:
+    from corpus_pipeline import ORACLE_SQL as PIPELINE_SQL, run as run_pipeline
+except ImportError:
+    run_pipeline = PIPELINE_SQL = None
+
 SMOKE_DIR = "/root/testdata/sf0.001"
 
 # Report parameters of the registered queries (the test data spans 1995-2001).
@@ -208,8 +217,12 @@ def entry(spark: SparkSession) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {name: (lambda spark, sf_dir, _f=fn: _f(_tables(spark, sf_dir)))
-            for name, fn in CASES.items()}
+    out = {name: (lambda spark, sf_dir, _f=fn: _f(_tables(spark, sf_dir)))
+           for name, fn in CASES.items()}
+    out.update(LLM_QUERIES)
+    if run_pipeline is not None:
+        out["pipeline"] = run_pipeline
+    return out
 
 
 def oracle_sql() -> dict[str, str]:
@@ -277,4 +290,7 @@ def oracle_sql() -> dict[str, str]:
         "regional_distributors": o.regional_distributors(BL),
     }
     out.update(o.operator_sql(S, E, DS, DE, FILTERS))
+    out.update(LLM_ORACLE_SQL)
+    if PIPELINE_SQL:
+        out["pipeline"] = PIPELINE_SQL
     return out
