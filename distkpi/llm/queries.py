@@ -4,9 +4,10 @@ from __future__ import annotations
 
 import uuid
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from distkpi.llm import quality_rules, secret_ledger, source_mix
+from distkpi.llm import bpe_prefix, jaccard_join, quality_rules, secret_ledger, source_mix
 from distkpi.llm.common import read
 from distkpi.session import scratch_path
 
@@ -21,14 +22,26 @@ def op4_secret_ledger(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secret_ledger.secret_spans(read(spark, sf_dir, "documents"), path)
 
 
+def op6_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard_join.jaccard_components(read(spark, sf_dir, "documents"))
+
+
 def op9_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return source_mix.mix(read(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op3_quality_rules, op4_secret_ledger, op9_source_mix)}
+def op10_bpe_prefix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bpe_prefix.encode(read(spark, sf_dir, "documents"),
+                             public_tokenizers.path("byte_bpe_multi_50k.tiktoken"),
+                             public_tokenizers.PATTERN)
+
+
+QUERIES = {f.__name__: f for f in (op3_quality_rules, op4_secret_ledger, op6_jaccard_join,
+                                   op9_source_mix, op10_bpe_prefix)}
 
 ORACLE_SQL = {
     "op3_quality_rules": quality_rules.oracle(),
     "op4_secret_ledger": secret_ledger.oracle(),
+    "op6_jaccard_join": jaccard_join.oracle(),
     "op9_source_mix": source_mix.oracle(),
 }
