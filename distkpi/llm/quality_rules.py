@@ -140,8 +140,13 @@ def quality_rules(docs: DataFrame, text: str = "text") -> DataFrame:
 
 
 def keep_good(docs: DataFrame, text: str = "text") -> DataFrame:
-    """The rows of ``docs`` that pass, unchanged."""
-    return measure(docs, text).filter("_kept").select("_row.*")
+    """The rows of ``docs`` that pass, unchanged.
+
+    The row number keeps the optimizer from moving the filter below the measures, where the
+    verdict's whole expression would be written out again for every use of a measure.
+    """
+    judged = measure(docs, text).select("_row", "_kept", F.monotonically_increasing_id().alias("_n"))
+    return judged.filter("_kept AND _n >= 0").select("_row.*")
 
 
 def oracle(table: str = "documents") -> str:
