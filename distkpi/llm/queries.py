@@ -7,11 +7,25 @@ import uuid
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from distkpi.llm import bpe_prefix, jaccard_join, quality_rules, secret_ledger, source_mix
+from pyspark.sql import functions as F
+
+from distkpi.llm import (bpe_prefix, collision_search, jaccard_join, language_mixture, length_histogram,
+                         quality_ranking, quality_rules, secret_ledger, source_mix, warc_bundles)
 from distkpi.llm.common import read
 from distkpi.session import scratch_path
 
 
+VOCABULARY = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
+
+
+def op1_language_mixture(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language_mixture.identify(read(spark, sf_dir, "documents"))
+
+
+def op2_collision_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collision_search.nearest(read(spark, sf_dir, "embeddings"), F.col("vec_id") % 100 == 0)
+
+
 def op3_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.quality_rules(read(spark, sf_dir, "documents"))
 
@@ -22,26 +36,40 @@ def op4_secret_ledger(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secret_ledger.secret_spans(read(spark, sf_dir, "documents"), path)
 
 
+def op5_warc_bundles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc_bundles.archive(read(spark, sf_dir, "pages"))
+
+
 def op6_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_join.jaccard_components(read(spark, sf_dir, "documents"))
 
 
+def op7_quality_ranking(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality_ranking.rank(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"))
+
+
+def op8_length_histogram(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return length_histogram.suffix_table(length_histogram.lengths(
+        read(spark, sf_dir, "documents"), VOCABULARY, public_tokenizers.PATTERN))
+
+
 def op9_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return source_mix.mix(read(spark, sf_dir, "documents"))
 
 
 def op10_bpe_prefix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe_prefix.encode(read(spark, sf_dir, "documents"),
-                             public_tokenizers.path("byte_bpe_multi_50k.tiktoken"),
-                             public_tokenizers.PATTERN)
+                             VOCABULARY, public_tokenizers.PATTERN)
 
 
-QUERIES = {f.__name__: f for f in (op3_quality_rules, op4_secret_ledger, op6_jaccard_join,
-                                   op9_source_mix, op10_bpe_prefix)}
+QUERIES = {f.__name__: f for f in (
+    op1_language_mixture, op2_collision_search, op3_quality_rules, op4_secret_ledger, op5_warc_bundles,
+    op6_jaccard_join, op7_quality_ranking, op8_length_histogram, op9_source_mix, op10_bpe_prefix)}
 
 ORACLE_SQL = {
     "op3_quality_rules": quality_rules.oracle(),
     "op4_secret_ledger": secret_ledger.oracle(),
+    "op5_warc_bundles": warc_bundles.oracle(),
     "op6_jaccard_join": jaccard_join.oracle(),
     "op9_source_mix": source_mix.oracle(),
 }
