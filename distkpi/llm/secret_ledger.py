@@ -95,15 +95,16 @@ def _ledger(spark, path: str) -> DataFrame | None:
 
 
 def scan(versions: DataFrame, ledger_path: str, rules: tuple[Rule, ...] = RULES,
-         text: str = "text") -> tuple[DataFrame, DataFrame]:
+         text: str = "text", keep: list[str] | None = None) -> tuple[DataFrame, DataFrame]:
     """Scan the unseen (blob, rule version) pairs of ``versions`` and append them to the ledger.
 
-    Returns the rows of ``versions`` with their blob address (``_row``, ``_blob``)
-    and the ledger after the scan: ``blob, kind, version, spans``.
+    Returns the rows of ``versions`` (the columns ``keep``; all by default) with
+    their blob address (``_row``, ``_blob``) and the ledger after the scan:
+    ``blob, kind, version, spans``.
     """
     spark = versions.sparkSession
     body = F.coalesce(F.col(f"`{text}`"), F.lit(""))
-    addressed = versions.select(F.struct(*[F.col(f"`{c}`") for c in versions.columns]).alias("_row"),
+    addressed = versions.select(F.struct(*[F.col(f"`{c}`") for c in keep or versions.columns]).alias("_row"),
                                 F.sha2(body, 256).alias("_blob"))
     blobs = versions.select(F.sha2(body, 256).alias("blob"), body.alias("body"))
     seen = _ledger(spark, ledger_path)
@@ -140,9 +141,9 @@ def _merged(ledger: DataFrame, rules) -> DataFrame:
 
 
 def find(versions: DataFrame, ledger_path: str, rules: tuple[Rule, ...] = RULES,
-         text: str = "text") -> DataFrame:
+         text: str = "text", keep: list[str] | None = None) -> DataFrame:
     """Rows of ``versions`` (``_row``) with ``_hits``: start, rank, end, kind of all findings in order."""
-    addressed, ledger = scan(versions, ledger_path, rules, text)
+    addressed, ledger = scan(versions, ledger_path, rules, text, keep)
     empty = F.expr("CAST(array() AS array<struct<start:int,rank:int,end:int,kind:string>>)")
     return addressed.join(_merged(ledger, rules), F.col("_blob") == F.col("blob"), "left").select(
         "_row", F.coalesce("_hits", empty).alias("_hits"))
@@ -155,7 +156,7 @@ def _joined(hits: Column) -> Column:
 
 def secret_spans(docs: DataFrame, ledger_path: str, rules: tuple[Rule, ...] = RULES) -> DataFrame:
     """doc_id, counts of the base kinds, digest of the base spans, all spans."""
-    df = find(docs, ledger_path, rules)
+    df = find(docs, ledger_path, rules, keep=["doc_id"])
 
     def n(kind: str) -> Column:
         return F.size(F.filter("_hits", lambda s: s["kind"] == kind)).cast("long").alias(f"n_{kind}")
