@@ -334,12 +334,13 @@ def keep_one(docs: DataFrame, text: str = "text") -> DataFrame:
     gone = found.filter("component_id <> doc_id").select(F.col("doc_id").alias("_gone")).distinct()
     twice = found.filter("doc_id IS NOT NULL").groupBy("doc_id").count().filter("count > 1").select(
         F.col("doc_id").alias("_twice"))
-    left = docs.join(gone, F.col("doc_id") == F.col("_gone"), "left_anti")
-    single = left.join(twice, F.col("doc_id") == F.col("_twice"), "left_anti")
-    nth = F.row_number().over(Window.partitionBy("doc_id").orderBy(text))
-    repeated = left.join(twice, F.col("doc_id") == F.col("_twice"), "left_semi").withColumn(
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row"))
+    left = rows.join(gone, F.col("_row.doc_id") == F.col("_gone"), "left_anti")
+    single = left.join(twice, F.col("_row.doc_id") == F.col("_twice"), "left_anti")
+    nth = F.row_number().over(Window.partitionBy("_row.doc_id").orderBy(f"_row.{text}"))
+    repeated = left.join(twice, F.col("_row.doc_id") == F.col("_twice"), "left_semi").withColumn(
         "_nth", nth).filter("_nth = 1").drop("_nth")
-    return single.unionByName(repeated)
+    return single.unionByName(repeated).select("_row.*")
 
 
 def oracle(table: str = "documents") -> str:
