@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import calendar
 import datetime as dt
+from decimal import Decimal
 from functools import reduce
 from operator import add
 
@@ -32,11 +33,13 @@ def normalize_item_code(code: Column, strict: bool = True) -> Column:
     """Item code as the class view keys it: codes not starting with ``F`` lose
     their leading zeros through an integer cast; ``F`` codes and NULL pass.
 
-    ``strict`` keeps the failing cast of a malformed code (an error under ANSI);
+    ``strict`` raises on a malformed code, whatever the session's ANSI mode;
     ``strict=False`` turns such codes into NULL instead.
     """
-    as_int = code.cast("int") if strict else code.try_cast("int")
-    return F.when(~code.like("F%"), as_int.cast("string")).otherwise(code)
+    as_int = code.try_cast("int").cast("string")
+    if strict:
+        as_int = F.coalesce(as_int, F.raise_error(F.concat(F.lit("malformed item code: "), code)))
+    return F.when(~code.like("F%"), as_int).otherwise(code)
 
 
 def resolve_mapping_code(mapping_code: Column, matnr: Column) -> Column:
@@ -44,11 +47,6 @@ def resolve_mapping_code(mapping_code: Column, matnr: Column) -> Column:
     return F.when((mapping_code == "") | mapping_code.isNull(), matnr).otherwise(mapping_code)
 
 
-def pad_item_code(code: Column, width: int = 10) -> Column:
-    """Short item code to the item master's zero-padded form (``F`` codes stay)."""
-    return F.when(code.like("F%"), code).otherwise(F.lpad(code, width, "0"))
-
-
 def month_label_padded(d: Column) -> Column:
     """``'Month YYYY'`` with the month name blank-padded to 9 characters."""
     return F.concat(F.rpad(F.date_format(d, "MMMM"), 9, " "), F.lit(" "), F.date_format(d, "yyyy"))
@@ -62,51 +60,59 @@ def month_label(d: Column) -> Column:
 def snap_small(value: Column, eps: float = SNAP_EPSILON) -> Column:
     """NULL to 0, and any value with magnitude under ``eps`` to 0."""
     v = F.coalesce(value, F.lit(0))
-    return F.when(F.abs(v) < eps, F.lit(0)).otherwise(v).cast("double")
+    return F.when(F.abs(v) < eps, F.lit(0)).otherwise(v)
+
+
+def round_ratio(num: Column, den: Column, digits: int, times: int = 1) -> Column:
+    """``round(num * times / den, digits)`` of decimals, half away from zero, exactly.
+
+    Both sides are scaled to integers (sums have at most 4 decimals) and
+    divided once with ``div``, so no intermediate quotient is cut and no value
+    passes through binary floating point. NULL when ``den`` is 0 or NULL.
+    Returns a decimal with ``digits`` decimals.
+    """
+    n = (num.cast("decimal(28,4)") * F.lit(10_000)).cast("decimal(30,0)")
+    d = F.nullif((den.cast("decimal(28,4)") * F.lit(10_000)).cast("decimal(30,0)"), F.lit(0))
+    units = F.call_function("div", F.abs(n) * F.lit(2 * times * 10 ** digits) + F.abs(d), F.abs(d) * F.lit(2))
+    signed = F.when((n < 0) != (d < 0), -units).otherwise(units)
+    return (signed.cast("decimal(20,0)") * F.lit(Decimal(1).scaleb(-digits))).cast(f"decimal(24,{digits})")
 
 
 def daily_target(target: Column, days: int) -> Column:
     """Target per day of the month, rounded to 1 decimal."""
-    return F.round(target.cast("double") / F.lit(days), 1)
+    return round_ratio(target, F.lit(days), 1)
 
 
 def cover_days(inventory: Column, target: Column, days: int, snap: bool = True) -> Column:
-    """Days of sales the inventory covers: ``inventory / (target / days)``.
+    """Days of sales the inventory covers: ``inventory / (target / days)``, rounded to 1 decimal.
 
-    Written multiply-first (``inventory * days / target``) in double after the
-    exact decimal sums, so chained decimal division cannot lose digits. A zero
-    or NULL target gives NULL.
+    A zero or NULL target gives NULL.
     """
-    inv = snap_small(inventory) if snap else F.coalesce(inventory, F.lit(0)).cast("double")
-    trg = F.nullif(target.cast("double"), F.lit(0.0))
-    return F.round(inv * F.lit(float(days)) / trg, 1)
+    inv = snap_small(inventory) if snap else F.coalesce(inventory, F.lit(0))
+    return round_ratio(inv, target, 1, times=days)
 
 
 def attainment(actual: Column, target: Column, zero: str = "zero",
-               scale: float = 100.0, digits: int | None = 2) -> Column:
-    """Actual over target.
+               scale: int = 100, digits: int = 2) -> Column:
+    """Actual over target, in percent by default, rounded exactly (:func:`round_ratio`).
 
     ``zero='zero'``: 0 when either side is 0 or NULL;
     ``zero='denominator'``: 0 when the target is 0 or NULL;
     ``zero='null'``: NULL when the target is 0;
     ``zero='raw'``: unrounded, unscaled ratio, NULL on a zero target.
     """
-    a, t = actual.cast("double"), target.cast("double")
     if zero == "raw":
-        return a / F.nullif(t, F.lit(0.0))
-    ratio = a / F.nullif(t, F.lit(0.0))
-    if scale != 1:
-        ratio = ratio * F.lit(float(scale))
-    value = F.round(ratio, digits) if digits is not None else ratio
+        return actual.cast("double") / F.nullif(target.cast("double"), F.lit(0.0))
+    value = round_ratio(actual, target, digits, times=scale)
     if zero == "null":
         return value
     if zero == "zero":
-        ok = (a != 0) & (t != 0)
+        ok = (actual != 0) & (target != 0)
     elif zero == "denominator":
-        ok = t != 0
+        ok = target != 0
     else:
         raise ValueError(f"unknown zero rule {zero!r}")
-    return F.when(ok, value).otherwise(F.lit(0.0))
+    return F.when(ok, value).otherwise(F.lit(0))
 
 
 def count_share_pct(part: Column, whole: Column, digits: int = 2) -> Column:
@@ -136,7 +142,3 @@ def threshold_for(cls: Column, thresholds: dict[str, int] | None = None) -> Colu
 def bucket_total(cols: list[str]) -> Column:
     """Row-wise sum of bucket columns; one NULL bucket makes the row total NULL."""
     return reduce(add, [F.col(c) for c in cols])
-
-
-def to_double(c: Column) -> Column:
-    return c.cast("double")

@@ -9,6 +9,8 @@ instead of failing an executor.
 
 from __future__ import annotations
 
+from decimal import Decimal
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -52,11 +54,9 @@ def with_location(df: DataFrame, locations: DataFrame, key: Column) -> DataFrame
     return df.join(dim, F.col(LOC_CODE).cast("string") == key.cast("string"), "left")
 
 
-def assert_unique(df: DataFrame, *keys: str) -> DataFrame:
-    """Duplicated keys of a dimension (empty when the dimension is clean).
-
-    Opt-in check: a duplicated key fans out every fact row that joins to it.
-    """
+def duplicate_keys(df: DataFrame, *keys: str) -> DataFrame:
+    """Duplicated keys of a dimension (empty when the dimension is clean). A duplicated
+    key fans out every fact row that joins to it."""
     return df.groupBy(*keys).count().where(F.col("count") > 1)
 
 
@@ -67,7 +67,7 @@ def check_dimensions(t: Tables) -> DataFrame:
     """
     checks = [("items", t.items, "matnr"), ("items_class", t.items_class, "mapping_code"),
               ("locations", t.locations, "inv_sloc")]
-    parts = [assert_unique(df, key).select(F.lit(name).alias("table"),
+    parts = [duplicate_keys(df, key).select(F.lit(name).alias("table"),
                                            F.col(key).cast("string").alias("key"), "count")
              for name, df, key in checks]
     out = parts[0]
@@ -76,10 +76,13 @@ def check_dimensions(t: Tables) -> DataFrame:
     return out
 
 
-def _pick_key(rank: Column, first_date: Column) -> Column:
-    # Ascending rank, then the newest date first, as one orderable long:
-    # a plain min over it keeps the aggregate hash-based with partial merge.
-    return rank.cast("long") * F.lit(100_000_000) - F.unix_date(first_date).cast("long")
+def _pick_key(rank: Column, first_date: Column, price: Column) -> Column:
+    # Ascending rank, then the newest date, then the highest price (NULL last),
+    # as one orderable decimal: a plain min over it keeps the aggregate
+    # hash-based with partial merge, and the pick does not depend on row order.
+    newest = rank.cast("long") * F.lit(100_000_000) - F.unix_date(first_date).cast("long")
+    tie = F.coalesce(price.cast("decimal(14,2)"), F.lit(Decimal("-99999999999")))
+    return newest.cast("decimal(18,0)") * F.lit(Decimal(10) ** 12) - tie
 
 
 def price_fixed(prices: DataFrame, end) -> DataFrame:
@@ -88,7 +91,8 @@ def price_fixed(prices: DataFrame, end) -> DataFrame:
     Candidates are the item's rows dated in the month of ``end`` or the month
     before. Preference: own month with a non-zero price, then the previous
     month (even a zero or NULL price), then the own month's zero/NULL price;
-    within a rank the latest ``first_date``. Returns ``(item_code, price)``.
+    within a rank the latest ``first_date``, on one date the highest price.
+    Returns ``(item_code, price)``.
     """
     prev_lo, _ = month_bounds(end, back=1)
     own_lo, hi = month_bounds(end)
@@ -97,7 +101,7 @@ def price_fixed(prices: DataFrame, end) -> DataFrame:
     own = d >= F.lit(own_lo)
     rank = F.when(own & (F.coalesce(p, F.lit(0)) != 0), 0).when(~own, 1).otherwise(2)
     return (cand.groupBy("item_code")
-            .agg(F.min_by(p, _pick_key(rank, d)).alias("price")))
+            .agg(F.min_by(p, _pick_key(rank, d, p)).alias("price")))
 
 
 def price_asof(prices: DataFrame, start=None, end=None) -> DataFrame:
@@ -129,4 +133,4 @@ def price_asof(prices: DataFrame, start=None, end=None) -> DataFrame:
     if end is not None:
         cand = cand.where(F.col("month") < F.lit(month_bounds(end)[1]))
     return (cand.groupBy("item_code", "month")
-            .agg(F.min_by(F.col("price"), _pick_key(F.col("rank"), F.col("first_date"))).alias("price")))
+            .agg(F.min_by(F.col("price"), _pick_key(F.col("rank"), F.col("first_date"), F.col("price"))).alias("price")))

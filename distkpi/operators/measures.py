@@ -8,13 +8,13 @@ from collections.abc import Callable, Iterable, Mapping
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from distkpi.functions.columns import normalize_item_code, pad_item_code
+from distkpi.functions.columns import normalize_item_code
 from distkpi.constants import BUSINESS_LINES
 from distkpi.operators.filters import (in_month, in_values, as_values,
                                        sellable_stock)
 from distkpi.operators.lookup import (CLS_CLASS, CLS_CODE, ITM_MAPPING, LOC_CODE, with_class,
                                       with_item, with_location)
-from distkpi.operators.snapshot import latest_snapshot
+from distkpi.operators.snapshot import latest_date, latest_opening_load
 from distkpi.sources.tables import Tables
 
 
@@ -26,12 +26,18 @@ def optional_in(df: DataFrame, column: str, values) -> DataFrame:
     return df.where(in_values(F.col(column), df.schema[column].dataType, vals))
 
 
-def sellable_snapshot(stock: DataFrame, snapshot_col: str, start, end,
+def sellable_snapshot(t: Tables, by: str, start, end,
                       buslines: Iterable[str] = BUSINESS_LINES) -> DataFrame:
-    """Sellable stock rows of the newest load (of those lines) inside ``[start, end]``."""
+    """Sellable stock rows of the newest load (of those lines) inside ``[start, end]``,
+    ``by`` its ``'closing'`` or ``'opening'`` date."""
     buslines = list(buslines)
-    snap = latest_snapshot(stock, snapshot_col, start, end,
-                           where=F.col("busline_code").isin(buslines))
+    lines = F.col("busline_code").isin(buslines)
+    if by == "opening":
+        snap = latest_opening_load(t, start, end, lines)
+    else:
+        column = "stock_closing_date"
+        dates = t.stock if t.stock_loads is None else t.stock_loads
+        snap = t.stock.where(F.col(column) == latest_date(dates, column, start, end, lines))
     return sellable_stock(snap, buslines)
 
 
@@ -43,7 +49,7 @@ def classified_stock(t: Tables, start, end, classification=None, sku=None, branc
     normalised code and to the locations; class/sku filter the *view's*
     columns, branch the location code; optionally ``qty <> 0``.
     """
-    s = sellable_snapshot(t.stock, "stock_closing_date", start, end)
+    s = sellable_snapshot(t, "closing", start, end)
     s = with_class(s, t.items_class, normalize_item_code(F.col("item_code")))
     s = with_location(s, t.locations, F.col("subinventory_code"))
     s = optional_in(s, CLS_CLASS, classification)
@@ -82,7 +88,7 @@ def opening_stock_by_mapping(t: Tables, start, end) -> DataFrame:
     Rows carry ``itm_mapping_code`` (resolved), ``itm_desc``, the class of the
     resolved code (``cls_*``) and the location (``loc_*``).
     """
-    s = sellable_snapshot(t.stock, "stock_opening_date", start, end)
+    s = sellable_snapshot(t, "opening", start, end)
     # Two joins, each with its own size check. Joining the two dimensions first
     # would probe the fact once, but Spark (without CBO) estimates a join as
     # the product of its inputs, so the joined dimension would lose its static
@@ -95,12 +101,13 @@ def opening_stock_by_mapping(t: Tables, start, end) -> DataFrame:
 def targets_by_mapping(t: Tables, end, class_on: str = "item") -> DataFrame:
     """Month-of-``end`` targets resolved to the item master's mapping code.
 
-    The targets carry the short item code; the master is keyed by the padded
-    code. ``class_on='item'`` classifies by the target's own item code,
+    The master is joined on the target's own item code (``item_code = matnr``);
+    a code that the master does not hold resolves to NULL. Source-specific key
+    mappings belong to the load (``sources/external.py``). ``class_on='item'`` classifies by the target's own item code,
     ``'mapping'`` by the resolved mapping code.
     """
     tg = in_month(t.targets, "target_date", end)
-    tg = with_item(tg, t.items, pad_item_code(F.col("item_code")))
+    tg = with_item(tg, t.items, F.col("item_code"))
     key = F.col("item_code") if class_on == "item" else F.col(ITM_MAPPING)
     return with_class(tg, t.items_class, key)
 

@@ -35,6 +35,27 @@ def latest_date(df: DataFrame, column: str, start, end, where: Column | None = N
     return df.where(cond).agg(F.max(c)).scalar()
 
 
+def latest_opening_load(t, start, end, where: Column) -> DataFrame:
+    """Stock rows of the newest opening date in ``[start, end]``.
+
+    The stock mart is partitioned by closing date. With the table of loads, the
+    newest opening date and the closing dates of its rows are looked up there,
+    and the range of these closing dates prunes the stock partitions; without
+    it the stock itself is asked, as for any other snapshot.
+    """
+    column = "stock_opening_date"
+    if t.stock_loads is None:
+        return latest_snapshot(t.stock, column, start, end, where)
+    closing = F.col("stock_closing_date")
+
+    def of_newest(pick) -> Column:
+        newest = latest_date(t.stock_loads, column, start, end, where)
+        return t.stock_loads.where(F.col(column) == newest).agg(pick(closing)).scalar()
+
+    return t.stock.where((F.col(column) == latest_date(t.stock_loads, column, start, end, where))
+                         & (closing >= of_newest(F.min)) & (closing <= of_newest(F.max)))
+
+
 def latest_snapshot(df: DataFrame, column: str, start, end, where: Column | None = None,
                     by_day: bool = False) -> DataFrame:
     """Rows of the newest load in ``[start, end]``; the inner ``where`` only

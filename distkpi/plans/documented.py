@@ -28,13 +28,13 @@ def _distinct_count(c: str, approx: bool) -> Column:
 def gross_summary(t: Tables, start, end, approx: bool = False) -> DataFrame:
     h = common_sales_filter(t.sales_header, start, end)
     return h.groupBy("data_flag").agg(
-        F.sum("gross_amount").cast("double").alias("gross_amount"),
+        F.sum("gross_amount").alias("gross_amount"),
         _distinct_count("customer_code", approx).alias("customer_count"))
 
 
 def revenue_total(t: Tables, start, end) -> DataFrame:
     h = common_sales_filter(t.sales_header, start, end)
-    return h.groupBy("data_flag").agg(F.sum("gross_amount").cast("double").alias("gross_amount"))
+    return h.groupBy("data_flag").agg(F.sum("gross_amount").alias("gross_amount"))
 
 
 def customer_universe(t: Tables, start, end, approx: bool = False) -> DataFrame:
@@ -52,7 +52,7 @@ def purchases_per_outlet_month(t: Tables, start, end) -> DataFrame:
 
 def _bucket_cond(n: int) -> Column:
     p = F.col("purchases")
-    return p >= 4 if n >= 4 else p == n
+    return p >= 4 if n == 4 else p == n
 
 
 def purchase_frequency(t: Tables, start, end) -> DataFrame:
@@ -63,7 +63,9 @@ def purchase_frequency(t: Tables, start, end) -> DataFrame:
 
 
 def outlets_with_n_purchases(t: Tables, start, end, n: int) -> DataFrame:
-    """Per flag, (outlet, month) pairs with exactly ``n`` purchases (``n >= 4``: at least 4)."""
+    """Per flag, (outlet, month) pairs with exactly ``n`` purchases; ``n = 4`` means 4 or more."""
+    if n not in PURCHASE_BUCKETS:
+        raise ValueError(f"n must be one of {sorted(PURCHASE_BUCKETS)}, where 4 means 4 or more")
     per = purchases_per_outlet_month(t, start, end).where(_bucket_cond(n))
     return per.groupBy("data_flag").agg(F.count(F.lit(1)).alias("outlet_count"))
 
@@ -80,27 +82,42 @@ def top_sku_class_a(t: Tables, start, end, classification="A") -> DataFrame:
                   classification or "A")
     r = h.groupBy(F.trunc("billing_date", "MM").alias("month_"), "item_description", "grp_brand",
                   "catg_theraptic").agg(F.count_distinct(F.col("document_no")).alias("doc_cnt"))
-    return r.orderBy(F.desc("month_"), F.desc("doc_cnt"), F.asc_nulls_last("item_description"))
+    return r.orderBy(F.desc("month_"), F.desc("doc_cnt"), F.asc_nulls_last("item_description"),
+                     F.asc_nulls_last("grp_brand"), F.asc_nulls_last("catg_theraptic"))
+
+
+#: The lists and their columns; the marts keep each as a small table.
+LISTS = {"business_lines": ["business_line_id", "business_line_desc"],
+         "products": ["business_line_id", "item_code", "item_description"],
+         "locations": ["business_line_id", "branch_id", "branch_desc"],
+         "regional_distributors": ["business_line_id", "distributor_code", "distributor_desc"]}
+
+
+def header_list(t: Tables, name: str) -> DataFrame:
+    """Distinct rows of a list: from its own table, else from the whole header."""
+    if t.header_lists is not None:
+        return t.header_lists[name]
+    return t.sales_header.select(*LISTS[name]).distinct()
 
 
 def business_lines(t: Tables) -> DataFrame:
-    return t.sales_header.select("business_line_id", "business_line_desc").distinct()
+    return header_list(t, "business_lines")
 
 
-def _for_line(t: Tables, business_line: str, *cols: str) -> DataFrame:
+def _for_line(t: Tables, business_line: str, name: str) -> DataFrame:
     if not business_line:
         raise ValueError("a business line is required")
-    return (t.sales_header.where(F.col("business_line_id") == business_line)
-            .select(*cols).distinct())
+    rows = header_list(t, name).where(F.col("business_line_id") == business_line)
+    return rows.select(*LISTS[name][1:])
 
 
 def products(t: Tables, business_line: str) -> DataFrame:
-    return _for_line(t, business_line, "item_code", "item_description")
+    return _for_line(t, business_line, "products")
 
 
 def locations(t: Tables, business_line: str) -> DataFrame:
-    return _for_line(t, business_line, "branch_id", "branch_desc")
+    return _for_line(t, business_line, "locations")
 
 
 def regional_distributors(t: Tables, business_line: str) -> DataFrame:
-    return _for_line(t, business_line, "distributor_code", "distributor_desc")
+    return _for_line(t, business_line, "regional_distributors")

@@ -32,25 +32,47 @@ def sku_count_by_class(t: Tables) -> DataFrame:
 
 
 def table_page(df: DataFrame, order_by: list[str], limit: int = DEFAULT_PAGE_SIZE,
-               offset: int = 0) -> DataFrame:
+               offset: int = 0, after: list | None = None) -> DataFrame:
     """One page of a table. A sort key is required: an unordered page is not
-    reproducible. Paging is the feature here, so the limit is the result."""
+    reproducible. Paging is the feature here, so the limit is the result.
+
+    ``after`` is the sort key of the last row of the page before: the page
+    starts behind it, and costs the same at any depth (a filter and a top-k of
+    ``limit`` rows), while ``offset`` makes one task merge ``offset + limit``
+    rows. Rows that share the whole key with that row are skipped, so the key
+    should be unique.
+    """
     if not order_by:
         raise ValueError("table_page needs a sort key")
+    if after is not None:
+        if len(after) != len(order_by):
+            raise ValueError("after needs one value per sort key")
+        behind, equal = F.lit(False), F.lit(True)
+        for name, value in zip(order_by, after):
+            c, v = F.col(name), F.lit(value)
+            if value is not None:          # ascending, NULL last
+                behind = behind | (equal & ((c > v) | c.isNull()))
+            equal = equal & c.eqNullSafe(v)
+        df = df.where(behind)
     return df.orderBy(*[F.asc_nulls_last(c) for c in order_by]).offset(offset).limit(limit)
 
 
 def page(t: Tables, name: str, limit: int = DEFAULT_PAGE_SIZE, offset: int = 0,
-         order_by: list[str] | None = None) -> DataFrame:
+         order_by: list[str] | None = None, after: list | None = None) -> DataFrame:
     """One page of a logical table chosen by name. Without ``order_by`` the
     page is ordered by all columns, a total order, so pages do not overlap."""
     tables = t.as_dict()
     if name not in tables:
         raise KeyError(f"unknown table {name!r}; tables: {sorted(tables)}")
     df = tables[name]
-    return table_page(df, order_by or df.columns, limit=limit, offset=offset)
+    return table_page(df, order_by or df.columns, limit=limit, offset=offset, after=after)
 
 
 def list_tables(spark: SparkSession) -> DataFrame:
     """Tables and views visible in the current catalog and database."""
     return spark.sql("SHOW TABLES")
+
+
+def tables(t: Tables) -> DataFrame:
+    """:func:`list_tables` of the session the logical tables belong to."""
+    return list_tables(t.sales.sparkSession)

@@ -30,6 +30,7 @@ REPORTS: dict[str, Callable] = {
     "branch_list": lists.branch_list,
     "sku_count_by_class": lists.sku_count_by_class,
     "table_page": lists.page,
+    "list_tables": lists.tables,
     # documented sales metrics and lists
     "gross_summary": documented.gross_summary,
     "revenue_total": documented.revenue_total,

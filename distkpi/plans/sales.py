@@ -41,7 +41,7 @@ def sales_summary(t: Tables, start, end, classification=None, sku=None, branch=N
                 .where(F.col("amount") != 0))
     # One row per (class, item) already: COUNT(DISTINCT item) is COUNT(item).
     return per_item.groupBy("classification").agg(
-        F.count("item_code").alias("sku"), F.sum("amount").cast("double").alias("amount"))
+        F.count("item_code").alias("sku"), F.sum("amount").alias("amount"))
 
 
 def forecast_accuracy_monthly(t: Tables, start, end, classification=None, sku=None,
@@ -58,8 +58,8 @@ def forecast_accuracy_monthly(t: Tables, start, end, classification=None, sku=No
                   "loc_code", "item_code")
     b = tg.agg(F.sum("target_value").alias("target_value"))
     r = actual_vs_target(a, b, [])
-    return r.select(F.col("amount").cast("double").alias("amount"),
-                    F.col("target_value").cast("double").alias("target_value"),
+    return r.select("amount",
+                    "target_value",
                     attainment(F.col("amount"), F.col("target_value"), zero="raw").alias("pct"))
 
 
@@ -67,8 +67,8 @@ def target_to_date(t: Tables, start, end, classification=None, sku=None, branch=
     """Targets dated in ``[start, end]`` (one row; amount is a constant 0)."""
     tg = not_null(_targets(date_range(t.targets, "target_date", start, end), classification,
                            sku, branch), "loc_code", "item_code")
-    return tg.agg(F.sum("target_value").cast("double").alias("target_value")).select(
-        F.lit(0.0).alias("amount"), "target_value")
+    return tg.agg(F.sum("target_value").alias("target_value")).select(
+        F.lit(0).cast("decimal(18,4)").alias("amount"), "target_value")
 
 
 def forecast_accuracy_yearly(t: Tables, start, end, classification=None, sku=None,
@@ -89,8 +89,8 @@ def forecast_accuracy_yearly(t: Tables, start, end, classification=None, sku=Non
     bud = _targets(date_range(t.budget, "target_date", start, end), classification, sku)
     target = bud.agg(F.sum("value").alias("target_value"))
     r = actual_vs_target(amount.select("amount"), target, [])
-    return r.select(F.col("amount").cast("double").alias("amount"),
-                    F.col("target_value").cast("double").alias("target_value"),
+    return r.select("amount",
+                    "target_value",
                     attainment(F.col("amount"), F.col("target_value"), zero="zero", scale=1,
                                digits=2).alias("pct"))
 
@@ -101,8 +101,8 @@ def _by_class_month(actual: DataFrame, target: DataFrame, label) -> DataFrame:
     r = actual_vs_target(actual, target, keys)
     return (r.orderBy(F.desc_nulls_first("month_date"), F.asc_nulls_last("classification"))
             .select("classification", label(F.col("month_date")).alias("month"),
-                    F.col("amount").cast("double").alias("amount"),
-                    F.col("target_value").cast("double").alias("target_value"),
+                    "amount",
+                    "target_value",
                     attainment(F.col("amount"), F.col("target_value"), zero="zero").alias("pct")))
 
 
@@ -173,6 +173,6 @@ def distributor_vs_company_target(t: Tables, end, classification=None, sku=None,
     full = with_total_row(comb, "classification", TOTAL, ["distributor_target", "company_target"],
                           {"distributor_vs_company_pct": pct})
     return full.select("classification",
-                       F.col("distributor_target").cast("double").alias("distributor_target"),
-                       F.col("company_target").cast("double").alias("company_target"),
+                       "distributor_target",
+                       "company_target",
                        "distributor_vs_company_pct")

@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from distkpi.functions.columns import (cover_days as cover_expr, count_share_pct, daily_target,
-                                       days_in_month, threshold_for, THRESHOLD_DAYS)
+                                       days_in_month, round_ratio, threshold_for, THRESHOLD_DAYS)
 from distkpi.operators.filters import in_filter, in_values
 from distkpi.operators.lookup import (CLS_CLASS, CLS_CODE, ITM_DESC, ITM_MAPPING, LOC_CODE,
                                       LOC_DESC)
@@ -37,10 +37,10 @@ def cover_days(t: Tables, start, end, classification=None, sku=None, branch=None
     j = ft.join(stk, ft["classification"] == stk["stk_class"], "left")
     return (j.select(
         "classification",
-        F.col("inv_val").cast("double").alias("inv_val"),
-        F.col("inv_val_efp").cast("double").alias("inv_val_efp"),
-        F.col("trg_value").cast("double").alias("trg_value"),
-        F.col("quantity").cast("double").alias("quantity"),
+        "inv_val",
+        "inv_val_efp",
+        "trg_value",
+        "quantity",
         daily_target(F.col("trg_value"), days).alias("daily_target"),
         cover_expr(F.col("inv_val"), F.col("trg_value"), days).alias("cover_days"),
         cover_expr(F.col("inv_val_efp"), F.col("trg_value"), days).alias("cover_days_efp"))
@@ -49,7 +49,8 @@ def cover_days(t: Tables, start, end, classification=None, sku=None, branch=None
 
 def closing_inventory_date(t: Tables) -> DataFrame:
     """Newest stock closing date in the whole history (one row)."""
-    return t.stock.agg(F.max("stock_closing_date").alias("closing_date"))
+    dates = t.stock if t.stock_loads is None else t.stock_loads
+    return dates.agg(F.max("stock_closing_date").alias("closing_date"))
 
 
 def cover_days_total(t: Tables, start, end, classification=None, sku=None, branch=None) -> DataFrame:
@@ -60,10 +61,10 @@ def cover_days_total(t: Tables, start, end, classification=None, sku=None, branc
     # Both sides are global aggregates (one row each): the cross join is 1 x 1.
     j = stk.crossJoin(ft)
     return j.select(
-        F.col("inv_val").cast("double").alias("inv_val"),
-        F.col("trg_value").cast("double").alias("trg_value"),
-        F.col("quantity").cast("double").alias("quantity"),
-        F.col("inv_val_efp").cast("double").alias("inv_val_efp"),
+        "inv_val",
+        "trg_value",
+        "quantity",
+        "inv_val_efp",
         daily_target(F.col("trg_value"), days).alias("daily_target"),
         cover_expr(F.col("inv_val"), F.col("trg_value"), days).alias("cover_days"),
         cover_expr(F.col("inv_val_efp"), F.col("trg_value"), days).alias("cover_days_efp"))
@@ -148,7 +149,7 @@ def inventory_days(t: Tables, start, end, classification=None, sku=None, branch=
     detail = j.select("classification", "prd", "branch_code",
                       cover_expr(F.col("inv_val"), F.col("trg_value"), days).alias("cover_days"))
     wide = pivot_max(detail, ["classification", "prd"], "branch_code", branch_columns, "cover_days",
-                     F.round(F.avg("cover_days"), 1).alias("total"))
+                     round_ratio(F.sum("cover_days"), F.count("cover_days"), 1).alias("total"))
     return (wide.orderBy(F.asc_nulls_last("classification"), F.asc_nulls_last("prd"))
             .select(F.coalesce("classification", F.lit(OTHERS)).alias("classification"),
                     F.coalesce("prd", F.lit(UNKNOWN)).alias("item_desc"),
@@ -214,7 +215,7 @@ def service_measure(t: Tables, start, end, classification=None, sku=None, branch
     j = (ft.join(iv, (ft["branch_code"] == iv["s_branch"]) & (ft["classification"] == iv["s_class"])
                  & (ft["mapping_code"] == iv["s_mapping"]), "left")
          .join(loc, F.col("l_sloc") == ft["branch_code"], "left"))
-    cover = F.coalesce(cover_expr(F.col("inv_val"), F.col("trg_value"), days), F.lit(0.0))
+    cover = F.coalesce(cover_expr(F.col("inv_val"), F.col("trg_value"), days), F.lit(0))
     limit = threshold_for(F.col("classification"), thresholds)
     detail = j.select("branch_code", "branch_desc", "classification", "mapping_code",
                       ((cover > limit) & (cover < COVER_CEILING)).alias("above"))

@@ -32,8 +32,8 @@ def dispatch_vs_order(t: Tables, start, end, classification=None, sku=None,
         F.sum("so_quantity").alias("total_order_qty"),
         F.sum("deliverd_qty").alias("total_delivery_qty"))
     return r.select("material_name", "channel_type",
-                    F.col("total_order_qty").cast("double").alias("total_order_qty"),
-                    F.col("total_delivery_qty").cast("double").alias("total_delivery_qty"),
+                    "total_order_qty",
+                    "total_delivery_qty",
                     attainment(F.col("total_delivery_qty"), F.col("total_order_qty"),
                                zero="null").alias("delivery_pct"))
 
@@ -52,10 +52,10 @@ def wip(t: Tables, start, end, classification=None, sku=None, branch=None) -> Da
                                  F.sum("wip").alias("quantity"))
     return r.select("storage_loc", "storage_loc_desc", "plant", "plnt_desc",
                     "material_type_description", F.col("type_description").alias("material_name"),
-                    "order_number", F.col("item_qty").cast("double").alias("item_qty"),
-                    F.col("good_received_qty").cast("double").alias("good_received_qty"),
-                    F.col("wip_value").cast("double").alias("wip_value"),
-                    F.col("quantity").cast("double").alias("quantity"))
+                    "order_number", "item_qty",
+                    "good_received_qty",
+                    "wip_value",
+                    "quantity")
 
 
 def stock_valuation(t: Tables, start, end, classification=None, sku=None,
@@ -75,4 +75,4 @@ def stock_valuation(t: Tables, start, end, classification=None, sku=None,
     r = v.groupBy(*VALUATION_KEYS).agg(*aggs)
     measures = [out for _, out in VALUE_BUCKETS] + ["total_val"] + \
                [out for _, out, _ in QTY_BUCKETS] + ["total_qty"]
-    return r.select(*VALUATION_KEYS, *[F.col(m).cast("double").alias(m) for m in measures])
+    return r.select(*VALUATION_KEYS, *measures)

@@ -5,7 +5,7 @@
 
 ``--marts`` reads materialised tables (``distkpi.sources.marts``), ``--testdata``
 derives them from the generated TPC-H-like tables. The result is written by
-the executors (no collect), or shown when ``--out`` is absent.
+the executors (no collect); without ``--out`` the first 50 rows are shown, and said to be.
 """
 
 from __future__ import annotations
@@ -18,6 +18,9 @@ from distkpi.sources.marts import read_marts
 from distkpi.sources.testdata import load_tables
 
 
+SHOWN = 50
+
+
 def _list(value: str | None):
     return [v for v in value.split(",") if v] if value else None
 
@@ -38,6 +41,8 @@ def main(argv: list[str] | None = None) -> None:
     ap.add_argument("--table", dest="name")
     ap.add_argument("--limit", type=int, default=1000)
     ap.add_argument("--offset", type=int, default=0)
+    ap.add_argument("--order-by", help="sort key of a page")
+    ap.add_argument("--after", help="sort key of the last row of the page before")
     ap.add_argument("--out")
     ap.add_argument("--format", default="parquet", choices=["parquet", "json", "csv", "orc"])
     ap.add_argument("--master")
@@ -47,14 +52,16 @@ def main(argv: list[str] | None = None) -> None:
     tables = read_marts(spark, a.marts) if a.marts else load_tables(spark, a.testdata)
     df = run(a.report, tables, start=a.start, end=a.end, classification=_list(a.classification),
              sku=_list(a.sku), branch=_list(a.branch), business_line=a.business_line, n=a.n,
-             name=a.name, limit=a.limit, offset=a.offset)
+             name=a.name, limit=a.limit, offset=a.offset,
+             order_by=_list(a.order_by), after=_list(a.after))
     if a.out:
         writer = df.write.mode("overwrite")
         if a.format == "csv":
             writer = writer.option("header", "true")
         writer.format(a.format).save(a.out)
     else:
-        df.show(50, truncate=False)
+        df.show(SHOWN, truncate=False)
+        print(f"shown: at most {SHOWN} rows; --out writes the whole result")
 
 
 if __name__ == "__main__":

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+import re
 import tempfile
 
 from pyspark.sql import SparkSession
@@ -65,7 +66,7 @@ def checkpoint_dir(spark: SparkSession) -> str:
     sc = spark.sparkContext
     path = sc.getCheckpointDir() or sc.getConf().get("spark.checkpoint.dir", None)
     if not path:
-        if not sc.master.startswith("local"):
+        if not re.fullmatch(r"local(\[[^]]*\])?", sc.master):
             raise RuntimeError("spark.checkpoint.dir is not set: name a folder every executor "
                                "can reach (a machine-local folder does not survive on a cluster)")
         path = tempfile.mkdtemp(prefix="distkpi-ckpt-")

@@ -10,8 +10,9 @@ from __future__ import annotations
 
 from collections.abc import Mapping
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from distkpi.sources.schemas import SCHEMAS
 from distkpi.sources.tables import Tables
@@ -21,7 +22,10 @@ def conform(name: str, df: DataFrame, rename: Mapping[str, str] | None = None) -
     """Columns of logical table ``name`` from ``df``, cast to the declared types.
 
     ``rename`` maps source column names to logical ones. Extra source columns
-    are dropped (and pruned from the scan); a missing column is an error.
+    are dropped (and pruned from the scan); a missing column is an error. So is,
+    when the rows are read, a value that the declared type would change (a
+    fourth decimal of a price, a text that is no date): nothing is rounded away
+    or turned into NULL at load.
     """
     if rename:
         df = df.withColumnsRenamed(dict(rename))
@@ -29,7 +33,24 @@ def conform(name: str, df: DataFrame, rename: Mapping[str, str] | None = None) -
     missing = [f.name for f in schema.fields if f.name not in df.columns]
     if missing:
         raise ValueError(f"table {name!r} misses columns {missing}")
-    return df.select(*[F.col(f.name).cast(f.dataType).alias(f.name) for f in schema.fields])
+    return df.select(*[_lossless(df, f, name).alias(f.name) for f in schema.fields])
+
+
+def _lossless(df: DataFrame, field: T.StructField, table: str) -> Column:
+    source, c = df.schema[field.name].dataType, F.col(field.name)
+    if source == field.dataType or isinstance(field.dataType, T.StringType):
+        return c.cast(field.dataType)
+    value = c.try_cast(field.dataType)
+    same = value.isNotNull()
+    if isinstance(field.dataType, T.DecimalType):
+        # Floating point sources are compared by their shortest text.
+        wide = (c.cast("string") if isinstance(source, (T.DoubleType, T.FloatType)) else c).try_cast("decimal(38,12)")
+        same = same & (value == wide)
+    elif isinstance(field.dataType, T.IntegralType):
+        same = same & (value == c.try_cast("decimal(38,12)"))
+    message = F.concat(F.lit(f"{table}.{field.name} does not fit {field.dataType.simpleString()}: "), c.cast("string"))
+    return F.when(c.isNull() | F.coalesce(same, F.lit(False)), value).otherwise(
+        F.raise_error(message).cast(field.dataType))
 
 
 def read_files(spark: SparkSession, paths: Mapping[str, str], fmt: str = "parquet",

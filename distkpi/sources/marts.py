@@ -6,18 +6,22 @@ Layout, chosen for the reports' access paths:
   date or load time, so the latest-snapshot scalar subquery prunes to one
   partition at run time (directory pruning also works for the WIP load
   timestamp, whose type Parquet row-group statistics cannot filter);
-  the write uses the ``rebalance`` hint, so AQE splits a date that holds a
-  large share of the rows over several tasks and files instead of one;
-* fact tables are range-clustered and sorted by their report date, so the
-  date filters skip whole files and row groups through Parquet statistics;
-  the range key carries a row hash after the date, so one hot date is split
-  across range partitions as well;
-* dimensions are written as they are.
-
-``fact_layout="day"`` partitions the fact tables by their date column as
-well (directory pruning instead of row-group skipping). That is the layout
-for large daily volumes (tens of GB per day); on small data it only makes
-many tiny files, so ``"cluster"`` is the default.
+* fact tables are partitioned by their date (``fact_layout="day"``, the
+  default: a report's date range reads its days only, and a load replaces only
+  its days). ``"cluster"`` writes a fact as files sorted by date, split by
+  month: for data of a few MB a day, where a folder per day would only make
+  tiny files;
+* every write goes through the ``rebalance`` hint, so AQE splits a date that
+  holds a large share of the rows over several tasks, and no write samples or
+  computes its input a second time;
+* dimensions are written as they are;
+* two kinds of small derived tables are written beside the facts:
+  ``stock_loads`` (distinct opening date, closing date and business line; the
+  snapshots of either date are looked up in it) and the lists of the sales
+  header (``plans/documented.py``).
+
+:func:`write_load` adds or replaces the partitions of the dates in the given
+tables and leaves all other partitions' files as they are.
 
 Writes go through Spark's output committer (task retries are safe) into a
 folder under the shared ``spark.checkpoint.dir``.
@@ -27,9 +31,10 @@ from __future__ import annotations
 
 import os
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from distkpi.plans.documented import LISTS, header_list
 from distkpi.sources.schemas import SCHEMAS, check_schema
 from distkpi.sources.tables import Tables
 
@@ -38,41 +43,69 @@ PARTITIONED = {"stock": "stock_closing_date", "valuation": "executiondate",
 CLUSTERED = {"sales": "billing_date", "targets": "target_date", "budget": "target_date",
              "dispatch": "actual_gm_date", "sales_header": "billing_date",
              "price_list": "first_date"}
+LOADS = ["stock_opening_date", "stock_closing_date", "busline_code"]
 
 
-def write_marts(tables: Tables, path: str, files_per_fact: int | None = None,
-                fact_layout: str = "cluster") -> None:
-    """Write every logical table under ``path/<name>``.
+def _write_partitions(df: DataFrame, col: str, out: str, replace: str) -> None:
+    """``replace``: ``static`` for the whole table, ``dynamic`` for the partitions written."""
+    (df.hint("rebalance", col).sortWithinPartitions(col).write.mode("overwrite")
+     .option("partitionOverwriteMode", replace).partitionBy(col).parquet(out))
 
-    ``files_per_fact`` fixes the number of range partitions of a fact table;
-    by default it follows ``spark.sql.shuffle.partitions`` and AQE coalesces
-    small partitions to the advisory size.
-    """
+
+def write_marts(tables: Tables, path: str, fact_layout: str = "day") -> None:
+    """Write every logical table under ``path/<name>``, replacing what is there."""
     if fact_layout not in ("cluster", "day"):
         raise ValueError(f"unknown fact layout {fact_layout!r}")
     for name, df in tables.as_dict().items():
         out = os.path.join(path, name)
         if name in PARTITIONED or (fact_layout == "day" and name in CLUSTERED):
-            col = PARTITIONED.get(name) or CLUSTERED[name]
-            (df.hint("rebalance", col).sortWithinPartitions(col)
-             .write.mode("overwrite").partitionBy(col).parquet(out))
+            _write_partitions(df, PARTITIONED.get(name) or CLUSTERED[name], out, "static")
         elif name in CLUSTERED:
             col = CLUSTERED[name]
-            spread = F.xxhash64(*[F.col(c) for c in df.columns if c != col])
-            keys = [F.col(col), spread]
-            ranged = (df.repartitionByRange(files_per_fact, *keys) if files_per_fact
-                      else df.repartitionByRange(*keys))
-            (ranged
-             .sortWithinPartitions(col)
-             .write.mode("overwrite").parquet(out))
+            months = df.withColumn("_month", F.trunc(col, "MM")).hint("rebalance", "_month")
+            months.sortWithinPartitions(col).drop("_month").write.mode("overwrite").parquet(out)
         else:
             df.hint("rebalance").write.mode("overwrite").parquet(out)
+    _write_derived(tables.stock.sparkSession, path)
 
 
-def read_marts(spark: SparkSession, path: str) -> Tables:
-    """Bind the written marts with their declared schemas (no inference)."""
+def write_load(tables: Tables, path: str) -> None:
+    """Merge a load into marts of the ``day`` layout.
+
+    Fact and snapshot rows replace the partitions of the dates that occur in
+    them; dimensions are replaced whole, unless the load holds no row of them.
+    """
+    for name, df in tables.as_dict().items():
+        out = os.path.join(path, name)
+        col = PARTITIONED.get(name) or CLUSTERED.get(name)
+        if col:
+            _write_partitions(df, col, out, "dynamic")
+        elif not df.isEmpty():
+            df.hint("rebalance").write.mode("overwrite").parquet(out)
+    _write_derived(tables.stock.sparkSession, path)
+
+
+def _write_derived(spark: SparkSession, path: str) -> None:
+    # Read from the written facts: two columns of the stock, a few of the header.
+    plain = _bind(spark, path)
+    plain.stock.select(*LOADS).distinct().write.mode("overwrite").parquet(
+        os.path.join(path, "stock_loads"))
+    for name in LISTS:
+        header_list(plain, name).write.mode("overwrite").parquet(os.path.join(path, f"list_{name}"))
+
+
+def _bind(spark: SparkSession, path: str) -> Tables:
     frames = {}
     for name, schema in SCHEMAS.items():
         df = spark.read.schema(schema).parquet(os.path.join(path, name))
         frames[name] = check_schema(name, df.select(*schema.fieldNames()))
     return Tables(**frames)
+
+
+def read_marts(spark: SparkSession, path: str) -> Tables:
+    """Bind the written marts with their declared schemas (no inference)."""
+    plain = _bind(spark, path)
+    loads = spark.read.schema(plain.stock.select(*LOADS).schema).parquet(os.path.join(path, "stock_loads"))
+    lists = {name: spark.read.schema(plain.sales_header.select(*cols).schema).parquet(
+        os.path.join(path, f"list_{name}")) for name, cols in LISTS.items()}
+    return Tables(**plain.as_dict(), stock_loads=loads, header_lists=lists)

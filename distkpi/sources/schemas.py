@@ -1,7 +1,8 @@
 """Explicit schemas of the logical tables (no inference at load time).
 
 Measures are decimals so that sums are exact and independent of the order in
-which partitions are combined; reports cast to double only at the end.
+which partitions are combined; reports return them as decimals. Business keys
+(branch, location, customer, item) are text, as the reports compare them.
 """
 
 from __future__ import annotations
@@ -22,9 +23,9 @@ def _schema(*fields) -> T.StructType:
 
 
 SCHEMAS: dict[str, T.StructType] = {
-    "sales": _schema(("item_code", S), ("classification", S), ("branch_id", I),
+    "sales": _schema(("item_code", S), ("classification", S), ("branch_id", S),
                      ("billing_date", D), ("sold_qty", Q), ("amount", V)),
-    "targets": _schema(("item_code", S), ("loc_code", I), ("classification", S),
+    "targets": _schema(("item_code", S), ("loc_code", S), ("classification", S),
                        ("target_date", D), ("target_value", V)),
     "budget": _schema(("item_code", S), ("classification", S), ("target_date", D),
                       ("value", V)),
@@ -33,7 +34,7 @@ SCHEMAS: dict[str, T.StructType] = {
                      ("stock_opening_date", D), ("stock_closing_date", D)),
     "items": _schema(("matnr", S), ("matnr_desc", S), ("mapping_code", S), ("classif", S)),
     "items_class": _schema(("mapping_code", S), ("classification", S)),
-    "locations": _schema(("inv_sloc", I), ("inv_sloc_desc", S)),
+    "locations": _schema(("inv_sloc", S), ("inv_sloc_desc", S)),
     "price_list": _schema(("item_code", S), ("first_date", D), ("price", Q)),
     "wip": _schema(("storage_loc", I), ("storage_loc_desc", S), ("plant", I),
                    ("plnt_desc", S), ("material_type_description", S),
@@ -49,10 +50,10 @@ SCHEMAS: dict[str, T.StructType] = {
                         ("so_quantity", Q), ("deliverd_qty", Q), ("actual_gm_date", D)),
     "target_items": _schema(("material_code", S)),
     "product_map": _schema(("classification", S)),
-    "branches": _schema(("branch_id", I), ("branch_desc", S)),
+    "branches": _schema(("branch_id", S), ("branch_desc", S)),
     "sales_header": _schema(("data_flag", S), ("channel", S), ("business_line_id", S),
                             ("business_line_desc", S), ("reason_code", S),
-                            ("customer_code", L), ("branch_id", I), ("branch_desc", S),
+                            ("customer_code", S), ("branch_id", S), ("branch_desc", S),
                             ("distributor_code", S), ("distributor_desc", S),
                             ("document_no", L), ("billing_date", D), ("item_code", S),
                             ("item_description", S), ("grp_brand", S),

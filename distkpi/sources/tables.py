@@ -28,9 +28,14 @@ class Tables:
     product_map: DataFrame
     branches: DataFrame
     sales_header: DataFrame
+    # Small tables the marts keep beside the facts (see sources/marts.py). Without
+    # them the reports read the facts themselves.
+    stock_loads: DataFrame | None = None
+    header_lists: dict[str, DataFrame] | None = None
 
     def as_dict(self) -> dict[str, DataFrame]:
-        return {f.name: getattr(self, f.name) for f in fields(self)}
+        """The logical tables by name (without the derived ones)."""
+        return {f.name: getattr(self, f.name) for f in fields(self) if f.name in SCHEMAS}
 
     def register(self, prefix: str = "") -> None:
         """Expose every table as a temp view (for SQL users and ``list_tables``)."""

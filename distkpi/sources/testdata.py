@@ -21,10 +21,15 @@ from distkpi.sources.tables import Tables
 RAW_TABLES = ["region", "nation", "customer", "supplier", "part", "orders", "lineitem"]
 
 # Shorthands of the derivation (fixed values of the test-data mapping).
-RAW = ("CASE WHEN p_partkey % 17 = 0 THEN concat('F', CAST(p_partkey AS STRING)) "
-       "ELSE lpad(CAST(p_partkey AS STRING), 10, '0') END")
-CODE = ("CASE WHEN p_partkey % 17 = 0 THEN concat('F', CAST(p_partkey AS STRING)) "
-        "ELSE CAST(p_partkey AS STRING) END")
+# Master and stock use RAW, the class view and the facts CODE. They differ for
+# a third of the items, whose master code has leading zeros: a target of these
+# has no direct match in the master. F codes are 12 characters long.
+LONG = "concat('F', lpad(CAST(p_partkey AS STRING), 11, '0'))"
+PLAIN = "CAST(1013000000 + p_partkey AS STRING)"
+RAW = (f"CASE WHEN p_partkey % 17 = 0 THEN {LONG} WHEN p_partkey % 3 = 0 "
+       f"THEN lpad(CAST(p_partkey AS STRING), 10, '0') ELSE {PLAIN} END")
+CODE = (f"CASE WHEN p_partkey % 17 = 0 THEN {LONG} WHEN p_partkey % 3 = 0 "
+        f"THEN CAST(p_partkey AS STRING) ELSE {PLAIN} END")
 CLS = ("CASE WHEN p_type IN ('ECONOMY', 'SMALL') THEN 'A' WHEN p_type = 'MEDIUM' THEN 'B' "
        "WHEN p_type = 'LARGE' THEN 'C' END")
 BL = ("CASE p_size % 4 WHEN 0 THEN 'P07' WHEN 1 THEN 'P08' WHEN 2 THEN 'P12' "
@@ -64,21 +69,28 @@ SELECT {RAW} AS matnr, p_name AS matnr_desc,
             ELSE {CODE} END AS mapping_code,
        {CLS} AS classif
 FROM {{part}}""",
+    # With a literal 'Others' class and with duplicated mapping codes.
     "items_class": f"""
+SELECT {CODE} AS mapping_code,
+       CASE WHEN p_partkey % 41 = 0 THEN 'Others' ELSE {CLS} END AS classification
+FROM {{part}} WHERE p_type <> 'PROMO'
+UNION ALL
 SELECT {CODE} AS mapping_code, {CLS} AS classification
-FROM {{part}} WHERE p_type <> 'PROMO'""",
+FROM {{part}} WHERE p_type <> 'PROMO' AND p_partkey % 53 = 0""",
     "locations": """
-SELECT CAST(8000 + s_suppkey AS INT) AS inv_sloc, concat(s_name, ' SELL') AS inv_sloc_desc
+SELECT CAST(8000 + s_suppkey AS STRING) AS inv_sloc, concat(s_name, ' SELL') AS inv_sloc_desc
 FROM {supplier}""",
     "sales": f"""
 SELECT {CODE} AS item_code, {CLS} AS classification,
-       CAST(8000 + l_suppkey AS INT) AS branch_id,
+       CAST(8000 + l_suppkey AS STRING) AS branch_id,
        CAST(l_shipdate AS DATE) AS billing_date,
        {QTY} AS sold_qty,
-       CAST({EXT} * (1 - CAST(l_discount AS DECIMAL(4,2))) AS DECIMAL(18,4)) AS amount
+       -- Items that net to 0 in every window.
+       CAST(CASE WHEN p_partkey % 37 = 0 THEN 0
+                 ELSE {EXT} * (1 - CAST(l_discount AS DECIMAL(4,2))) END AS DECIMAL(18,4)) AS amount
 FROM {LP}""",
     "targets": f"""
-SELECT {CODE} AS item_code, CAST(8000 + l_suppkey AS INT) AS loc_code,
+SELECT {CODE} AS item_code, CAST(8000 + l_suppkey AS STRING) AS loc_code,
        {CLS} AS classification, {MONTH} AS target_date,
        CAST(sum({QTY} * {PRICE}) AS DECIMAL(18,4)) AS target_value
 FROM {LP}
@@ -89,9 +101,14 @@ SELECT {CODE} AS item_code, {CLS} AS classification, {MONTH} AS target_date,
 FROM {LP}
 GROUP BY p_partkey, p_type, {MONTH}""",
     "stock": f"""
-SELECT {RAW} AS item_code, CAST(8000 + l_suppkey AS STRING) AS subinventory_code,
+SELECT {RAW} AS item_code,
+       -- The two extra sub-inventories and one that does not count.
+       CASE l_suppkey % 20 WHEN 7 THEN '8206' WHEN 13 THEN '8210'
+            WHEN 19 THEN concat('99', CAST(l_suppkey AS STRING))
+            ELSE CAST(8000 + l_suppkey AS STRING) END AS subinventory_code,
        {BL} AS busline_code,
-       CAST(sum(CASE WHEN l_returnflag = 'R' THEN -{QTY} ELSE {QTY} END) AS DECIMAL(18,2)) AS qty,
+       CAST(CASE WHEN (p_partkey + l_suppkey) % 13 = 0 THEN 0 ELSE
+            sum(CASE WHEN l_returnflag = 'R' THEN -{QTY} ELSE {QTY} END) END AS DECIMAL(18,2)) AS qty,
        {PRICE} AS trade_price,
        CAST({PRICE} * 0.8 AS DECIMAL(12,2)) AS item_cost,
        {MONTH} AS stock_opening_date,
@@ -111,7 +128,11 @@ FROM pp WHERE k % 3 <> 0
 UNION ALL
 SELECT {CODE} AS item_code, last_day(m) AS first_date,
        CAST({PRICE} + 100 + month(m) AS DECIMAL(12,2)) AS price
-FROM pp WHERE k % 4 = 1""",
+FROM pp WHERE k % 4 = 1
+UNION ALL
+-- A second price on one date.
+SELECT {CODE} AS item_code, m AS first_date, CAST({PRICE} + 7 AS DECIMAL(12,2)) AS price
+FROM pp WHERE k % 3 <> 0 AND k % 2 = 0""",
     "wip": f"""
 SELECT CAST(8000 + l_suppkey AS INT) AS storage_loc,
        concat('SL-', CAST(l_suppkey AS STRING)) AS storage_loc_desc,
@@ -133,15 +154,16 @@ FROM {LP} JOIN {{orders}} ON o_orderkey = l_orderkey""",
     "target_items": f"SELECT {RAW} AS material_code FROM {{part}}",
     "product_map": f"SELECT {CLS} AS classification FROM {{part}}",
     "branches": """
-SELECT CAST(8000 + s_suppkey AS INT) AS branch_id, s_name AS branch_desc FROM {supplier}""",
+SELECT CAST(8000 + s_suppkey AS STRING) AS branch_id, s_name AS branch_desc FROM {supplier}""",
     "sales_header": f"""
 SELECT CASE WHEN l_linestatus = 'F' THEN 'Primary Sales' ELSE 'Secondary Sales' END AS data_flag,
        CASE WHEN c_mktsegment = 'BUILDING' THEN 'Distributor - A'
             WHEN c_mktsegment = 'MACHINERY' THEN NULL ELSE c_mktsegment END AS channel,
        {BL} AS business_line_id, concat('Line ', {BL}) AS business_line_desc,
        CASE WHEN l_returnflag = 'R' THEN 'Return' ELSE 'Sales' END AS reason_code,
-       CAST(o_custkey AS BIGINT) AS customer_code,
-       CAST(8000 + l_suppkey AS INT) AS branch_id, s_name AS branch_desc,
+       -- Coarse enough that some outlets buy four times in a month.
+       CAST(o_custkey % 200 AS STRING) AS customer_code,
+       CAST(8000 + l_suppkey AS STRING) AS branch_id, s_name AS branch_desc,
        concat('D', lpad(CAST(s_nationkey AS STRING), 3, '0')) AS distributor_code,
        n_name AS distributor_desc,
        CAST(l_orderkey AS BIGINT) AS document_no,

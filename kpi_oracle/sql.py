@@ -21,7 +21,7 @@ from distkpi.sources.testdata import derivation_sql
 LINES = "(" + ", ".join(f"'{b}'" for b in BUSINESS_LINES) + ")"
 LIMIT_DAYS = ("CASE {c} " + " ".join(f"WHEN '{k}' THEN {v}" for k, v in THRESHOLD_DAYS.items())
               + " END")
-BRANCH_COLUMNS = [(int(code), name) for code, name in BRANCHES.items()]
+BRANCH_COLUMNS = [(f"'{code}'", name) for code, name in BRANCHES.items()]
 OTH = f"'{OTHERS}'"
 EXTRA = ", ".join(f"'{c}'" for c in SUBINVENTORY_EXTRA)
 
@@ -67,10 +67,6 @@ def master_code(mapping: str, matnr: str) -> str:
     return f"CASE WHEN coalesce({mapping}, '') = '' THEN {matnr} ELSE {mapping} END"
 
 
-def long_code(col: str) -> str:
-    return f"CASE WHEN starts_with({col}, 'F') THEN {col} ELSE lpad({col}, 10, '0') END"
-
-
 def sellable(sub: str) -> str:
     return f"({sub} LIKE '{SUBINVENTORY_PREFIX}%' OR {sub} IN ({EXTRA}))"
 
@@ -79,13 +75,20 @@ def cover_expr(inv: str, trg: str, days: str, snap: bool = True) -> str:
     v = f"coalesce({inv}, 0)"
     if snap:
         v = f"(CASE WHEN abs({v}) < {SNAP_EPSILON} THEN 0 ELSE {v} END)"
-    # "+ 0.0" turns a negative zero from round() into 0.0, as decimal rounding does.
-    return f"(round(CAST({v} AS DOUBLE) * {days} / nullif(CAST({trg} AS DOUBLE), 0), 1) + 0.0)"
+    return exact_round(f"{v} * {days}", trg, 1)
+
+
+def exact_round(num: str, den: str, digits: int) -> str:
+    """num / den rounded half away from zero, in integers (the sums have at most 4 decimals)."""
+    n = f"CAST(({num}) * 10000 AS HUGEINT)"
+    d = f"nullif(CAST(({den}) * 10000 AS HUGEINT), 0)"
+    unit = 10 ** digits
+    return (f"(CAST((CASE WHEN ({n} < 0) <> ({d} < 0) THEN -1 ELSE 1 END) "
+            f"* ((2 * {unit} * abs({n}) + abs({d})) // (2 * abs({d}))) AS DOUBLE) / {unit})")
 
 
 def pct_both_nonzero(a: str, t: str, scale: str = " * 100") -> str:
-    return (f"CASE WHEN {a} <> 0 AND {t} <> 0 "
-            f"THEN round(CAST({a} AS DOUBLE) / CAST({t} AS DOUBLE){scale}, 2) + 0.0 ELSE 0 END")
+    return f"CASE WHEN {a} <> 0 AND {t} <> 0 THEN {exact_round(a + scale, t, 2)} ELSE 0 END"
 
 
 def price_pick(item: str, anchor: str) -> str:
@@ -99,7 +102,7 @@ def price_pick(item: str, anchor: str) -> str:
       AND c.first_date >= {own} - INTERVAL 1 MONTH AND c.first_date < {own} + INTERVAL 1 MONTH
     ORDER BY CASE WHEN c.first_date < {own} THEN 1
                   WHEN coalesce(c.price, 0) <> 0 THEN 0 ELSE 2 END,
-             c.first_date DESC
+             c.first_date DESC, c.price DESC NULLS LAST
     LIMIT 1) pick ON TRUE"""
 
 
@@ -151,7 +154,7 @@ def branch_targets_cte(e, classification, sku, branch) -> str:
          sum(tg.target_value) AS trg
   FROM targets tg
   LEFT JOIN items_class cv ON cv.mapping_code = tg.item_code
-  LEFT JOIN items it ON it.matnr = {long_code('tg.item_code')}
+  LEFT JOIN items it ON it.matnr = tg.item_code
   WHERE date_trunc('month', tg.target_date) = {month_of(e)}
     {text_in('cv.classification', classification)} {text_in('cv.mapping_code', sku)}
     {text_in('tg.loc_code', branch)}
@@ -175,13 +178,25 @@ target_side AS (
 SELECT tg.label AS classification,
        CAST(st.inv AS DOUBLE) AS inv_val, CAST(st.inv_cost AS DOUBLE) AS inv_val_efp,
        CAST(tg.trg AS DOUBLE) AS trg_value, CAST(st.units AS DOUBLE) AS quantity,
-       (round(CAST(tg.trg AS DOUBLE) / {n}, 1) + 0.0) AS daily_target,
+       {exact_round('tg.trg', n, 1)} AS daily_target,
        {cover_expr('st.inv', 'tg.trg', n)} AS cover_days,
        {cover_expr('st.inv_cost', 'tg.trg', n)} AS cover_days_efp
 FROM target_side tg LEFT JOIN stock_side st ON st.label = tg.label
 ORDER BY tg.label""")
 
 
+def stock_rows_nonzero(s, e) -> str:
+    return derive(["stock", "items_class", "locations"], f"""
+SELECT cv.classification, st.subinventory_code, count(*) AS n
+FROM stock st
+LEFT JOIN items_class cv ON cv.mapping_code = {short_code('st.item_code')}
+LEFT JOIN locations lc ON CAST(lc.inv_sloc AS VARCHAR) = st.subinventory_code
+WHERE st.stock_closing_date = (SELECT max(stock_closing_date) FROM stock
+                               WHERE stock_closing_date BETWEEN {day(s)} AND {day(e)} AND busline_code IN {LINES})
+  AND st.busline_code IN {LINES} AND {sellable('st.subinventory_code')} AND st.qty <> 0
+GROUP BY ALL""")
+
+
 def closing_inventory_date() -> str:
     return derive(["stock"], "SELECT max(stock_closing_date) AS closing_date FROM stock")
 
@@ -195,7 +210,7 @@ stock_total AS (SELECT sum(at_price) AS inv, sum(at_cost) AS inv_cost, sum(qty)
 target_total AS (SELECT sum(target_value) AS trg FROM month_targets)
 SELECT CAST(st.inv AS DOUBLE) AS inv_val, CAST(tg.trg AS DOUBLE) AS trg_value,
        CAST(st.units AS DOUBLE) AS quantity, CAST(st.inv_cost AS DOUBLE) AS inv_val_efp,
-       (round(CAST(tg.trg AS DOUBLE) / {n}, 1) + 0.0) AS daily_target,
+       {exact_round('tg.trg', n, 1)} AS daily_target,
        {cover_expr('st.inv', 'tg.trg', n)} AS cover_days,
        {cover_expr('st.inv_cost', 'tg.trg', n)} AS cover_days_efp
 FROM stock_total st CROSS JOIN target_total tg""")
@@ -235,7 +250,7 @@ item_branch AS (
   LEFT JOIN branch_targets bt ON bt.branch = sd.branch AND bt.cls = sd.cls AND bt.code = sd.code)
 SELECT coalesce(cls, {OTH}) AS classification, coalesce(label, '{UNKNOWN}') AS item_desc,
        {pivot},
-       round(avg(cover), 1) AS total
+       {exact_round('sum(CAST(cover AS DECIMAL(18,1)))', 'count(cover)', 1)} AS total
 FROM item_branch
 GROUP BY cls, label
 ORDER BY cls, label""")
@@ -256,7 +271,7 @@ stock_by_code AS (
 target_by_code AS (
   SELECT {code} AS code, sum(tg.target_value) AS trg
   FROM targets tg
-  LEFT JOIN items it ON it.matnr = {long_code('tg.item_code')}
+  LEFT JOIN items it ON it.matnr = tg.item_code
   LEFT JOIN items_class cv ON cv.mapping_code = {code}
   WHERE date_trunc('month', tg.target_date) = {month_of(e)}
     {text_in('cv.mapping_code', sku)} {text_in('tg.loc_code', branch)}
@@ -470,7 +485,7 @@ with_total AS (
   SELECT '{TOTAL}', sum(dv), sum(cv) FROM lined)
 SELECT cls AS classification, CAST(dv AS DOUBLE) AS distributor_target,
        CAST(cv AS DOUBLE) AS company_target,
-       CASE WHEN cv <> 0 THEN round(CAST(dv AS DOUBLE) / CAST(cv AS DOUBLE) * 100, 2) + 0.0 ELSE 0 END
+       CASE WHEN cv <> 0 THEN {exact_round('dv * 100', 'cv', 2)} ELSE 0 END
          AS distributor_vs_company_pct
 FROM with_total""")
 
@@ -482,8 +497,7 @@ def dispatch_vs_order(s, e, classification=None, sku=None) -> str:
 SELECT d.material_name, d.channel_type,
        CAST(sum(d.so_quantity) AS DOUBLE) AS total_order_qty,
        CAST(sum(d.deliverd_qty) AS DOUBLE) AS total_delivery_qty,
-       round(CAST(sum(d.deliverd_qty) AS DOUBLE) / nullif(CAST(sum(d.so_quantity) AS DOUBLE), 0)
-             * 100, 2) + 0.0 AS delivery_pct
+       {exact_round('sum(d.deliverd_qty) * 100', 'sum(d.so_quantity)', 2)} AS delivery_pct
 FROM dispatch d
 LEFT JOIN items_class cv ON cv.mapping_code = d.material_no
 WHERE d.actual_gm_date BETWEEN {day(s)} AND {day(e)}
@@ -548,6 +562,10 @@ def table_page(table: str, order_by: list[str], limit: int, offset: int) -> str:
     return derive([table], f"SELECT * FROM {table} ORDER BY {keys} LIMIT {limit} OFFSET {offset}")
 
 
+def table_page_after(table: str, key: str, value: str, limit: int) -> str:
+    return derive([table], f"SELECT * FROM {table} WHERE {key} > '{value}' ORDER BY {key} LIMIT {limit}")
+
+
 # Documented sales metrics -------------------------------------------------------------
 
 def metric_rows(s, e) -> str:
@@ -613,7 +631,7 @@ SELECT CAST(date_trunc('month', billing_date) AS DATE) AS month_, item_descripti
        catg_theraptic, count(DISTINCT document_no) AS doc_cnt
 FROM sales_header WHERE {metric_rows(s, e)} AND classification = 'A'
 GROUP BY ALL
-ORDER BY month_ DESC, doc_cnt DESC""")
+ORDER BY month_ DESC, doc_cnt DESC, item_description, grp_brand, catg_theraptic""")
 
 
 def business_lines() -> str:

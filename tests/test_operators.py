@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from distkpi.functions import columns as C
 from distkpi.operators import filters as flt
-from distkpi.operators.lookup import assert_unique, price_asof, price_fixed
+from distkpi.operators.lookup import duplicate_keys, price_asof, price_fixed
 from distkpi.operators.measures import actual_vs_target, with_total_row
 from distkpi.operators.snapshot import latest_snapshot
 from distkpi.plans import documented, lists, sales, stock, supply
@@ -151,11 +151,10 @@ def test_above_below_threshold_boundaries(spark):
     # Class A threshold 30: cover exactly 30 counts as "below"; no target: neither.
     t = make_tables(
         spark,
-        items=[("0000000001", "one", "1", "A"), ("0000000002", "two", "2", "A"),
-               ("0000000003", "three", "3", "A")],
+        items=[("1", "one", "1", "A"), ("2", "two", "2", "A"), ("3", "three", "3", "A")],
         items_class=[("1", "A"), ("2", "A"), ("3", "A")],
-        stock=[_stock_row("0000000001", 30, price=1), _stock_row("0000000002", 31, price=1),
-               _stock_row("0000000003", 5, price=1)],
+        stock=[_stock_row("1", 30, price=1), _stock_row("2", 31, price=1),
+               _stock_row("3", 5, price=1)],
         targets=[("1", 8001, "A", day("2000-03-01"), D(31)),
                  ("2", 8001, "A", day("2000-03-01"), D(31))],
     )
@@ -202,7 +201,7 @@ def test_price_asof_matches_fixed_per_month(spark):
 def test_attainment_zero_rules(spark):
     df = spark.createDataFrame([(0.0, 5.0), (5.0, 0.0), (None, 5.0), (1.0, 3.0)], "a double, t double")
     got = [r[0] for r in df.select(C.attainment(F.col("a"), F.col("t"))).collect()]
-    assert got == [0.0, 0.0, 0.0, 33.33]
+    assert got == [0, 0, 0, D("33.33")]
     raw = [r[0] for r in df.select(C.attainment(F.col("a"), F.col("t"), zero="raw")).collect()]
     assert raw[1] is None and raw[3] == pytest.approx(1 / 3)
 
@@ -275,7 +274,7 @@ def test_common_filter_exclusion(spark):
         _header("Secondary Sales", "X", 5, 5, bl="P99"),
     ])
     got = rows(flt.common_sales_filter(t.sales_header, "2000-03-01", "2000-03-31"), "customer_code")
-    assert got == [(3,)]
+    assert got == [("3",)]
 
 
 def test_purchase_frequency_buckets(spark):
@@ -297,7 +296,7 @@ def test_dimension_duplicates_fan_out_and_are_reported(spark):
     d = day("2000-03-05")
     t = make_tables(spark, dispatch=[("m1", "1", "c", D(10), D(10), d)],
                     items_class=[("1", "A"), ("1", "B")])
-    assert rows(assert_unique(t.items_class, "mapping_code")) == [("1", 2)]
+    assert rows(duplicate_keys(t.items_class, "mapping_code")) == [("1", 2)]
     got = supply.dispatch_vs_order(t, "2000-03-01", "2000-03-31").collect()[0]
     assert got["total_order_qty"] == 20.0
 
@@ -319,7 +318,9 @@ def test_inventory_days_null_label_sorts_last(spark):
 def test_table_page_and_list_tables(spark):
     t = make_tables(spark, branches=[(8000 + i, f"b{i}") for i in range(10)])
     page = lists.table_page(t.branches, ["branch_id"], limit=3, offset=2).collect()
-    assert [r[0] for r in page] == [8002, 8003, 8004]
+    assert [r[0] for r in page] == ["8002", "8003", "8004"]
+    after = lists.table_page(t.branches, ["branch_id"], limit=3, after=["8004"])
+    assert [r[0] for r in after.collect()] == ["8005", "8006", "8007"]
     with pytest.raises(ValueError):
         lists.table_page(t.branches, [])
     t.register(prefix="ut_")
@@ -347,7 +348,7 @@ def test_conform_casts_renames_and_prunes(spark):
         "sold_qty double, amount double, note string")
     df = conform("sales", src, {"material": "item_code"})
     assert df.schema == SCHEMAS["sales"]
-    assert tuple(df.collect()[0]) == ("1013", "A", 8001, day("2000-03-05"), D("2.00"), D("10.5000"))
+    assert tuple(df.collect()[0]) == ("1013", "A", "8001", day("2000-03-05"), D("2.00"), D("10.5000"))
     with pytest.raises(ValueError):
         conform("sales", src)
     make_tables(spark).register(prefix="cat_")
@@ -366,14 +367,14 @@ def test_service_measure_threshold_edges(spark):
     # Branch 8006, class A (threshold 30): cover exactly 30 -> not above; NULL cover
     # (no stock and zero target) -> not above; cover >= 9999 -> not above; 31 -> above.
     op, cl = day("2000-03-01"), day("2000-03-31")
-    items = [(f"000000000{i}", f"d{i}", str(i), "A") for i in range(1, 5)]
+    items = [(str(i), f"d{i}", str(i), "A") for i in range(1, 5)]
     t = make_tables(
         spark,
         items=items, items_class=[(str(i), "A") for i in range(1, 5)],
         locations=[(8006, "North SELL")],
-        stock=[("0000000001", "8006", "P07", D(30), D(1), D(1), op, cl),
-               ("0000000003", "8006", "P07", D(310000), D(1), D(1), op, cl),
-               ("0000000004", "8006", "P07", D(31), D(1), D(1), op, cl)],
+        stock=[("1", "8006", "P07", D(30), D(1), D(1), op, cl),
+               ("3", "8006", "P07", D(310000), D(1), D(1), op, cl),
+               ("4", "8006", "P07", D(31), D(1), D(1), op, cl)],
         targets=[("1", 8006, "A", op, D(31)), ("2", 8006, "A", op, D(0)),
                  ("3", 8006, "A", op, D(31)), ("4", 8006, "A", op, D(31))],
     )
@@ -389,7 +390,7 @@ def test_registry_runs_reports_with_their_parameters(spark):
     assert df.count() == 0
     with pytest.raises(TypeError):
         run("branch_list", t, strict=True, start="2000-01-01")
-    assert len(REPORTS) == 32
+    assert len(REPORTS) == 33
 
 
 def test_page_by_table_name(spark):
@@ -398,7 +399,7 @@ def test_page_by_table_name(spark):
     first = page(t, "branches", limit=4).collect()
     rest = page(t, "branches", limit=4, offset=4).collect()
     assert len(first) == 4 and len(rest) == 3
-    assert {r[0] for r in first} | {r[0] for r in rest} == set(range(8000, 8007))
+    assert {r[0] for r in first} | {r[0] for r in rest} == {str(i) for i in range(8000, 8007)}
     with pytest.raises(KeyError):
         page(t, "nope")
 
@@ -431,11 +432,11 @@ def test_read_files_and_catalog_binding(spark, tmp_path):
         paths[name] = str(tmp_path / name)
         df.write.parquet(paths[name])
     back = read_files(spark, paths)
-    assert rows(back.branches) == [(8001, "one"), (8002, "two")]
+    assert rows(back.branches) == [("8001", "one"), ("8002", "two")]
     assert all(getattr(back, n).schema == SCHEMAS[n] for n in SCHEMAS)
     back.register(prefix="files_")
     cat = Tables.from_catalog(spark, prefix="files_")
-    assert rows(lists.branch_list(cat)) == [(8001, "one"), (8002, "two")]
+    assert rows(lists.branch_list(cat)) == [("8001", "one"), ("8002", "two")]
 
 
 def test_snapshot_day_range_on_timestamps(spark):
