@@ -22,7 +22,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
 from distkpi.llm import bpe_prefix, jaccard_join, quality_rules, secret_ledger, source_mix
-from distkpi.llm.common import materialize, read
+from distkpi.llm.common import importable, materialize, read
 from distkpi.session import scratch_path
 
 VOCABULARY = "byte_bpe_multi_50k.tiktoken"
@@ -33,6 +33,7 @@ def good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def distinct(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    importable(spark)
     return jaccard_join.keep_one(docs)
 
 
@@ -45,6 +46,7 @@ def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def encoded(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    importable(spark)
     return bpe_prefix.encode(docs, public_tokenizers.path(VOCABULARY), public_tokenizers.PATTERN,
                              with_ids=True)
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import os
 import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
@@ -14,7 +15,23 @@ from distkpi.session import scratch_path
 SPACE_RUN = r"[\x20\x09-\x0D]+"
 
 
+ROOT = os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
+
+
+def importable(spark: SparkSession) -> None:
+    """Let Python workers import this package from where the driver has it.
+
+    Enough for local sessions and installations in one place; on other
+    clusters the package is shipped with ``--py-files`` as any other.
+    """
+    env = spark.sparkContext.environment
+    known = env.get("PYTHONPATH", "").split(os.pathsep)
+    if ROOT not in known:
+        env["PYTHONPATH"] = os.pathsep.join(x for x in [*known, ROOT] if x)
+
+
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
+    importable(spark)
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 
