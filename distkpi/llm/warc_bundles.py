@@ -239,7 +239,9 @@ def read_back(index: DataFrame) -> DataFrame:
                         [pa.array(c, k) for c, k in zip(columns, kinds)],
                         names=["page_id", "payload_bytes", "payload_digest", "record_type", "refers_to"])
 
-    return index.select("bundle").distinct().mapInArrow(run, BACK)
+    # A task per bundle: their names are a few bytes, which Spark would put into one partition.
+    bundles = index.select("bundle").distinct()
+    return bundles.repartition(max(1, bundles.count())).mapInArrow(run, BACK)
 
 
 def archive(pages: DataFrame) -> DataFrame:
