@@ -207,7 +207,7 @@ def _sets(docs: DataFrame, text: str, classes: DataFrame, nodes: DataFrame) -> D
                                              names=["node", "members"])
 
     kept = classes.filter("members IS NOT NULL").select("node", "members").join(nodes, "node", "left_semi")
-    rest = nodes.join(classes.filter("members IS NOT NULL"), "node", "left_anti")
+    rest = materialize(nodes.join(classes.filter("members IS NOT NULL"), "node", "left_anti"), "jaccard-unknown")
     texts = docs.select(F.col("doc_id").cast("long").alias("node"), F.col(f"`{text}`").alias("text"))
     return kept.unionByName(texts.join(rest, "node", "left_semi").mapInArrow(
         run, "node bigint, members array<bigint>"))
@@ -287,7 +287,7 @@ def jaccard_components(docs: DataFrame, text: str = "text") -> DataFrame:
         "key", "node", F.min("node").over(same).alias("pivot"), F.max("node").over(same).alias("top"))
     scanned = materialize(scanned.filter("pivot <> top").drop("top"), "jaccard-scanned")
 
-    nodes = scanned.select("node").distinct()
+    nodes = materialize(scanned.select("node").distinct(), "jaccard-nodes")
     facts = materialize(lists.join(nodes, "node", "left_semi").select("node", "n", "sketch"), "jaccard-facts")
     sets = materialize(_sets(docs, text, lists, nodes), "jaccard-sets")
 
@@ -331,16 +331,19 @@ def keep_one(docs: DataFrame, text: str = "text") -> DataFrame:
     Only what goes is joined to the texts. Rows with a null id stay.
     """
     found = materialize(jaccard_components(docs, text), "jaccard-found")
-    gone = found.filter("component_id <> doc_id").select(F.col("doc_id").alias("_gone")).distinct()
-    twice = found.filter("doc_id IS NOT NULL").groupBy("doc_id").count().filter("count > 1").select(
-        F.col("doc_id").alias("_twice"))
+    # Ids whose rows do not simply stay. Written, so that Spark joins them by their real size.
+    special = materialize(found.filter("doc_id IS NOT NULL").groupBy("doc_id").agg(
+        F.max(F.col("component_id") != F.col("doc_id")).alias("_gone"), F.count(F.lit(1)).alias("_n"))
+        .filter("_gone OR _n > 1").withColumnRenamed("doc_id", "_id"), "jaccard-special")
     rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row"))
-    left = rows.join(gone, F.col("_row.doc_id") == F.col("_gone"), "left_anti")
-    single = left.join(twice, F.col("_row.doc_id") == F.col("_twice"), "left_anti")
-    nth = F.row_number().over(Window.partitionBy("_row.doc_id").orderBy(f"_row.{text}"))
-    repeated = left.join(twice, F.col("_row.doc_id") == F.col("_twice"), "left_semi").withColumn(
-        "_nth", nth).filter("_nth = 1").drop("_nth")
-    return single.unionByName(repeated).select("_row.*")
+    match = F.col("_row.doc_id") == F.col("_id")
+    left = rows.join(special, match, "left_anti")
+    repeated = special.filter("NOT _gone")
+    if not repeated.isEmpty():
+        nth = F.row_number().over(Window.partitionBy("_row.doc_id").orderBy(f"_row.{text}"))
+        again = rows.join(materialize(repeated, "jaccard-repeated"), match, "left_semi")
+        left = left.unionByName(again.withColumn("_nth", nth).filter("_nth = 1").drop("_nth"))
+    return left.select("_row.*")
 
 
 def oracle(table: str = "documents") -> str:
