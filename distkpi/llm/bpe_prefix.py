@@ -111,11 +111,17 @@ class PrefixEncoder:
         self.append(data)
 
     def _last_token(self, end: int) -> int:
-        data, last, known, follows = self.data, self.last, self.v.standing.get, self.v.follows
-        for start in range(max(0, end - self.v.longest), end):
+        data, last, known, pair = self.data, self.last, self.v.standing.get, self.v._pairs.get
+        # Shortest first: exactly one candidate is valid, and most tokens are short.
+        for start in range(end - 1, end - self.v.longest - 1 if end > self.v.longest else -1, -1):
             token = known(data[start:end])
-            if token is not None and (not start or follows(last[start - 1], token)):
-                return token
+            if token is not None:
+                if not start:
+                    return token
+                before = last[start - 1]
+                ok = pair(before << 32 | token)
+                if ok or ok is None and self.v.follows(before, token):
+                    return token
         raise ValueError("the vocabulary does not hold every byte")
 
     def append(self, data: bytes) -> None:
@@ -123,6 +129,17 @@ class PrefixEncoder:
         for end in range(len(self.last) + 1, len(self.data) + 1):
             self.last.append(self._last_token(end))
 
+    def become(self, data: bytes) -> None:
+        """Cut back to the prefix shared with ``data`` and append its rest."""
+        n = 0
+        for a, b in zip(self.data, data):
+            if a != b:
+                break
+            n += 1
+        self.data = data[:n]
+        del self.last[n:]
+        self.append(data[n:])
+
     def edit(self, start: int, stop: int, data: bytes) -> int:
         """Replace bytes ``start:stop``; returns the number of entries computed."""
         old, tail_from = self.last, stop
@@ -206,6 +223,20 @@ class _Pieces(dict):
             self.old = dict(self)
             self.clear()
 
+    def learn(self, blocks: list[list[str]]) -> None:
+        """Encode the unseen matches in byte order: neighbours share the entries of their common prefix."""
+        old = self.old
+        unseen = [p for p in set().union(*blocks).difference(self) if p not in old]
+        encoder, rank = PrefixEncoder(self.v), self.v.rank
+        for data, piece in sorted([(p.encode(), p) for p in unseen]):
+            number = rank.get(data)
+            if number is None:
+                encoder.become(data)
+                ids = encoder.ids()
+                self[piece] = struct.pack(f"<{len(ids)}I", *ids)
+            else:
+                self[piece] = struct.pack("<I", number)
+
 
 _workers: dict[str, _Pieces] = {}
 
@@ -223,9 +254,32 @@ def encode_text(table: _Pieces, text: str) -> Iterator[bytes]:
     """Packed ids of a text, block by block."""
     for block in table.v.pieces(text):
         table.trim()
+        table.learn([block])
         yield b"".join(map(table.__getitem__, block))
 
 
+def encode_texts(table: _Pieces, texts: Iterable[str]) -> Iterator[Iterator[bytes]]:
+    """For each text its packed ids, block by block; short texts are encoded together."""
+    def together(waiting: list[str]) -> Iterator[Iterator[bytes]]:
+        blocks = [table.v.split.findall(t) for t in waiting]
+        table.trim()
+        table.learn(blocks)
+        for block in blocks:
+            yield iter([b"".join(map(table.__getitem__, block))])
+
+    waiting, size = [], 0
+    for text in texts:
+        if waiting and size + len(text) > BLOCK:
+            yield from together(waiting)
+            waiting, size = [], 0
+        if len(text) > BLOCK:
+            yield encode_text(table, text)
+        else:
+            waiting.append(text)
+            size += len(text)
+    yield from together(waiting)
+
+
 def encode(docs: DataFrame, vocabulary_path: str, pattern: str, text: str = "text",
            with_ids: bool = False) -> DataFrame:
     """doc_id, n_tokens, ids_sha256, decoded_sha256 and, if asked for, the ids."""
@@ -240,9 +294,9 @@ def encode(docs: DataFrame, vocabulary_path: str, pattern: str, text: str = "tex
         table = _encoder(shipped.value, pattern)
         for batch in batches:
             counts, digests, decoded, all_ids = [], [], [], []
-            for value in batch.column(1):
+            for blocks in encode_texts(table, (x.as_py() or "" for x in batch.column(1))):
                 n, hashed, back, own = 0, hashlib.sha256(), hashlib.sha256(), []
-                for packed in encode_text(table, value.as_py() or ""):
+                for packed in blocks:
                     ids = np.frombuffer(packed, "<u4")
                     n += len(ids)
                     hashed.update(packed)

@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from distkpi.llm.bpe_prefix import _encoder, encode_text
+from distkpi.llm.bpe_prefix import _encoder, encode_texts
 from distkpi.llm.common import materialize, prefix_sums
 
 RANGE = 1024
@@ -36,8 +36,8 @@ def lengths(docs: DataFrame, vocabulary_path: str, pattern: str, text: str = "te
         table = _encoder(shipped.value, pattern)
         for batch in batches:
             found: dict[int, int] = {}
-            for value in batch.column(0):
-                n = sum(len(x) // 4 for x in encode_text(table, value.as_py() or ""))
+            for blocks in encode_texts(table, (x.as_py() or "" for x in batch.column(0))):
+                n = sum(len(x) // 4 for x in blocks)
                 found[n] = found.get(n, 0) + 1
             yield pa.RecordBatch.from_arrays([pa.array(found.keys(), pa.int64()),
                                               pa.array(found.values(), pa.int64())],
@@ -54,10 +54,11 @@ def suffix_table(histogram: DataFrame) -> DataFrame:
         "n_tokens", "documents", (F.col("n_tokens") * F.col("documents")).alias("tokens"),
         (-F.floor(F.col("n_tokens") / RANGE)).alias("range")), "length-histogram")
     summed = prefix_sums(base, [], "range", [F.col("n_tokens").desc()], {"more": "documents", "longer": "tokens"})
-    totals = base.agg(F.sum("documents").alias("all_documents"), F.sum("tokens").alias("all_tokens"))
+    documents = base.agg(F.coalesce(F.sum("documents"), F.lit(0))).scalar()
+    tokens = base.agg(F.coalesce(F.sum("tokens"), F.lit(0))).scalar()
     at_least = F.col("more") + F.col("documents")
     tokens_at_least = F.col("longer") + F.col("tokens")
-    return summed.join(totals).select(         # one row: global totals
+    return summed.withColumns({"all_documents": documents, "all_tokens": tokens}).select(
         "n_tokens", "documents", at_least.alias("documents_at_least"), tokens_at_least.alias("tokens_at_least"),
         (F.col("all_tokens") - tokens_at_least + F.col("n_tokens") * at_least).alias("truncated_tokens"),
         ((F.col("all_documents") - F.col("more")) / F.col("all_documents")).alias("share_at_most"),
