@@ -3,7 +3,7 @@
 Targets: every source gets its weight's share of the total, but at most
 ``max_epochs`` times its own size; what a capped source cannot take is shared
 by weight among the others. The result is ``min(cap, level * weight)`` for one
-common level, found from prefix sums over the sources sorted by
+common level, found from distributed prefix sums over the sources sorted by
 ``size / weight`` instead of by repeated rounds.
 
 Taking: documents get hash-random keys (MD5 of seed and id), are put in key
@@ -23,7 +23,7 @@ by :func:`apply_mix`.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from distkpi.llm.common import materialize, prefix_sums, words
@@ -47,31 +47,35 @@ def sized(docs: DataFrame, text: str = "text") -> DataFrame:
     return df.withColumn("bucket", F.conv(F.substring("key", 1, digits), 16, 10).cast("int"))
 
 
+def _in_ranges(df: DataFrame, *order: Column) -> DataFrame:
+    """``df`` with the number of its range in the given order as ``range``; written, so it is fixed."""
+    return materialize(df.repartitionByRange(*order).withColumn("range", F.spark_partition_id()), "mix-sources")
+
+
 def targets(sizes: DataFrame, weights: tuple[int, ...] = WEIGHTS,
             max_epochs: int = MAX_EPOCHS) -> DataFrame:
-    """source, source_size, target from one row per (source, size).
+    """source, source_size, target from rows of (source, size).
 
-    One row per source is sorted here, after the aggregation.
+    Sources are numbered, and summed in the order of ``size / weight``, by
+    distributed prefix sums over ranges, so there may be any number of them.
     """
-    per = sizes.groupBy("source").agg(F.sum("size").alias("source_size"))
-    # Sources are ordered and summed in one task: rows are sources, not documents.
-    by_name = Window.orderBy(F.col("source").asc_nulls_last())
-    weight = F.element_at(F.array(*[F.lit(w) for w in weights]),
-                          ((F.row_number().over(by_name) - 1) % len(weights) + 1).cast("int"))
+    name = F.col("source").asc_nulls_last()
+    per = _in_ranges(sizes.groupBy("source").agg(F.sum("size").alias("source_size"))
+                     .withColumn("one", F.lit(1)), name)
+    per = prefix_sums(per, [], "range", [name], {"position": "one"}).drop("range")
+    weight = F.element_at(F.array(*[F.lit(w) for w in weights]), (F.col("position") % len(weights) + 1).cast("int"))
     per = per.select("source", "source_size", weight.alias("weight"))
-    by_need = Window.orderBy((F.col("source_size") / F.col("weight")), "weight",
-                             F.col("source").asc_nulls_last())
-    upto = by_need.rowsBetween(Window.unboundedPreceding, -1)
-    whole = Window.partitionBy(F.lit(0))
-    per = per.select(
-        "*", F.sum("source_size").over(whole).alias("total"),
-        (F.sum("weight").over(whole) - F.coalesce(F.sum("weight").over(upto), F.lit(0))).alias("w_left"),
-        F.coalesce(F.sum("source_size").over(upto), F.lit(0)).alias("below"))
-    # With all smaller sources capped, the level is (total - caps) / weights left;
+    need = [(F.col("source_size") / F.col("weight")).asc(), F.col("weight").asc(), name]
+    per = _in_ranges(per, *need)
+    total = per.agg(F.coalesce(F.sum("source_size"), F.lit(0))).scalar()
+    weight_sum = per.agg(F.coalesce(F.sum("weight"), F.lit(0))).scalar()
+    per = prefix_sums(per, [], "range", need, {"below": "source_size", "w_below": "weight"}).drop("range")
+    # With all sources of smaller need capped, the level is (total - caps) / weights left;
     # this source is capped too if its own cap is not above its share of it.
-    per = per.withColumn("left", F.col("total") - max_epochs * F.col("below"))
+    per = materialize(per.withColumn("left", total - max_epochs * F.col("below"))
+                      .withColumn("w_left", weight_sum - F.col("w_below")), "mix-levels")
     capped = (max_epochs * F.col("source_size") * F.col("w_left")) <= (F.col("left") * F.col("weight"))
-    level = F.min(F.when(~capped, F.struct("below", "left", "w_left"))).over(whole)
+    level = per.filter(~capped).agg(F.min(F.struct("below", "left", "w_left"))).scalar()
     per = per.withColumn("level", level)
     share = (F.col("level.left") * F.col("weight")).cast("double") / F.col("level.w_left")
     return per.select("source", "source_size", F.when(capped | F.col("level").isNull(),
