@@ -5,7 +5,8 @@ and returns a DataFrame that is written as Parquet and read again as the next
 stage's ``docs``. All but the last return the columns of ``documents``:
 
 1. ``quality_rules`` drops documents that fail the base rule or the threshold table;
-2. ``jaccard_join`` keeps one document (the smallest id) of each group of near duplicates;
+2. ``jaccard_join`` keeps one document (the smallest id) of each group of near duplicates
+   (5-word shingles, similarity 0.8 or more);
 3. ``secret_ledger`` replaces every secret found by a mark;
 4. ``source_mix`` repeats or leaves out documents until each source has its target;
 5. ``bpe_prefix`` encodes every text: id, tokens and digests.
@@ -34,7 +35,7 @@ def good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def distinct(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     importable(spark)
-    return jaccard_join.keep_one(docs)
+    return jaccard_join.keep_one(docs, near=jaccard_join.GENERAL)
 
 
 def without_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

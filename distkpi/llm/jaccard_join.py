@@ -1,23 +1,26 @@
 """N-gram Jaccard join: size-aware, heavy and light sets apart.
 
-Documents whose sets of distinct 3-word shingles have a Jaccard similarity of
-at least 0.9 are linked; the result is the component of every document.
+Documents whose sets of distinct shingles are similar enough are linked; the
+result is the component of every document. :class:`Near` gives the words of a
+shingle and the least Jaccard similarity ``p / q``: ``OP6`` (3 words, 0.9) is
+the rule of the query, ``GENERAL`` (5 words, 0.8) that of pipeline stages.
 
 1. One pass over the texts gives each document's set size, a 128-bit digest of
    the set, a parity sketch and, for later, its list keys. Documents with equal
    sets become one class before anything is joined, so copies meet nowhere
    else.
 2. *Light* sets (up to a boundary) enumerate fixed-size subsets: two sets of
-   sizes n and m link exactly if they share ``ceil(9 (n + m) / 19)`` elements,
-   so for every possible partner size a set lists its subsets of that size. Two
+   sizes n and m link exactly if they share ``ceil(p (n + m) / (p + q))``
+   elements, so for every possible partner size a set lists its subsets of that size. Two
    sets with a common subset are a link.
 3. *Heavy* sets scan inverted lists. A list per shingle would be quadratic on
    shared passages, so lists are keyed by blocks of shingles: two linked sets
-   differ in at most ``k`` elements, hence of ``k + 1 + SPARE`` hash blocks at
-   least ``1 + SPARE`` are equal in both. ``k`` depends on the size, so blocks
+   differ in at most ``k`` elements, hence of ``k + 1 + spare`` hash blocks at
+   least ``1 + spare`` are equal in both. ``k`` depends on the size, so blocks
    are made per size group, and a set is listed in its own and the next
    smaller group. Empty blocks are listed only for a set with more than
-   ``SPARE`` of them (else a non-empty equal block exists).
+   ``spare`` of them (else a non-empty equal block exists); more blocks are
+   spare where a set leaves more of them empty, so that this stays rare.
 4. The boundary between both minimises the number of list rows, heavy rows
    weighted by the verification they cause, over the sizes that occur.
 5. Lists are scanned around a pivot: each member is compared with the smallest
@@ -37,8 +40,10 @@ ignored.
 from __future__ import annotations
 
 import hashlib
+from functools import lru_cache
 from itertools import combinations
 from math import comb
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
@@ -49,8 +54,6 @@ from pyspark.sql import functions as F
 from distkpi.llm.common import materialize
 from distkpi.llm.components import components
 
-WORDS = 3
-LEAST = 9           # the smallest size that can link with a different set
 SPARE = 2
 INLINE = 64         # sizes up to this may become light; their sets are kept
 HEAVY_WEIGHT = 4
@@ -59,30 +62,67 @@ CACHE = 300_000
 _MASK = (1 << 64) - 1
 
 
-def least_overlap(n: int, m: int) -> int:
+class Near(NamedTuple):
+    """Shingles of ``words`` words; sets link from a similarity of ``p / q`` below 1."""
+
+    words: int
+    p: int
+    q: int
+
+    @property
+    def least(self) -> int:
+        """The smallest size that can link with a different set."""
+        return -(-self.p // (self.q - self.p))
+
+
+OP6 = Near(3, 9, 10)
+GENERAL = Near(5, 4, 5)
+WORDS = OP6.words
+LEAST = OP6.least
+
+
+def least_overlap(n: int, m: int, near: Near = OP6) -> int:
     """Shared elements that make sets of sizes ``n`` and ``m`` link."""
-    return -(-9 * (n + m) // 19)
+    return -(-near.p * (n + m) // (near.p + near.q))
 
 
-def partners(n: int) -> range:
+def partners(n: int, near: Near = OP6) -> range:
     """Sizes that can link with size ``n``."""
-    return range(-(-9 * n // 10), 10 * n // 9 + 1)
+    return range(-(-near.p * n // near.q), near.q * n // near.p + 1)
 
 
-def _groups(upto: int = 1 << 31) -> list[int]:
+@lru_cache(None)
+def groups(near: Near = OP6, upto: int = 1 << 31) -> np.ndarray:
     """First sizes of the groups; a partner is in the same or an adjacent one."""
     out = [1]
     while out[-1] <= upto:
-        out.append(10 * out[-1] // 9 + 1)
-    return out
+        out.append(near.q * out[-1] // near.p + 1)
+    return np.array(out)
+
+
+@lru_cache(None)
+def spare(group: int, near: Near = OP6) -> int:
+    """Spare blocks of a size group: about twice as many as its smallest set leaves empty.
+
+    Limited for small sets, where further blocks would mostly be empty themselves.
+    """
+    first, differ = int(groups(near)[group]), _most_different(group, near)
+    n = SPARE
+    while n < SPARE + differ // 5:
+        b = differ + 1 + n
+        if n >= SPARE + int(2 * b * (1 - 1 / b) ** first):
+            break
+        n += 1
+    return n
 
 
-GROUPS = np.array(_groups())
+def _most_different(group: int, near: Near) -> int:
+    return int(groups(near)[group + 1] - 1) * (near.q - near.p) // near.p
 
 
-def blocks(group: int) -> int:
+def blocks(group: int, near: Near = OP6) -> int:
     """Number of blocks of a size group: the largest difference, one more, and the spare ones."""
-    return int(GROUPS[group + 1] - 1) // 9 + 1 + SPARE
+    return _most_different(group, near) + 1 + spare(group, near)
 
 
 def _mix(x: np.ndarray) -> np.ndarray:
@@ -100,7 +140,7 @@ class _WordHashes(dict):
 _words = _WordHashes()
 
 
-def shingles(text: str | None) -> np.ndarray:
+def shingles(text: str | None, words: int = WORDS) -> np.ndarray:
     """Sorted distinct 64-bit hashes of a text's shingles."""
     parts = (text or "").encode().lower().split()      # bytes: only A-Z and ASCII white space
     if len(_words) >= CACHE:
@@ -108,7 +148,7 @@ def shingles(text: str | None) -> np.ndarray:
     h = np.fromiter(map(_words.__getitem__, parts), np.uint64, len(parts))
     if not len(h):
         return h
-    n = min(WORDS, len(h))
+    n = min(words, len(h))
     x = np.full(len(h) - n + 1, n, np.uint64)
     for i in range(n):
         x = _mix(x * np.uint64(0x9E3779B97F4A7C15) + h[i:len(h) - n + 1 + i])
@@ -121,20 +161,21 @@ def sketch(s: np.ndarray) -> np.ndarray:
     return np.packbits(odd.astype(np.uint8)).view(np.int64)
 
 
-def heavy_keys(s: np.ndarray) -> np.ndarray:
+def heavy_keys(s: np.ndarray, near: Near = OP6) -> np.ndarray:
     """List keys of a set: one per block, for its size group and the one below."""
-    own = int(np.searchsorted(GROUPS, len(s), "right")) - 1
+    first_sizes = groups(near)
+    own = int(np.searchsorted(first_sizes, len(s), "right")) - 1
     out = []
     for group in (own - 1, own):
-        if GROUPS[group + 1] <= LEAST:
+        if first_sizes[group + 1] <= near.least:
             continue
-        n = blocks(group)
+        n = blocks(group, near)
         salted = _mix(s + np.uint64((group + 1) * 0x9E3779B97F4A7C15 & _MASK))
         block = (salted % np.uint64(n)).astype(np.int64)
         order = np.argsort(block, kind="stable")
         own_blocks, first = np.unique(block[order], return_index=True)
         sums = np.add.reduceat(_mix(salted)[order], first)
-        if n - len(own_blocks) > SPARE:
+        if n - len(own_blocks) > spare(group, near):
             rest = np.setdiff1d(np.arange(n), own_blocks)
             own_blocks = np.concatenate([own_blocks, rest])
             sums = np.concatenate([sums, np.zeros(len(rest), np.uint64)])
@@ -143,12 +184,12 @@ def heavy_keys(s: np.ndarray) -> np.ndarray:
     return np.concatenate(out).view(np.int64) if out else np.zeros(0, np.int64)
 
 
-def light_keys(s: list[int], boundary: int) -> list[int]:
+def light_keys(s: list[int], boundary: int, near: Near = OP6) -> list[int]:
     """Keys of the fixed-size subsets of a set, for every partner size up to the boundary."""
     n, out = len(s), []
-    for m in partners(n):
-        size = least_overlap(n, m)
-        if LEAST <= m <= boundary and size <= min(n, m):
+    for m in partners(n, near):
+        size = least_overlap(n, m, near)
+        if near.least <= m <= boundary and size <= min(n, m):
             tag = f"{min(n, m)}:{max(n, m)}:".encode()
             for some in combinations(s, size):
                 h = xxhash.xxh64_intdigest(tag + np.array(some, np.int64).tobytes())
@@ -156,36 +197,36 @@ def light_keys(s: list[int], boundary: int) -> list[int]:
     return out
 
 
-def light_cost(n: int) -> int:
-    return sum(comb(n, c) for m in partners(n) if (c := least_overlap(n, m)) <= min(n, m))
+def light_cost(n: int, near: Near = OP6) -> int:
+    return sum(comb(n, c) for m in partners(n, near) if (c := least_overlap(n, m, near)) <= min(n, m))
 
 
-def heavy_cost(n: int) -> int:
-    own = int(np.searchsorted(GROUPS, n, "right")) - 1
-    return HEAVY_WEIGHT * (blocks(own) + blocks(own - 1))
+def heavy_cost(n: int, near: Near = OP6) -> int:
+    own = int(np.searchsorted(groups(near), n, "right")) - 1
+    return HEAVY_WEIGHT * (blocks(own, near) + blocks(own - 1, near))
 
 
-def choose_boundary(histogram: dict[int, int]) -> int:
+def choose_boundary(histogram: dict[int, int], near: Near = OP6) -> int:
     """Largest light size; ``histogram``: number of sets by size, sizes up to ``INLINE``."""
     def total(x: int) -> int:
-        from_heavy = -(-9 * (x + 1) // 10)
-        return sum(c * ((light_cost(n) if n <= x else 0) + (heavy_cost(n) if n >= from_heavy else 0))
-                   for n, c in histogram.items() if n >= LEAST)
-    return min(range(LEAST - 1, INLINE + 1), key=lambda x: (total(x), x))
+        from_heavy = partners(x + 1, near).start
+        return sum(c * ((light_cost(n, near) if n <= x else 0) + (heavy_cost(n, near) if n >= from_heavy else 0))
+                   for n, c in histogram.items() if n >= near.least)
+    return min(range(near.least - 1, INLINE + 1), key=lambda x: (total(x), x))
 
 
-def describe(docs: DataFrame, text: str) -> DataFrame:
+def describe(docs: DataFrame, text: str, near: Near = OP6) -> DataFrame:
     """doc_id, n, digest of the set, sketch, heavy keys; the set itself if small or without an id."""
     def run(batches):
         for batch in batches:
             n, digest, marks, keys, sets = [], [], [], [], []
             for doc_id, value in zip(batch.column(0), batch.column(1)):
-                s = shingles(value.as_py())
+                s = shingles(value.as_py(), near.words)
                 n.append(len(s))
                 digest.append(hashlib.blake2b(s.tobytes(), digest_size=16).digest())
-                linkable = len(s) >= LEAST
+                linkable = len(s) >= near.least
                 marks.append(sketch(s) if linkable else None)
-                keys.append(heavy_keys(s) if linkable else None)
+                keys.append(heavy_keys(s, near) if linkable else None)
                 sets.append(s.view(np.int64) if linkable and (len(s) <= INLINE or not doc_id.is_valid)
                             else None)
             yield pa.RecordBatch.from_arrays(
@@ -198,11 +239,11 @@ def describe(docs: DataFrame, text: str) -> DataFrame:
              "members array<bigint>")
 
 
-def _sets(docs: DataFrame, text: str, classes: DataFrame, nodes: DataFrame) -> DataFrame:
+def _sets(docs: DataFrame, text: str, classes: DataFrame, nodes: DataFrame, near: Near) -> DataFrame:
     """node, members: the sets of the given nodes, made again from their texts."""
     def run(batches):
         for batch in batches:
-            sets = [shingles(x.as_py()).view(np.int64) for x in batch.column(1)]
+            sets = [shingles(x.as_py(), near.words).view(np.int64) for x in batch.column(1)]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sets, pa.list_(pa.int64()))],
                                              names=["node", "members"])
 
@@ -213,35 +254,36 @@ def _sets(docs: DataFrame, text: str, classes: DataFrame, nodes: DataFrame) -> D
         run, "node bigint, members array<bigint>"))
 
 
-def _light(classes: DataFrame, boundary: int) -> DataFrame:
+def _light(classes: DataFrame, boundary: int, near: Near) -> DataFrame:
     def run(batches):
         for batch in batches:
-            keys = [light_keys(x.as_py(), boundary) for x in batch.column(1)]
+            keys = [light_keys(x.as_py(), boundary, near) for x in batch.column(1)]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(keys, pa.list_(pa.int64()))],
                                              names=["node", "keys"])
 
-    small = classes.filter((F.col("n") >= LEAST) & (F.col("n") <= boundary))
+    small = classes.filter((F.col("n") >= near.least) & (F.col("n") <= boundary))
     return small.select("node", "members").mapInArrow(run, "node bigint, keys array<bigint>")
 
 
-def _may_link(na: Column, sa: Column, nb: Column, sb: Column) -> Column:
-    """Never false for a link: sizes within 0.9, and no more differing parity bits than elements may differ."""
+def _may_link(na: Column, sa: Column, nb: Column, sb: Column, near: Near) -> Column:
+    """Never false for a link: sizes within ``p / q``, and no more differing parity bits than elements may differ."""
     differ = sum((F.bit_count(sa[i].bitwiseXOR(sb[i])) for i in range(1, 8)),
                  F.bit_count(sa[0].bitwiseXOR(sb[0])))
-    return (10 * F.least(na, nb) >= 9 * F.greatest(na, nb)) & (19 * differ <= na + nb)
+    return ((near.q * F.least(na, nb) >= near.p * F.greatest(na, nb))
+            & ((near.p + near.q) * differ <= (near.q - near.p) * (na + nb)))
 
 
-def _verify(pairs: DataFrame, facts: DataFrame, sets: DataFrame, name: str) -> DataFrame:
+def _verify(pairs: DataFrame, facts: DataFrame, sets: DataFrame, name: str, near: Near) -> DataFrame:
     """Those pairs (a, b) that link, checked on the whole sets."""
     def of(side: str, table: DataFrame, *cols: str) -> DataFrame:
         return table.select(F.col("node").alias(side), *[F.col(c).alias(f"{side}_{c}") for c in cols])
 
     pairs = pairs.join(of("a", facts, "n", "sketch"), "a").join(of("b", facts, "n", "sketch"), "b")
-    pairs = pairs.filter(_may_link(F.col("a_n"), F.col("a_sketch"), F.col("b_n"), F.col("b_sketch")))
+    pairs = pairs.filter(_may_link(F.col("a_n"), F.col("a_sketch"), F.col("b_n"), F.col("b_sketch"), near))
     full = pairs.select("a", "b").join(of("a", sets, "members"), "a").join(of("b", sets, "members"), "b")
     shared = F.size(F.array_intersect("a_members", "b_members")).cast("long")
     union = F.size("a_members") + F.size("b_members") - shared
-    return materialize(full.filter(100 * shared >= 90 * union).select("a", "b").distinct(), name)
+    return materialize(full.filter(near.q * shared >= near.p * union).select("a", "b").distinct(), name)
 
 
 def _relabel(labels: DataFrame | None, edges: DataFrame) -> DataFrame:
@@ -260,9 +302,9 @@ def _relabel(labels: DataFrame | None, edges: DataFrame) -> DataFrame:
     return materialize(moved.unionByName(new), "labels")
 
 
-def jaccard_components(docs: DataFrame, text: str = "text") -> DataFrame:
+def jaccard_components(docs: DataFrame, text: str = "text", near: Near = OP6) -> DataFrame:
     """doc_id, n_shingles, component_id: one row per row of ``docs``."""
-    seen = materialize(describe(docs, text), "jaccard-docs")
+    seen = materialize(describe(docs, text, near), "jaccard-docs")
 
     # A class of equal sets is a node, named by its smallest id; without one, by its digest,
     # above all ids, so that the smallest node of a component is an id if there is one.
@@ -271,17 +313,17 @@ def jaccard_components(docs: DataFrame, text: str = "text") -> DataFrame:
         seen.filter("n > 0").groupBy("digest").agg(
             F.min("doc_id").alias("id"), F.first("n").alias("n"))
         .select("digest", "n", F.coalesce("id", unnamed).alias("node")), "jaccard-classes")
-    chosen = classes.filter(F.col("n") >= LEAST).select("digest", "node")
+    chosen = classes.filter(F.col("n") >= near.least).select("digest", "node")
     # One row per class, found by its id: copies do not meet in one task.
-    lists = seen.filter(F.col("n") >= LEAST).withColumn("node", F.coalesce("doc_id", unnamed)).join(
+    lists = seen.filter(F.col("n") >= near.least).withColumn("node", F.coalesce("doc_id", unnamed)).join(
         chosen, ["node", "digest"]).dropDuplicates(["node", "digest"])
     lists = materialize(lists.select("node", "n", "sketch", "keys", "members"), "jaccard-lists")
 
     small = {r["n"]: r["count"] for r in
              lists.filter(F.col("n") <= INLINE).groupBy("n").count().collect()}   # at most INLINE rows
-    boundary = choose_boundary(small)
-    heavy = lists.filter(10 * F.col("n") >= 9 * (boundary + 1)).select("node", F.explode("keys").alias("key"))
-    light = _light(lists, boundary).select("node", F.explode("keys").alias("key"))
+    boundary = choose_boundary(small, near)
+    heavy = lists.filter(near.q * F.col("n") >= near.p * (boundary + 1)).select("node", F.explode("keys").alias("key"))
+    light = _light(lists, boundary, near).select("node", F.explode("keys").alias("key"))
     same = Window.partitionBy("key")
     scanned = heavy.unionByName(light).select(
         "key", "node", F.min("node").over(same).alias("pivot"), F.max("node").over(same).alias("top"))
@@ -289,11 +331,11 @@ def jaccard_components(docs: DataFrame, text: str = "text") -> DataFrame:
 
     nodes = materialize(scanned.select("node").distinct(), "jaccard-nodes")
     facts = materialize(lists.join(nodes, "node", "left_semi").select("node", "n", "sketch"), "jaccard-facts")
-    sets = materialize(_sets(docs, text, lists, nodes), "jaccard-sets")
+    sets = materialize(_sets(docs, text, lists, nodes, near), "jaccard-sets")
 
     # Every member with one pivot; then with its other pivots outside its component.
     one = scanned.groupBy("node").agg(F.min("pivot").alias("a")).filter("a < node")
-    labels = _relabel(None, _verify(one.select("a", F.col("node").alias("b")), facts, sets, "jaccard-links"))
+    labels = _relabel(None, _verify(one.select("a", F.col("node").alias("b")), facts, sets, "jaccard-links", near))
 
     def labelled(df: DataFrame, node: str, out: str) -> DataFrame:
         by = labels.select(F.col("node").alias("_n"), F.col("root").alias("_r"))
@@ -302,7 +344,7 @@ def jaccard_components(docs: DataFrame, text: str = "text") -> DataFrame:
 
     stars = scanned.filter("pivot < node").select(F.col("pivot").alias("a"), F.col("node").alias("b")).distinct()
     stars = labelled(labelled(stars, "a", "la"), "b", "lb").filter("la <> lb").select("a", "b")
-    labels = _relabel(labels, _verify(stars, facts, sets, "jaccard-links"))
+    labels = _relabel(labels, _verify(stars, facts, sets, "jaccard-links", near))
 
     # Lists that still hold several components: members of different ones.
     open_ = labelled(scanned, "node", "label")
@@ -312,9 +354,9 @@ def jaccard_components(docs: DataFrame, text: str = "text") -> DataFrame:
     x, y = open_.alias("x"), open_.alias("y")
     cross = x.join(y, (F.col("x.key") == F.col("y.key")) & (F.col("x.node") < F.col("y.node"))
                    & (F.col("x.label") != F.col("y.label")) & (F.col("x.pivot") != F.col("x.node"))
-                   & _may_link(F.col("x.n"), F.col("x.sketch"), F.col("y.n"), F.col("y.sketch")))
+                   & _may_link(F.col("x.n"), F.col("x.sketch"), F.col("y.n"), F.col("y.sketch"), near))
     cross = cross.select(F.col("x.node").alias("a"), F.col("y.node").alias("b")).distinct()
-    labels = _relabel(labels, _verify(cross, facts, sets, "jaccard-links"))
+    labels = _relabel(labels, _verify(cross, facts, sets, "jaccard-links", near))
 
     rooted = labelled(classes.select("digest", "node"), "node", "root").select(
         F.col("digest").alias("_digest"),
@@ -325,12 +367,12 @@ def jaccard_components(docs: DataFrame, text: str = "text") -> DataFrame:
         F.when(F.col("n") > 0, F.col("_component")).otherwise(F.col("doc_id")).alias("component_id"))
 
 
-def keep_one(docs: DataFrame, text: str = "text") -> DataFrame:
+def keep_one(docs: DataFrame, text: str = "text", near: Near = OP6) -> DataFrame:
     """The rows of ``docs`` without those linked to a smaller id, and without repetitions of an id.
 
     Only what goes is joined to the texts. Rows with a null id stay.
     """
-    found = materialize(jaccard_components(docs, text), "jaccard-found")
+    found = materialize(jaccard_components(docs, text, near), "jaccard-found")
     # Ids whose rows do not simply stay. Written, so that Spark joins them by their real size.
     special = materialize(found.filter("doc_id IS NOT NULL").groupBy("doc_id").agg(
         F.max(F.col("component_id") != F.col("doc_id")).alias("_gone"), F.count(F.lit(1)).alias("_n"))

@@ -5,6 +5,7 @@ from itertools import combinations
 
 import numpy as np
 
+import corpus_pipeline
 from distkpi.llm import jaccard_join as j
 from distkpi.llm.components import components
 
@@ -84,3 +85,51 @@ def test_components_of_a_chain(spark):
     got = {r["node"]: r["root"] for r in components(edges).collect()}
     assert got == {**{i: 0 for i in range(n + 1)}, 1000: 1000, 1001: 1000}
     assert components(edges.limit(0)).count() == 0
+
+
+def test_keys_meet_for_every_link_at_the_general_rule():
+    near, rng = j.GENERAL, random.Random(4)
+    met = 0
+    for n in (4, 5, 6, 8, 9, 12, 17, 25, 40, 60, 150, 400, 1500):
+        for _ in range(40):
+            a = np.unique(np.array([rng.getrandbits(64) for _ in range(n)], np.uint64))
+            drop, add = rng.randrange(n // 5 + 1), rng.randrange(n // 4 + 1)
+            b = np.unique(np.array(rng.sample(a.tolist(), n - drop) + [rng.getrandbits(64) for _ in range(add)], np.uint64))
+            shared = len(np.intersect1d(a, b))
+            if 5 * shared < 4 * (len(a) + len(b) - shared):
+                continue
+            met += 1
+            assert set(j.heavy_keys(a, near).tolist()) & set(j.heavy_keys(b, near).tolist())
+            assert 9 * int((np.unpackbits(j.sketch(a).view(np.uint8)) != np.unpackbits(j.sketch(b).view(np.uint8))).sum()) \
+                <= len(a) + len(b)
+            if max(len(a), len(b)) <= 12 and not np.array_equal(a, b):
+                x, y = (j.light_keys(s.view(np.int64).tolist(), 12, near) for s in (a, b))
+                assert set(x) & set(y)
+    assert met > 200
+
+
+def test_near_copies_between_the_limits(spark, make_docs):
+    """Families whose members are at 0.8 to 0.9: all pairs by brute force, and what the pipeline's stage keeps."""
+    rng, texts = random.Random(12), []
+    for g, size in enumerate((9, 20, 30, 40, 60, 60, 60, 140, 140, 300, 600)):
+        words = [f"g{g}w{i}" for i in range(size + 4)]
+        for _ in range(8):
+            copy = list(words)
+            for _ in range(rng.choice([0, 1, 1, 2]) * max(1, size // 70)):
+                copy[rng.randrange(len(copy))] = f"x{rng.randrange(10 ** 6)}"
+            texts.append(" ".join(copy if rng.random() < 0.7 else copy[:-rng.randrange(1, 4)]))
+    sets = [frozenset(j.shingles(t, 5).tolist()) for t in texts]
+    root = list(range(len(texts)))
+    between = 0
+    for a, b in combinations(range(len(texts)), 2):
+        shared, union = len(sets[a] & sets[b]), len(sets[a] | sets[b])
+        if 5 * shared >= 4 * union:
+            between += 10 * shared < 9 * union
+            x, y = sorted((root[a], root[b]))
+            root = [x if r == y else r for r in root]
+    assert between > 20
+    docs = make_docs(list(enumerate(texts)))
+    got = {r["doc_id"]: r["component_id"] for r in j.jaccard_components(docs, near=j.GENERAL).collect()}
+    assert got == dict(enumerate(root))
+    kept = corpus_pipeline.distinct(spark, docs, "")
+    assert sorted(r["doc_id"] for r in kept.collect()) == sorted(set(root))
