@@ -47,19 +47,28 @@ _ASSIGN = ("(" + "|".join(map(_any_case, ("password", "passwd", "secret", "token
            _any_case("api") + "_?" + _any_case("key") +
            r""")["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""")
 
+_PEM_HEADER = "-----BEGIN [A-Z ]*PRIVATE KEY-----"
+#: The whole block: lazily to the END line, past runs of up to four hyphens but never past another
+#: line of five (a further header). Without an END: the header lines of an encrypted key, the lines
+#: up to the last run of 16 base64 characters with nothing but base64, white space, escapes and
+#: quote marks before it, and one shorter line.
+_PEM = (_PEM_HEADER + "(?:[^-]*(?:--?-?-?[^-]+){0,300}?-{0,4}-----END [A-Z ]*PRIVATE KEY-----|"
+        r"(?:[\s\\]+[A-Za-z][A-Za-z0-9-]*:\x20?[^\s\\]+){0,9}"
+        r"""[A-Za-z0-9+/=\s\\"',>#|*]*[A-Za-z0-9+/=]{16}(?:[\s\\"',>#|*]+[A-Za-z0-9+/=]{1,15})?|)""")
+
 #: The order is the tie-break of spans with the same start.
 RULES = (
     Rule("assign", 1, _ASSIGN, 2, 8),
     Rule("access", 1, "AKIA[A-Z0-9]+", 0, 16),
     Rule("hex", 1, "[0-9a-f]+", 0, 32),
-    Rule("pem", 1, "-----BEGIN [A-Z ]*PRIVATE KEY-----", 0, 1),
+    Rule("pem", 2, _PEM, 0, 1),
     Rule("jwt", 1, r"eyJ[A-Za-z0-9_-]+\.eyJ[A-Za-z0-9_-]+\.[A-Za-z0-9_-]+", 0, 40),
     Rule("login_url", 1, r"[a-z][a-z0-9+]*://[A-Za-z0-9._%-]+:[A-Za-z0-9._%-]+@[A-Za-z0-9.-]+", 0, 1),
 )
 BASE = ("assign", "access", "hex")
 
 #: A cheap test that every text with a counting match passes.
-_HINT = {"hex": "[0-9a-f]{32}", "access": "AKIA[A-Z0-9]{12}"}
+_HINT = {"hex": "[0-9a-f]{32}", "access": "AKIA[A-Z0-9]{12}", "pem": _PEM_HEADER}
 
 
 def spans(text: Column, rule: Rule) -> Column:
