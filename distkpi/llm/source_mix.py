@@ -23,7 +23,7 @@ by :func:`apply_mix`.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from distkpi.llm.common import materialize, prefix_sums, words
@@ -103,17 +103,29 @@ def apply_mix(docs: DataFrame, text: str = "text") -> DataFrame:
     The document at a source's cut comes out whole, so a source exceeds its
     target by less than one document and no text is cut in two.
     """
-    m = mix(docs, text).filter("taken > 0").select(
+    m = mix(docs, text).select(
         F.col("doc_id").alias("_id"), F.col("source").alias("_source"), F.col("size").alias("_size"),
-        F.expr("CAST((taken + size - 1) div size AS int)").alias("_n"))
-    # Repeated rows share id, source and size; each goes with the copies of all of them.
+        F.expr("CASE WHEN taken > 0 THEN (taken + size - 1) div size ELSE 0 END").alias("_n"))
+    # Repeated rows share id, source and size; the copies of all of them are dealt evenly to them.
     m = m.groupBy("_id", "_source", "_size").agg(F.sum("_n").alias("_n"), F.count(F.lit(1)).alias("_rows"))
+    m = materialize(m.filter("_n > 0"), "mix-copies")
     size = F.size(words(F.col(f"`{text}`"))).cast("long")
-    inner = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row"), size.alias("_s")).join(
-        m, F.col("_row.doc_id").eqNullSafe(F.col("_id")) & F.col("_row.source").eqNullSafe(F.col("_source"))
-        & (F.col("_s") == F.col("_size")))
-    copies = F.sequence(F.lit(1), F.ceil(F.col("_n") / F.col("_rows")).cast("int"))
-    return inner.select("_row", F.explode(copies).alias("_copy")).select("_row.*")
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row"), size.alias("_s"))
+
+    def joined(some: DataFrame) -> DataFrame:
+        return rows.join(some, F.col("_row.doc_id").eqNullSafe(F.col("_id"))
+                         & F.col("_row.source").eqNullSafe(F.col("_source")) & (F.col("_s") == F.col("_size")))
+
+    out = joined(m.filter("_n % _rows = 0")).select("_row", F.expr("_n div _rows").alias("_copies"))
+    # Only where a source is cut may some of them get one copy more: a group per source at most.
+    uneven = m.filter("_n % _rows <> 0")
+    if not uneven.isEmpty():
+        nth = F.row_number().over(Window.partitionBy("_id", "_source", "_size").orderBy(F.col(f"_row.`{text}`")))
+        some = joined(materialize(uneven, "mix-uneven")).withColumn("_nth", nth)
+        out = out.unionByName(some.select("_row", F.expr(
+            "_n div _rows + CASE WHEN _nth <= _n % _rows THEN 1 ELSE 0 END").alias("_copies")).filter("_copies > 0"))
+    copies = F.sequence(F.lit(1), F.col("_copies").cast("int"))
+    return out.select("_row", F.explode(copies).alias("_copy")).select("_row.*")
 
 
 def oracle(table: str = "documents") -> str:

@@ -97,6 +97,19 @@ def test_mix_meets_targets(spark, make_docs):
     assert dict(zip(got.doc_id, got.taken)) == dict(zip(again.doc_id, again.taken))
 
 
+def test_repeated_rows_exceed_no_target(make_docs):
+    rows = ([(None, f"n{i} " + "w " * 9, "en", "a") for i in range(50)] + [(i, "w " * 10, "en", "b") for i in range(40)]
+            + [(7, "r " * 10, "en", "c")] * 30 + [(8, None, "en", "c")] + [(None, "w " * 20, "en", None)] * 3)
+    docs = make_docs(rows)
+    target = {r["source"]: r["target"] for r in source_mix.mix(docs).collect()}
+    words = dict.fromkeys(target, 0)
+    for r in source_mix.apply_mix(docs).collect():
+        words[r["source"]] += len(r["text"].split())
+    assert target["a"] % 500 and target["c"] % 300      # both sources are cut among repeated rows
+    for s, size in (("a", 10), ("b", 10), ("c", 10), (None, 20)):
+        assert 0 <= words[s] - int(target[s]) < size
+
+
 def test_one_record_from_one_frame(spark, sf, monkeypatch):
     monkeypatch.setattr(warc_bundles, "FRAME", 4000)
     pages = spark.read.parquet(f"{sf}/pages.parquet")
