@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from distkpi.llm.common import materialize
+from distkpi.llm.common import discard, materialize
 
 
 def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
@@ -24,9 +24,11 @@ def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
         near = both.join(labels, F.col("v") == F.col("node")).groupBy("u").agg(F.min("root").alias("m"))
         hooked = labels.join(near, F.col("node") == F.col("u")).select(
             "node", F.col("root").alias("was"), F.least("root", "m").alias("root"))
-        hooked = materialize(hooked, "labels")
+        hooked, old = materialize(hooked, "labels"), labels
         up = hooked.select(F.col("node").alias("p"), F.col("root").alias("pr"))
         labels = materialize(hooked.join(up, F.col("root") == F.col("p"), "left").select(
             "node", "was", F.least("root", F.coalesce("pr", "root")).alias("root")), "labels")
+        discard(old, hooked)
         if labels.filter("was <> root").isEmpty():
+            discard(both)
             return labels.select("node", "root")

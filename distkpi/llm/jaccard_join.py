@@ -6,9 +6,7 @@ shingle and the least Jaccard similarity ``p / q``: ``OP6`` (3 words, 0.9) is
 the rule of the query, ``GENERAL`` (5 words, 0.8) that of pipeline stages.
 
 1. One pass over the texts gives each document's set size, a 128-bit digest of
-   the set, a parity sketch and, for later, its list keys. Documents with equal
-   sets become one class before anything is joined, so copies meet nowhere
-   else.
+   the set and a parity sketch. Documents with equal sets are one class.
 2. *Light* sets (up to a boundary) enumerate fixed-size subsets: two sets of
    sizes n and m link exactly if they share ``ceil(p (n + m) / (p + q))``
    elements, so for every possible partner size a set lists its subsets of that size. Two
@@ -23,18 +21,26 @@ the rule of the query, ``GENERAL`` (5 words, 0.8) that of pipeline stages.
    spare where a set leaves more of them empty, so that this stays rare.
 4. The boundary between both minimises the number of list rows, heavy rows
    weighted by the verification they cause, over the sizes that occur.
-5. Lists are scanned around a pivot: each member is compared with the smallest
+5. A second pass over the texts makes the list rows, a key and a tag of the
+   set each, and sends them straight into the exchange that groups the lists:
+   they are written once. A task lists equal sets once. Most lists hold one
+   tag and end there; the tags of the others become classes again.
+6. Lists are scanned around a pivot: each member is compared with the smallest
    member, not all with all. Then components are computed; in a list that still
    holds several components, only members of different components are compared,
-   after a size test and a sketch test that never reject a link. So every link
-   is found or already implied, and a list of one component costs its length.
+   after a size test and a sketch test that never reject a link, and long lists
+   are dealt to cells, so that no task compares more than two cells' members.
+   So every link is found or already implied, and a list of one component costs
+   its length.
 
-Every link is verified on the whole sets (64-bit shingle hashes).
+Every link is verified on the whole sets (64-bit shingle hashes), made again
+from the two texts.
 
 Null, empty and blank texts have no shingles and link with nothing. Rows that
 share an id count as one document with several texts. A null id takes part
-with its text; a component of null ids only has a null id. Extra columns are
-ignored.
+with its text; a component of null ids only has a null id. Equal similarities
+need no order: every link counts. Texts of any length are shingled whole. Extra
+columns are ignored, whatever their names; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -51,13 +57,17 @@ import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from distkpi.llm.common import materialize
+from distkpi.llm.common import discard, materialize
 from distkpi.llm.components import components
 
 SPARE = 2
 INLINE = 64         # sizes up to this may become light; their sets are kept
 HEAVY_WEIGHT = 4
 CACHE = 300_000
+CACHED_WORD = 64    # bytes of a word that is worth keeping
+CELL = 1024         # members of a list that are compared with each other in one task
+KEY_BITS = 48       # of list keys and tags: equal ones only make candidates
+TASK_SETS = 200_000 # sets a task remembers, so that it lists copies once
 
 _MASK = (1 << 64) - 1
 
@@ -133,7 +143,9 @@ def _mix(x: np.ndarray) -> np.ndarray:
 
 class _WordHashes(dict):
     def __missing__(self, word: bytes) -> int:
-        self[word] = h = xxhash.xxh64_intdigest(word)
+        h = xxhash.xxh64_intdigest(word)
+        if len(word) <= CACHED_WORD:
+            self[word] = h
         return h
 
 
@@ -215,54 +227,81 @@ def choose_boundary(histogram: dict[int, int], near: Near = OP6) -> int:
     return min(range(near.least - 1, INLINE + 1), key=lambda x: (total(x), x))
 
 
+def digest_of(s: np.ndarray) -> bytes:
+    return hashlib.blake2b(s.tobytes(), digest_size=16).digest()
+
+
 def describe(docs: DataFrame, text: str, near: Near = OP6) -> DataFrame:
-    """doc_id, n, digest of the set, sketch, heavy keys; the set itself if small or without an id."""
+    """doc_id, n, digest and sketch of the set."""
     def run(batches):
         for batch in batches:
-            n, digest, marks, keys, sets = [], [], [], [], []
-            for doc_id, value in zip(batch.column(0), batch.column(1)):
-                s = shingles(value.as_py(), near.words)
-                n.append(len(s))
-                digest.append(hashlib.blake2b(s.tobytes(), digest_size=16).digest())
-                linkable = len(s) >= near.least
-                marks.append(sketch(s) if linkable else None)
-                keys.append(heavy_keys(s, near) if linkable else None)
-                sets.append(s.view(np.int64) if linkable and (len(s) <= INLINE or not doc_id.is_valid)
-                            else None)
+            sets = [shingles(value.as_py(), near.words) for value in batch.column(1)]
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0).cast(pa.int64()), pa.array(n, pa.int64()), pa.array(digest, pa.binary())]
-                + [pa.array(x, pa.list_(pa.int64())) for x in (marks, keys, sets)],
-                names=["doc_id", "n", "digest", "sketch", "keys", "members"])
+                [batch.column(0).cast(pa.int64()), pa.array([len(s) for s in sets], pa.int64()),
+                 pa.array([digest_of(s) for s in sets], pa.binary()),
+                 pa.array([sketch(s) if len(s) >= near.least else None for s in sets], pa.list_(pa.int64()))],
+                names=["doc_id", "n", "digest", "sketch"])
 
     return docs.select(F.col("doc_id").cast("long"), F.col(f"`{text}`").alias("text")).mapInArrow(
-        run, "doc_id bigint, n bigint, digest binary, sketch array<bigint>, keys array<bigint>, "
-             "members array<bigint>")
+        run, "doc_id bigint, n bigint, digest binary, sketch array<bigint>")
 
 
-def _sets(docs: DataFrame, text: str, classes: DataFrame, nodes: DataFrame, near: Near) -> DataFrame:
-    """node, members: the sets of the given nodes, made again from their texts."""
-    def run(batches):
-        for batch in batches:
-            sets = [shingles(x.as_py(), near.words).view(np.int64) for x in batch.column(1)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sets, pa.list_(pa.int64()))],
-                                             names=["node", "members"])
+def _tag(digest: bytes) -> int:
+    return int.from_bytes(digest[:KEY_BITS // 8], "big")
 
-    kept = classes.filter("members IS NOT NULL").select("node", "members").join(nodes, "node", "left_semi")
-    rest = materialize(nodes.join(classes.filter("members IS NOT NULL"), "node", "left_anti"), "jaccard-unknown")
-    texts = docs.select(F.col("doc_id").cast("long").alias("node"), F.col(f"`{text}`").alias("text"))
-    return kept.unionByName(texts.join(rest, "node", "left_semi").mapInArrow(
-        run, "node bigint, members array<bigint>"))
 
+def _tag_column(digest: Column) -> Column:
+    return F.conv(F.hex(F.substring(digest, 1, KEY_BITS // 8)), 16, 10).cast("long")
 
-def _light(classes: DataFrame, boundary: int, near: Near) -> DataFrame:
+
+def _listed(docs: DataFrame, text: str, boundary: int, near: Near) -> DataFrame:
+    """key, tag: the lists that the sets stand in, light ones up to ``boundary``."""
+    def run(batches):
+        done: set[bytes] = set()
+        for batch in batches:
+            keys, tags, counts = [], [], []
+            for value in batch.column(0):
+                s = shingles(value.as_py(), near.words)
+                if len(s) < near.least:
+                    continue
+                digest = digest_of(s)
+                if digest in done:
+                    continue
+                if len(done) >= TASK_SETS:
+                    done.clear()
+                done.add(digest)
+                own = []
+                if near.q * len(s) >= near.p * (boundary + 1):
+                    own.append(heavy_keys(s, near))
+                if len(s) <= boundary:
+                    own.append(np.array(light_keys(s.view(np.int64).tolist(), boundary, near), np.int64))
+                for k in own:
+                    keys.append(k & ((1 << KEY_BITS) - 1))
+                    tags.append(_tag(digest))
+                    counts.append(len(k))
+            if keys:
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(np.concatenate(keys), pa.int64()), pa.array(np.repeat(tags, counts), pa.int64())],
+                    names=["key", "tag"])
+
+    return docs.select(F.col(f"`{text}`").alias("text")).mapInArrow(run, "key bigint, tag bigint")
+
+
+def _texts(docs: DataFrame, text: str, nodes: DataFrame, near: Near) -> DataFrame:
+    """node, text of the given nodes; a node without an id is known by its set."""
     def run(batches):
         for batch in batches:
-            keys = [light_keys(x.as_py(), boundary, near) for x in batch.column(1)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(keys, pa.list_(pa.int64()))],
-                                             names=["node", "keys"])
+            digests = [digest_of(shingles(x.as_py(), near.words)) for x in batch.column(0)]
+            yield pa.RecordBatch.from_arrays([pa.array(digests, pa.binary()), batch.column(0)], names=["digest", "text"])
 
-    small = classes.filter((F.col("n") >= near.least) & (F.col("n") <= boundary))
-    return small.select("node", "members").mapInArrow(run, "node bigint, keys array<bigint>")
+    value = F.col(f"`{text}`").alias("text")
+    named = docs.select(F.col("doc_id").cast("long").alias("node"), value).filter("node IS NOT NULL")
+    out = named.join(nodes, "node", "left_semi")
+    if not nodes.filter(F.col("node") >= UNNAMED).isEmpty():
+        rest = docs.filter("doc_id IS NULL").select(value).mapInArrow(run, "digest binary, text string")
+        out = out.unionByName(rest.select(_unnamed(F.col("digest")).alias("node"), "text").join(
+            nodes, "node", "left_semi"))
+    return out.dropDuplicates(["node", "text"])
 
 
 def _may_link(na: Column, sa: Column, nb: Column, sb: Column, near: Near) -> Column:
@@ -273,17 +312,28 @@ def _may_link(na: Column, sa: Column, nb: Column, sb: Column, near: Near) -> Col
             & ((near.p + near.q) * differ <= (near.q - near.p) * (na + nb)))
 
 
-def _verify(pairs: DataFrame, facts: DataFrame, sets: DataFrame, name: str, near: Near) -> DataFrame:
+def _verify(pairs: DataFrame, facts: DataFrame, texts: DataFrame, name: str, near: Near) -> DataFrame:
     """Those pairs (a, b) that link, checked on the whole sets."""
     def of(side: str, table: DataFrame, *cols: str) -> DataFrame:
         return table.select(F.col("node").alias(side), *[F.col(c).alias(f"{side}_{c}") for c in cols])
 
+    def run(batches):
+        last, s = None, None
+        for batch in batches:
+            keep = []
+            for x, y in zip(batch.column("a_text"), batch.column("b_text")):
+                x = x.as_py()
+                if x != last:                # pairs of one pivot follow each other
+                    last, s = x, shingles(x, near.words)
+                other = shingles(y.as_py(), near.words)
+                shared = len(np.intersect1d(s, other, assume_unique=True))
+                keep.append(near.q * shared >= near.p * (len(s) + len(other) - shared))
+            yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
+
     pairs = pairs.join(of("a", facts, "n", "sketch"), "a").join(of("b", facts, "n", "sketch"), "b")
     pairs = pairs.filter(_may_link(F.col("a_n"), F.col("a_sketch"), F.col("b_n"), F.col("b_sketch"), near))
-    full = pairs.select("a", "b").join(of("a", sets, "members"), "a").join(of("b", sets, "members"), "b")
-    shared = F.size(F.array_intersect("a_members", "b_members")).cast("long")
-    union = F.size("a_members") + F.size("b_members") - shared
-    return materialize(full.filter(near.q * shared >= near.p * union).select("a", "b").distinct(), name)
+    full = pairs.select("a", "b").join(of("b", texts, "text"), "b").join(of("a", texts, "text"), "a")
+    return materialize(full.select("a", "b", "a_text", "b_text").mapInArrow(run, "a bigint, b bigint").distinct(), name)
 
 
 def _relabel(labels: DataFrame | None, edges: DataFrame) -> DataFrame:
@@ -302,107 +352,160 @@ def _relabel(labels: DataFrame | None, edges: DataFrame) -> DataFrame:
     return materialize(moved.unionByName(new), "labels")
 
 
-def jaccard_components(docs: DataFrame, text: str = "text", near: Near = OP6) -> DataFrame:
-    """doc_id, n_shingles, component_id: one row per row of ``docs``."""
-    seen = materialize(describe(docs, text, near), "jaccard-docs")
+#: A class of equal sets is a node, named by its smallest id; without one, by its digest, above
+#: all ids, so that the smallest node of a component is an id if there is one.
+UNNAMED = 1 << 62
+
+
+def _unnamed(digest: Column) -> Column:
+    return F.conv(F.substring(F.hex(digest), 1, 15), 16, 10).cast("long") + F.lit(UNNAMED)
+
 
-    # A class of equal sets is a node, named by its smallest id; without one, by its digest,
-    # above all ids, so that the smallest node of a component is an id if there is one.
-    unnamed = F.expr("CAST(conv(substring(hex(digest), 1, 15), 16, 10) AS bigint)") + F.lit(1 << 62)
-    classes = materialize(
-        seen.filter("n > 0").groupBy("digest").agg(
-            F.min("doc_id").alias("id"), F.first("n").alias("n"))
-        .select("digest", "n", F.coalesce("id", unnamed).alias("node")), "jaccard-classes")
-    chosen = classes.filter(F.col("n") >= near.least).select("digest", "node")
-    # One row per class, found by its id: copies do not meet in one task.
-    lists = seen.filter(F.col("n") >= near.least).withColumn("node", F.coalesce("doc_id", unnamed)).join(
-        chosen, ["node", "digest"]).dropDuplicates(["node", "digest"])
-    lists = materialize(lists.select("node", "n", "sketch", "keys", "members"), "jaccard-lists")
+def _labelled(df: DataFrame, labels: DataFrame, node: str, out: str) -> DataFrame:
+    by = labels.select(F.col("node").alias("_n"), F.col("root").alias("_r"))
+    return df.join(by, F.col(node) == F.col("_n"), "left").withColumn(out, F.coalesce("_r", node)).drop("_n", "_r")
+
+
+def _cross(open_: DataFrame, near: Near) -> DataFrame:
+    """Pairs of members of different components of a list; members of a long list meet cell by cell."""
+    cell = F.pmod(F.xxhash64("node"), F.col("cells"))
+    dealt = open_.withColumn("cell", cell)
+    x = dealt.withColumn("to", F.explode(F.sequence(F.col("cell"), F.col("cells") - 1))).withColumnRenamed("cell", "from")
+    y = dealt.withColumn("from", F.explode(F.sequence(F.lit(0).cast("long"), F.col("cell")))).withColumnRenamed("cell", "to")
+    x, y = x.alias("x"), y.alias("y")
+    met = x.join(y, (F.col("x.key") == F.col("y.key")) & (F.col("x.from") == F.col("y.from"))
+                 & (F.col("x.to") == F.col("y.to")) & (F.col("x.label") != F.col("y.label"))
+                 & ((F.col("x.from") < F.col("x.to")) | (F.col("x.node") < F.col("y.node")))
+                 & (F.col("x.pivot") != F.col("x.node")) & (F.col("y.pivot") != F.col("y.node"))
+                 & _may_link(F.col("x.n"), F.col("x.sketch"), F.col("y.n"), F.col("y.sketch"), near))
+    return met.select(F.least("x.node", "y.node").alias("a"), F.greatest("x.node", "y.node").alias("b")).distinct()
+
+
+def rooted_classes(docs: DataFrame, text: str = "text", near: Near = OP6) -> tuple[DataFrame, DataFrame]:
+    """``doc_id, n, digest`` of every row, and ``digest, node, root`` of every class with shingles (written tables)."""
+    seen = materialize(describe(docs, text, near), "jaccard-docs")
+    marks = [f"s{i}" for i in range(8)]
+    classes = seen.filter("n > 0").groupBy("digest").agg(
+        F.min("doc_id").alias("id"), F.first("n").alias("n"),
+        *[F.first(F.col("sketch")[i]).alias(m) for i, m in enumerate(marks)])
+    classes = materialize(classes.select("digest", "n", F.coalesce("id", _unnamed(F.col("digest"))).alias("node"),
+                                         F.array(*marks).alias("sketch")), "jaccard-classes")
+    linkable = classes.filter(F.col("n") >= near.least)
 
     small = {r["n"]: r["count"] for r in
-             lists.filter(F.col("n") <= INLINE).groupBy("n").count().collect()}   # at most INLINE rows
-    boundary = choose_boundary(small, near)
-    heavy = lists.filter(near.q * F.col("n") >= near.p * (boundary + 1)).select("node", F.explode("keys").alias("key"))
-    light = _light(lists, boundary, near).select("node", F.explode("keys").alias("key"))
+             linkable.filter(F.col("n") <= INLINE).groupBy("n").count().collect()}   # at most INLINE rows
     same = Window.partitionBy("key")
-    scanned = heavy.unionByName(light).select(
-        "key", "node", F.min("node").over(same).alias("pivot"), F.max("node").over(same).alias("top"))
-    scanned = materialize(scanned.filter("pivot <> top").drop("top"), "jaccard-scanned")
+    listed = _listed(docs, text, choose_boundary(small, near), near).select(
+        "key", "tag", F.min("tag").over(same).alias("lo"), F.max("tag").over(same).alias("hi"))
+    met = materialize(listed.filter("lo <> hi").select("key", "tag"), "jaccard-met")
+    named = materialize(met.join(linkable.select(_tag_column(F.col("digest")).alias("tag"), "node"), "tag")
+                        .select("key", "node").distinct(), "jaccard-named")
+    heads = named.groupBy("key").agg(F.min("node").alias("pivot"), F.max("node").alias("top"),
+                                     F.count(F.lit(1)).alias("members")).filter("pivot <> top").drop("top")
+    scanned = materialize(named.join(heads, "key"), "jaccard-scanned")
+    discard(met, named)
 
     nodes = materialize(scanned.select("node").distinct(), "jaccard-nodes")
-    facts = materialize(lists.join(nodes, "node", "left_semi").select("node", "n", "sketch"), "jaccard-facts")
-    sets = materialize(_sets(docs, text, lists, nodes, near), "jaccard-sets")
+    facts = materialize(linkable.join(nodes, "node", "left_semi").select("node", "n", "sketch"), "jaccard-facts")
+    texts = materialize(_texts(docs, text, nodes, near), "jaccard-texts")
 
     # Every member with one pivot; then with its other pivots outside its component.
     one = scanned.groupBy("node").agg(F.min("pivot").alias("a")).filter("a < node")
-    labels = _relabel(None, _verify(one.select("a", F.col("node").alias("b")), facts, sets, "jaccard-links", near))
-
-    def labelled(df: DataFrame, node: str, out: str) -> DataFrame:
-        by = labels.select(F.col("node").alias("_n"), F.col("root").alias("_r"))
-        return df.join(by, F.col(node) == F.col("_n"), "left").withColumn(
-            out, F.coalesce("_r", node)).drop("_n", "_r")
+    links = _verify(one.select("a", F.col("node").alias("b")), facts, texts, "jaccard-links", near)
+    labels = _relabel(None, links)
 
     stars = scanned.filter("pivot < node").select(F.col("pivot").alias("a"), F.col("node").alias("b")).distinct()
-    stars = labelled(labelled(stars, "a", "la"), "b", "lb").filter("la <> lb").select("a", "b")
-    labels = _relabel(labels, _verify(stars, facts, sets, "jaccard-links", near))
+    stars = _labelled(_labelled(stars, labels, "a", "la"), labels, "b", "lb").filter("la <> lb").select("a", "b")
+    more = _verify(stars, facts, texts, "jaccard-links", near)
+    labels = _relabel(labels, more)
 
     # Lists that still hold several components: members of different ones.
-    open_ = labelled(scanned, "node", "label")
+    open_ = _labelled(scanned, labels, "node", "label")
     parts = open_.groupBy("key").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).filter("lo <> hi")
     open_ = materialize(open_.join(parts.select("key"), "key").join(facts, "node").select(
-        "key", "node", "pivot", "label", "n", "sketch"), "jaccard-open")
-    x, y = open_.alias("x"), open_.alias("y")
-    cross = x.join(y, (F.col("x.key") == F.col("y.key")) & (F.col("x.node") < F.col("y.node"))
-                   & (F.col("x.label") != F.col("y.label")) & (F.col("x.pivot") != F.col("x.node"))
-                   & _may_link(F.col("x.n"), F.col("x.sketch"), F.col("y.n"), F.col("y.sketch"), near))
-    cross = cross.select(F.col("x.node").alias("a"), F.col("y.node").alias("b")).distinct()
-    labels = _relabel(labels, _verify(cross, facts, sets, "jaccard-links", near))
-
-    rooted = labelled(classes.select("digest", "node"), "node", "root").select(
-        F.col("digest").alias("_digest"),
-        F.when(F.col("root") < F.lit(1 << 62), F.col("root")).alias("_component"))
-    return seen.select("doc_id", "n", "digest").join(
-        rooted, (F.col("digest") == F.col("_digest")) & (F.col("n") > 0), "left").select(
+        "key", "node", "pivot", "label", "n", "sketch",
+        F.ceil(F.col("members") / CELL).alias("cells")), "jaccard-open")
+    last = _verify(_cross(open_, near), facts, texts, "jaccard-links", near)
+    labels = _relabel(labels, last)
+    rooted = materialize(_labelled(classes.select("digest", "node"), labels, "node", "root"), "jaccard-roots")
+    discard(scanned, nodes, facts, texts, links, more, open_, last, classes)
+    return seen.select("doc_id", "n", "digest"), rooted
+
+
+def jaccard_components(docs: DataFrame, text: str = "text", near: Near = OP6) -> DataFrame:
+    """doc_id, n_shingles, component_id: one row per row of ``docs``."""
+    seen, rooted = rooted_classes(docs, text, near)
+    rooted = rooted.select(F.col("digest").alias("_digest"),
+                           F.when(F.col("root") < UNNAMED, F.col("root")).alias("_component"))
+    return seen.join(rooted, (F.col("digest") == F.col("_digest")) & (F.col("n") > 0), "left").select(
         "doc_id", F.col("n").alias("n_shingles"),
         F.when(F.col("n") > 0, F.col("_component")).otherwise(F.col("doc_id")).alias("component_id"))
 
 
+def _with_digest(rows: DataFrame, text: str, near: Near) -> DataFrame:
+    """``rows`` (one column ``_row``) with ``_digest`` and ``_n`` of the text's set."""
+    def run(batches):
+        for batch in batches:
+            sets = [shingles(x.as_py(), near.words) for x in batch.column(1)]
+            yield pa.RecordBatch.from_arrays(
+                [batch.column(0), pa.array([digest_of(s) for s in sets], pa.binary()),
+                 pa.array([len(s) for s in sets], pa.int64())], names=["_row", "_digest", "_n"])
+
+    kind = rows.schema["_row"].dataType.simpleString()
+    return rows.select("_row", F.col(f"_row.`{text}`").alias("_text")).mapInArrow(
+        run, f"_row {kind}, _digest binary, _n bigint")
+
+
 def keep_one(docs: DataFrame, text: str = "text", near: Near = OP6) -> DataFrame:
-    """The rows of ``docs`` without those linked to a smaller id, and without repetitions of an id.
+    """One row of ``docs`` per component: that of the smallest id, null ids last, of equal ones the first by text.
 
-    Only what goes is joined to the texts. Rows with a null id stay.
+    Decided by id and set: an id with several texts loses those that are linked
+    to a smaller id and keeps the others. Rows without shingles stay, repetitions
+    of an id among them go. Only what goes or is in doubt (null and repeated
+    ids) is joined to the texts.
     """
-    found = materialize(jaccard_components(docs, text, near), "jaccard-found")
+    seen, rooted = rooted_classes(docs, text, near)
+    by = F.col("digest") == F.col("_digest")
+    found = seen.join(rooted.select(F.col("digest").alias("_digest"), "root"), by & (F.col("n") > 0), "left")
     # Ids whose rows do not simply stay. Written, so that Spark joins them by their real size.
     special = materialize(found.filter("doc_id IS NOT NULL").groupBy("doc_id").agg(
-        F.max(F.col("component_id") != F.col("doc_id")).alias("_gone"), F.count(F.lit(1)).alias("_n"))
-        .filter("_gone OR _n > 1").withColumnRenamed("doc_id", "_id"), "jaccard-special")
+        F.max(F.coalesce(F.col("root") != F.col("doc_id"), F.lit(False))).alias("_gone"), F.count(F.lit(1)).alias("_rows"))
+        .filter("_gone OR _rows > 1").select(F.col("doc_id").alias("_id"), "_rows"), "jaccard-special")
     rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row"))
-    match = F.col("_row.doc_id") == F.col("_id")
-    left = rows.join(special, match, "left_anti")
-    repeated = special.filter("NOT _gone")
-    if not repeated.isEmpty():
-        nth = F.row_number().over(Window.partitionBy("_row.doc_id").orderBy(f"_row.{text}"))
-        again = rows.join(materialize(repeated, "jaccard-repeated"), match, "left_semi")
-        left = left.unionByName(again.withColumn("_nth", nth).filter("_nth = 1").drop("_nth"))
-    return left.select("_row.*")
-
-
-def oracle(table: str = "documents") -> str:
+    own = F.col("_row.doc_id")
+    left = rows.filter(own.isNotNull()).join(special, own == F.col("_id"), "left_anti")
+    # Null and repeated ids: by id and set.
+    repeated = materialize(special.filter("_rows > 1").select("_id"), "jaccard-repeated")
+    doubt = rows.filter(own.isNull()).unionByName(rows.join(repeated, own == F.col("_id"), "left_semi"))
+    doubt = materialize(_with_digest(doubt, text, near).withColumn("_nth", F.monotonically_increasing_id()),
+                        "jaccard-doubt")
+    winners = rooted.filter("node = root").groupBy("root").agg(F.min("digest").alias("_digest"))
+    winners = winners.select("_digest", F.when(F.col("root") < UNNAMED, F.col("root")).alias("_id"))
+    stays = doubt.filter("_n > 0").join(winners, "_digest").filter(own.eqNullSafe(F.col("_id")))
+    first = stays.select("_digest", own.alias("_id"), F.xxhash64(F.col(f"_row.`{text}`")).alias("_h"), "_nth").unionByName(
+        doubt.filter((F.col("_n") == 0) & own.isNotNull()).select("_digest", own.alias("_id"), F.lit(0).cast("long").alias("_h"), "_nth"))
+    first = first.groupBy("_digest", "_id").agg(F.min(F.struct("_h", "_nth"))["_nth"].alias("_chosen")).select("_chosen")
+    chosen = doubt.join(materialize(first, "jaccard-chosen"), F.col("_nth") == F.col("_chosen"), "left_semi")
+    blank = doubt.filter((F.col("_n") == 0) & own.isNull())
+    return left.select("_row").unionByName(chosen.select("_row")).unionByName(blank.select("_row")).select("_row.*")
+
+
+def oracle(table: str = "documents", near: Near = OP6) -> str:
     """DuckDB SQL of :func:`jaccard_components`: all pairs that share a shingle."""
+    words, p, q = near
     return f"""
 WITH RECURSIVE d AS (
   SELECT row_number() OVER () AS rid, doc_id,
          list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ',
                      'abcdefghijklmnopqrstuvwxyz'), '[\\x20\\x09-\\x0D]+'), lambda x: x <> '') AS w FROM {table}),
-s AS (SELECT rid, doc_id, CASE WHEN len(w) = 0 THEN [] WHEN len(w) < {WORDS} THEN [array_to_string(w, ' ')]
-             ELSE list_distinct(list_transform(range(1, len(w) - {WORDS - 2}),
-                                lambda i: array_to_string(w[i:i + {WORDS - 1}], ' '))) END AS g FROM d),
+s AS (SELECT rid, doc_id, CASE WHEN len(w) = 0 THEN [] WHEN len(w) < {words} THEN [array_to_string(w, ' ')]
+             ELSE list_distinct(list_transform(range(1, len(w) - {words - 2}),
+                                lambda i: array_to_string(w[i:i + {words - 1}], ' '))) END AS g FROM d),
 x AS (SELECT rid, len(g) AS n, unnest(g) AS v FROM s),
 p AS (SELECT a.rid AS a, b.rid AS b, a.n AS na, b.n AS nb, count(*) AS c
-      FROM x a JOIN x b ON a.v = b.v AND a.rid < b.rid AND 10 * a.n >= 9 * b.n AND 10 * b.n >= 9 * a.n
+      FROM x a JOIN x b ON a.v = b.v AND a.rid < b.rid AND {q} * a.n >= {p} * b.n AND {q} * b.n >= {p} * a.n
       GROUP BY ALL),
-l AS (SELECT a, b FROM p WHERE 100 * c >= 90 * (na + nb - c)),
+l AS (SELECT a, b FROM p WHERE {q} * c >= {p} * (na + nb - c)),
 e AS (SELECT a, b FROM l UNION ALL SELECT b, a FROM l),
 r AS (SELECT rid AS a, rid AS b FROM s UNION SELECT r.a, e.b FROM r JOIN e ON r.b = e.a)
 SELECT s.doc_id, len(s.g)::BIGINT AS n_shingles, min(t.doc_id) AS component_id

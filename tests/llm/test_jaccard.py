@@ -76,7 +76,33 @@ def test_null_and_shared_ids(make_docs):
                           (8, 0, 8), (9, 29, 9), (9, 29, 9), (None, 3, None), (3, got[[g[0] for g in got].index(3)][1], 3)], key=repr)
     kept = j.keep_one(docs)
     assert kept.columns == docs.columns
-    assert sorted((r["doc_id"] for r in kept.collect()), key=repr) == sorted([None] * 5 + [5, 8, 9, 3], key=repr)
+    assert sorted(((r["doc_id"], r["text"]) for r in kept.collect()), key=repr) == sorted(
+        [(5, a), (9, b + " end"), (8, None), (None, ""), (None, "only here without any id"), (3, "alone " + b[:60])], key=repr)
+
+
+def test_one_row_of_each_group_by_id_and_text(make_docs):
+    a, b, c = (" ".join(f"{x}{i}" for i in range(30)) for x in "abc")
+    docs = make_docs([(1, a), (2, a), (2, b), (2, b.upper()), (None, c), (None, c + " more"), (None, c), (4, ""), (4, None), (None, " ")])
+    for near in (j.OP6, j.GENERAL):
+        got = sorted(((r["doc_id"], (r["text"] or "").lower()) for r in j.keep_one(docs, near=near).collect()), key=repr)
+        assert [g for g in got if g[0] is not None] == [(1, a), (2, b), (4, "")]
+        assert len([g for g in got if g[0] is None and g[1].strip()]) == 1 and (None, " ") in got
+
+
+def test_long_lists_are_dealt_to_cells(make_docs, monkeypatch):
+    """Many members of one list, linked in no star: each cell of the list is a group of its own."""
+    rng = random.Random(21)
+    words = [f"w{i}" for i in range(40)]
+    texts = []
+    for i in range(60):
+        copy = list(words)
+        for k in rng.sample(range(40), rng.choice([1, 3, 5])):
+            copy[k] = f"x{i}y{k}"
+        texts.append(" ".join(copy))
+    want = j.jaccard_components(make_docs(list(enumerate(texts))), near=j.GENERAL).collect()
+    monkeypatch.setattr(j, "CELL", 4)
+    got = j.jaccard_components(make_docs(list(enumerate(texts))), near=j.GENERAL).collect()
+    assert sorted(map(tuple, got)) == sorted(map(tuple, want))
 
 
 def test_components_of_a_chain(spark):

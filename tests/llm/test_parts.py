@@ -11,7 +11,7 @@ import pyarrow.fs as fs
 import zstandard
 
 import corpus_pipeline
-from distkpi.llm import bpe_prefix, queries, secret_ledger, source_mix, warc_bundles
+from distkpi.llm import bpe_prefix, jaccard_join, queries, secret_ledger, source_mix, warc_bundles
 from distkpi.session import scratch_path
 
 SECRET = "password = hunter2hunter2"
@@ -134,7 +134,7 @@ def plain_pipeline(sf):
     o = queries.ORACLE_SQL
     con.sql(f"CREATE TABLE good AS SELECT * FROM documents WHERE doc_id IN (SELECT doc_id FROM ({o['op3_quality_rules']}) WHERE kept)")
     con.sql(f"CREATE TABLE one AS SELECT * FROM good WHERE doc_id IN (SELECT doc_id FROM "
-            f"({o['op6_jaccard_join'].replace('documents', 'good')}) WHERE component_id = doc_id)")
+            f"({jaccard_join.oracle('good', jaccard_join.GENERAL)}) WHERE component_id = doc_id)")
     spans = con.sql(o["op4_secret_ledger"].replace("documents", "one")).fetchall()
     text = dict(con.sql("SELECT doc_id, text FROM one").fetchall())
     for doc_id, *_, found in spans:
