@@ -294,6 +294,8 @@ def _texts(docs: DataFrame, text: str, nodes: DataFrame, near: Near) -> DataFram
             digests = [digest_of(shingles(x.as_py(), near.words)) for x in batch.column(0)]
             yield pa.RecordBatch.from_arrays([pa.array(digests, pa.binary()), batch.column(0)], names=["digest", "text"])
 
+    # Merged at every size: a table just small enough to be broadcast is not a size to plan for.
+    nodes = nodes.hint("merge")
     value = F.col(f"`{text}`").alias("text")
     named = docs.select(F.col("doc_id").cast("long").alias("node"), value).filter("node IS NOT NULL")
     out = named.join(nodes, "node", "left_semi")
@@ -473,10 +475,12 @@ def keep_one(docs: DataFrame, text: str = "text", near: Near = OP6) -> DataFrame
         .filter("_gone OR _rows > 1").select(F.col("doc_id").alias("_id"), "_rows"), "jaccard-special")
     rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row"))
     own = F.col("_row.doc_id")
-    left = rows.filter(own.isNotNull()).join(special, own == F.col("_id"), "left_anti")
+    left = rows.filter(own.isNotNull()).join(special.hint("merge"), own == F.col("_id"), "left_anti")
     # Null and repeated ids: by id and set.
     repeated = materialize(special.filter("_rows > 1").select("_id"), "jaccard-repeated")
-    doubt = rows.filter(own.isNull()).unionByName(rows.join(repeated, own == F.col("_id"), "left_semi"))
+    doubt = rows.filter(own.isNull())
+    if not repeated.isEmpty():
+        doubt = doubt.unionByName(rows.join(repeated, own == F.col("_id"), "left_semi"))
     doubt = materialize(_with_digest(doubt, text, near).withColumn("_nth", F.monotonically_increasing_id()),
                         "jaccard-doubt")
     winners = rooted.filter("node = root").groupBy("root").agg(F.min("digest").alias("_digest"))
