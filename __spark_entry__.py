@@ -201,6 +201,7 @@ CASES: dict[str, Callable] = {
     "item_filter_list": lambda t: lists.item_filter_list(t),
     "branch_list": lambda t: lists.branch_list(t),
     "sku_count_by_class": lambda t: lists.sku_count_by_class(t),
+    "list_tables": lambda t: lists.tables(t),
     "table_page": lambda t: lists.table_page(t.items, ["matnr"], limit=1000, offset=100),
     "table_page_after": lambda t: lists.table_page(t.items, ["matnr"], limit=1000, after=["0000000099"]),
     # Documented sales metrics.
@@ -297,6 +298,7 @@ def oracle_sql() -> dict[str, str]:
         "item_filter_list": o.item_filter_list(),
         "branch_list": o.branch_list(),
         "sku_count_by_class": o.sku_count_by_class(),
+        "list_tables": o.list_tables(),
         "table_page": o.table_page("items", ["matnr"], 1000, 100),
         "table_page_after": o.table_page_after("items", "matnr", "0000000099", 1000),
         "gross_summary": o.gross_summary(DS, DE),

@@ -24,28 +24,110 @@ ITM_MATNR, ITM_DESC, ITM_CLASSIF, ITM_MAPPING = "itm_matnr", "itm_desc", "itm_cl
 LOC_CODE, LOC_DESC = "loc_inv_sloc", "loc_inv_sloc_desc"
 
 
-def with_class(df: DataFrame, items_class: DataFrame, key: Column) -> DataFrame:
+#: A key that holds more than one row in so many is split into parts of that size.
+SHARE = 200
+
+
+def _fits_broadcast(df: DataFrame) -> bool:
+    """Whether Spark will send the whole of ``df`` to every task: its estimate is within the threshold."""
+    limit = df.sparkSession._jsparkSession.sessionState().conf().autoBroadcastJoinThreshold()
+    return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())) <= limit
+
+
+BUCKETS = 8192
+
+
+def _heavy_keys(counts: DataFrame, share: int) -> Column:
+    """Scalar map of the keys with more than one row in ``share`` to the parts they are dealt to.
+
+    ``counts`` has rows (_key, _n). One pass: the most frequent key of each of
+    ``BUCKETS`` hash buckets is a candidate, so the map is bounded; of two
+    heavy keys in one bucket only the heavier is split.
+    """
+    best = counts.where(F.col("_key").isNotNull()).groupBy(F.pmod(F.xxhash64("_key"), F.lit(BUCKETS)).alias("_b")).agg(
+        F.sum("_n").alias("_s"), F.max(F.struct("_n", "_key")).alias("_m"))
+    found = best.agg(F.sum("_s").alias("_t"), F.collect_list("_m").alias("_ms")).select(F.map_from_entries(F.transform(
+        F.filter("_ms", lambda m: m["_n"] * share > F.col("_t")),
+        lambda m: F.struct(m["_key"], F.ceil(m["_n"] * share / F.col("_t"))))))
+    return found.scalar()
+
+
+def spread_left_join(df: DataFrame, dim: DataFrame, key: Column, dim_key: str, spread: tuple[str, ...],
+                     share: int = SHARE, counts: DataFrame | None = None) -> DataFrame:
+    """Left join on ``key = dim_key`` as a shuffle join in which no key fills a task.
+
+    Rows with a NULL key match nothing; they go to ``share`` tasks instead of
+    one. Keys with more than one row in ``share`` are found by a count that is
+    combined before it is shuffled (``counts`` gives it as rows (_key, _n) where
+    it can be had for less); their rows are dealt to parts of that size, and the
+    rows of ``dim`` with such a key are repeated for every part. ``spread`` names
+    columns of ``df`` that tell rows of one key apart. The result is that of the
+    plain join.
+    """
+    keyed = df.withColumn("_key", key)
+    if counts is None:
+        counts = keyed.groupBy("_key").agg(F.count(F.lit(1)).alias("_n"))
+    heavy = _heavy_keys(counts, share)
+    of = F.xxhash64(*spread)
+    left = keyed.withColumn(
+        "_part", F.when(F.col("_key").isNull(), -1 - F.pmod(of, F.lit(share)))
+        .otherwise(F.coalesce(F.pmod(of, F.try_element_at(heavy, F.col("_key"))), F.lit(0))).cast("long"))
+    right = dim.withColumn("_to", F.explode(F.sequence(
+        F.lit(0).cast("long"), F.coalesce(F.try_element_at(heavy, F.col(dim_key)), F.lit(1)) - 1)))
+    # No dimension row has a negative part, so the stand-in for NULL matches none.
+    stand_in = F.lit("").cast(dim.schema[dim_key].dataType)
+    joined = left.hint("merge").join(right, (F.coalesce("_key", stand_in) == F.col(dim_key))
+                                     & (F.col("_part") == F.col("_to")), "left")
+    return joined.select(*df.columns, *dim.columns)
+
+
+def _left_join(df: DataFrame, dim: DataFrame, key: Column, dim_key: str, spread,
+               counts: DataFrame | None = None) -> DataFrame:
+    # A dimension that is broadcast shuffles no fact row, so no key can be hot.
+    if not spread or _fits_broadcast(dim):
+        return df.join(dim, key == F.col(dim_key), "left")
+    return spread_left_join(df, dim, key, dim_key, spread, counts=counts)
+
+
+def with_class(df: DataFrame, items_class: DataFrame, key: Column, spread: tuple[str, ...] = (),
+               counts: DataFrame | None = None) -> DataFrame:
     """Left join to the item-class view on ``mapping_code = key``.
 
     Adds ``cls_mapping_code`` and ``cls_classification``; a duplicated mapping
-    code in the view multiplies the fact rows, as an SQL join does.
+    code in the view multiplies the fact rows, as an SQL join does. ``spread``:
+    columns that spread hot and NULL keys when the view is too large to
+    broadcast, ``counts``: rows by key (:func:`spread_left_join`).
     """
     dim = items_class.select(F.col("mapping_code").alias(CLS_CODE),
                              F.col("classification").alias(CLS_CLASS))
-    return df.join(dim, key == F.col(CLS_CODE), "left")
+    return _left_join(df, dim, key, CLS_CODE, spread, counts)
 
 
-def with_item(df: DataFrame, items: DataFrame, key: Column) -> DataFrame:
+def with_item(df: DataFrame, items: DataFrame, key: Column, spread: tuple[str, ...] = ()) -> DataFrame:
     """Left join to the item master on ``matnr = key``.
 
     Adds ``itm_matnr``, ``itm_desc``, ``itm_classif`` and the resolved mapping
     code ``itm_mapping_code`` (empty/NULL mapping falls back to ``matnr``;
-    an item missing from the master resolves to NULL).
+    an item missing from the master resolves to NULL). ``spread`` as in
+    :func:`with_class`.
     """
     dim = items.select(F.col("matnr").alias(ITM_MATNR), F.col("matnr_desc").alias(ITM_DESC),
                        F.col("classif").alias(ITM_CLASSIF),
                        resolve_mapping_code(F.col("mapping_code"), F.col("matnr")).alias(ITM_MAPPING))
-    return df.join(dim, key == F.col(ITM_MATNR), "left")
+    return _left_join(df, dim, key, ITM_MATNR, spread)
+
+
+def with_item_class(df: DataFrame, items: DataFrame, items_class: DataFrame, key: Column,
+                    spread: tuple[str, ...]) -> DataFrame:
+    """:func:`with_item`, then :func:`with_class` of the resolved mapping code.
+
+    Rows per mapping code are counted from rows per item, so the count does not
+    repeat the join of the fact.
+    """
+    per = df.groupBy(key.alias("_item")).agg(F.count(F.lit(1)).alias("_rows"))
+    counts = with_item(per, items, F.col("_item")).groupBy(F.col(ITM_MAPPING).alias("_key")).agg(
+        F.sum("_rows").alias("_n"))
+    return with_class(with_item(df, items, key, spread), items_class, F.col(ITM_MAPPING), spread, counts)
 
 
 def with_location(df: DataFrame, locations: DataFrame, key: Column) -> DataFrame:

@@ -13,8 +13,8 @@ from distkpi.constants import BUSINESS_LINES
 from distkpi.operators.filters import (in_month, in_values, as_values,
                                        sellable_stock)
 from distkpi.operators.lookup import (CLS_CLASS, CLS_CODE, ITM_MAPPING, LOC_CODE, with_class,
-                                      with_item, with_location)
-from distkpi.operators.snapshot import latest_date, latest_opening_load
+                                      with_item, with_item_class, with_location)
+from distkpi.operators.snapshot import latest_opening_load, latest_snapshot, load_dates
 from distkpi.sources.tables import Tables
 
 
@@ -35,9 +35,7 @@ def sellable_snapshot(t: Tables, by: str, start, end,
     if by == "opening":
         snap = latest_opening_load(t, start, end, lines)
     else:
-        column = "stock_closing_date"
-        dates = t.stock if t.stock_loads is None else t.stock_loads
-        snap = t.stock.where(F.col(column) == latest_date(dates, column, start, end, lines))
+        snap = latest_snapshot(t.stock, "stock_closing_date", start, end, lines, dates=load_dates(t, "stock"))
     return sellable_stock(snap, buslines)
 
 
@@ -93,8 +91,9 @@ def opening_stock_by_mapping(t: Tables, start, end) -> DataFrame:
     # would probe the fact once, but Spark (without CBO) estimates a join as
     # the product of its inputs, so the joined dimension would lose its static
     # broadcast and the fact would be shuffled instead.
-    s = with_item(s, t.items, F.col("item_code"))
-    s = with_class(s, t.items_class, F.col(ITM_MAPPING))
+    # Rows of a hot item, or without a mapping code, are spread by item and location.
+    spread = ("item_code", "subinventory_code")
+    s = with_item_class(s, t.items, t.items_class, F.col("item_code"), spread)
     return with_location(s, t.locations, F.col("subinventory_code"))
 
 
@@ -107,9 +106,11 @@ def targets_by_mapping(t: Tables, end, class_on: str = "item") -> DataFrame:
     ``'mapping'`` by the resolved mapping code.
     """
     tg = in_month(t.targets, "target_date", end)
-    tg = with_item(tg, t.items, F.col("item_code"))
-    key = F.col("item_code") if class_on == "item" else F.col(ITM_MAPPING)
-    return with_class(tg, t.items_class, key)
+    spread = ("item_code", "loc_code", "target_date")
+    code = F.col("item_code")
+    if class_on == "item":
+        return with_class(with_item(tg, t.items, code, spread), t.items_class, code, spread)
+    return with_item_class(tg, t.items, t.items_class, code, spread)
 
 
 def actual_vs_target(actual: DataFrame, target: DataFrame, keys: list[str],

@@ -35,29 +35,34 @@ def latest_date(df: DataFrame, column: str, start, end, where: Column | None = N
     return df.where(cond).agg(F.max(c)).scalar()
 
 
+def load_dates(t, name: str) -> DataFrame:
+    """Where the loads of a snapshot table are looked up: its index, else the table itself."""
+    return getattr(t, name) if t.loads is None else t.loads[name]
+
+
 def latest_opening_load(t, start, end, where: Column) -> DataFrame:
     """Stock rows of the newest opening date in ``[start, end]``.
 
-    The stock mart is partitioned by closing date. With the table of loads, the
-    newest opening date and the closing dates of its rows are looked up there,
-    and the range of these closing dates prunes the stock partitions; without
-    it the stock itself is asked, as for any other snapshot.
+    The stock mart is partitioned by closing date. In the index of the loads
+    one aggregate gives the newest opening date and the closing dates of its
+    rows, and the range of these closing dates prunes the stock partitions;
+    without it the stock itself is asked, as for any other snapshot.
     """
     column = "stock_opening_date"
-    if t.stock_loads is None:
+    if t.loads is None:
         return latest_snapshot(t.stock, column, start, end, where)
-    closing = F.col("stock_closing_date")
-
-    def of_newest(pick) -> Column:
-        newest = latest_date(t.stock_loads, column, start, end, where)
-        return t.stock_loads.where(F.col(column) == newest).agg(pick(closing)).scalar()
-
-    return t.stock.where((F.col(column) == latest_date(t.stock_loads, column, start, end, where))
-                         & (closing >= of_newest(F.min)) & (closing <= of_newest(F.max)))
+    opening, closing = F.col(column), F.col("stock_closing_date")
+    per = (t.loads["stock"].where(opening.between(F.lit(as_date(start)), F.lit(as_date(end))))
+           .groupBy(opening.alias("opened")).agg(F.min(closing).alias("first"), F.max(closing).alias("last"),
+                                                 F.bool_or(where).alias("counts")).where("counts"))
+    newest = per.agg(F.max(F.struct("opened", "first", "last"))).scalar()
+    return t.stock.where((opening == newest.getField("opened")) & (closing >= newest.getField("first"))
+                         & (closing <= newest.getField("last")))
 
 
 def latest_snapshot(df: DataFrame, column: str, start, end, where: Column | None = None,
-                    by_day: bool = False) -> DataFrame:
+                    by_day: bool = False, dates: DataFrame | None = None) -> DataFrame:
     """Rows of the newest load in ``[start, end]``; the inner ``where`` only
-    decides which loads count, it does not filter the returned rows."""
-    return df.where(F.col(column) == latest_date(df, column, start, end, where, by_day))
+    decides which loads count, it does not filter the returned rows. ``dates``:
+    an index of the loads to look it up in."""
+    return df.where(F.col(column) == latest_date(df if dates is None else dates, column, start, end, where, by_day))

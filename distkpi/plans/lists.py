@@ -74,5 +74,10 @@ def list_tables(spark: SparkSession) -> DataFrame:
 
 
 def tables(t: Tables) -> DataFrame:
-    """:func:`list_tables` of the session the logical tables belong to."""
-    return list_tables(t.sales.sparkSession)
+    """The logical tables bound, with their number of rows."""
+    parts = [df.agg(F.count(F.lit(1)).alias("row_count")).select(F.lit(name).alias("table_name"), "row_count")
+             for name, df in t.as_dict().items()]
+    out = parts[0]
+    for p in parts[1:]:
+        out = out.unionByName(p)
+    return out

@@ -15,6 +15,8 @@ from distkpi.operators.measures import (classified_stock, classified_targets, op
                                         optional_in, pivot_max, stock_value, target_value,
                                         targets_by_mapping, threshold_counts)
 
+from distkpi.operators.snapshot import load_dates
+
 from distkpi.constants import BRANCH_COLUMNS, COVER_CEILING, OTHERS, SELL_SUFFIX, UNKNOWN
 from distkpi.sources.tables import Tables
 
@@ -49,8 +51,7 @@ def cover_days(t: Tables, start, end, classification=None, sku=None, branch=None
 
 def closing_inventory_date(t: Tables) -> DataFrame:
     """Newest stock closing date in the whole history (one row)."""
-    dates = t.stock if t.stock_loads is None else t.stock_loads
-    return dates.agg(F.max("stock_closing_date").alias("closing_date"))
+    return load_dates(t, "stock").agg(F.max("stock_closing_date").alias("closing_date"))
 
 
 def cover_days_total(t: Tables, start, end, classification=None, sku=None, branch=None) -> DataFrame:

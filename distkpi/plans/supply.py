@@ -9,7 +9,7 @@ from distkpi.functions.columns import attainment, bucket_total
 from distkpi.operators.filters import date_range
 from distkpi.operators.lookup import CLS_CLASS, CLS_CODE, with_class
 from distkpi.operators.measures import optional_in
-from distkpi.operators.snapshot import latest_snapshot
+from distkpi.operators.snapshot import latest_snapshot, load_dates
 from distkpi.constants import NOT_AVAILABLE, QTY_BUCKETS, VALUATION_KEYS, VALUE_BUCKETS, WIP_KEYS
 from distkpi.sources.tables import Tables
 
@@ -46,7 +46,7 @@ def wip(t: Tables, start, end, classification=None, sku=None, branch=None) -> Da
     later). The class view join adds no column; a duplicated mapping code in
     it multiplies the sums, as in SQL.
     """
-    w = latest_snapshot(t.wip, "record_created_date", start, end, by_day=True)
+    w = latest_snapshot(t.wip, "record_created_date", start, end, by_day=True, dates=load_dates(t, "wip"))
     w = with_class(w, t.items_class, F.col("item_code"))
     r = w.groupBy(*WIP_KEYS).agg(F.sum("wip_value").alias("wip_value"),
                                  F.sum("wip").alias("quantity"))
@@ -64,7 +64,7 @@ def stock_valuation(t: Tables, start, end, classification=None, sku=None,
     material / plant / storage location, with row-wise totals (a NULL bucket
     drops its row from the total; in-transit quantity is not in total_qty).
     Class, SKU and branch are accepted and not applied, as in the source report."""
-    v = latest_snapshot(t.valuation, "executiondate", start, end)
+    v = latest_snapshot(t.valuation, "executiondate", start, end, dates=load_dates(t, "valuation"))
     v = v.withColumn("storagelocationname", F.coalesce("storagelocationname", F.lit(NOT_AVAILABLE)))
     value_cols = [c for c, _ in VALUE_BUCKETS]
     qty_total_cols = [c for c, _, counted in QTY_BUCKETS if counted]

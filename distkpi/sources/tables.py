@@ -30,7 +30,7 @@ class Tables:
     sales_header: DataFrame
     # Small tables the marts keep beside the facts (see sources/marts.py). Without
     # them the reports read the facts themselves.
-    stock_loads: DataFrame | None = None
+    loads: dict[str, DataFrame] | None = None
     header_lists: dict[str, DataFrame] | None = None
 
     def as_dict(self) -> dict[str, DataFrame]:

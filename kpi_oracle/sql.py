@@ -557,6 +557,13 @@ def sku_count_by_class() -> str:
                   'SELECT classification, count(*) AS "count" FROM product_map GROUP BY classification')
 
 
+def list_tables() -> str:
+    names = ["sales", "targets", "budget", "stock", "items", "items_class", "locations", "price_list", "wip",
+             "valuation", "dispatch", "target_items", "product_map", "branches", "sales_header"]
+    return derive(names, " UNION ALL ".join(
+        f"SELECT '{n}' AS table_name, count(*) AS row_count FROM {n}" for n in names))
+
+
 def table_page(table: str, order_by: list[str], limit: int, offset: int) -> str:
     keys = ", ".join(f"{k} ASC NULLS LAST" for k in order_by)
     return derive([table], f"SELECT * FROM {table} ORDER BY {keys} LIMIT {limit} OFFSET {offset}")

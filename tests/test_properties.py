@@ -171,7 +171,7 @@ def test_rules_decide_rows(t):
                                     "above_below_threshold", "target_vs_actual_cover", "stock_value_by_class"])
 def test_every_stock_snapshot_prunes_partitions(marts, report):
     scans = [x for x in _formatted(entry.CASES[report](marts)).split("\n\n")
-             if "/stock]" in x and x.lstrip().startswith("(")]
+             if "/stock/load=" in x and x.lstrip().startswith("(")]
     assert scans
     for scan in scans:
         assert "PartitionFilters: [isnotnull(stock_closing_date" in scan and "Subquery" in scan, scan
@@ -180,7 +180,7 @@ def test_every_stock_snapshot_prunes_partitions(marts, report):
 def test_small_tables_answer_lists_and_dates(marts):
     for report in ("closing_inventory_date", "business_lines", "products", "locations", "regional_distributors"):
         text = _formatted(entry.CASES[report](marts))
-        assert "/sales_header]" not in text and "/stock]" not in text, report
+        assert "/sales_header/" not in text and "/stock/" not in text, report
 
 
 def test_a_load_leaves_other_days_alone(spark, t):
@@ -192,7 +192,7 @@ def test_a_load_leaves_other_days_alone(spark, t):
     root = FileSystem.from_uri(path)[1] if "://" in path or path.startswith("file:") else path
 
     def files(name):
-        return {f for f in glob.glob(f"{root}/{name}/*/*.parquet")}
+        return {f for f in glob.glob(f"{root}/{name}/*/*/*.parquet")}
     before = {n: files(n) for n in ("sales", "stock", "wip", "targets")}
     write_load(second, path)
     for n, old in before.items():
@@ -203,6 +203,21 @@ def test_a_load_leaves_other_days_alone(spark, t):
             sorted(map(repr, entry.CASES[name](whole).collect())), name
 
 
+@pytest.mark.parametrize("report, index", [("inventory_days", "stock_loads"), ("above_below_threshold", "stock_loads"),
+                                           ("service_measure", "stock_loads"), ("wip", "wip_loads"),
+                                           ("stock_valuation", "valuation_loads")])
+def test_newest_load_is_looked_up_once(marts, report, index):
+    df = entry.CASES[report](marts)
+    df.collect()
+    text = df._jdf.queryExecution().explainString(
+        df.sparkSession._jvm.org.apache.spark.sql.execution.ExplainMode.fromString("formatted"))
+    scans = [x for x in text.split("\n\n") if "Location:" in x and x.lstrip().startswith("(")]
+    assert len([x for x in scans if f"/{index}/load=" in x]) == 1
+    fact = index.split("_")[0]
+    facts = [x for x in scans if f"/{fact}/load=" in x]
+    assert len(facts) == 1 and "Subquery" in facts[0]      # read for its rows only, not for its dates
+
+
 def test_every_report_runs_on_an_empty_window(spark):
     """No data in the window and every filter set: no errors, and the
     one-row reports keep their single row."""
