@@ -16,7 +16,10 @@ of the pieces between matches (``split``) and of the matches themselves
 (``regexp_extract_all``), so there is no user function on any path.
 
 Null texts are empty blobs. Repeated rows and null ids come out as they went
-in. Spans are code points, end exclusive.
+in. Spans are code points, end exclusive; of spans with one start the kind
+listed first comes first. Texts of any length are scanned whole. Extra columns
+keep their names and values. An empty table gives no rows and adds nothing to
+the ledger. Two scans at once may both add a pair: it counts once.
 """
 
 from __future__ import annotations
@@ -47,28 +50,40 @@ _ASSIGN = ("(" + "|".join(map(_any_case, ("password", "passwd", "secret", "token
            _any_case("api") + "_?" + _any_case("key") +
            r""")["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""")
 
-_PEM_HEADER = "-----BEGIN [A-Z ]*PRIVATE KEY-----"
-#: The whole block: lazily to the END line, past runs of up to four hyphens but never past another
-#: line of five (a further header). Without an END: the header lines of an encrypted key, the lines
-#: up to the last run of 16 base64 characters with nothing but base64, white space, escapes and
-#: quote marks before it, and one shorter line.
-_PEM = (_PEM_HEADER + "(?:[^-]*(?:--?-?-?[^-]+){0,300}?-{0,4}-----END [A-Z ]*PRIVATE KEY-----|"
-        r"(?:[\s\\]+[A-Za-z][A-Za-z0-9-]*:\x20?[^\s\\]+){0,9}"
-        r"""[A-Za-z0-9+/=\s\\"',>#|*]*[A-Za-z0-9+/=]{16}(?:[\s\\"',>#|*]+[A-Za-z0-9+/=]{1,15})?|)""")
+#: A private key starts at its header. It ends at its END line, if that is the next line with five
+#: hyphens; else after the header lines of an encrypted key, the lines up to the last run of 16
+#: base64 characters with nothing but base64, white space, escapes and quote marks before it, and
+#: one shorter line. Every repetition is of a single character class, so a key of any length is
+#: found whole without a deep stack.
+_PEM_HEADER = "-----BEGIN [A-Z ]*PRIVATE KEY(?: BLOCK)?-----"
+_PEM_END = r"^[\s\S]*?-{5,}(END [A-Z ]*PRIVATE KEY(?: BLOCK)?-----)?"
+_PEM_FIELD = r"[\s\\]+[A-Za-z][A-Za-z0-9-]*:\x20?[^\s\\]+"
+_PEM_BODY = r"""^[A-Za-z0-9+/=\s\\"',>#|*]*[A-Za-z0-9+/=]{16}(?:[\s\\"',>#|*]+[A-Za-z0-9+/=]{1,15})?"""
 
 #: The order is the tie-break of spans with the same start.
 RULES = (
     Rule("assign", 1, _ASSIGN, 2, 8),
     Rule("access", 1, "AKIA[A-Z0-9]+", 0, 16),
     Rule("hex", 1, "[0-9a-f]+", 0, 32),
-    Rule("pem", 2, _PEM, 0, 1),
+    Rule("pem", 3, _PEM_HEADER, 0, 1),
     Rule("jwt", 1, r"eyJ[A-Za-z0-9_-]+\.eyJ[A-Za-z0-9_-]+\.[A-Za-z0-9_-]+", 0, 40),
     Rule("login_url", 1, r"[a-z][a-z0-9+]*://[A-Za-z0-9._%-]+:[A-Za-z0-9._%-]+@[A-Za-z0-9.-]+", 0, 1),
 )
 BASE = ("assign", "access", "hex")
 
 #: A cheap test that every text with a counting match passes.
-_HINT = {"hex": "[0-9a-f]{32}", "access": "AKIA[A-Z0-9]{12}", "pem": _PEM_HEADER}
+_HINT = {"hex": "[0-9a-f]{32}", "access": "AKIA[A-Z0-9]{12}"}
+
+
+def _key_tail(after: Column) -> Column:
+    """Code points of a private key that follow its header, in the text up to the next header."""
+    # Header fields one after the other, then the rest as one match.
+    fields = F.filter(F.regexp_extract_all(after, F.lit(_PEM_FIELD + r"|[\s\S]+"), F.lit(0)),
+                      lambda x: x.rlike(rf"^(?:{_PEM_FIELD})\z"))
+    skipped = F.aggregate(fields, F.lit(0), lambda n, x: n + F.length(x))
+    body = F.length(F.regexp_extract(F.substr(after, skipped + 1), _PEM_BODY, 0))
+    return (F.when(F.regexp_extract(after, _PEM_END, 1) != "", F.length(F.regexp_extract(after, _PEM_END, 0)))
+            .when(body > 0, skipped + body).otherwise(0))
 
 
 def spans(text: Column, rule: Rule) -> Column:
@@ -76,10 +91,14 @@ def spans(text: Column, rule: Rule) -> Column:
     whole = F.regexp_extract_all(text, F.lit(rule.pattern), F.lit(0))
     part = whole if rule.group == 0 else F.regexp_extract_all(text, F.lit(rule.pattern),
                                                              F.lit(rule.group))
+    between = F.split(text, rule.pattern, -1)
+    # A private key reaches into the text after its header; the next gap counts from the header.
+    tail = F.transform(F.slice(between, 2, F.size(between)), _key_tail) if rule.kind == "pem" else F.transform(
+        whole, lambda x: F.lit(0))
     lengths = F.arrays_zip(
-        F.transform(F.split(text, rule.pattern, -1), lambda x: F.length(x)).alias("gap"),
+        F.transform(between, lambda x: F.length(x)).alias("gap"),
         F.transform(whole, lambda x: F.length(x)).alias("own"),
-        F.transform(part, lambda x: F.length(x)).alias("part"))
+        F.transform(part, lambda x: F.length(x)).alias("part"), tail.alias("tail"))
     empty = F.expr(f"CAST(array() AS {SPAN})")
     found = F.aggregate(
         lengths, F.struct(F.lit(0).alias("at"), empty.alias("out")),
@@ -87,7 +106,7 @@ def spans(text: Column, rule: Rule) -> Column:
             (a["at"] + x["gap"] + F.coalesce(x["own"], F.lit(0))).alias("at"),
             F.when(x["part"] >= rule.least, F.concat(a["out"], F.array(F.struct(
                 (a["at"] + x["gap"]).alias("start"),
-                (a["at"] + x["gap"] + x["own"]).alias("end")))))
+                (a["at"] + x["gap"] + x["own"] + x["tail"]).alias("end")))))
             .otherwise(a["out"]).alias("out")),
         lambda a: a["out"])
     hint = _HINT.get(rule.kind, rule.pattern)
@@ -120,6 +139,8 @@ def scan(versions: DataFrame, ledger_path: str, rules: tuple[Rule, ...] = RULES,
     if seen is None:
         blobs = blobs.withColumn("known", F.expr("CAST(array() AS array<string>)"))
     else:
+        # Only the blobs at hand are looked up, whatever the ledger holds.
+        seen = seen.join(blobs.select("blob").distinct(), "blob", "left_semi")
         known = seen.groupBy("blob").agg(F.collect_set(
             F.concat_ws("@", "kind", F.col("version").cast("string"))).alias("known"))
         blobs = blobs.join(known, "blob", "left").withColumn(
@@ -145,8 +166,8 @@ def _merged(ledger: DataFrame, rules) -> DataFrame:
     each = F.transform("spans", lambda s: F.struct(s["start"].alias("start"),
                                                    rank[F.col("kind")].alias("rank"),
                                                    s["end"].alias("end"), F.col("kind").alias("kind")))
-    # A blob has at most one row per rule, so the list is as long as the rule table.
-    return hits.groupBy("blob").agg(F.array_sort(F.flatten(F.collect_list(each))).alias("_hits"))
+    # A blob has a row per rule and scan; two scans at once may both add a pair, and agree on it.
+    return hits.groupBy("blob").agg(F.array_sort(F.array_distinct(F.flatten(F.collect_list(each)))).alias("_hits"))
 
 
 def find(versions: DataFrame, ledger_path: str, rules: tuple[Rule, ...] = RULES,
@@ -194,9 +215,26 @@ def redact(docs: DataFrame, ledger_path: str, rules: tuple[Rule, ...] = RULES,
 
 def oracle(table: str = "documents", rules: tuple[Rule, ...] = RULES) -> str:
     """DuckDB SQL of :func:`secret_spans`."""
+    def quoted(pattern: str) -> str:
+        return pattern.replace("'", "''")
+
     parts = []
     for i, r in enumerate(rules):
-        pat = r.pattern.replace("'", "''")
+        pat = quoted(r.pattern)
+        if r.kind == "pem":
+            parts.append(f"""
+SELECT rid, {i} AS rank, 'pem' AS kind, k,
+       list_sum(list_transform(gap[:k], lambda x: length(x))) + coalesce(list_sum(list_transform(own[:k - 1], lambda x: length(x))), 0) AS s,
+       length(own[k]) + CASE WHEN regexp_extract(a, '{quoted(_PEM_END)}', 1) <> '' THEN length(regexp_extract(a, '{quoted(_PEM_END)}', 0))
+                             WHEN b <> '' THEN h + length(b) ELSE 0 END AS n, 1 AS p, 1 AS least
+FROM (SELECT *, regexp_extract(substr(a, h::BIGINT + 1), '{quoted(_PEM_BODY)}', 0) AS b
+      FROM (SELECT *, coalesce(list_sum(list_transform(list_filter(regexp_extract_all(a, '{quoted(_PEM_FIELD)}|[\\s\\S]+'),
+                     lambda x: regexp_full_match(x, '{quoted(_PEM_FIELD)}')), lambda x: length(x))), 0) AS h
+            FROM (SELECT *, gap[k + 1] AS a
+                  FROM (SELECT rid, unnest(range(1, len(own) + 1)) AS k, own, gap
+                        FROM (SELECT rid, regexp_extract_all(t, '{pat}') AS own, regexp_split_to_array(t, '{pat}') AS gap
+                              FROM d WHERE regexp_matches(t, '{pat}'))))))""")
+            continue
         parts.append(f"""
 SELECT rid, {i} AS rank, '{r.kind}' AS kind, k,
        list_sum(list_transform(gap[:k], lambda x: length(x))) + coalesce(list_sum(list_transform(own[:k - 1], lambda x: length(x))), 0) AS s,
