@@ -24,8 +24,8 @@ def conform(name: str, df: DataFrame, rename: Mapping[str, str] | None = None) -
     ``rename`` maps source column names to logical ones. Extra source columns
     are dropped (and pruned from the scan); a missing column is an error. So is,
     when the rows are read, a value that the declared type would change (a
-    fourth decimal of a price, a text that is no date): nothing is rounded away
-    or turned into NULL at load.
+    fourth decimal of a price, a text that is no date, a time of day in a date):
+    nothing is rounded away or turned into NULL at load.
     """
     if rename:
         df = df.withColumnsRenamed(dict(rename))
@@ -36,18 +36,34 @@ def conform(name: str, df: DataFrame, rename: Mapping[str, str] | None = None) -
     return df.select(*[_lossless(df, f, name).alias(f.name) for f in schema.fields])
 
 
+def _same_number(c: Column, source: T.DataType, value: Column) -> Column:
+    """Whether ``value``, a decimal or an integer, is the number ``c`` holds, at the source's own scale."""
+    if isinstance(source, T.DecimalType):
+        # A decimal of another scale is compared with all its digits: Spark widens both sides.
+        return value == c
+    if isinstance(source, T.IntegralType):
+        return value == c.cast("decimal(20,0)")
+    # Floating point by its shortest text, text as it stands: no digit may be lost on the way to the value.
+    text = F.trim(c.cast("string"))
+    digits = F.regexp_extract(text, r"^[-+]?[0-9]*\.?([0-9]*?)0*(?:[eE]([-+]?[0-9]+))?$", 1)
+    power = F.coalesce(F.regexp_extract(text, r"[eE]([-+]?[0-9]+)$", 1).try_cast("int"), F.lit(0))
+    exact = F.length(digits) - power <= 18       # decimals that decimal(38,18) holds
+    return exact & (value == text.try_cast("decimal(38,18)"))
+
+
 def _lossless(df: DataFrame, field: T.StructField, table: str) -> Column:
     source, c = df.schema[field.name].dataType, F.col(field.name)
     if source == field.dataType or isinstance(field.dataType, T.StringType):
         return c.cast(field.dataType)
     value = c.try_cast(field.dataType)
     same = value.isNotNull()
-    if isinstance(field.dataType, T.DecimalType):
-        # Floating point sources are compared by their shortest text.
-        wide = (c.cast("string") if isinstance(source, (T.DoubleType, T.FloatType)) else c).try_cast("decimal(38,12)")
-        same = same & (value == wide)
-    elif isinstance(field.dataType, T.IntegralType):
-        same = same & (value == c.try_cast("decimal(38,12)"))
+    if isinstance(field.dataType, (T.DecimalType, T.IntegralType)):
+        same = same & _same_number(c, source, value)
+    elif isinstance(field.dataType, T.DateType) and isinstance(source, (T.TimestampType, T.TimestampNTZType)):
+        same = same & (value.cast(source) == c)                       # midnight of the day
+    elif isinstance(field.dataType, T.DateType) and isinstance(source, T.StringType):
+        at = c.try_cast("timestamp_ntz")
+        same = same & (at.isNull() | (value.cast("timestamp_ntz") == at))
     message = F.concat(F.lit(f"{table}.{field.name} does not fit {field.dataType.simpleString()}: "), c.cast("string"))
     return F.when(c.isNull() | F.coalesce(same, F.lit(False)), value).otherwise(
         F.raise_error(message).cast(field.dataType))

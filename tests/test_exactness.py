@@ -70,6 +70,35 @@ def test_load_keeps_every_digit_or_fails(spark):
             load(value, kind)
 
 
+@pytest.mark.parametrize("value, kind, want", [
+    ("10.5000000000001", "decimal(38,13)", None), ("10.5000000000000", "decimal(38,13)", "10.50"),
+    (10.5000000000001, "double", None), ("10.5000000000000000000000001", "string", None), (" 1.05e1 ", "string", "10.50"),
+    ("1e-30", "string", None), ("10.500000000000000000000000000000", "string", "10.50"), (7, "bigint", "7.00"), (1.5, "float", "1.50")])
+def test_no_decimal_is_too_far_to_be_seen(spark, value, kind, want):
+    value = D(value) if kind.startswith("decimal") else value
+    src = spark.createDataFrame([("1", day(S), value)], f"item_code string, first_date date, price {kind}")
+    if want is None:
+        with pytest.raises(Exception, match="does not fit"):
+            conform("price_list", src).collect()
+    else:
+        assert conform("price_list", src).collect()[0]["price"] == D(want)
+
+
+@pytest.mark.parametrize("text, kind, fits", [
+    ("2000-03-05 00:00:00", "timestamp", True), ("2000-03-05 10:30:00", "timestamp", False),
+    ("2000-03-05 00:00:00", "timestamp_ntz", True), ("2000-03-05 00:00:01", "timestamp_ntz", False),
+    ("2000-03-05", "string", True), ("2000-03-05 00:00:00", "string", True), ("2000-03-05 10:30:00", "string", False),
+    ("no date", "string", False)])
+def test_a_time_of_day_is_no_date(spark, text, kind, fits):
+    src = spark.createDataFrame([("1", text, D(1))], "item_code string, t string, price decimal(12,2)").select(
+        "item_code", F.col("t").cast(kind).alias("first_date"), "price")
+    if fits:
+        assert conform("price_list", src).collect()[0]["first_date"] == day("2000-03-05")
+    else:
+        with pytest.raises(Exception, match="does not fit"):
+            conform("price_list", src).collect()
+
+
 def test_text_branch_keys(spark):
     src = spark.createDataFrame([("B001", "North")], "branch_id string, branch_desc string")
     assert [tuple(r) for r in conform("branches", src).collect()] == [("B001", "North")]
@@ -97,4 +126,5 @@ def test_fixed_values():
     assert constants.COVER_CEILING == 9999
     assert tuple(constants.BUSINESS_LINES) == ("P07", "P08", "P12")
     assert constants.SUBINVENTORY_PREFIX == "80" and set(constants.SUBINVENTORY_EXTRA) == {"8206", "8210"}
+    assert constants.OTHERS == "Others" and constants.TOTAL == "Total" and constants.UNKNOWN == "Unknown"
     assert len(constants.BRANCH_COLUMNS) == 14
