@@ -497,20 +497,23 @@ def keep_one(docs: DataFrame, text: str = "text", near: Near = OP6) -> DataFrame
 def oracle(table: str = "documents", near: Near = OP6) -> str:
     """DuckDB SQL of :func:`jaccard_components`: all pairs that share a shingle."""
     words, p, q = near
+    leads = ", ".join(f"lead(v, {i}) OVER o" for i in range(1, words))
     return f"""
 WITH RECURSIVE d AS (
   SELECT row_number() OVER () AS rid, doc_id,
          list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ',
                      'abcdefghijklmnopqrstuvwxyz'), '[\\x20\\x09-\\x0D]+'), lambda x: x <> '') AS w FROM {table}),
-s AS (SELECT rid, doc_id, CASE WHEN len(w) = 0 THEN [] WHEN len(w) < {words} THEN [array_to_string(w, ' ')]
-             ELSE list_distinct(list_transform(range(1, len(w) - {words - 2}),
-                                lambda i: array_to_string(w[i:i + {words - 1}], ' '))) END AS g FROM d),
-x AS (SELECT rid, len(g) AS n, unnest(g) AS v FROM s),
+t AS (SELECT rid, len(w) AS len, unnest(w) AS v, generate_subscripts(w, 1) AS i FROM d),
+g AS (SELECT DISTINCT rid, v FROM (
+        SELECT rid, len, i, concat_ws(' ', v, {leads}) AS v FROM t WINDOW o AS (PARTITION BY rid ORDER BY i))
+      WHERE i <= greatest(len - {words - 1}, 1)),
+s AS (SELECT d.rid, d.doc_id, count(g.rid) AS n FROM d LEFT JOIN g USING (rid) GROUP BY ALL),
+x AS (SELECT rid, n, v FROM g JOIN s USING (rid)),
 p AS (SELECT a.rid AS a, b.rid AS b, a.n AS na, b.n AS nb, count(*) AS c
       FROM x a JOIN x b ON a.v = b.v AND a.rid < b.rid AND {q} * a.n >= {p} * b.n AND {q} * b.n >= {p} * a.n
       GROUP BY ALL),
 l AS (SELECT a, b FROM p WHERE {q} * c >= {p} * (na + nb - c)),
 e AS (SELECT a, b FROM l UNION ALL SELECT b, a FROM l),
 r AS (SELECT rid AS a, rid AS b FROM s UNION SELECT r.a, e.b FROM r JOIN e ON r.b = e.a)
-SELECT s.doc_id, len(s.g)::BIGINT AS n_shingles, min(t.doc_id) AS component_id
-FROM s JOIN r ON s.rid = r.a JOIN s t ON t.rid = r.b GROUP BY s.rid, s.doc_id, s.g"""
+SELECT s.doc_id, s.n AS n_shingles, min(t.doc_id) AS component_id
+FROM s JOIN r ON s.rid = r.a JOIN s t ON t.rid = r.b GROUP BY s.rid, s.doc_id, s.n"""
