@@ -96,3 +96,37 @@ def test_search_awkward_rows(spark):
     assert got == [(0, 1, 1, 0.0), (0, 2, 2, 0.0), (0, 3, 100, 1.0), (100, 1, 0, 1.0), (100, 2, 1, 1.0), (100, 3, 2, 1.0),
                    (300, 1, 9, np.sqrt(16 + 9 + 4))]
     assert collision_search.nearest(table.limit(0), table.vec_id % 100 == 0).count() == 0
+
+
+def test_search_verifies_few_vectors(spark):
+    pdf = spark.read.parquet("/root/testdata/sf0.1/embeddings.parquet").toPandas()
+    ids, vectors = pdf.vec_id.to_numpy(), np.array(pdf.embedding.tolist(), float)
+    asks = ids % 100 == 0
+    index = collision_search.Index(ids, vectors)
+    got = index.search(ids[asks], vectors[asks], 10)
+    assert index.verified < 0.4 * asks.sum() * len(ids)
+    # A bound from elsewhere: nothing beyond it is looked for.
+    again = collision_search.Index(ids, vectors)
+    bounds = np.array([found[-1][0] for found in got])
+    assert again.search(ids[asks], vectors[asks], 10, bounds) == got
+    assert again.verified <= index.verified
+    none = collision_search.Index(ids, vectors).search(ids[asks], vectors[asks], 10, np.zeros(asks.sum()))
+    assert all(not found or found[0][0] > 0 for found in none)
+
+
+def test_search_of_extreme_components(spark):
+    rng = np.random.default_rng(3)
+    for scale in (1.5e308, 1e-300, 1e200):
+        vectors = rng.uniform(-0.9, 0.9, (60, 6)) * scale
+        table = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(vectors)], "vec_id bigint, embedding array<double>")
+        got = collision_search.nearest(table, table.vec_id % 20 == 0, k=5, block=25).collect()
+        assert len(got) == 15 and not any(np.isnan(r["score"]) for r in got)
+        exact = {q: collision_search.distances(vectors / scale, vectors[q] / scale) for q in (0, 20, 40)}
+        hits = sum(r["vec_id"] in np.argsort(exact[r["query_id"]])[1:6] for r in got)
+        assert hits >= 13
+    # Small vectors beside huge ones, and many equal ones.
+    rows = [(i, [1e308, float(i)]) for i in range(30)] + [(100 + i, [float(i), 1.0]) for i in range(30)] + [(200 + i, [7.0, 7.0]) for i in range(30)]
+    table = spark.createDataFrame(rows, "vec_id bigint, embedding array<double>")
+    got = collision_search.nearest(table, table.vec_id.isin(100, 200), k=3).orderBy("query_id", "rank").collect()
+    assert [(r["query_id"], r["vec_id"], r["score"]) for r in got] == [
+        (100, 101, 1.0), (100, 102, 2.0), (100, 103, 3.0), (200, 201, 0.0), (200, 202, 0.0), (200, 203, 0.0)]
