@@ -67,12 +67,15 @@ def suffix_table(histogram: DataFrame) -> DataFrame:
 
 def at_limits(suffixes: DataFrame, limits: list[int]) -> DataFrame:
     """limit, tokens left when every document is cut there, documents that are cut: any limits."""
-    sums = suffixes.agg(*[f for c in limits for f in (
-        F.sum(F.least("n_tokens", F.lit(c)) * F.col("documents")).alias(f"t{c}"),
-        F.sum(F.when(F.col("n_tokens") > c, F.col("documents")).otherwise(0)).alias(f"d{c}"))])
-    return sums.select(F.inline(F.array(*[F.struct(
-        F.lit(c).cast("long").alias("limit"), F.coalesce(f"t{c}", F.lit(0)).alias("truncated_tokens"),
-        F.coalesce(f"d{c}", F.lit(0)).alias("documents_cut")) for c in limits])))
+    # The suffix row of the next longer length that occurs: all from there on are cut.
+    following = suffixes.agg(F.max("all_tokens").alias("all"), *[F.min(F.when(F.col("n_tokens") > c, F.struct(
+        "n_tokens", "documents_at_least", "tokens_at_least"))).alias(f"r{i}") for i, c in enumerate(limits)])
+    return following.select(F.inline(F.array(*[F.struct(
+        F.lit(c).cast("long").alias("limit"),
+        F.coalesce(F.col("all") - F.col(f"r{i}.tokens_at_least") + c * F.col(f"r{i}.documents_at_least"),
+                   "all", F.lit(0)).cast("long").alias("truncated_tokens"),
+        F.coalesce(f"r{i}.documents_at_least", F.lit(0)).cast("long").alias("documents_cut"))
+        for i, c in enumerate(limits)])))
 
 
 def quantiles(suffixes: DataFrame, levels: list[float]) -> DataFrame:
