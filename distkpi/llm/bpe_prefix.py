@@ -38,6 +38,7 @@ from pyspark.sql import DataFrame
 
 BLOCK = 1_000_000
 CACHE = 200_000      # encoded matches kept per generation
+KEPT = 64            # bytes of a match that is kept; longer ones are known only within their block
 PAIRS = 500_000      # pairs of tokens kept
 
 
@@ -203,22 +204,29 @@ class EditableText:
 
 
 class _Pieces(dict):
-    """Encoded matches as packed ids; filled on demand, in two generations."""
+    """Encoded matches as packed ids; filled on demand, in two generations; long ones for a block only."""
 
     def __init__(self, vocabulary: Vocabulary):
         super().__init__()
         self.v = vocabulary
         self.old: dict[str, bytes] = {}
+        self.long: dict[str, bytes] = {}
 
     def __missing__(self, piece: str) -> bytes:
-        out = self.old.get(piece)
+        out = self.old.get(piece) or self.long.get(piece)
         if out is None:
-            ids = self.v.encode_piece(piece.encode())
+            data = piece.encode()
+            ids = self.v.encode_piece(data)
             out = struct.pack(f"<{len(ids)}I", *ids)
+            if len(data) > KEPT:
+                return out
+        elif piece in self.long:
+            return out
         self[piece] = out
         return out
 
     def trim(self) -> None:
+        self.long.clear()
         if len(self) >= CACHE:
             self.old = dict(self)
             self.clear()
@@ -233,7 +241,7 @@ class _Pieces(dict):
             if number is None:
                 encoder.become(data)
                 ids = encoder.ids()
-                self[piece] = struct.pack(f"<{len(ids)}I", *ids)
+                (self if len(data) <= KEPT else self.long)[piece] = struct.pack(f"<{len(ids)}I", *ids)
             else:
                 self[piece] = struct.pack("<I", number)
 

@@ -88,3 +88,13 @@ def test_histogram_against_the_library(spark, sf, make_docs):
     assert [r["n_tokens"] for r in h.quantiles(table, [0.0, 0.5, 0.9, 1.0]).collect()] == [
         min(n for n in set(lengths) if sum(x <= n for x in lengths) >= q * len(lengths)) for q in (0.0, 0.5, 0.9, 1.0)]
     assert h.suffix_table(h.lengths(make_docs([]), PATH, public_tokenizers.PATTERN)).count() == 0
+
+
+def test_long_matches_are_not_kept():
+    table = b._Pieces(V)
+    texts = [chr(97 + i % 26) * 30 + "".join(chr(97 + (i * 7 + j * j) % 26) for j in range(3000)) for i in range(40)]
+    for text in texts:
+        packed = b"".join(b.encode_text(table, text))
+        assert V.decode(np.frombuffer(packed, "<u4").tolist()) == text.encode()
+    assert sum(len(k) + len(v) for t in (table, table.old, table.long) for k, v in t.items()) < 20_000
+    assert all(len(k.encode()) <= b.KEPT for k in table)
