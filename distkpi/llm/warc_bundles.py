@@ -5,7 +5,9 @@ records up to about ``FRAME`` bytes, followed by the seek table of the
 seekable format (a skippable frame with the compressed and plain size of every
 frame). Any Zstandard reader can unpack it from the start; with the seek table
 a reader finds a frame, and with the record index (record, bundle, frame,
-offsets inside the plain frame) one record costs one frame.
+offsets inside the plain frame) one record costs one frame. All reading goes
+through the index: ``read_back`` reads the frames that its rows name, and
+``lookup`` those of given ids.
 
 Equal payloads of at least ``REVISIT_FROM`` bytes are stored once: the row with
 the largest id is the ``response``, the others are ``revisit`` records that
@@ -20,7 +22,8 @@ lost attempt are in no index. Nothing but the current frame is held in memory.
 
 Null html is the empty payload, a null url has no target header, a null id an
 empty record name. Repeated rows get a record each; those with the id of the
-response are responses. An empty table gives an empty index.
+response are responses. An empty table gives an empty index. A text larger
+than ``FRAME`` has a frame of its own. Other columns of ``pages`` are not read.
 """
 
 from __future__ import annotations
@@ -29,7 +32,8 @@ import hashlib
 import io
 import struct
 import uuid
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
+from itertools import islice
 from urllib.parse import quote
 
 import pyarrow as pa
@@ -45,6 +49,9 @@ REVISIT_FROM = 1000
 FRAME = 1 << 20
 BUNDLE = 1 << 28
 LEVEL = 6
+FRAMES = 64          # neighbouring frames that a task reads after each other
+RUNS = 16            # such runs of frames per task, once every core has some
+ROWS = 4096          # rows of a batch that is returned
 DATE = "1970-01-01T00:00:00Z"
 
 # Fixed values of the seekable format.
@@ -179,13 +186,30 @@ def frames(path: str) -> Iterator[bytes]:
             yield zstandard.ZstdDecompressor().decompress(file.read(packed), max_output_size=plain)
 
 
-def read_record(row) -> bytes:
-    """The record of an index row; unpacks its frame only."""
-    system, inner = _open(row["bundle"])
-    with system.open_input_file(inner) as file:
-        file.seek(row["frame_start"])
-        plain = zstandard.ZstdDecompressor().decompress(file.read(row["frame_bytes"]))
-    return plain[row["record_start"]:row["record_start"] + row["record_bytes"]]
+def records(rows: Iterable[tuple[int | None, str, int, int, int]]) -> Iterator[tuple[int | None, bytes]]:
+    """The records at (id, bundle, frame, start in the plain frame, bytes).
+
+    A frame is found by the seek table of its bundle and unpacked alone; rows in
+    order of bundle and frame open and unpack each once. One frame is held.
+    """
+    file, path, number = None, None, None
+    try:
+        for page_id, bundle, frame, start, size in rows:
+            if bundle != path:
+                if file is not None:
+                    file.close()
+                system, inner = _open(bundle)
+                file, path, number = system.open_input_file(inner), bundle, None
+                table = seek_table(file)
+            if frame != number:
+                at, packed, plain_size = table[frame]
+                file.seek(at)
+                plain = zstandard.ZstdDecompressor().decompress(file.read(packed), max_output_size=plain_size)
+                number = frame
+            yield page_id, plain[start:start + size]
+    finally:
+        if file is not None:
+            file.close()
 
 
 def write(pages: DataFrame, folder: str) -> DataFrame:
@@ -217,31 +241,51 @@ def write(pages: DataFrame, folder: str) -> DataFrame:
 
 
 def read_back(index: DataFrame) -> DataFrame:
-    """page_id, payload_bytes, payload_digest, record_type, refers_to of every archived record.
+    """page_id, payload_bytes, payload_digest, record_type, refers_to of the records of an index.
 
-    The payloads of responses are digested again; a difference is an error.
+    Each record is cut out of its frame by its offsets; frames without a row in
+    ``index`` are not read. It is an error if another record is found there or
+    if the payload of a response has another digest.
     """
+    def row(page_id: int | None, data: bytes) -> tuple:
+        (warc, http, payload), = parse(data)
+        digest = warc["WARC-Payload-Digest"].removeprefix("sha1:")
+        kind, refers_to = warc["WARC-Type"], warc.get("WARC-Refers-To")
+        if _number(warc["WARC-Record-ID"]) != page_id:
+            raise ValueError(f"{warc['WARC-Record-ID']} at the place of record {page_id}")
+        if kind == "response":
+            if hashlib.sha1(payload).hexdigest() != digest:
+                raise ValueError(f"{warc['WARC-Record-ID']}: the payload has changed")
+            return page_id, len(payload), digest, kind, None
+        return page_id, int(http["Content-Length"]), digest, kind, _number(refers_to)
+
     def run(batches):
-        for batch in batches:
-            for path in batch.column(0).to_pylist():
-                for plain in frames(path):
-                    rows = []
-                    for warc, http, payload in parse(plain):
-                        digest = warc["WARC-Payload-Digest"].removeprefix("sha1:")
-                        kind, refers_to = warc["WARC-Type"], warc.get("WARC-Refers-To")
-                        if kind == "response" and hashlib.sha1(payload).hexdigest() != digest:
-                            raise ValueError(f"{warc['WARC-Record-ID']}: the payload has changed")
-                        rows.append((_number(warc["WARC-Record-ID"]), int(http["Content-Length"]), digest, kind,
-                                     None if refers_to is None else _number(refers_to)))
-                    columns = list(zip(*rows))
-                    kinds = [pa.int64(), pa.int64(), pa.string(), pa.string(), pa.int64()]
-                    yield pa.RecordBatch.from_arrays(
-                        [pa.array(c, k) for c, k in zip(columns, kinds)],
-                        names=["page_id", "payload_bytes", "payload_digest", "record_type", "refers_to"])
-
-    # A task per bundle: their names are a few bytes, which Spark would put into one partition.
-    bundles = index.select("bundle").distinct()
-    return bundles.repartition(max(1, bundles.count())).mapInArrow(run, BACK)
+        kinds = [pa.int64(), pa.int64(), pa.string(), pa.string(), pa.int64()]
+        places = (place for batch in batches for place in zip(*(c.to_pylist() for c in batch.columns)))
+        found = (row(*x) for x in records(places))
+        while part := list(islice(found, ROWS)):
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(c, k) for c, k in zip(zip(*part), kinds)],
+                names=["page_id", "payload_bytes", "payload_digest", "record_type", "refers_to"])
+
+    # Neighbouring frames of a bundle go to one task. The index is small beside its archives,
+    # so the number of tasks follows the frames and not the bytes that are dealt out.
+    run_of = F.floor(F.col("frame") / FRAMES).alias("run")
+    runs = index.select("bundle", run_of).distinct().count()
+    cores = index.sparkSession.sparkContext.defaultParallelism
+    tasks = max(1, min(runs, 4 * cores), -(-runs // RUNS))
+    dealt = index.repartition(tasks, "bundle", run_of).sortWithinPartitions("bundle", "frame", "record_start")
+    return dealt.select("page_id", "bundle", "frame", "record_start", "record_bytes").mapInArrow(run, BACK)
+
+
+def lookup(index: DataFrame, wanted: DataFrame) -> DataFrame:
+    """:func:`read_back` of the records whose ids are in ``wanted.page_id``.
+
+    Unknown and null ids find nothing, repeated ones find a record once; an id
+    that several rows of the archive have finds all of them.
+    """
+    ids = wanted.select(F.col("page_id").cast("long")).distinct()
+    return read_back(index.join(ids, "page_id", "left_semi"))
 
 
 def archive(pages: DataFrame) -> DataFrame:

@@ -8,7 +8,9 @@ import uuid
 import duckdb
 import public_tokenizers
 import pyarrow.fs as fs
+import pytest
 import zstandard
+from pyspark.sql import functions as F
 
 import corpus_pipeline
 from distkpi.llm import bpe_prefix, jaccard_join, queries, secret_ledger, source_mix, warc_bundles
@@ -110,21 +112,59 @@ def test_repeated_rows_exceed_no_target(make_docs):
         assert 0 <= words[s] - int(target[s]) < size
 
 
-def test_one_record_from_one_frame(spark, sf, monkeypatch):
-    monkeypatch.setattr(warc_bundles, "FRAME", 4000)
-    pages = spark.read.parquet(f"{sf}/pages.parquet")
-    folder = ledger_path(spark)
+def bundle_of(folder, pages):
     system, inner = fs.FileSystem.from_uri(folder)
     system.create_dir(inner, recursive=True)
-    index = warc_bundles.write(pages, folder).collect()
-    html = {r["page_id"]: r["html"] for r in pages.collect()}
-    assert len(index) == len(html)
-    for row in index[::7]:
-        (_, http, payload), = warc_bundles.parse(warc_bundles.read_record(row))
-        assert payload.decode() == html[row["page_id"]]
-    with open(fs.FileSystem.from_uri(index[0]["bundle"])[1], "rb") as f:      # any reader unpacks a bundle
+    writer = warc_bundles.BundleWriter(folder)
+    for page_id, html in pages:
+        body = html.encode()
+        writer.add(page_id, warc_bundles.record(page_id, None, body, hashlib.sha1(body).hexdigest(), None))
+    writer.close()
+    return writer.rows
+
+
+def test_records_from_their_frames(spark, sf, monkeypatch):
+    monkeypatch.setattr(warc_bundles, "FRAME", 4000)
+    pages = [(r["page_id"], r["html"]) for r in spark.read.parquet(f"{sf}/pages.parquet").collect()]
+    rows = bundle_of(ledger_path(spark), pages)
+    places = [(r[0], r[1], r[2], r[5], r[6]) for r in rows]
+    assert len({x[:3] for x in places}) == len(pages) and len({r[2] for r in rows}) > 20
+    for order in (places, places[::-7]):                                      # any order of rows
+        for page_id, data in warc_bundles.records(order):
+            (_, http, payload), = warc_bundles.parse(data)
+            assert payload.decode() == dict(pages)[page_id]
+    with open(fs.FileSystem.from_uri(rows[0][1])[1], "rb") as f:              # any reader unpacks a bundle
         plain = zstandard.ZstdDecompressor().stream_reader(f, read_across_frames=True).read()
-    assert plain == b"".join(warc_bundles.frames(index[0]["bundle"]))
+    assert plain == b"".join(warc_bundles.frames(rows[0][1]))
+
+
+def test_lookup_reads_the_named_frames_only(spark, monkeypatch):
+    monkeypatch.setattr(warc_bundles, "FRAME", 4000)
+    pages = [(i, f"page {i} é " * (i % 90)) for i in range(300)] + [(7, "again"), (None, "no id")]
+    rows = bundle_of(ledger_path(spark), pages)
+    index = spark.createDataFrame(rows, warc_bundles.INDEX)
+    digest = {(i, html): hashlib.sha1(html.encode()).hexdigest() for i, html in pages}
+    assert {(r["page_id"], r["payload_digest"]) for r in warc_bundles.read_back(index).collect()} == {
+        (i, d) for (i, _), d in digest.items()}
+    wanted = {7, 150, 299}
+    named = {r[2] for r in rows if r[0] in wanted}
+    others = {r[2:5] for r in rows if r[2] not in named}
+    assert len(others) > 30
+    with open(fs.FileSystem.from_uri(rows[0][1])[1], "r+b") as f:             # nothing else can be read any more
+        for _, start, size in others:
+            f.seek(start)
+            f.write(bytes(size))
+    asked = spark.createDataFrame([(i,) for i in (7, 150, 150, 299, 1000, None)], "page_id bigint")
+    got = warc_bundles.lookup(index, asked).collect()
+    assert sorted((r["page_id"], r["payload_digest"], r["payload_bytes"]) for r in got) == sorted(
+        (i, d, len(html.encode())) for (i, html), d in digest.items() if i in wanted)
+    assert warc_bundles.lookup(index, asked.limit(0)).count() == 0
+    with pytest.raises(Exception, match="ZstdError"):
+        warc_bundles.read_back(index).collect()
+    # Offsets of another record are an error.
+    moved = index.filter("page_id = 150").withColumn("page_id", F.lit(151).cast("long"))
+    with pytest.raises(Exception, match="at the place of record 151"):
+        warc_bundles.read_back(moved).collect()
 
 
 def plain_pipeline(sf):
