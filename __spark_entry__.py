@@ -203,6 +203,8 @@ CASES: dict[str, Callable] = {
     "sku_count_by_class": lambda t: lists.sku_count_by_class(t),
     "list_tables": lambda t: lists.tables(t),
     "table_page": lambda t: lists.table_page(t.items, ["matnr"], limit=1000, offset=100),
+    "table_page_at": lambda t: lists.table_page_at(t.items, lists.page_fences(t.items, ["matnr"], every=256), ["matnr"],
+                                                   limit=500, offset=1000),
     "table_page_after": lambda t: lists.table_page(t.items, ["matnr"], limit=1000, after=["0000000099"]),
     # Documented sales metrics.
     "gross_summary": lambda t: doc.gross_summary(t, DS, DE),
@@ -300,6 +302,7 @@ def oracle_sql() -> dict[str, str]:
         "sku_count_by_class": o.sku_count_by_class(),
         "list_tables": o.list_tables(),
         "table_page": o.table_page("items", ["matnr"], 1000, 100),
+        "table_page_at": o.table_page("items", ["matnr"], 500, 1000),
         "table_page_after": o.table_page_after("items", "matnr", "0000000099", 1000),
         "gross_summary": o.gross_summary(DS, DE),
         "revenue_total": o.revenue_total(DS, DE),

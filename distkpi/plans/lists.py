@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+import uuid
+
+from pyspark.sql import Column, DataFrame, SparkSession, Window, WindowSpec
 from pyspark.sql import functions as F
 
 from distkpi.constants import OTHERS
+from distkpi.session import scratch_path
 from distkpi.sources.tables import Tables
 
 DEFAULT_PAGE_SIZE = 1000
@@ -47,14 +50,65 @@ def table_page(df: DataFrame, order_by: list[str], limit: int = DEFAULT_PAGE_SIZ
     if after is not None:
         if len(after) != len(order_by):
             raise ValueError("after needs one value per sort key")
-        behind, equal = F.lit(False), F.lit(True)
-        for name, value in zip(order_by, after):
-            c, v = F.col(name), F.lit(value)
-            if value is not None:          # ascending, NULL last
-                behind = behind | (equal & ((c > v) | c.isNull()))
-            equal = equal & c.eqNullSafe(v)
-        df = df.where(behind)
-    return df.orderBy(*[F.asc_nulls_last(c) for c in order_by]).offset(offset).limit(limit)
+        df = df.where(_behind(order_by, after))
+    return df.orderBy(*_ascending(order_by)).offset(offset).limit(limit)
+
+
+def _ascending(order_by: list[str]) -> list[Column]:
+    return [F.asc_nulls_last(c) for c in order_by]
+
+
+def _behind(order_by: list[str], key: list, included: bool = False) -> Column:
+    """Rows behind a sort key (ascending, NULL last), with or without the rows that have it."""
+    behind, equal = F.lit(False), F.lit(True)
+    for name, value in zip(order_by, key):
+        c, v = F.col(name), F.lit(value)
+        if value is not None:
+            behind = behind | (equal & ((c > v) | c.isNull()))
+        equal = equal & c.eqNullSafe(v)
+    return behind | equal if included else behind
+
+
+def page_fences(df: DataFrame, order_by: list[str], every: int = 100_000) -> DataFrame:
+    """Every ``every``-th different sort key of a table with ``position``, the rows before it.
+
+    To be written once per version of the table and handed to
+    :func:`table_page_at`. Keys are counted, range-sorted and numbered where
+    they lie; only the blocks of ``every`` keys are summed further, first
+    within a range and then over the ranges. Rows that share a key stay
+    together however many they are; an empty table has no fence.
+    """
+    counted = df.groupBy(*order_by).agg(F.count(F.lit(1)).alias("_rows"))
+    numbered = counted.repartitionByRange(*_ascending(order_by)).sortWithinPartitions(*_ascending(order_by)).withColumn(
+        "_id", F.monotonically_increasing_id())          # the range above bit 33, the place in it below
+    block = F.floor(F.col("_id").bitwiseAND((1 << 33) - 1) / every)
+    blocks = numbered.groupBy(F.shiftright("_id", 33).alias("_range"), block.alias("_block")).agg(
+        F.sum("_rows").alias("_rows"), F.min_by(F.struct(*order_by), "_id").alias("_key"))
+    path = scratch_path(df.sparkSession, f"fences-{uuid.uuid4().hex}")
+    blocks.write.parquet(path)                           # a second range sort might cut elsewhere
+    blocks = df.sparkSession.read.schema(blocks.schema).parquet(path)
+
+    def before(window: WindowSpec) -> Column:
+        return F.coalesce(F.sum("_rows").over(window.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+
+    ranges = blocks.groupBy("_range").agg(F.sum("_rows").alias("_rows"))         # one row per shuffle partition
+    ranges = ranges.select("_range", before(Window.orderBy("_range")).alias("_before"))
+    inside = blocks.select("_range", "_key", before(Window.partitionBy("_range").orderBy("_block")).alias("_inside"))
+    return inside.join(ranges, "_range").select((F.col("_before") + F.col("_inside")).alias("position"), "_key.*")
+
+
+def table_page_at(df: DataFrame, fences: DataFrame, order_by: list[str], limit: int = DEFAULT_PAGE_SIZE,
+                  offset: int = 0) -> DataFrame:
+    """The page of :func:`table_page` at ``offset``, from the last fence before it.
+
+    The fence turns the offset into a filter on the sort key; what is left to
+    skip is less than the rows of ``every`` keys, at any depth.
+    """
+    near = fences.where(F.col("position") <= offset).orderBy(F.desc("position")).limit(1).collect()   # one row
+    if not near:
+        return table_page(df, order_by, limit, offset)
+    key = [near[0][c] for c in order_by]
+    return table_page(df.where(_behind(order_by, key, included=True)), order_by, limit, offset - near[0]["position"])
 
 
 def page(t: Tables, name: str, limit: int = DEFAULT_PAGE_SIZE, offset: int = 0,
