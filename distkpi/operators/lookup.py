@@ -195,6 +195,10 @@ def price_asof(prices: DataFrame, start=None, end=None) -> DataFrame:
     price is 0/NULL) and for the month after (rank 1). Optional ``start`` /
     ``end`` restrict the result to months in that range and prune the scan.
     Returns ``(item_code, month, price)``.
+
+    Hardly two candidates of a task share a key before the shuffle, so they are
+    shuffled first: combining them there held nearly every row in memory and
+    saved 1 % of the rows.
     """
     d, p = F.col("first_date"), F.col("price")
     if start is not None:
@@ -214,5 +218,5 @@ def price_asof(prices: DataFrame, start=None, end=None) -> DataFrame:
         cand = cand.where(F.col("month") >= F.lit(month_bounds(start)[0]))
     if end is not None:
         cand = cand.where(F.col("month") < F.lit(month_bounds(end)[1]))
-    return (cand.groupBy("item_code", "month")
+    return (cand.repartition("item_code", "month").groupBy("item_code", "month")
             .agg(F.min_by(F.col("price"), _pick_key(F.col("rank"), F.col("first_date"), F.col("price"))).alias("price")))

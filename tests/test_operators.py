@@ -196,6 +196,14 @@ def test_price_asof_matches_fixed_per_month(spark):
         assert got[(item, day("2000-03-01"))] == (None if want is None else D(want)), item
 
 
+def test_price_asof_aggregates_only_after_the_shuffle(spark):
+    """A task before the shuffle keeps no table of its (item, month) pairs, nearly all different."""
+    plan = price_asof(_prices(spark))._jdf.queryExecution().executedPlan().toString()
+    above, below = plan[:plan.rindex("Exchange")], plan[plan.rindex("Exchange"):]
+    assert "partial_min_by" in above and "Aggregate" not in below
+    assert plan.count("Exchange hashpartitioning") == 1
+
+
 # K14 attainment, K15 alignment, K18 total row --------------------------------------
 
 def test_attainment_zero_rules(spark):
