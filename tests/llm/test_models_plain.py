@@ -140,3 +140,52 @@ def test_scores_equal_one_process(spark, docs):
     for i, text in texts.items():
         score = float(model.score(np.array([quality_ranking.measures(text)], float))[0])
         assert abs(got[i]["score"] - score) < 1e-9 and got[i]["predicted"] == int(score >= quality_ranking.CUT)
+
+
+def plain_weights(x, y):
+    """Newton steps on the listed pairs, every good row against every bad one."""
+    z = (x - x.mean(axis=0)) / x.std(axis=0)
+    d, w = (z[y == 1][:, None] - z[y == 0][None]).reshape(-1, x.shape[1]), np.zeros(x.shape[1])
+    for _ in range(40):
+        p = 1 / (1 + np.exp(d @ w))
+        gradient = quality_ranking.RIDGE * w - (d * p[:, None]).mean(axis=0)
+        curve = (d * (p * (1 - p))[:, None]).T @ d / len(d) + quality_ranking.RIDGE * np.eye(len(w))
+        w = w - np.linalg.solve(curve, gradient)
+    return w
+
+
+@pytest.mark.parametrize("goods, bads, shift", [(80, 50, 0.5), (7, 200, 3.0), (1, 1, 1.0)])
+def test_weights_of_all_pairs(goods, bads, shift):
+    rng = np.random.default_rng(8)
+    y = np.array([1] * goods + [0] * bads)
+    x = rng.normal(size=(goods + bads, 5)) * [1, 9, 0.1, 2, 1] + shift * y[:, None]
+    x[:, 4] = x[:, 3] ** 2
+    assert np.abs(quality_ranking.fit_pairs(x, y).weights - plain_weights(x, y)).max() < 1e-8
+
+
+def test_fit_takes_every_labelled_document(spark):
+    """More than 20,000 documents of each label, many with equal measures; few are unlike the others."""
+    docs = spark.range(60_000).selectExpr(
+        "id AS doc_id", """concat(repeat(concat(substr(sha2(string(id), 256), 1, int(id % 9) + 1), ' the '), int(id % 13) + 1),
+        CASE WHEN id % 500 = 1 THEN '## %% ||' WHEN id % 2 = 0 THEN 'End.' ELSE 'X' END) AS text""")
+    labels = spark.range(60_000).selectExpr("id AS doc_id", "int((id + id DIV 7) % 2) AS quality")
+    rows = [(r["text"], r["quality"], r["doc_id"]) for r in docs.join(labels, "doc_id").orderBy("doc_id").collect()]
+    known = [(quality_ranking.measures(text), q) for text, q, i in rows if zlib.crc32(str(i).encode()) % 5 != 0]
+    model = quality_ranking.fit_pairs(np.array([r[0] for r in known], float), np.array([r[1] for r in known]))
+    got = {r["doc_id"]: r for r in quality_ranking.rank(docs, labels).collect()}
+    assert min(np.bincount([q for _, q in known])) > 20_000 and len(got) == 60_000
+    want = model.score(np.array([quality_ranking.measures(text) for text, _, _ in rows], float))
+    assert max(abs(got[i]["score"] - s) for (_, _, i), s in zip(rows, want)) < 1e-9
+
+
+def test_cut_of_equal_merits(spark):
+    """Few different merits: the quantiles are read from counts, as from the sorted merits."""
+    x = [[float(i % 3), float(i % 2)] for i in range(600)]
+    y = [int(i % 3 + (i % 7 == 0) > 1) for i in range(600)]
+    rows = spark.createDataFrame(list(zip(y, x)), "y int, x array<double>")
+    model, plain = quality_ranking.fit(rows, 2), quality_ranking.fit_pairs(np.array(x), np.array(y))
+    assert np.abs(model.weights - plain.weights).max() < 1e-9 and abs(model.cut - plain.cut) < 1e-9
+    merit = plain.merit(np.array(x))
+    cuts = np.quantile(merit, quality_ranking.LEVELS)
+    rate = [((merit[np.array(y) == 1] >= c).mean() + (merit[np.array(y) == 0] < c).mean()) / 2 for c in cuts]
+    assert abs(plain.cut - cuts[int(np.argmax(rate))]) < 1e-9
