@@ -25,11 +25,16 @@ the rule of the query, ``GENERAL`` (5 words, 0.8) that of pipeline stages.
    set each, and sends them straight into the exchange that groups the lists:
    they are written once. A task lists equal sets once. Most lists hold one
    tag and end there; the tags of the others become classes again.
+   Two linked sets share ``spare`` blocks more than they need. So each set leaves
+   its longest lists, as many as it has blocks to spare: those of a line that
+   many texts hold, whose members would be compared all with all.
 6. Lists are scanned around a pivot: each member is compared with the smallest
    member, not all with all. Then components are computed; in a list that still
    holds several components, only members of different components are compared,
    after a size test and a sketch test that never reject a link, and long lists
    are dealt to cells, so that no task compares more than two cells' members.
+   The sketch tells large sets apart badly, so the pairs it leaves are tested by
+   marks, a sketch that grows with the set, before any text is joined to them.
    So every link is found or already implied, and a list of one component costs
    its length.
 
@@ -46,6 +51,7 @@ columns are ignored, whatever their names; an empty table gives no rows.
 from __future__ import annotations
 
 import hashlib
+from collections.abc import Iterator
 from functools import lru_cache
 from itertools import combinations
 from math import comb
@@ -173,29 +179,56 @@ def sketch(s: np.ndarray) -> np.ndarray:
     return np.packbits(odd.astype(np.uint8)).view(np.int64)
 
 
-def heavy_keys(s: np.ndarray, near: Near = OP6) -> np.ndarray:
-    """List keys of a set: one per block, for its size group and the one below."""
+def marks(s: np.ndarray) -> bytes:
+    """Parity of the elements per cell, as a sketch's, with two to four cells an element."""
+    cells = max(64, 1 << int(2 * len(s) - 1).bit_length())
+    odd = np.bincount((s & np.uint64(cells - 1)).astype(np.int64), minlength=cells) & 1
+    return np.packbits(odd.astype(np.uint8)).tobytes()
+
+
+def unlike(x: bytes, y: bytes) -> int:
+    """Elements that two sets differ in at least, from their marks; the longer ones are folded."""
+    a, b = (np.frombuffer(v, np.uint8) for v in ((x, y) if len(x) >= len(y) else (y, x)))
+    while len(a) > len(b):
+        a = a[:len(a) // 2] ^ a[len(a) // 2:]
+    return int(np.bitwise_count(a ^ b).sum())
+
+
+def _in_blocks(s: np.ndarray, near: Near) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
+    """Group, number of blocks, salted elements and their blocks, for a set's size group and the one below."""
     first_sizes = groups(near)
     own = int(np.searchsorted(first_sizes, len(s), "right")) - 1
-    out = []
     for group in (own - 1, own):
-        if first_sizes[group + 1] <= near.least:
-            continue
-        n = blocks(group, near)
-        salted = _mix(s + np.uint64((group + 1) * 0x9E3779B97F4A7C15 & _MASK))
-        block = (salted % np.uint64(n)).astype(np.int64)
+        if first_sizes[group + 1] > near.least:
+            n = blocks(group, near)
+            salted = _mix(s + np.uint64((group + 1) * 0x9E3779B97F4A7C15 & _MASK))
+            yield group, n, salted, (salted % np.uint64(n)).astype(np.int64)
+
+
+def heavy_keys(s: np.ndarray, near: Near = OP6) -> np.ndarray:
+    """List keys of a set: one per block, for its size group and the one below; the lowest bit is the group's."""
+    out = []
+    for group, n, salted, block in _in_blocks(s, near):
         order = np.argsort(block, kind="stable")
         own_blocks, first = np.unique(block[order], return_index=True)
         sums = np.add.reduceat(_mix(salted)[order], first)
         if n - len(own_blocks) > spare(group, near):
-            rest = np.setdiff1d(np.arange(n), own_blocks)
+            rest = np.setdiff1d(np.arange(n), own_blocks)[spare(group, near):]
             own_blocks = np.concatenate([own_blocks, rest])
             sums = np.concatenate([sums, np.zeros(len(rest), np.uint64)])
-        out.append(_mix(sums + own_blocks.astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93)
-                        + np.uint64(group)))
+        keys = _mix(sums + own_blocks.astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93) + np.uint64(group))
+        out.append(keys & np.uint64(_MASK - 1) | np.uint64(group & 1))
     return np.concatenate(out).view(np.int64) if out else np.zeros(0, np.int64)
 
 
+def to_spare(s: np.ndarray, near: Near = OP6) -> list[int]:
+    """How many of its lists a set may leave, in groups of even and of odd number: spare blocks that are not empty."""
+    out = [0, 0]
+    for group, n, _, block in _in_blocks(s, near):
+        out[group & 1] = max(0, spare(group, near) - n + np.count_nonzero(np.bincount(block)))
+    return out
+
+
 def light_keys(s: list[int], boundary: int, near: Near = OP6) -> list[int]:
     """Keys of the fixed-size subsets of a set, for every partner size up to the boundary."""
     n, out = len(s), []
@@ -232,18 +265,19 @@ def digest_of(s: np.ndarray) -> bytes:
 
 
 def describe(docs: DataFrame, text: str, near: Near = OP6) -> DataFrame:
-    """doc_id, n, digest and sketch of the set."""
+    """doc_id, n, digest, sketch and lists to spare of the set."""
     def run(batches):
         for batch in batches:
             sets = [shingles(value.as_py(), near.words) for value in batch.column(1)]
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0).cast(pa.int64()), pa.array([len(s) for s in sets], pa.int64()),
                  pa.array([digest_of(s) for s in sets], pa.binary()),
-                 pa.array([sketch(s) if len(s) >= near.least else None for s in sets], pa.list_(pa.int64()))],
-                names=["doc_id", "n", "digest", "sketch"])
+                 pa.array([sketch(s) if len(s) >= near.least else None for s in sets], pa.list_(pa.int64())),
+                 pa.array([to_spare(s, near) if len(s) >= near.least else None for s in sets], pa.list_(pa.int32()))],
+                names=["doc_id", "n", "digest", "sketch", "to_spare"])
 
     return docs.select(F.col("doc_id").cast("long"), F.col(f"`{text}`").alias("text")).mapInArrow(
-        run, "doc_id bigint, n bigint, digest binary, sketch array<bigint>")
+        run, "doc_id bigint, n bigint, digest binary, sketch array<bigint>, to_spare array<int>")
 
 
 def _tag(digest: bytes) -> int:
@@ -287,8 +321,27 @@ def _listed(docs: DataFrame, text: str, boundary: int, near: Near) -> DataFrame:
     return docs.select(F.col(f"`{text}`").alias("text")).mapInArrow(run, "key bigint, tag bigint")
 
 
+def _shorter(named: DataFrame) -> DataFrame:
+    """key, node of the lists that are left when each set leaves its longest ones, as many as it can spare.
+
+    Longest by (length, key) is the same order for all sets, with empty blocks
+    as the longest. If the shortest of the equal blocks of two linked sets were
+    left by one of them, so were the others, all longer: more than are spare.
+    """
+    lengths = named.withColumn("length", F.count(F.lit(1)).over(Window.partitionBy("key")))
+    longest = Window.partitionBy("node", F.col("key").bitwiseAND(1)).orderBy(F.desc("length"), "key")
+    return lengths.withColumn("nth", F.row_number().over(longest)).filter("nth > to_spare").select("key", "node")
+
+
 def _texts(docs: DataFrame, text: str, nodes: DataFrame, near: Near) -> DataFrame:
-    """node, text of the given nodes; a node without an id is known by its set."""
+    """node, text, size and marks of the given nodes; a node without an id is known by its set."""
+    def mark(batches):
+        for batch in batches:
+            sets = [shingles(x.as_py(), near.words) for x in batch.column(1)]
+            yield pa.RecordBatch.from_arrays(
+                [*batch.columns, pa.array([len(s) for s in sets], pa.int64()), pa.array([marks(s) for s in sets], pa.binary())],
+                names=["node", "text", "size", "marks"])
+
     def run(batches):
         for batch in batches:
             digests = [digest_of(shingles(x.as_py(), near.words)) for x in batch.column(0)]
@@ -303,7 +356,8 @@ def _texts(docs: DataFrame, text: str, nodes: DataFrame, near: Near) -> DataFram
         rest = docs.filter("doc_id IS NULL").select(value).mapInArrow(run, "digest binary, text string")
         out = out.unionByName(rest.select(_unnamed(F.col("digest")).alias("node"), "text").join(
             nodes, "node", "left_semi"))
-    return out.dropDuplicates(["node", "text"])
+    return out.dropDuplicates(["node", "text"]).select("node", "text").mapInArrow(
+        mark, "node bigint, text string, size bigint, marks binary")
 
 
 def _may_link(na: Column, sa: Column, nb: Column, sb: Column, near: Near) -> Column:
@@ -315,10 +369,16 @@ def _may_link(na: Column, sa: Column, nb: Column, sb: Column, near: Near) -> Col
 
 
 def _verify(pairs: DataFrame, facts: DataFrame, texts: DataFrame, name: str, near: Near) -> DataFrame:
-    """Those pairs (a, b) that link, checked on the whole sets."""
+    """Those pairs (a, b) that link, checked on the whole sets; texts are joined to pairs that marks leave."""
     def of(side: str, table: DataFrame, *cols: str) -> DataFrame:
         return table.select(F.col("node").alias(side), *[F.col(c).alias(f"{side}_{c}") for c in cols])
 
+    def alike(batches):
+        for batch in batches:
+            keep = [(near.p + near.q) * unlike(x.as_py(), y.as_py()) <= (near.q - near.p) * (m.as_py() + n.as_py())
+                    for x, y, m, n in zip(*map(batch.column, ("a_marks", "b_marks", "a_size", "b_size")))]
+            yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
+
     def run(batches):
         last, s = None, None
         for batch in batches:
@@ -334,7 +394,9 @@ def _verify(pairs: DataFrame, facts: DataFrame, texts: DataFrame, name: str, nea
 
     pairs = pairs.join(of("a", facts, "n", "sketch"), "a").join(of("b", facts, "n", "sketch"), "b")
     pairs = pairs.filter(_may_link(F.col("a_n"), F.col("a_sketch"), F.col("b_n"), F.col("b_sketch"), near))
-    full = pairs.select("a", "b").join(of("b", texts, "text"), "b").join(of("a", texts, "text"), "a")
+    marked = pairs.select("a", "b").distinct().join(of("b", texts, "size", "marks"), "b").join(of("a", texts, "size", "marks"), "a")
+    pairs = marked.mapInArrow(alike, "a bigint, b bigint").distinct()
+    full = pairs.join(of("b", texts, "text"), "b").join(of("a", texts, "text"), "a")
     return materialize(full.select("a", "b", "a_text", "b_text").mapInArrow(run, "a bigint, b bigint").distinct(), name)
 
 
@@ -389,19 +451,24 @@ def rooted_classes(docs: DataFrame, text: str = "text", near: Near = OP6) -> tup
     marks = [f"s{i}" for i in range(8)]
     classes = seen.filter("n > 0").groupBy("digest").agg(
         F.min("doc_id").alias("id"), F.first("n").alias("n"),
+        *[F.first(F.col("to_spare")[i]).alias(m) for i, m in enumerate(("even", "odd"))],
         *[F.first(F.col("sketch")[i]).alias(m) for i, m in enumerate(marks)])
     classes = materialize(classes.select("digest", "n", F.coalesce("id", _unnamed(F.col("digest"))).alias("node"),
-                                         F.array(*marks).alias("sketch")), "jaccard-classes")
+                                         "even", "odd", F.array(*marks).alias("sketch")), "jaccard-classes")
     linkable = classes.filter(F.col("n") >= near.least)
 
     small = {r["n"]: r["count"] for r in
              linkable.filter(F.col("n") <= INLINE).groupBy("n").count().collect()}   # at most INLINE rows
+    boundary = choose_boundary(small, near)
     same = Window.partitionBy("key")
-    listed = _listed(docs, text, choose_boundary(small, near), near).select(
+    listed = _listed(docs, text, boundary, near).select(
         "key", "tag", F.min("tag").over(same).alias("lo"), F.max("tag").over(same).alias("hi"))
     met = materialize(listed.filter("lo <> hi").select("key", "tag"), "jaccard-met")
-    named = materialize(met.join(linkable.select(_tag_column(F.col("digest")).alias("tag"), "node"), "tag")
-                        .select("key", "node").distinct(), "jaccard-named")
+    # Sets that stand in light lists too leave none.
+    spared = F.when(F.col("n") > boundary, F.when(F.col("key").bitwiseAND(1) == 0, F.col("even")).otherwise(F.col("odd"))).otherwise(0)
+    named = met.join(linkable.select(_tag_column(F.col("digest")).alias("tag"), "node", "n", "even", "odd"), "tag")
+    named = materialize(_shorter(named.select("key", "node", spared.alias("to_spare")).repartition("key").distinct()),
+                        "jaccard-named")
     heads = named.groupBy("key").agg(F.min("node").alias("pivot"), F.max("node").alias("top"),
                                      F.count(F.lit(1)).alias("members")).filter("pivot <> top").drop("top")
     scanned = materialize(named.join(heads, "key"), "jaccard-scanned")

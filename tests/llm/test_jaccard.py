@@ -1,11 +1,13 @@
 """The parts of the join, and rows that SQL sees differently."""
 
 import random
+import time
 from itertools import combinations
 
 import numpy as np
 
 import corpus_pipeline
+from distkpi.llm import common
 from distkpi.llm import jaccard_join as j
 from distkpi.llm.components import components
 
@@ -159,3 +161,85 @@ def test_near_copies_between_the_limits(spark, make_docs):
     assert got == dict(enumerate(root))
     kept = corpus_pipeline.distinct(spark, docs, "")
     assert sorted(r["doc_id"] for r in kept.collect()) == sorted(set(root))
+
+
+def test_linked_sets_meet_without_their_longest_lists():
+    """Each set leaves its longest lists, as many as it can spare, whatever lists are long."""
+    rng, met, left = random.Random(31), 0, 0
+    for near in (j.OP6, j.GENERAL):
+        for n in (10, 17, 26, 33, 60, 150, 400, 1500):
+            for _ in range(40):
+                a = np.unique(np.array([rng.getrandbits(64) for _ in range(n)], np.uint64))
+                drop, add = (rng.randrange(n * (near.q - near.p) // near.q + 1) for _ in "ab")
+                b = np.unique(np.array(rng.sample(a.tolist(), n - drop) + [rng.getrandbits(64) for _ in range(add)], np.uint64))
+                shared = len(np.intersect1d(a, b))
+                if near.q * shared < near.p * (len(a) + len(b) - shared) or min(len(a), len(b)) < near.least:
+                    continue
+                both = set(j.heavy_keys(a, near).tolist()) & set(j.heavy_keys(b, near).tolist())
+                for longest in (lambda k: k in both, lambda k: k not in both, lambda k: k % 7):     # shared, own or any lists
+                    stay = []
+                    for s in (a, b):
+                        spared, keys = j.to_spare(s, near), j.heavy_keys(s, near).tolist()
+                        left += sum(spared)
+                        stay.append({k for g in (0, 1) for k in sorted((k for k in keys if k & 1 == g),
+                                                                     key=lambda k: (-longest(k), k))[spared[g]:]})
+                    assert stay[0] & stay[1]
+                met += 1
+    assert met > 150 and left > 10 * met
+
+
+def test_marks_reject_no_link_and_most_large_sets():
+    rng = random.Random(32)
+    for near in (j.OP6, j.GENERAL):
+        for n in (4, 9, 30, 200, 3000):
+            for share in (0, 0.01, 0.03, 0.05, 0.1, 0.5, 1):
+                a = np.unique(np.array([rng.getrandbits(64) for _ in range(n)], np.uint64))
+                b = np.unique(np.array(rng.sample(a.tolist(), n - int(share * n)) + [rng.getrandbits(64) for _ in range(int(share * n) + 1)], np.uint64))
+                shared = len(np.intersect1d(a, b))
+                least = j.unlike(j.marks(a), j.marks(b))
+                assert least <= len(a) + len(b) - 2 * shared and least == j.unlike(j.marks(b), j.marks(a))
+                passes = (near.p + near.q) * least <= (near.q - near.p) * (len(a) + len(b))
+                assert passes or near.q * shared < near.p * (len(a) + len(b) - shared)
+                assert not passes or share < 0.5 or n < 30
+
+
+def test_texts_of_shared_lines_are_not_compared(make_docs, monkeypatch):
+    """Long texts that hold the same lines and link with few: no text is read again for the others, all links are found."""
+    rng = random.Random(33)
+    lines = [[f"line{k}w{i}" for i in range(9)] for k in range(6)]
+    texts = []
+    for i in range(40):
+        words = [f"d{i}w{k}" for k in range(rng.choice([700, 1300, 1400]))]
+        for k, line in enumerate(lines):
+            words[100 * (k + 1):100 * (k + 1)] = line
+        texts.append(words)
+    for i in (3, 17, 28):                                                                           # near copies of three
+        copy = list(texts[i])
+        for k in rng.sample(range(len(copy)), len(copy) // 50):
+            copy[k] = f"x{i}y{k}"
+        texts.append(copy)
+    texts = [" ".join(t) for t in texts]
+    read, write = {}, j.materialize
+
+    def spy(df, name):
+        out = write(df, name)
+        read[name] = read.get(name, 0) + out.count()
+        return out
+    monkeypatch.setattr(j, "materialize", spy)
+    got = {r["doc_id"]: r["component_id"] for r in j.jaccard_components(make_docs(list(enumerate(texts))), near=j.GENERAL).collect()}
+    assert got == {**{i: i for i in range(40)}, 40: 3, 41: 17, 42: 28}
+    assert read["jaccard-texts"] <= 10, read
+
+
+def test_shuffle_files_go_with_the_write(spark):
+    def files():
+        disk = spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager()
+        every = disk.getAllFiles()
+        return {every.apply(i).getName() for i in range(every.size()) if every.apply(i).getName().startswith("shuffle_")}
+    before, was = files(), spark.conf.get(common.SHUFFLES_GO)
+    out = common.materialize(spark.range(1000).repartition(4, "id").groupBy("id").count(), "t")
+    for _ in range(50):
+        if not (left := files() - before):
+            break
+        time.sleep(0.1)
+    assert not left and spark.conf.get(common.SHUFFLES_GO) == was and out.count() == 1000
